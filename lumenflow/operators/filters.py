@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenflow.config import BackgroundConfig, PolarityConfig, StaticConfig
 from lumenflow.plans.hopping import floor_div
 from lumenflow.plans.lineage import materialise
+from lumenflow.plans.ordered import scan_ordered
 from lumenflow.plans.scan import running
 from lumenflow.plans.sized import broadcast_if_small
 
@@ -94,15 +96,49 @@ def background_filter(events: DataFrame, cfg: BackgroundConfig = BackgroundConfi
     return background_flags(events, cfg).where("supported").drop("supported")
 
 
-def cleanup_instants(events: DataFrame, inactive_us: int) -> DataFrame:
+#: Up to this many distinct event times, one ordered pass beats the rounds of joins.
+SINGLE_PASS_TIMES = 5_000_000
+
+
+def cleanup_instants(
+    events: DataFrame, inactive_us: int, single_pass_times: int = SINGLE_PASS_TIMES
+) -> DataFrame:
     """Times at which the idle sweep runs: first event later than the last sweep + ``inactive_us``.
 
-    The rule chains from sweep to sweep over the whole stream. Every distinct event time gets a
-    pointer to the sweep that would follow it, and the chain from the first sweep is marked by
-    pointer doubling: the number of rounds is the logarithm of the number of sweeps.
+    The rule chains from sweep to sweep over the whole stream. A counted, small set of distinct
+    times is walked in order with constant memory; a larger one by ``_doubled_chain``.
+    """
+    times = materialise(events.select("stream_id", "timestamp_us").distinct())
+    if times.limit(single_pass_times + 1).count() > single_pass_times:
+        return _doubled_chain(times, inactive_us)
+
+    def sweeps():
+        last = 0
+
+        def step(rows):
+            nonlocal last
+            at = rows["timestamp_us"].to_numpy()
+            hits, i = [], int(np.searchsorted(at, last + inactive_us, side="right"))
+            while i < len(at):
+                hits.append(i)
+                last = int(at[i])
+                i = int(np.searchsorted(at, last + inactive_us, side="right"))
+            return rows.iloc[hits].rename(columns={"timestamp_us": "cleanup_us"})
+
+        return step
+
+    return scan_ordered(
+        times, ["stream_id"], ["timestamp_us"], sweeps, "stream_id string, cleanup_us long"
+    )
+
+
+def _doubled_chain(times: DataFrame, step: int) -> DataFrame:
+    """The sweep chain by pointer doubling.
+
+    Every distinct event time points to the sweep that would follow it; each round doubles the
+    pointers' reach and the marked part of the chain, so the number of rounds is the logarithm of
+    the number of sweeps and every round is a plain equi join.
     """
-    step = inactive_us
-    times = events.select("stream_id", "timestamp_us").distinct()
     slot = floor_div(F.col("timestamp_us"), step)
     slots = times.groupBy("stream_id", slot.alias("slot")).agg(F.min("timestamp_us").alias("first_us"))
     # First event after a slot, for thresholds behind the last event of their own slot.
