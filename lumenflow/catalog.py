@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenflow.deploy import ship
 from lumenflow.config import BackgroundConfig, ClusterConfig, PolarityConfig, StaticConfig
 from lumenflow.operators import clusters, components, filters, rolling
 from lumenflow.sources.pixels import pixelised_events
@@ -19,6 +20,7 @@ STATIC = StaticConfig(cell_size=4, stable_after_us=DAY_US, min_events=40, inacti
 
 
 def load(spark: SparkSession, folder: str, **options) -> DataFrame:
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return pixelised_events(spark, f"{folder}/events.parquet", **options)
 

@@ -18,30 +18,33 @@ def running(
     block: Column,
     last: dict[str, Column] | None = None,
     total: dict[str, Column] | None = None,
+    peak: dict[str, Column] | None = None,
     include_current: bool = False,
 ) -> DataFrame:
-    """Add running "last non-null value" and running sum columns per key.
+    """Add running "last non-null value", sum and maximum columns per key.
 
     ``order`` must be unique per key and ``block`` a non-decreasing function of it. With
     ``include_current`` the current row counts, otherwise only rows before it.
     """
-    last, total = last or {}, total or {}
+    last, total, peak = last or {}, total or {}, peak or {}
     at = F.col(order)
     rows = df.withColumn("__block", block)
-    for name, value in {**last, **total}.items():
+    for name, value in {**last, **total, **peak}.items():
         rows = rows.withColumn(f"__in_{name}", value)
     group = [*keys, "__block"]
 
     ends = [F.max_by(f"__in_{n}", F.when(F.col(f"__in_{n}").isNotNull(), at)).alias(n) for n in last]
     sums = [F.sum(f"__in_{n}").alias(n) for n in total]
+    tops = [F.max(f"__in_{n}").alias(n) for n in peak]
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*group)
-        .agg(*ends, *sums)
+        .agg(*ends, *sums, *tops)
         .select(
             *group,
             *[F.last(n, ignorenulls=True).over(before).alias(f"__carry_{n}") for n in last],
             *[F.sum(n).over(before).alias(f"__carry_{n}") for n in total],
+            *[F.max(n).over(before).alias(f"__carry_{n}") for n in peak],
         )
     )
 
@@ -64,4 +67,5 @@ def running(
             ).alias(n)
             for n in total
         ],
+        *[F.greatest(F.max(f"__in_{n}").over(inside), f"__carry_{n}").alias(n) for n in peak],
     )
