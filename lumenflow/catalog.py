@@ -4,9 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenflow.config import (
+    BackgroundConfig,
+    BallConfig,
+    CameraModel,
+    ClusterConfig,
+    MotionConfig,
+    ParabolaConfig,
+    PolarityConfig,
+    StaticConfig,
+    TrackerConfig,
+)
 from lumenflow.deploy import ship
-from lumenflow.config import BackgroundConfig, ClusterConfig, PolarityConfig, StaticConfig
-from lumenflow.operators import clusters, components, filters, rolling
+from lumenflow.operators import (
+    alignment,
+    ball,
+    clusters,
+    components,
+    filters,
+    foreground,
+    imu,
+    metrics,
+    motion,
+    panels,
+    rolling,
+    tracker,
+)
+from lumenflow.plans.hopping import explode_hops
+from lumenflow.plans.lineage import materialise
+from lumenflow.sources.codec import decode_blocks, encode_blocks
+from lumenflow.sources.evt import time_range as stream_time_range
+from lumenflow.sources.imu import rebase
 from lumenflow.sources.pixels import pixelised_events
 
 HOUR_US = 3_600_000_000
@@ -103,6 +131,311 @@ def rolling_detections(spark, folder):
     return rolling.rolling_detections(load(spark, folder), ROLLING, SENSOR)
 
 
+# ---- windows, panels, summaries ----------------------------------------------------------------
+
+#: Small lens model for the bridge sensor.
+LENS = CameraModel(20.0, 21.0, 12.0, 9.0, (-0.07, 0.11, -0.0003, -0.0002, -0.07)).for_sensor(*SENSOR)
+PINHOLE = CameraModel(20.0, 21.0, 12.0, 9.0).for_sensor(*SENSOR)
+#: The log's time divided by this, so that 30 days become 26 seconds.
+SHRINK = 100_000
+MOTION = MotionConfig(window_us=300_000, step_us=100_000, cell_px=3, min_events=3, min_component_cells=2)
+MOTION_KEYS = ["stream_id", "window_id"]
+
+
+def shrunk(spark, folder, factor=SHRINK, **options) -> DataFrame:
+    """The pixelised log on a sensor's time scale, counted from its first event's slot."""
+    events = load(spark, folder, **options)
+    return events.withColumn("timestamp_us", F.floor(F.col("timestamp_us") / factor).cast("long"))
+
+
+def hop_counts(spark, folder):
+    events = load(spark, folder)
+    hops = explode_hops(events, F.col("timestamp_us"), WINDOW.window_us, 2 * HOUR_US)
+    return hops.groupBy("stream_id", "window_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("polarity").alias("positive")
+    )
+
+
+def density_panel(spark, folder):
+    return panels.density_panel(_windows(spark, folder), WINDOW_KEYS, *SENSOR)
+
+
+def pixel_last_color(spark, folder):
+    events = load(spark, folder)
+    accepted = filters.background_flags(events, BACKGROUND).withColumnRenamed("supported", "accepted")
+    return panels.polarity_raster(tumbling(accepted, DAY_US), WINDOW_KEYS, *SENSOR)
+
+
+def time_range(spark, folder):
+    return stream_time_range(load(spark, folder))
+
+
+def topn_detections(spark, folder):
+    return best_cluster(spark, folder).orderBy("window_id").limit(25)
+
+
+def index_percentile(spark, folder):
+    events = load(spark, folder, with_value=True)
+    return metrics.index_percentiles(
+        events, ["polarity"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95}
+    )
+
+
+def recent_median(spark, folder):
+    sized = best_cluster(spark, folder).withColumn("size", F.col("max_x") - F.col("min_x") + 1)
+    return metrics.recent_median(sized, ["stream_id"], "window_id", "size").select(
+        "stream_id", "window_id", "size", "median"
+    )
+
+
+def deadline_misses(spark, folder):
+    events = load(spark, folder, with_value=True)
+    return metrics.deadline_summary(tumbling(events, DAY_US), WINDOW_KEYS, "value", 10.0)
+
+
+# ---- positions --------------------------------------------------------------------------------
+
+BALL = BallConfig(0.07, LENS, "bbox_average")
+PARABOLA = ParabolaConfig(LENS, ball_diameter_m=0.5, inlier_threshold_m=0.5)
+
+
+def _spaced(detections: DataFrame) -> DataFrame:
+    """Detections on a 50 ms grid, in the order of their windows."""
+    return detections.withColumn("timestamp_us", F.col("window_id") * 50_000)
+
+
+def ball_depth(spark, folder):
+    found = ball.ball_measurements(_spaced(best_cluster(spark, folder)), BALL)
+    return found.select("stream_id", "window_id", "pixel_diameter", *[F.round(c, 6).alias(c) for c in ("x_m", "y_m", "z_m")])
+
+
+def bbox_depth(spark, folder):
+    found = ball.parabola_points(_spaced(best_cluster(spark, folder)), PARABOLA)
+    return found.select(
+        "stream_id", "window_id", *[F.round(c, 6).alias(c) for c in ("pixel_area", "x_m", "y_m", "z_m")]
+    )
+
+
+def smoothed_path(spark, folder):
+    measured = ball.ball_measurements(_spaced(best_cluster(spark, folder)), BALL)
+    return ball.smooth_path(measured)
+
+
+def parabola_fit(spark, folder):
+    points = ball.parabola_points(_spaced(best_cluster(spark, folder)), PARABOLA)
+    return ball.parabola_fits(points, PARABOLA).select("stream_id", "window_id", "fit.*")
+
+
+def undistort(spark, folder):
+    from lumenflow.functions.geometry import undistort as rays
+
+    events = load(spark, folder)
+    placed = rays(events, LENS, F.col("x").cast("double"), F.col("y").cast("double"))
+    return placed.select("seq", F.round("ray_x", 8).alias("ray_x"), F.round("ray_y", 8).alias("ray_y"))
+
+
+# ---- motion -----------------------------------------------------------------------------------
+
+
+def samples_of(events: DataFrame, axis: str | None = None) -> DataFrame:
+    """One inertial sample per log row, turning by its value; ``axis`` keeps a single axis."""
+    rate = {
+        "gx": (F.pmod(F.col("value"), F.lit(1.0)) - 0.5) * 0.4,
+        "gy": (F.pmod(F.col("value") / 10, F.lit(1.0)) - 0.5) * 0.4,
+        "gz": (F.pmod(F.col("value") / 100, F.lit(1.0)) - 0.5) * 0.4,
+    }
+    raw = events.select(
+        "stream_id",
+        (F.col("timestamp_us") * 1e-6).alias("time_s"),
+        *[(v if axis in (None, n) else F.lit(0.0)).alias(n) for n, v in rate.items()],
+        F.lit(0.0).alias("gravity_x"),
+        F.lit(1.0).alias("gravity_y"),
+        F.lit(0.0).alias("gravity_z"),
+        F.col("seq").alias("__row"),
+    )
+    return rebase(raw, has_gravity=True)
+
+
+def imu_bracket(spark, folder):
+    """Interpolated turn rate in the middle of every 10 ms of the recording."""
+    events = materialise(shrunk(spark, folder, with_value=True))
+    intervals = imu.prepared_imu(samples_of(events))
+    slots = events.select("stream_id", F.floor(F.col("timestamp_us") / 10_000).alias("slot")).distinct()
+    first = events.groupBy("stream_id").agg(F.min("timestamp_us").alias("first_us"))
+    points = slots.join(first, "stream_id").select(
+        "stream_id", "slot", ((F.col("slot") * 10_000 + 5_000) * 1e-6 - F.col("first_us") * 1e-6).alias("time_s")
+    )
+    found = imu.gyro_at(points, intervals)
+    return found.select("slot", *[F.round(n, 8).alias(n) for n in ("gx", "gy", "gz")])
+
+
+def _motion_rows(spark, folder, axis: str | None = "gy"):
+    events = materialise(shrunk(spark, folder, with_value=True))
+    intervals = imu.prepared_imu(samples_of(events, axis))
+    windows = materialise(motion.window_grid(rolling.stream_bounds(events), intervals, MOTION))
+    rotations = materialise(motion.window_rotations(windows, intervals, MOTION))
+    rows = motion.window_events(events.drop("value"), windows, MOTION)
+    return motion.compensate(rows, rotations, PINHOLE, with_original=True)
+
+
+def compensated_points(spark, folder):
+    """Every event of every motion window, turned into the window's last orientation."""
+    return _motion_rows(spark, folder).select(
+        "window_id", "seq", "covered", F.round("px", 4).alias("px"), F.round("py", 4).alias("py")
+    )
+
+
+def motion_foreground(spark, folder):
+    """Foreground per window without and with compensation, and both focus values."""
+    rows = materialise(_motion_rows(spark, folder, axis=None))
+    marked = foreground.segment(rows, MOTION_KEYS, PINHOLE, MOTION, "ox", "oy", "foreground_off")
+    marked = foreground.segment(marked, MOTION_KEYS, PINHOLE, MOTION, "px", "py", "foreground_on")
+    counts = marked.groupBy(*MOTION_KEYS).agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if("foreground_off").alias("foreground_off"),
+        F.count_if("foreground_on").alias("foreground_on"),
+    )
+    off = foreground.focus(rows, MOTION_KEYS, *SENSOR, "ox", "oy").withColumnRenamed("focus", "focus_off")
+    on = foreground.focus(rows, MOTION_KEYS, *SENSOR).withColumnRenamed("focus", "focus_on")
+    return counts.join(off, MOTION_KEYS, "left").join(on, MOTION_KEYS, "left")
+
+
+def _still_rows(spark, folder) -> DataFrame:
+    """Hopping windows over the unturned events: end every 100 ms, 300 ms long."""
+    events = shrunk(spark, folder)
+    hops = explode_hops(events, F.col("timestamp_us"), MOTION.window_us, MOTION.step_us)
+    return hops.withColumns(
+        {
+            "end_us": F.col("window_id") * MOTION.step_us,
+            "start_us": F.col("window_id") * MOTION.step_us - MOTION.window_us,
+            "px": F.col("x").cast("double"),
+            "py": F.col("y").cast("double"),
+        }
+    )
+
+
+def foreground_cells(spark, folder):
+    cells = foreground.motion_cells(_still_rows(spark, folder), MOTION_KEYS, PINHOLE, MOTION)
+    scored = foreground.late_cells(cells, MOTION_KEYS, MOTION)
+    return scored.select(
+        *MOTION_KEYS, "cx", "cy", "n", "early", F.round("mean_age", 8).alias("mean_age"), F.round("window_age", 8).alias("window_age")
+    )
+
+
+def foreground_keep(spark, folder):
+    cells = foreground.motion_cells(_still_rows(spark, folder), MOTION_KEYS, PINHOLE, MOTION)
+    return foreground.foreground_regions(cells, MOTION_KEYS, PINHOLE, MOTION).select(
+        *MOTION_KEYS, "cx", "cy", "label", "size", "new_cells", "early_support", "keep"
+    )
+
+
+def focus_energy(spark, folder):
+    energy = foreground.focus(_still_rows(spark, folder), MOTION_KEYS, *SENSOR, scale=4)
+    return energy.withColumn("focus", F.round("focus", 6))
+
+
+def canvas(spark, folder):
+    rows = _still_rows(spark, folder).withColumn("foreground", F.col("polarity"))
+    return panels.foreground_canvas(rows, MOTION_KEYS, *SENSOR)
+
+
+def calib_windows(spark, folder):
+    return alignment.calibration_windows(shrunk(spark, folder), min_events=5).select(
+        "stream_id", "slot", "rank", "seq", "timestamp_us", "x", "y"
+    )
+
+
+# ---- tracking ---------------------------------------------------------------------------------
+
+TRACKER = TrackerConfig(0.07)
+TRACK_CAMERA = CameraModel(500.0, 500.0, 320.0, 240.0).for_sensor(640, 480)
+TRACK_MOTION = MotionConfig()
+
+
+def ball_track(spark, folder):
+    """The whole tracker on the log at a millionth of its pace."""
+    events = materialise(shrunk(spark, folder, 1_000_000, with_value=True))
+    found = tracker.track_ball(
+        events.drop("value"), samples_of(events), PINHOLE, MotionConfig(min_component_cells=2), TRACKER
+    )
+    return found
+
+
+def _derived_track(spark, folder):
+    """A ball that crosses the view once per 80 log rows, one update per row.
+
+    Every row gives one candidate at a slightly disturbed position; every ninth row gives none.
+    """
+    events = load(spark, folder, with_value=True)
+    k = F.pmod("seq", F.lit(80))
+    wobble = (F.pmod(F.col("value"), F.lit(1.0)) - 0.5) * 2
+    size = F.lit(20.0) + F.floor(k / 20)
+    windows = events.select(
+        "stream_id", F.col("seq").alias("window_id"), F.lit(0).cast("long").alias("origin_us"),
+        (F.col("seq") * TRACK_MOTION.step_us).alias("end_us"),
+    )
+    candidates = events.where((F.col("seq") % 9 != 0) & (k < 60)).select(
+        "stream_id",
+        F.col("seq").alias("window_id"),
+        F.lit(1).alias("rank"),
+        (F.lit(60.0) + k * 8 + wobble).alias("x"),
+        (F.lit(120.0) + k * 2 - wobble).alias("y"),
+        size.alias("width"),
+        size.alias("height"),
+        (F.lit(100) + k).cast("long").alias("events"),
+        F.when(F.col("seq") % 4 != 0, F.struct(F.lit(1.0).alias("radius"))).alias("outline"),
+    )
+    unit = {n: F.lit(1.0 if n.endswith("qw") else 0.0) for n in ("qw", "qx", "qy", "qz", "s_qw", "s_qx", "s_qy", "s_qz")}
+    poses = windows.select(
+        "stream_id", "window_id", F.lit(0).alias("gap_count"), F.lit(0).alias("gap_floor"),
+        *[v.alias(n) for n, v in unit.items()], F.lit(1).cast("long").alias("stabilized_frame"),
+        F.lit(0.0).alias("gravity_x"), F.lit(1.0).alias("gravity_y"), F.lit(0.0).alias("gravity_z"),
+    )
+    tracks = tracker.track(windows, poses, candidates, TRACK_CAMERA, TRACK_MOTION, TRACKER)
+    return materialise(tracks), poses
+
+
+def associated_tracks(spark, folder):
+    return _derived_track(spark, folder)[0]
+
+
+def track_summary(spark, folder):
+    return metrics.track_summary(_derived_track(spark, folder)[0])
+
+
+def track_states(spark, folder):
+    return metrics.state_counts(_derived_track(spark, folder)[0], ["stream_id"])
+
+
+def prediction_errors(spark, folder):
+    tracks, poses = _derived_track(spark, folder)
+    return metrics.prediction_errors(tracks, poses, TRACK_CAMERA, TRACK_MOTION.step_us)
+
+
+def flight_paths(spark, folder):
+    return metrics.flight_paths(_derived_track(spark, folder)[0])
+
+
+# ---- packed words -----------------------------------------------------------------------------
+
+
+def _codec(spark, folder, fmt):
+    events = shrunk(spark, folder)
+    return decode_blocks(encode_blocks(events, fmt), fmt)
+
+
+def evt2_decode(spark, folder):
+    return _codec(spark, folder, "evt2")
+
+
+def evt21_decode(spark, folder):
+    return _codec(spark, folder, "evt21")
+
+
+def evt3_decode(spark, folder):
+    return _codec(spark, folder, "evt3")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,5 +452,35 @@ QUERIES = {
         rolling_members,
         rolling_ideal,
         rolling_detections,
+        hop_counts,
+        density_panel,
+        pixel_last_color,
+        time_range,
+        topn_detections,
+        index_percentile,
+        recent_median,
+        deadline_misses,
+        ball_depth,
+        bbox_depth,
+        smoothed_path,
+        parabola_fit,
+        undistort,
+        imu_bracket,
+        compensated_points,
+        motion_foreground,
+        foreground_cells,
+        foreground_keep,
+        focus_energy,
+        canvas,
+        calib_windows,
+        ball_track,
+        associated_tracks,
+        track_summary,
+        track_states,
+        prediction_errors,
+        flight_paths,
+        evt2_decode,
+        evt21_decode,
+        evt3_decode,
     )
 }
