@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenflow.config import (
@@ -111,6 +113,14 @@ def best_cluster(spark, folder):
     )
 
 
+def daily_best_cluster(spark, folder):
+    """Best cluster per day on 2 x 2 pixel cells."""
+    cfg = replace(WINDOW, window_us=DAY_US, step_us=DAY_US, cell_size=2)
+    events = tumbling(load(spark, folder), DAY_US)
+    every = clusters.window_clusters(events, WINDOW_KEYS, cfg, SENSOR)
+    return clusters.best_cluster(every, WINDOW_KEYS, cfg).withColumn("confidence", F.round("confidence", 6))
+
+
 def rolling_ticks(spark, folder):
     return rolling.rolling_ticks(load(spark, folder), ROLLING)
 
@@ -206,7 +216,9 @@ def _spaced(detections: DataFrame) -> DataFrame:
 
 def ball_depth(spark, folder):
     found = ball.ball_measurements(_spaced(best_cluster(spark, folder)), BALL)
-    return found.select("stream_id", "window_id", "pixel_diameter", *[F.round(c, 6).alias(c) for c in ("x_m", "y_m", "z_m")])
+    return found.select(
+        "stream_id", "window_id", "pixel_diameter", *[F.round(c, 9).alias(c) for c in ("x_m", "y_m", "z_m")]
+    )
 
 
 def bbox_depth(spark, folder):
@@ -217,8 +229,12 @@ def bbox_depth(spark, folder):
 
 
 def smoothed_path(spark, folder):
-    measured = ball.ball_measurements(_spaced(best_cluster(spark, folder)), BALL)
-    return ball.smooth_path(measured)
+    detections = clusters.best_cluster(
+        clusters.window_clusters(_windows(spark, folder), WINDOW_KEYS, WINDOW, SENSOR), WINDOW_KEYS, WINDOW
+    )
+    path = ball.smooth_path(ball.ball_measurements(_spaced(detections), BALL))
+    kept = ("stream_id", "timestamp_us", "pixel_diameter")
+    return path.select(*kept, *[F.round(c, 9).alias(c) for c in path.columns if c not in kept])
 
 
 def parabola_fit(spark, folder):
@@ -440,6 +456,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         best_cluster,
+        daily_best_cluster,
         polarity_filter,
         background_filter,
         static_filter,

@@ -124,6 +124,17 @@ ORACLE = {
            QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY event_count DESC, label) = 1""",
         recursive=True,
     ),
+    "daily_best_cluster": _with(
+        WINDOWS.replace(str(SIX), str(DAY)).replace(
+            "x AS cx, y AS cy", "CAST(x // 2 AS INTEGER) AS cx, CAST(y // 2 AS INTEGER) AS cy"
+        ),
+        LABELS,
+        """SELECT *, round(least(event_count / 5.0, 1.0) * sqrt(least(
+                event_count / ((max_x - min_x + 1) * (max_y - min_y + 1)), 1.0)), 6) AS confidence
+           FROM clu WHERE event_count >= 5 AND cell_count >= 3
+           QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY event_count DESC, label) = 1""",
+        recursive=True,
+    ),
     "rolling_ticks": _with(
         BOUNDS,
         TICKS,
@@ -149,3 +160,265 @@ ORACLE = {
         "SELECT stream_id, tick, tick_us, count(*) AS n FROM m GROUP BY ALL",
     ),
 }
+
+SHRUNK = """
+sh AS (SELECT stream_id, seq, CAST(timestamp_us // 100000 AS BIGINT) AS timestamp_us, x, y, polarity, value FROM px)
+"""
+BEST = """
+best AS (
+  SELECT *, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h FROM clu
+  WHERE event_count >= 5 AND cell_count >= 3
+  QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY event_count DESC, label) = 1)
+"""
+
+
+def _lens(source: str, x: str, y: str, keep: str) -> list[str]:
+    """Eight rounds of the lens inversion, one table per round."""
+    k1, k2, p1, p2, k3 = -0.07, 0.11, -0.0003, -0.0002, -0.07
+    tables = [f"u0 AS (SELECT {keep}, ({x} - 12.0) / 20.0 AS x0, ({y} - 9.0) / 21.0 AS y0, x0 AS rx, y0 AS ry FROM {source})"]
+    for i in range(1, 9):
+        tables.append(
+            f"""u{i} AS (SELECT {keep}, x0, y0,
+              (x0 - (2 * {p1} * rx * ry + {p2} * (r2 + 2 * rx * rx))) / (1 + r2 * ({k1} + r2 * ({k2} + r2 * {k3}))) AS rx,
+              (y0 - ({p1} * (r2 + 2 * ry * ry) + 2 * {p2} * rx * ry)) / (1 + r2 * ({k1} + r2 * ({k2} + r2 * {k3}))) AS ry
+              FROM (SELECT *, rx * rx + ry * ry AS r2 FROM u{i - 1}))"""
+        )
+    return tables
+
+
+STILL = """
+hop AS (SELECT *, unnest(generate_series((timestamp_us + 99999) // 100000, (timestamp_us + 300000) // 100000)) AS window_id FROM sh),
+still AS (SELECT *, (timestamp_us - (window_id * 100000 - 300000)) / 300000.0 AS age FROM hop),
+mc AS (
+  SELECT stream_id, window_id, CAST(x // 3 AS INTEGER) AS cx, CAST(y // 3 AS INTEGER) AS cy, count(*) AS n,
+         sum(age) / count(*) AS mean_age, count(*) FILTER (age < 0.25) AS early
+  FROM still GROUP BY ALL),
+scored AS (SELECT *, avg(mean_age) FILTER (n >= 3) OVER (PARTITION BY window_id) AS window_age FROM mc),
+late AS (SELECT * FROM scored WHERE n >= 3 AND mean_age - window_age > 0.12)
+"""
+LATE_LABELS = """
+spread AS (
+  SELECT window_id, cx, cy, CAST(cx AS BIGINT) * 65536 + cy AS label FROM late
+  UNION
+  SELECT c.window_id, c.cx, c.cy, r.label FROM spread r JOIN late c
+    ON c.window_id = r.window_id AND abs(c.cx - r.cx) <= 1 AND abs(c.cy - r.cy) <= 1),
+marked AS (SELECT window_id, cx, cy, min(label) AS label FROM spread GROUP BY ALL),
+support AS (
+  SELECT l.stream_id, l.window_id, l.cx, l.cy, CAST(coalesce(sum(o.early), 0) AS BIGINT) AS early_support
+  FROM late l LEFT JOIN mc o ON o.window_id = l.window_id AND abs(o.cx - l.cx) <= 1 AND abs(o.cy - l.cy) <= 1
+  GROUP BY ALL)
+"""
+SAMPLES = """
+smp AS (
+  SELECT t - min(t) OVER () AS t, (v % 1.0 - 0.5) * 0.4 AS gx, (v / 10 % 1.0 - 0.5) * 0.4 AS gy, (v / 100 % 1.0 - 0.5) * 0.4 AS gz
+  FROM (SELECT timestamp_us * 1e-6 AS t, arg_min(value, seq) AS v FROM sh GROUP BY 1)),
+iv AS (
+  SELECT t AS t0, lead(t) OVER o AS t1, gx, gy, gz,
+         lead(gx) OVER o AS nx, lead(gy) OVER o AS ny, lead(gz) OVER o AS nz
+  FROM smp WINDOW o AS (ORDER BY t))
+"""
+# A single turning axis: orientation is an angle, its running sum the product of all turns.
+ANGLES = """
+turn AS (
+  SELECT *, coalesce(sum((gy + ny) * (t1 - t0) * 0.5) OVER (ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a0,
+         sum((gy + ny) * (t1 - t0) * 0.5) OVER (ORDER BY t0) AS a1
+  FROM iv WHERE t1 IS NOT NULL),
+org AS (SELECT min(timestamp_us) AS o, max(timestamp_us) AS l FROM sh),
+win AS (
+  SELECT window_id, o + window_id * 100000 AS end_us, o + window_id * 100000 - 300000 AS start_us,
+         (window_id * 100000) * 1e-6 AS end_s, (window_id * 100000 - 300000) * 1e-6 AS start_s
+  FROM (SELECT o, unnest(generate_series(4, CAST(floor(((l - o) * 1e-6 * 1e6 - 100000) / 100000 + 1e-9) AS BIGINT))) AS window_id FROM org)),
+rows AS (
+  SELECT w.*, e.seq, e.x, e.y,
+         least(greatest((e.timestamp_us - w.start_us) / 300000.0 * 600, 0.0), 600.0) AS pos,
+         least(CAST(floor(pos) AS BIGINT), 599) AS bin
+  FROM sh e JOIN win w ON e.timestamp_us BETWEEN w.start_us AND w.end_us),
+asked AS (
+  SELECT window_id, seq, 0 AS part, start_s + (end_s - start_s) * bin / 600 AS t FROM rows
+  UNION ALL
+  SELECT window_id, seq, 1, CASE WHEN bin = 599 THEN end_s ELSE start_s + (end_s - start_s) * (bin + 1) / 600 END FROM rows
+  UNION ALL
+  SELECT window_id, seq, 2, end_s FROM rows),
+ang AS (
+  SELECT q.window_id, q.seq, q.part, (q.t - v.t0) / (v.t1 - v.t0) AS f,
+         2 * atan2(sin(a0 / 2) * (1 - f) + sin(a1 / 2) * f, cos(a0 / 2) * (1 - f) + cos(a1 / 2) * f) AS a
+  FROM asked q ASOF JOIN turn v ON v.t0 <= q.t),
+abc AS (
+  SELECT window_id, seq, max(a) FILTER (part = 0) AS p, max(a) FILTER (part = 1) AS q, max(a) FILTER (part = 2) AS r
+  FROM ang GROUP BY ALL),
+ok AS (
+  SELECT w.window_id, NOT EXISTS (
+    SELECT 1 FROM iv WHERE t1 - t0 > 0.05 AND t1 >= w.start_s AND t0 <= w.end_s) AS covered FROM win w),
+ray AS (
+  SELECT rows.*, covered, pos - bin AS f, (x - 12.0) / 20.0 AS rx, (y - 9.0) / 21.0 AS ry, p - r AS d0, q - r AS d1
+  FROM rows JOIN abc USING (window_id, seq) JOIN ok USING (window_id)),
+vec AS (
+  SELECT *, CASE WHEN covered THEN (cos(d0) * rx + sin(d0)) * (1 - f) + (cos(d1) * rx + sin(d1)) * f ELSE rx END AS vx,
+         CASE WHEN covered THEN (cos(d0) - sin(d0) * rx) * (1 - f) + (cos(d1) - sin(d1) * rx) * f ELSE 1.0 END AS vz
+  FROM ray)
+"""
+KALMAN = f"""
+z AS (
+  SELECT *, row_number() OVER (ORDER BY timestamp_us) AS rn FROM (
+    SELECT stream_id, window_id * 50000 AS timestamp_us, (w + h) / 2.0 AS pixel_diameter,
+           20.0::DOUBLE * 0.07::DOUBLE / ((w + h) / 2.0) AS z_m, (centroid_x - 12.0) * z_m / 20.0 AS x_m,
+           (centroid_y - 9.0) * z_m / 21.0 AS y_m,
+           least(event_count / 5.0, 1.0) * sqrt(least(event_count / (w * h), 1.0)) AS confidence
+    FROM best)),
+k AS (
+  SELECT rn, timestamp_us AS t, x_m AS px, y_m AS py, z_m AS pz, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS vz,
+         1.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1.0::DOUBLE AS p11 FROM z WHERE rn = 1
+  UNION ALL
+  SELECT rn, t, px + vx * dt + k0 * (x_m - px - vx * dt), py + vy * dt + k0 * (y_m - py - vy * dt),
+         pz + vz * dt + k0 * (z_m - pz - vz * dt), vx + k1 * (x_m - px - vx * dt),
+         vy + k1 * (y_m - py - vy * dt), vz + k1 * (z_m - pz - vz * dt),
+         (1 - k0) * a, (1 - k0) * b, c - k1 * b
+  FROM (
+    SELECT *, a / (a + 0.02) AS k0, b / (a + 0.02) AS k1 FROM (
+      SELECT z.rn, z.timestamp_us AS t, x_m, y_m, z_m, px, py, pz, vx, vy, vz,
+             greatest((z.timestamp_us - k.t) * 1e-6, 1e-6) AS dt,
+             p00 + 2 * dt * p01 + dt * dt * p11 + 0.05 * dt * dt AS a, p01 + dt * p11 AS b, p11 + 0.05 AS c
+      FROM k JOIN z ON z.rn = k.rn + 1)))
+"""
+
+
+def _codec(words: int, time: str) -> str:
+    return _with(
+        SHRUNK,
+        f"""SELECT stream_id, CAST(seq // 4096 AS BIGINT) AS block,
+              CAST(((row_number() OVER (PARTITION BY seq // 4096 ORDER BY seq) - 1) * {words} + {words - 1}) * 32 AS BIGINT) AS seq,
+              {time} AS timestamp_us, x, y, polarity FROM sh""",
+    )
+
+
+ORACLE |= {
+    "hop_counts": _with(
+        f"""h AS (SELECT *, unnest(generate_series((timestamp_us + {2 * HOUR} - 1) // {2 * HOUR},
+                                            (timestamp_us + {SIX}) // {2 * HOUR})) AS window_id FROM px)""",
+        """SELECT stream_id, CAST(window_id AS BIGINT) AS window_id, count(*) AS n, count(*) FILTER (polarity) AS positive
+           FROM h GROUP BY ALL""",
+    ),
+    "density_panel": _with(
+        f"""SELECT stream_id, CAST(timestamp_us // {SIX} AS BIGINT) AS window_id, CAST(x // 2 AS INTEGER) AS bx,
+              CAST(y // 2 AS INTEGER) AS by, count(*) AS n,
+              CAST(floor(255.0 * (1 - exp(-least(count(*), 255) / 2.0))) AS INTEGER) AS level
+            FROM px GROUP BY ALL"""
+    ),
+    "pixel_last_color": _with(
+        f"f AS (SELECT *, {SUPPORTED.format(src='px')} AS ok FROM px e)",
+        f"""SELECT stream_id, CAST(timestamp_us // {DAY} AS BIGINT) AS window_id, x, y,
+              arg_max(CAST(CASE WHEN ok AND NOT polarity THEN 16777215 WHEN ok THEN 3170559
+                   WHEN NOT polarity THEN 4210752 ELSE 1581120 END AS INTEGER), seq) AS colour
+            FROM f GROUP BY ALL""",
+    ),
+    "time_range": _with(
+        """SELECT stream_id, arg_min(timestamp_us, seq) AS first_us, arg_max(timestamp_us, seq) AS last_us, count(*) AS events
+           FROM px GROUP BY ALL"""
+    ),
+    "topn_detections": ORACLE["best_cluster"] + " ORDER BY window_id LIMIT 25",
+    "index_percentile": _with(
+        """s AS (SELECT polarity, list_sort(list(value)) AS v, count(*) AS n FROM px WHERE value IS NOT NULL GROUP BY ALL)""",
+        """SELECT polarity, v[least(CAST(floor(n * 0.5) AS BIGINT), n - 1) + 1] AS p50,
+              v[least(CAST(floor(n * 0.9::DOUBLE) AS BIGINT), n - 1) + 1] AS p90,
+              v[least(CAST(floor(n * 0.95::DOUBLE) AS BIGINT), n - 1) + 1] AS p95, v[n] AS max, n FROM s""",
+    ),
+    "recent_median": _with(
+        WINDOWS, LABELS, BEST,
+        """l AS (SELECT stream_id, window_id, w AS size,
+                 list_sort(list(w) OVER (ORDER BY window_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS v FROM best)""",
+        "SELECT stream_id, window_id, size, v[len(v) // 2 + 1] AS median FROM l",
+        recursive=True,
+    ),
+    "deadline_misses": _with(
+        f"""SELECT stream_id, CAST(timestamp_us // {DAY} AS BIGINT) AS window_id, count(*) AS updates,
+              count(*) FILTER (value > 10.0) AS misses, max(value) AS max_ms FROM px GROUP BY ALL"""
+    ),
+    "ball_depth": _with(
+        WINDOWS, LABELS, BEST,
+        """SELECT stream_id, window_id, (w + h) / 2.0::DOUBLE AS pixel_diameter, round(20.0::DOUBLE * 0.07::DOUBLE / pixel_diameter, 9) AS z_m,
+             round((centroid_x - 12.0) * (20.0::DOUBLE * 0.07::DOUBLE / pixel_diameter) / 20.0, 9) AS x_m,
+             round((centroid_y - 9.0) * (20.0::DOUBLE * 0.07::DOUBLE / pixel_diameter) / 21.0, 9) AS y_m FROM best""",
+        recursive=True,
+    ),
+    "bbox_depth": _with(
+        WINDOWS, LABELS, BEST,
+        """deep AS (SELECT *, w * h * pi() / 4 AS area, 20.0 * sqrt(pi() * 0.25 * 0.25 / (w * h * pi() / 4)) AS z FROM best)""",
+        *_lens("deep", "centroid_x", "centroid_y", "stream_id, window_id, area, z"),
+        """SELECT stream_id, window_id, round(area, 6) AS pixel_area, round(rx * z, 6) AS x_m, round(ry * z, 6) AS y_m,
+             round(z, 6) AS z_m FROM u8 WHERE z BETWEEN 0.05 AND 30""",
+        recursive=True,
+    ),
+    "smoothed_path": _with(
+        WINDOWS, LABELS, BEST, KALMAN,
+        """SELECT z.stream_id, z.timestamp_us, pixel_diameter::DOUBLE AS pixel_diameter, round(confidence, 9) AS confidence,
+             round(x_m, 9) AS x_m, round(y_m, 9) AS y_m, round(z_m, 9) AS z_m,
+             round(px, 9) AS smooth_x_m, round(py, 9) AS smooth_y_m, round(pz, 9) AS smooth_z_m,
+             round(vx, 9) AS vx_mps, round(vy, 9) AS vy_mps, round(vz, 9) AS vz_mps,
+             round(sqrt(vx * vx + vy * vy + vz * vz), 9) AS speed_mps FROM z JOIN k USING (rn)""",
+        recursive=True,
+    ),
+    "undistort": _with(
+        *_lens("px", "x", "y", "seq"), "SELECT seq, round(rx, 8) AS ray_x, round(ry, 8) AS ray_y FROM u8"
+    ),
+    "imu_bracket": _with(
+        SHRUNK, SAMPLES,
+        """pt AS (SELECT DISTINCT CAST(timestamp_us // 10000 AS BIGINT) AS slot,
+                  (slot * 10000 + 5000) * 1e-6 - (SELECT min(timestamp_us) FROM sh) * 1e-6 AS t FROM sh)""",
+        "hit AS (SELECT *, (t - t0) / (t1 - t0) AS f FROM pt ASOF JOIN iv ON t0 <= t WHERE t1 - t0 <= 0.05)",
+        """SELECT slot, round(gx * (1 - f) + nx * f, 8) AS gx, round(gy * (1 - f) + ny * f, 8) AS gy,
+             round(gz * (1 - f) + nz * f, 8) AS gz FROM hit""",
+    ),
+    "compensated_points": _with(
+        SHRUNK, SAMPLES, ANGLES,
+        """SELECT window_id, seq, covered, round(20.0 * vx / vz + 12.0, 4) AS px,
+             round(21.0 * (CASE WHEN covered THEN ry * (1 - f) + ry * f ELSE ry END) / vz + 9.0, 4) AS py FROM vec""",
+    ),
+    "foreground_cells": _with(
+        SHRUNK, STILL,
+        """SELECT stream_id, CAST(window_id AS BIGINT) AS window_id, cx, cy, n, early, round(mean_age, 8) AS mean_age,
+             round(window_age, 8) AS window_age FROM scored""",
+    ),
+    "foreground_keep": _with(
+        SHRUNK, STILL, LATE_LABELS,
+        """SELECT stream_id, CAST(window_id AS BIGINT) AS window_id, cx, cy, label, count(*) OVER r AS size,
+             count(*) FILTER (early_support < 3) OVER r AS new_cells, early_support,
+             count(*) OVER r >= 2 AND count(*) FILTER (early_support < 3) OVER r >= count(*) OVER r * 0.1 AS keep
+           FROM support JOIN marked USING (window_id, cx, cy) WINDOW r AS (PARTITION BY window_id, label)""",
+        recursive=True,
+    ),
+    "focus_energy": _with(
+        SHRUNK, STILL,
+        """pt AS (SELECT stream_id, window_id, x // 4 AS ix, y // 4 AS iy, x / 4.0 - x // 4 AS fx, y / 4.0 - y // 4 AS fy
+                  FROM still WHERE x / 4.0 < 5 AND y / 4.0 < 4)""",
+        """part AS (
+          SELECT stream_id, window_id, ix + i AS ix, iy + j AS iy,
+                 (CASE WHEN i = 1 THEN fx ELSE 1 - fx END) * (CASE WHEN j = 1 THEN fy ELSE 1 - fy END) AS v
+          FROM pt, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS c(i, j))""",
+        "cell AS (SELECT stream_id, window_id, ix, iy, CAST(sum(v) AS DOUBLE) AS v FROM part GROUP BY ALL)",
+        """SELECT stream_id, CAST(window_id AS BIGINT) AS window_id, round(sum(v * v), 6) AS focus FROM cell GROUP BY ALL""",
+    ),
+    "canvas": _with(
+        SHRUNK, STILL,
+        """SELECT stream_id, CAST(window_id AS BIGINT) AS window_id, x, y,
+             CAST(least(count(*) FILTER (polarity), 255) AS INTEGER) AS front,
+             CAST(least(count(*) FILTER (NOT polarity), 255) AS INTEGER) AS back,
+             CASE WHEN front > 0 THEN front ELSE back END AS shown, front > 0 AS is_front
+           FROM still GROUP BY ALL""",
+    ),
+    "calib_windows": _with(
+        SHRUNK,
+        """sl AS (
+          SELECT *, CAST((timestamp_us - (SELECT min(timestamp_us) FROM sh)) // 350000 AS BIGINT) AS slot FROM sh
+          WHERE (timestamp_us - (SELECT min(timestamp_us) FROM sh)) % 350000 < 30000)""",
+        """nn AS (SELECT slot, count(*) AS n, row_number() OVER (ORDER BY slot) - 1 AS r, count(*) OVER () AS m
+                  FROM sl GROUP BY slot HAVING count(*) >= 5)""",
+        """rk AS (SELECT sl.*, n, row_number() OVER (PARTITION BY slot ORDER BY seq) - 1 AS k,
+                    greatest(n // 5000, 1) AS step
+                  FROM sl JOIN nn USING (slot) WHERE r % greatest(CAST(ceil(m / 40.0) AS BIGINT), 1) = 0)""",
+        """SELECT stream_id, slot, CAST(k // step AS INTEGER) AS rank, seq, timestamp_us, x, y FROM rk
+           WHERE k % step = 0 AND k < step * 5000""",
+    ),
+    "evt2_decode": _codec(2, "timestamp_us"),
+    "evt21_decode": _codec(2, "timestamp_us"),
+    "evt3_decode": _codec(4, "timestamp_us % 16777216"),
+}
