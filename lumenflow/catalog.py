@@ -206,7 +206,7 @@ def deadline_misses(spark, folder):
 # ---- positions --------------------------------------------------------------------------------
 
 BALL = BallConfig(0.07, LENS, "bbox_average")
-PARABOLA = ParabolaConfig(LENS, ball_diameter_m=0.5, inlier_threshold_m=0.5)
+PARABOLA = ParabolaConfig(LENS, ball_diameter_m=0.5, inlier_threshold_m=1.0, buffer_len=8)
 
 
 def _spaced(detections: DataFrame) -> DataFrame:
@@ -368,13 +368,67 @@ TRACK_CAMERA = CameraModel(500.0, 500.0, 320.0, 240.0).for_sensor(640, 480)
 TRACK_MOTION = MotionConfig()
 
 
+def ring_scene(events: DataFrame) -> DataFrame:
+    """Every log row as one sensor event: a ring of 20 px that crosses a 640 x 480 view again and
+    again, and a quarter of the rows on flickering static edges."""
+    us = F.col("seq") * 25
+    centre = F.lit(100.0) + F.pmod(us, F.lit(600_000)) * 800e-6
+    angle = F.pmod(F.col("seq") * 0.6180339887 + F.col("value"), F.lit(1.0)) * 6.283185307179586
+    edge = F.col("seq") % 4 == 0
+    k = F.floor(F.col("seq") / 4)
+    return events.select(
+        "stream_id",
+        "seq",
+        us.alias("timestamp_us"),
+        F.when(edge, F.element_at(F.array(*[F.lit(v) for v in (40, 41, 600, 601)]), (k % 4 + 1).cast("int")))
+        .otherwise(F.round(centre + F.cos(angle) * 20).cast("int"))
+        .alias("x"),
+        F.when(edge, (F.lit(30) + (F.floor(k / 4) % 35) * 12).cast("int"))
+        .otherwise(F.round(F.lit(200.0) + F.sin(angle) * 20).cast("int"))
+        .alias("y"),
+        "polarity",
+    )
+
+
+def _still_samples(scene: DataFrame) -> DataFrame:
+    """A still inertial sample every 10 ms of the scene."""
+    raw = scene.where(F.col("seq") % 400 == 0).select(
+        "stream_id",
+        (F.col("timestamp_us") * 1e-6).alias("time_s"),
+        *[F.lit(0.0).alias(n) for n in ("gx", "gy", "gz", "gravity_x")],
+        F.lit(1.0).alias("gravity_y"),
+        F.lit(0.0).alias("gravity_z"),
+        F.col("seq").alias("__row"),
+    )
+    return rebase(raw, has_gravity=True)
+
+
 def ball_track(spark, folder):
-    """The whole tracker on the log at a millionth of its pace."""
-    events = materialise(shrunk(spark, folder, 1_000_000, with_value=True))
-    found = tracker.track_ball(
-        events.drop("value"), samples_of(events), PINHOLE, MotionConfig(min_component_cells=2), TRACKER
+    """The whole tracker, from events to filtered flight."""
+    scene = materialise(ring_scene(load(spark, folder, with_value=True)))
+    return tracker.track_ball(scene, _still_samples(scene), TRACK_CAMERA, TRACK_MOTION, TRACKER)
+
+
+def outline_candidates(spark, folder):
+    """Cluster proposals and their outlines in every tracker window."""
+    scene = materialise(ring_scene(load(spark, folder, with_value=True)))
+    intervals = imu.prepared_imu(_still_samples(scene))
+    windows = materialise(motion.window_grid(rolling.stream_bounds(scene), intervals, TRACK_MOTION))
+    return tracker.window_candidates(scene, windows, intervals, TRACK_CAMERA, TRACK_MOTION)
+
+
+def alignment_scores(spark, folder):
+    """Focus gain of all axis mappings at three offsets, on calibration windows of the log."""
+    events = materialise(shrunk(spark, folder, with_value=True))
+    intervals = imu.prepared_imu(samples_of(events))
+    wide = events.select(
+        "stream_id", "seq", "timestamp_us", (F.col("x") * 25 + 20).alias("x"), (F.col("y") * 26 + 10).alias("y"), "polarity"
+    )
+    samples = materialise(alignment.calibration_windows(wide, min_events=5))
+    rays, baseline = alignment.fit_points(samples, TRACK_CAMERA)
+    return alignment.score(
+        [-0.1, 0.0, 0.1], alignment.proper_mounts(), rays, baseline, intervals, TRACK_CAMERA
     )
-    return found
 
 
 def _derived_track(spark, folder):
@@ -491,6 +545,8 @@ QUERIES = {
         canvas,
         calib_windows,
         ball_track,
+        outline_candidates,
+        alignment_scores,
         associated_tracks,
         track_summary,
         track_states,

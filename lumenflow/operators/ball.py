@@ -13,7 +13,7 @@ from lumenflow.config import BallConfig, ParabolaConfig
 from lumenflow.functions.geometry import bbox_height, bbox_width, pixel_diameter, undistort
 from lumenflow.functions.parabola import FIT_TYPE, fit_parabolas
 from lumenflow.plans.hopping import floor_div
-from lumenflow.plans.ordered import scan_ordered
+from lumenflow.plans.ordered import scan_ordered, spread
 from lumenflow.plans.scan import running
 
 
@@ -121,7 +121,7 @@ def parabola_fits(points: DataFrame, cfg: ParabolaConfig, order: str = "timestam
         total={"__n": F.lit(1).cast("long")},
     )
     home = F.floor(F.col("__n") / chunk).cast("long")
-    spread = numbered.withColumn(
+    chunked = numbered.withColumn(
         "__chunk",
         F.explode(F.sequence(home, F.floor((F.col("__n") + overlap) / chunk).cast("long"))),
     )
@@ -130,7 +130,8 @@ def parabola_fits(points: DataFrame, cfg: ParabolaConfig, order: str = "timestam
     )
     held = F.collect_list(F.struct("timestamp_us", "x_m", "y_m", "z_m")).over(buffer)
     fitted = (
-        spread.withColumn("__buffer", held)
+        spread(chunked, ["stream_id", "__chunk"])
+        .withColumn("__buffer", held)
         .where(F.col("__chunk") == home)
         .withColumn(
             "fit",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from lumenflow.functions import geometry as g
@@ -86,10 +86,10 @@ def imu_intervals(samples: DataFrame) -> DataFrame:
             for turn, unit, name in zip(g.quaternion_of(angle), still, QUATERNION)
         ],
     )
-    local = _prefix_product(turned, ["stream_id", "block"], "time_s", inclusive=True)
+    # Written once: the block ends and every sample both come from it.
+    local = materialise(_prefix_product(turned, ["stream_id", "block"], "time_s", inclusive=True))
     ends = local.groupBy("stream_id", "block").agg(
         *[F.max_by(f"o_{n}", "time_s").alias(f"d_{n}") for n in QUATERNION],
-        F.sum("gap").alias("gaps"),
         F.max("time_s").alias("end_s"),
     )
     lead_in = _prefix_product(ends, ["stream_id"], "block", inclusive=False).select(
@@ -108,6 +108,7 @@ def imu_intervals(samples: DataFrame) -> DataFrame:
             for q, n in zip(g.quaternion_product(_columns("c_"), _columns("o_")), QUATERNION)
         ],
     )
+    oriented = materialise(oriented)
     # The previous sample again, now with its orientation and the gaps so far.
     every = F.struct("time_s", *GYRO, *GRAVITY, *QUATERNION, "gap")
     linked = running(
@@ -118,7 +119,7 @@ def imu_intervals(samples: DataFrame) -> DataFrame:
         last={"p": every},
         total={"gaps_before": F.col("gap")},
     ).where("p is not null")
-    final = samples.groupBy("stream_id").agg(F.max("time_s").alias("duration_s"))
+    final = ends.groupBy("stream_id").agg(F.max("end_s").alias("duration_s"))
     return linked.join(final, "stream_id").select(
         "stream_id",
         F.col("p.time_s").alias("t0"),
@@ -135,31 +136,45 @@ def imu_intervals(samples: DataFrame) -> DataFrame:
 def lookup(points: DataFrame, intervals: DataFrame, at: str, keep: list[str]) -> DataFrame:
     """Inner two-sided as-of join: the interval that brackets ``at`` on the same stream.
 
-    Usable intervals are no longer than the allowed gap, so each touches at most two time buckets
-    and the join is a plain equi join. Adds the blend weight ``w``; points outside the samples or
-    inside a gap find nothing.
+    Usable intervals are no longer than the allowed gap, so each touches at most two time buckets.
+    Inside a bucket, points and interval starts are merged in time order and the newest start is
+    carried forward: one sort, no candidate pairs. Adds the blend weight ``w``; points outside the
+    samples or inside a gap find nothing.
     """
-    usable = (
+
+    def bucket(t):
+        return F.floor(t / MAX_GAP_S).cast("long")
+
+    held = ["t0", "t1", "is_last", *keep]
+    starts = (
         intervals.where(F.col("t1") - F.col("t0") <= MAX_GAP_S)
-        .withColumn(
-            "__bucket",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("t0") / MAX_GAP_S).cast("long"),
-                    F.floor(F.col("t1") / MAX_GAP_S).cast("long"),
-                )
-            ),
+        .withColumn("__bucket", F.explode(F.sequence(bucket(F.col("t0")), bucket(F.col("t1")))))
+        .select("stream_id", "__bucket", F.col("t0").alias("__at"), F.lit(0).alias("__asks"), F.struct(*held).alias("__v"))
+    )
+    asked = points.select(
+        "stream_id",
+        bucket(F.col(at)).alias("__bucket"),
+        F.col(at).alias("__at"),
+        F.lit(1).alias("__asks"),
+        F.struct(*points.columns).alias("__p"),
+    )
+    order = (
+        Window.partitionBy("stream_id", "__bucket")
+        .orderBy("__at", "__asks")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    found = (
+        asked.unionByName(starts, allowMissingColumns=True)
+        .withColumn("__v", F.last("__v", ignorenulls=True).over(order))
+        .where(
+            (F.col("__asks") == 1)
+            & ((F.col("__at") < F.col("__v.t1")) | (F.col("__v.is_last") & (F.col("__at") == F.col("__v.t1"))))
         )
-        .select("stream_id", "__bucket", "t0", "t1", "is_last", *keep)
     )
-    t = F.col(at)
-    inside = (t >= F.col("t0")) & ((t < F.col("t1")) | (F.col("is_last") & (t == F.col("t1"))))
-    return (
-        points.withColumn("__bucket", F.floor(t / MAX_GAP_S).cast("long"))
-        .join(usable, ["stream_id", "__bucket"])
-        .where(inside)
-        .withColumn("w", (t - F.col("t0")) / (F.col("t1") - F.col("t0")))
-        .drop("__bucket", "t1", "is_last")
+    return found.select(
+        *[F.col(f"__p.{c}").alias(c) for c in points.columns],
+        *[F.col(f"__v.{c}").alias(c) for c in ("t0", *keep)],
+        ((F.col("__at") - F.col("__v.t0")) / (F.col("__v.t1") - F.col("__v.t0"))).alias("w"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lumenflow.config import CameraModel
 from lumenflow.functions.geometry import bbox_height, bbox_width
 from lumenflow.functions.outline import POINT_LIMIT, outline_udf
+from lumenflow.plans.ordered import spread
 
 # Which proposals are searched, and where.
 OUTLINE_US = 4_000
@@ -97,8 +98,9 @@ def evenly_spaced(points: DataFrame, keys: list[str], order: list[str], limit: i
 
 def outlines(proposals: DataFrame, points: DataFrame, camera: CameraModel) -> DataFrame:
     """Outline per proposal ``(stream_id, window_id, rank)``; proposals without one are absent."""
-    around = outline_points(proposals, points, camera)
+    # One partitioning serves the counts, the sampling, the lists and the search.
     group = [*KEYS, "rank"]
+    around = spread(outline_points(proposals, points, camera), group)
     total = F.sum("n").over(Window.partitionBy(*group))
     dense = around.withColumn("points", total).where(F.col("points") >= MIN_POINTS)
     sampled = evenly_spaced(dense, [*group, "is_seed"], ["gx", "gy"], POINT_LIMIT)

@@ -13,11 +13,12 @@ from lumenflow.operators.clusters import cell_of, confidence, count_cells, eligi
 from lumenflow.operators.components import connected_cells
 from lumenflow.plans.hopping import ceil_div, explode_hops, floor_div
 from lumenflow.plans.lineage import materialise
-from lumenflow.plans.ordered import scan_ordered
+from lumenflow.plans.ordered import scan_ordered, spread
 from lumenflow.plans.scan import running
 from lumenflow.plans.sized import broadcast_if_small
 
-KEYS = ["stream_id", "tick"]
+#: ``tick_us`` follows from the tick; as a key it travels along for free.
+KEYS = ["stream_id", "tick", "tick_us"]
 #: A window's members are spread over this many join keys, so a busy window is no hot key.
 SALT = 16
 
@@ -138,7 +139,8 @@ def follow_best(candidates: DataFrame) -> DataFrame:
     A tick with a single candidate has the same outcome whatever came before, so the stream is cut
     there and segments are followed in parallel, in bounded memory each.
     """
-    lone = candidates.groupBy(*KEYS).agg((F.count(F.lit(1)) == 1).cast("long").alias("lone"))
+    candidates = materialise(candidates)
+    lone = candidates.groupBy("stream_id", "tick").agg((F.count(F.lit(1)) == 1).cast("long").alias("lone"))
     segments = running(
         lone,
         ["stream_id"],
@@ -146,8 +148,8 @@ def follow_best(candidates: DataFrame) -> DataFrame:
         floor_div(F.col("tick"), 1 << 16),
         total={"segment": F.col("lone")},
         include_current=True,
-    ).select(*KEYS, "segment")
-    rows = candidates.join(segments, KEYS)
+    ).select("stream_id", "tick", "segment")
+    rows = candidates.join(segments, ["stream_id", "tick"])
     schema = T.StructType([f for f in rows.schema.fields])
     return scan_ordered(rows, ["stream_id", "segment"], ["tick", "label"], _continuity, schema).drop(
         "segment"
@@ -162,17 +164,16 @@ def rolling_detections(
 ) -> DataFrame:
     """The rolling tracker: one detection per tick that has an eligible cluster."""
     members = rolling_members(events, cfg, mode)
-    times = members.groupBy(*KEYS).agg(F.first("tick_us").alias("timestamp_us"))
     cells = count_cells(members, KEYS, cfg.cell_size)
     grid = tuple(-(-side // cfg.cell_size) for side in sensor) if sensor else None
     labelled = materialise(connected_cells(cells, KEYS, grid))
-    best = follow_best(eligible(merge_cells(labelled, KEYS), cfg)).join(times, KEYS)
+    best = follow_best(eligible(merge_cells(labelled, KEYS), cfg))
     detections = best.select(
         "stream_id",
         "tick",
-        "timestamp_us",
-        F.greatest(F.col("timestamp_us") - cfg.window_us, F.lit(0)).alias("window_start_us"),
-        F.col("timestamp_us").alias("window_end_us"),
+        F.col("tick_us").alias("timestamp_us"),
+        F.greatest(F.col("tick_us") - cfg.window_us, F.lit(0)).alias("window_start_us"),
+        F.col("tick_us").alias("window_end_us"),
         "label",
         "centroid_x",
         "centroid_y",
@@ -188,7 +189,7 @@ def rolling_detections(
         return detections
     detections = materialise(detections)
     circles = circle_fits(members, labelled, detections, cfg)
-    return detections.join(circles, KEYS, "left")
+    return detections.join(circles, ["stream_id", "tick"], "left")
 
 
 #: At most this many points enter a circle fit.
@@ -203,29 +204,31 @@ def circle_fits(
     A member's rank is the count of its cluster's earlier cells plus its rank inside its cell, so
     no window is sorted as a whole. Only the strided members travel on.
     """
+    keys = ["stream_id", "tick"]
     earlier = (
-        Window.partitionBy(*KEYS).orderBy("cx", "cy").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy("cx", "cy").rowsBetween(Window.unboundedPreceding, -1)
     )
-    chosen = detections.select(*KEYS, "label", "event_count")
+    chosen = detections.select(*keys, "label", "event_count")
     cells = (
-        labelled.join(chosen, [*KEYS, "label"])
+        labelled.join(chosen, [*keys, "label"])
         .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .select(*KEYS, "cx", "cy", "before", "event_count")
+        .select(*keys, "cx", "cy", "before", "event_count")
     )
-    inside = Window.partitionBy(*KEYS, "cx", "cy").orderBy("seq")
+    inside = Window.partitionBy(*keys, "cx", "cy").orderBy("seq")
     step = F.greatest(F.floor(F.col("event_count") / CIRCLE_POINTS), F.lit(1))
     points = (
         members.withColumn("cx", cell_of("x", cfg.cell_size))
         .withColumn("cy", cell_of("y", cfg.cell_size))
-        .join(cells, [*KEYS, "cx", "cy"])
+        .join(cells, [*keys, "cx", "cy"])
         .withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
         .where((F.col("rank") % step == 0) & (F.col("rank") < step * CIRCLE_POINTS))
     )
     return (
-        points.groupBy(*KEYS)
+        spread(points.select(*keys, "rank", "x", "y"), keys)
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("points"))
         .select(
-            *KEYS,
+            *keys,
             fit_circles(cfg.circle_tolerance_px)(
                 F.col("points.x").cast("array<double>"), F.col("points.y").cast("array<double>")
             ).alias("circle"),

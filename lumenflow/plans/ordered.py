@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by ``keys`` with the session's number of partitions.
+
+    The rows before a Python step are few bytes but costly, and adaptive execution, which merges
+    partitions by size, would put them into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scan_ordered(
     df: DataFrame,
     keys: list[str],
@@ -64,5 +73,5 @@ def scan_ordered(
             if len(out):
                 yield out
 
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ordered = spread(df, keys).sortWithinPartitions(*keys, *order)
     return ordered.mapInPandas(run, schema)
