@@ -426,9 +426,8 @@ def alignment_scores(spark, folder):
     )
     samples = materialise(alignment.calibration_windows(wide, min_events=5))
     rays, baseline = alignment.fit_points(samples, TRACK_CAMERA)
-    return alignment.score(
-        [-0.1, 0.0, 0.1], alignment.proper_mounts(), rays, baseline, intervals, TRACK_CAMERA
-    )
+    trials = alignment.every_pair([-0.1, 0.0, 0.1], alignment.proper_mounts())
+    return alignment.score(trials, rays, baseline, intervals, TRACK_CAMERA)
 
 
 def _derived_track(spark, folder):

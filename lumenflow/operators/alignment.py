@@ -119,31 +119,46 @@ def fit_points(samples: DataFrame, camera: CameraModel) -> tuple[DataFrame, Data
     return rays, baseline
 
 
+def every_pair(offsets: list[float], mounts: list[tuple]):
+    """Trials of all combinations, numbered offset first, as a step on the window table."""
+    flat = F.array(*[F.array(*[F.lit(float(v)) for row in m for v in row]) for m in mounts])
+
+    def expand(windows: DataFrame) -> DataFrame:
+        return (
+            windows.select("*", F.posexplode(F.array(*[F.lit(float(t)) for t in offsets])).alias("t", "offset_s"))
+            .select("*", F.posexplode(flat).alias("m", "mount"))
+            .withColumn("trial", F.col("t") * len(mounts) + F.col("m"))
+        )
+
+    return expand
+
+
+def listed(trials: list[tuple[float, tuple]]):
+    """A short list of (offset, mount) trials, as a step on the window table."""
+    rows = [
+        F.struct(
+            F.lit(float(t)).alias("offset_s"), F.array(*[F.lit(float(v)) for row in m for v in row]).alias("mount")
+        )
+        for t, m in trials
+    ]
+    return lambda windows: windows.select("*", F.posexplode(F.array(*rows)).alias("trial", "c")).select("*", "c.*")
+
+
 def score(
-    offsets: list[float],
-    mounts: list[tuple],
-    rays: DataFrame,
-    baseline: DataFrame,
-    intervals: DataFrame,
-    camera: CameraModel,
+    expand, rays: DataFrame, baseline: DataFrame, intervals: DataFrame, camera: CameraModel
 ) -> DataFrame:
-    """Mean log focus gain of every (offset, mount) trial, in one job.
+    """Mean log focus gain of every trial, in one job.
 
-    Each of the at most 40 windows is expanded to its trials; a window's points then meet its
-    trials by an equi join on the window. Trials are numbered offset first.
+    Each of the at most 40 windows is expanded to its trials by ``expand``; a window's points then
+    meet its trials by an equi join on the window.
     """
     key = ["stream_id", "slot"]
-    flat = F.array(*[F.array(*[F.lit(float(v)) for row in m for v in row]) for m in mounts])
-    trials = (
-        baseline.select("*", F.posexplode(F.array(*[F.lit(float(t)) for t in offsets])).alias("t", "offset_s"))
-        .select("*", F.posexplode(flat).alias("m", "mount"))
-        .select(
-            *key,
-            "baseline",
-            (F.col("t") * len(mounts) + F.col("m")).alias("trial"),
-            (F.col("time_s") + F.col("offset_s")).alias("time_s"),
-            *[F.col("mount")[3 * i + j].alias(f"m{i}{j}") for i in range(3) for j in range(3)],
-        )
+    trials = expand(baseline).select(
+        *key,
+        "baseline",
+        "trial",
+        (F.col("time_s") + F.col("offset_s")).alias("time_s"),
+        *[F.col("mount")[3 * i + j].alias(f"m{i}{j}") for i in range(3) for j in range(3)],
     )
     turning = gyro_at(trials, intervals)
     turning = turning.where(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz") >= MIN_GYRO**2)
@@ -188,34 +203,44 @@ def auto_align(
 ) -> Alignment:
     """Search offset and mounting of one stream, coarse over all axis mappings, then refined.
 
-    Each search round is one Spark job over a fixed number of trials; only its few scores come
-    back. The refinement tries one coordinate at a time and keeps an improvement at once.
+    Each search step is one Spark job over a fixed number of trials; only their scores come back.
+    The refinement changes one coordinate at a time and keeps an improvement at once.
     """
     rays, baseline = fit_points(materialise(calibration_windows(events, min_events)), camera)
 
-    def scores(offsets, mounts):
-        found = score(offsets, mounts, rays, baseline, intervals, camera).collect()
-        return [(r.score, r.used, offsets[r.trial // len(mounts)], mounts[r.trial % len(mounts)])
-                for r in sorted(found, key=lambda r: r.trial)]
+    def scores(expand):
+        found = score(expand, rays, baseline, intervals, camera).collect()
+        return sorted((r.trial, r.score, r.used) for r in found)
 
     ticks = math.ceil(radius_s * 20) + 1
-    coarse = scores([center_s - radius_s + k * COARSE_STEP_S for k in range(ticks)], proper_mounts())
+    offsets = [center_s - radius_s + k * COARSE_STEP_S for k in range(ticks)]
+    mounts = proper_mounts()
+    coarse = scores(every_pair(offsets, mounts))
     if not coarse:
         raise InvalidConfig("alignment", "not enough overlapping camera and inertial motion")
-    best = max(coarse, key=lambda r: r[0])
+    trial, best, used = max(coarse, key=lambda r: r[1])
+    offset, mount = offsets[trial // len(mounts)], mounts[trial % len(mounts)]
+
+    def moved(axis, sign, step):
+        if axis == 3:
+            return offset + sign * step, mount
+        return offset, _turned(axis, sign * step, mount)
+
+    order = [(axis, sign) for axis in range(4) for sign in (-1, 1)]
     for step in REFINE_STEPS:
         for _ in range(REFINE_ROUNDS):
-            before = best
-            for axis in range(4):
-                _, _, offset, mount = best
-                if axis == 3:
-                    tried = scores([offset - step, offset + step], [mount])
-                else:
-                    tried = scores([offset], [_turned(axis, sign * step, mount) for sign in (-1, 1)])
-                best = next((r for r in tried if r[0] > best[0]), best)
-            if best is before:
+            place, changed = 0, False
+            while place < len(order):
+                # All remaining moves in one job; the first improvement is taken, the rest is redone.
+                tried = [moved(axis, sign, step) for axis, sign in order[place:]]
+                hit = next((r for r in scores(listed(tried)) if r[1] > best), None)
+                if hit is None:
+                    break
+                (offset, mount), best, used = tried[hit[0]], hit[1], hit[2]
+                place, changed = place + hit[0] + 1, True
+            if not changed:
                 break
-    gain = math.exp(best[0])
+    gain = math.exp(best)
     if gain < MIN_GAIN:
         raise InvalidConfig("alignment", f"weak fit, focus gain {gain:.3f}")
-    return Alignment(best[2], best[3], gain, best[1])
+    return Alignment(offset, mount, gain, used)
