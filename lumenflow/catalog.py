@@ -193,7 +193,7 @@ def index_percentile(spark, folder):
 
 def recent_median(spark, folder):
     sized = best_cluster(spark, folder).withColumn("size", F.col("max_x") - F.col("min_x") + 1)
-    return metrics.recent_median(sized, ["stream_id"], "window_id", "size").select(
+    return metrics.recent_median(sized, ["stream_id"], "window_id", "size", block=1 << 16).select(
         "stream_id", "window_id", "size", "median"
     )
 

@@ -156,7 +156,7 @@ def motion_compare(spark: SparkSession, args) -> DataFrame:
     windows = materialise(
         motion.window_grid(rolling.stream_bounds(events), intervals, cfg, args.start_s, args.end_s)
     )
-    rotations = motion.window_rotations(windows, intervals, cfg)
+    rotations = materialise(motion.window_rotations(windows, intervals, cfg))
     rows = materialise(
         motion.compensate(motion.window_events(events, windows, cfg), rotations, camera, with_original=True)
     )

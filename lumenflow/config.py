@@ -67,8 +67,8 @@ class StaticConfig:
     stable_after_us: int = 250_000
     min_events: int = 200
     inactive_after_us: int | None = 1_000_000
-    #: Planning only: rows of a stream that share one shuffle key of a hot cell.
-    block_rows: int = 1 << 20
+    #: Planning only: ``seq`` values of a stream that share one shuffle key of a hot cell.
+    block_rows: int = 1 << 25
 
     def __post_init__(self):
         _positive("static_", self, "cell_size", "block_rows")

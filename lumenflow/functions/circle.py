@@ -72,4 +72,5 @@ def fit_circles(tolerance: float):
         rows = [fit_circle(np.asarray(x), np.asarray(y), tolerance) for x, y in zip(xs, ys)]
         return pd.DataFrame(rows, columns=names)
 
-    return fit
+    # Not to be copied into filters, which would run the fit twice.
+    return fit.asNondeterministic()

@@ -99,4 +99,5 @@ def outline_udf():
             rows.append(search_outline(seeds, others, (cx, cy), size) or (None,) * 5)
         return pd.DataFrame(rows, columns=names)
 
-    return search
+    # Not to be copied into filters, which would run the search twice.
+    return search.asNondeterministic()

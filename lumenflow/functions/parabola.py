@@ -83,4 +83,5 @@ def fit_parabolas(cfg: ParabolaConfig):
         ]
         return pd.DataFrame(rows, columns=names)
 
-    return fit
+    # Not to be copied into filters or field reads, which would run the fit twice.
+    return fit.asNondeterministic()

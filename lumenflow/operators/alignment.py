@@ -16,6 +16,7 @@ from lumenflow.operators.rolling import stream_bounds, with_origin
 from lumenflow.plans.fence import fence
 from lumenflow.plans.hopping import floor_div
 from lumenflow.plans.lineage import materialise
+from lumenflow.plans.scan import running
 from lumenflow.sources.imu import GYRO
 
 # Fixed values of the calibration sample.
@@ -33,7 +34,8 @@ COARSE_STEP_S = 0.1
 REFINE_STEPS = (0.06, 0.025, 0.01, 0.004)
 REFINE_ROUNDS = 10
 MIN_GAIN = 1.05
-FOCUS_SCALE = 3
+#: Members of a slot are ranked in blocks of this many ``seq`` values.
+RANK_BLOCK = 1 << 25
 
 
 def calibration_windows(events: DataFrame, min_events: int = MIN_WINDOW_EVENTS) -> DataFrame:
@@ -47,14 +49,17 @@ def calibration_windows(events: DataFrame, min_events: int = MIN_WINDOW_EVENTS)
     placed = with_origin(events, stream_bounds(events)).withColumn("slot", floor_div(since, SLOT_US))
     sampled = placed.where(since - F.col("slot") * SLOT_US < SAMPLE_US)
     slots = sampled.groupBy("stream_id", "slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_events)
-    order = Window.partitionBy("stream_id").orderBy("slot")
-    numbered = slots.withColumn("r", F.row_number().over(order) - 1).withColumn(
-        "m", F.count(F.lit(1)).over(Window.partitionBy("stream_id"))
-    )
+    one = F.lit(1).cast("long")
+    numbered = running(
+        slots, ["stream_id"], "slot", floor_div(F.col("slot"), 1 << 16), total={"r": one}
+    ).join(slots.groupBy("stream_id").agg(F.count(F.lit(1)).alias("m")), "stream_id")
     chosen = numbered.where(F.col("r") % F.greatest(F.ceil(F.col("m") / MAX_WINDOWS), F.lit(1)) == 0)
-    inside = Window.partitionBy("stream_id", "slot").orderBy("seq")
-    thinned = sampled.join(chosen.select("stream_id", "slot", "n"), ["stream_id", "slot"]).withColumn(
-        "rank", F.row_number().over(inside) - 1
+    thinned = running(
+        sampled.join(chosen.select("stream_id", "slot", "n"), ["stream_id", "slot"]),
+        ["stream_id", "slot"],
+        "seq",
+        floor_div(F.col("seq"), RANK_BLOCK),
+        total={"rank": one},
     )
     step = F.greatest(F.floor(F.col("n") / WINDOW_POINTS), F.lit(1))
     return thinned.where((F.col("rank") % step == 0) & (F.col("rank") < step * WINDOW_POINTS)).select(

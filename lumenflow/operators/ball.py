@@ -6,15 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from lumenflow.config import BallConfig, ParabolaConfig
 from lumenflow.functions.geometry import bbox_height, bbox_width, pixel_diameter, undistort
 from lumenflow.functions.parabola import FIT_TYPE, fit_parabolas
+from lumenflow.plans.frames import last_rows
 from lumenflow.plans.hopping import floor_div
-from lumenflow.plans.ordered import scan_ordered, spread
-from lumenflow.plans.scan import running
+from lumenflow.plans.ordered import scan_ordered
 
 
 def ball_measurements(detections: DataFrame, cfg: BallConfig) -> DataFrame:
@@ -106,38 +106,12 @@ NUMBERING_BLOCK_US = 600_000_000
 
 
 def parabola_fits(points: DataFrame, cfg: ParabolaConfig, order: str = "timestamp_us") -> DataFrame:
-    """Ballistic fit over the last ``buffer_len`` points at every point; null without a fit.
-
-    The buffer is a bounded row frame. Streams are cut into chunks of points that overlap by one
-    buffer, so a long stream is fitted in parallel.
-    """
-    chunk = 4096
-    overlap = cfg.buffer_len - 1
-    numbered = running(
-        points,
-        ["stream_id"],
-        order,
-        floor_div(F.col(order), NUMBERING_BLOCK_US),
-        total={"__n": F.lit(1).cast("long")},
-    )
-    home = F.floor(F.col("__n") / chunk).cast("long")
-    chunked = numbered.withColumn(
-        "__chunk",
-        F.explode(F.sequence(home, F.floor((F.col("__n") + overlap) / chunk).cast("long"))),
-    )
-    buffer = (
-        Window.partitionBy("stream_id", "__chunk").orderBy("__n").rowsBetween(-overlap, Window.currentRow)
-    )
-    held = F.collect_list(F.struct("timestamp_us", "x_m", "y_m", "z_m")).over(buffer)
-    fitted = (
-        spread(chunked, ["stream_id", "__chunk"])
-        .withColumn("__buffer", held)
-        .where(F.col("__chunk") == home)
-        .withColumn(
-            "fit",
-            fit_parabolas(cfg)(*[F.col(f"__buffer.{n}") for n in ("timestamp_us", "x_m", "y_m", "z_m")]),
-        )
-    )
+    """Ballistic fit over the last ``buffer_len`` points at every point; null without a fit."""
+    point = F.struct("timestamp_us", "x_m", "y_m", "z_m")
+    block = floor_div(F.col(order), NUMBERING_BLOCK_US)
+    buffered = last_rows(points, ["stream_id"], order, block, cfg.buffer_len, {"__buffer": point})
+    arrays = [F.col(f"__buffer.{n}") for n in ("timestamp_us", "x_m", "y_m", "z_m")]
+    fitted = buffered.withColumn("fit", fit_parabolas(cfg)(*arrays))
     return fitted.select(*points.columns, F.when(F.col("fit.inlier_count") > 0, F.col("fit")).alias("fit"))
 
 

@@ -235,13 +235,16 @@ def static_flags(events: DataFrame, cfg: StaticConfig = StaticConfig()) -> DataF
         )
         latest = F.element_at(F.filter("__sweeps", lambda c: c <= t), 1)
         opens = opens | F.coalesce(latest - F.col("__prev") > idle, F.lit(False))
-    flagged = stepped.withColumn("__opens", opens)
-    start = F.when(F.col("__opens"), F.struct(t.alias("ts"), F.col("__n").alias("n")))
-    scored = (
-        running(flagged, keys, "seq", block, last={"__start": start}, include_current=True)
-        .withColumn("__first_us", F.col("__start.ts"))
-        .withColumn("__count", F.col("__n") + 1 - F.col("__start.n"))
-    )
+    # The second scan reads its input twice; a written table spares it the first scan's sort.
+    flagged = materialise(stepped.withColumn("__opens", opens).drop("slot", "__sweeps"))
+    scored = running(
+        flagged,
+        keys,
+        "seq",
+        block,
+        last={"__first_us": F.when(F.col("__opens"), t), "__first_n": F.when(F.col("__opens"), F.col("__n"))},
+        include_current=True,
+    ).withColumn("__count", F.col("__n") + 1 - F.col("__first_n"))
     held = F.greatest(t - F.col("__first_us"), F.lit(0)) >= cfg.stable_after_us
     return scored.select(
         *events.columns, (held & (F.col("__count") >= cfg.min_events)).alias("is_static")
@@ -270,7 +273,7 @@ def clip_range(events: DataFrame, start_us: int | None, end_us: int | None) -> D
     return events
 
 
-def time_decreases(events: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
+def time_decreases(events: DataFrame, block_rows: int = 1 << 25) -> DataFrame:
     """Rows whose time is earlier than that of the event before them in the stream."""
     previous = running(
         events,

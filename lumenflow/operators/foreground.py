@@ -84,8 +84,17 @@ def foreground_regions(
     )
 
 
-def segment(
+def kept_cells(
+    rows: DataFrame, keys: list[str], camera: CameraModel, cfg: MotionConfig, x: str = "px", y: str = "py"
+) -> DataFrame:
+    """Cells of every window's kept regions: a small table next to the events."""
+    cells = motion_cells(rows, keys, camera, cfg, x, y)
+    return foreground_regions(cells, keys, camera, cfg).where("keep").select(*keys, "cx", "cy")
+
+
+def mark(
     rows: DataFrame,
+    kept: DataFrame,
     keys: list[str],
     camera: CameraModel,
     cfg: MotionConfig,
@@ -93,20 +102,28 @@ def segment(
     y: str = "py",
     name: str = "foreground",
 ) -> DataFrame:
-    """Add ``foreground``: the event lies in a kept region of its window."""
-    kept = (
-        foreground_regions(motion_cells(rows, keys, camera, cfg, x, y), keys, camera, cfg)
-        .where("keep")
-        .select(*keys, "cx", "cy", F.lit(True).alias("__kept"))
-    )
+    """Add whether the event lies in a kept cell. ``rows`` may be any part of the windows' events."""
     marked = (
         rows.withColumn("cx", guarded_cell(F.col(x), camera.width, cfg.cell_px))
         .withColumn("cy", guarded_cell(F.col(y), camera.height, cfg.cell_px))
-        .join(kept, [*keys, "cx", "cy"], "left")
+        .join(kept.withColumn("__kept", F.lit(True)), [*keys, "cx", "cy"], "left")
     )
     return marked.withColumn(name, F.coalesce("__kept", F.lit(False))).drop("cx", "cy", "__kept")
 
 
+def segment(
+    rows: DataFrame,
+    keys: list[str],
+    camera: CameraModel,
+    cfg: MotionConfig,
+    x: str = "px",
+    y: str = "py",
+    name: str = "foreground",
+) -> DataFrame:
+    """Add ``foreground``: the event lies in a kept region of its window."""
+    return mark(rows, kept_cells(rows, keys, camera, cfg, x, y), keys, camera, cfg, x, y, name)
+
+
 def focus(
     rows: DataFrame, keys: list[str], width: int, height: int, x: str = "px", y: str = "py", scale: int = 3
 ) -> DataFrame:

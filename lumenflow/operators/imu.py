@@ -215,4 +215,4 @@ def orientation_at(points: DataFrame, intervals: DataFrame, at: str = "time_s")
 
 def prepared_imu(samples: DataFrame) -> DataFrame:
     """Intervals written once, because every later stage looks times up in them."""
-    return materialise(imu_intervals(samples))
+    return materialise(imu_intervals(materialise(samples)))

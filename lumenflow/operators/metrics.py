@@ -6,21 +6,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenflow.config import IDENTITY, CameraModel
 from lumenflow.functions import geometry as g
+from lumenflow.plans.frames import last_rows
+from lumenflow.plans.hopping import floor_div
+from lumenflow.plans.scan import running
 
 CHECK_US = 100_000
 PATH_STEP_S = 0.02
 
 
+#: Values of a key are ordered in this many ranges.
+VALUE_RANGES = 1 << 12
+
+
 def index_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentile by index: element ``min(floor(n p), n - 1)`` of the sorted values.
 
-    Equal values are counted before anything is ordered, so a key with a third of all rows only
-    orders its distinct values.
+    Equal values are counted first, then ranked by a scan that is split into value ranges, so a key
+    that holds most rows is ordered by many tasks.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__m"))
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("__to", F.sum("__m").over(upto)).withColumn("__n", F.sum("__m").over(whole))
+    sizes = counted.groupBy(*keys).agg(
+        F.sum("__m").alias("__n"), F.min(value).alias("__low"), F.max(value).alias("__high")
+    )
+    width = F.greatest((F.col("__high") - F.col("__low")) / VALUE_RANGES, F.lit(1e-300))
+    sized = counted.join(sizes, keys)
+    part = F.floor((F.col(value) - F.col("__low")) / width)
+    ranked = running(sized, keys, value, part, total={"__to": F.col("__m")}, include_current=True)
 
     def pick(share: float) -> Column:
         at = F.least(F.floor(F.col("__n") * F.lit(share)), F.col("__n") - 1)
@@ -146,10 +157,8 @@ def flight_paths(tracks: DataFrame, ahead_s: float = 0.3) -> DataFrame:
     )
 
 
-def recent_median(df: DataFrame, keys: list[str], order: str, value: str, count: int = 5) -> DataFrame:
-    """Upper median of the last ``count`` values at every row."""
-    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - count, Window.currentRow)
-    held = F.sort_array(F.collect_list(value).over(frame))
-    return df.withColumn("recent", held).withColumn(
-        "median", F.element_at("recent", F.floor(F.size("recent") / 2).cast("int") + 1)
-    ).drop("recent")
+def recent_median(df: DataFrame, keys: list[str], order: str, value: str, block: int, count: int = 5) -> DataFrame:
+    """Upper median of the last ``count`` values at every row; ``block`` cuts the integer ``order``."""
+    held = last_rows(df, keys, order, floor_div(F.col(order), block), count, {"recent": F.col(value)})
+    middle = F.floor(F.size("recent") / 2).cast("int") + 1
+    return held.withColumn("median", F.element_at(F.sort_array("recent"), middle)).drop("recent")

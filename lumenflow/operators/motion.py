@@ -167,7 +167,8 @@ def compensate(
 ) -> DataFrame:
     """Add ``px, py`` in the window's end orientation and ``covered``.
 
-    ``rows`` come from ``window_events``. Without coverage the position is only undistorted. A
+    ``rows`` come from ``window_events`` and ``rotations`` from a written ``window_rotations``
+    table, which is counted to choose the join. Without coverage the position is only undistorted. A
     null position means outside the sensor or behind the camera. ``with_original`` also keeps
     the uncompensated position ``ox, oy``.
     """
@@ -180,7 +181,7 @@ def compensate(
         "bin", F.least(F.floor("__at"), bins - 1).cast("long")
     )
     w = F.col("__at") - F.col("bin")
-    joined = rows.join(rotations.drop("bins"), [*KEYS, "bin"], "left")
+    joined = rows.join(broadcast_if_small(rotations.drop("bins")), [*KEYS, "bin"], "left")
     blended = {
         r: F.col(f"p_{r}") * (1 - w) + F.col(f"q_{r}") * w for r in ROTATION
     }

@@ -71,14 +71,14 @@ def outline_points(proposals: DataFrame, points: DataFrame, camera: CameraModel)
         F.rint(F.col("px") / CELL_PX).cast("int").alias("gx"),
         F.rint(F.col("py") / CELL_PX).cast("int").alias("gy"),
     ).agg(
-        F.min(F.struct("seq", "px", "py", "foreground")).alias("p"),
+        *[F.min_by(c, "seq").alias(c) for c in ("px", "py", "foreground")],
         F.count(F.lit(1)).alias("n"),
         *[F.first(c).alias(c) for c in own],
     )
     seed = (
-        F.col("p.foreground")
-        & (F.abs(F.col("p.px") - x) < F.col("w") * 0.75 + 3)
-        & (F.abs(F.col("p.py") - y) < F.col("h") * 0.75 + 3)
+        F.col("foreground")
+        & (F.abs(F.col("px") - x) < F.col("w") * 0.75 + 3)
+        & (F.abs(F.col("py") - y) < F.col("h") * 0.75 + 3)
     )
     return single.withColumn("is_seed", seed)
 
@@ -104,7 +104,7 @@ def outlines(proposals: DataFrame, points: DataFrame, camera: CameraModel) -> Da
     total = F.sum("n").over(Window.partitionBy(*group))
     dense = around.withColumn("points", total).where(F.col("points") >= MIN_POINTS)
     sampled = evenly_spaced(dense, [*group, "is_seed"], ["gx", "gy"], POINT_LIMIT)
-    placed = F.struct("gx", "gy", F.col("p.px").alias("px"), F.col("p.py").alias("py"))
+    placed = F.struct("gx", "gy", "px", "py")
     lists = sampled.groupBy(*group).agg(
         F.sort_array(F.collect_list(F.when(F.col("is_seed"), placed))).alias("s"),
         F.sort_array(F.collect_list(F.when(~F.col("is_seed"), placed))).alias("o"),

@@ -53,24 +53,29 @@ def rolling_ticks(events: DataFrame, cfg: ClusterConfig, bounds: DataFrame | Non
         .where("k >= 1")
         .groupBy("stream_id", "k")
         .agg(
-            F.min(F.struct("seq", "timestamp_us")).alias("head"),
+            F.min("seq").alias("fired_seq"),
+            F.min_by("timestamp_us", "seq").alias("fired_us"),
             F.first("origin_us").alias("origin_us"),
         )
     )
     # Ticks older than the trimmed window are empty, so each head claims only a few.
-    oldest = ceil_div(F.col("head.timestamp_us") - cfg.window_us - F.col("origin_us"), cfg.step_us)
+    oldest = ceil_div(F.col("fired_us") - cfg.window_us - F.col("origin_us"), cfg.step_us)
     return (
         heads.withColumn(
             "tick", F.explode(F.sequence(F.greatest(oldest, F.lit(1).cast("long")), F.col("k")))
         )
         .groupBy("stream_id", "tick")
-        .agg(F.min("head").alias("head"), F.first("origin_us").alias("origin_us"))
+        .agg(
+            F.min_by("fired_us", "fired_seq").alias("fired_us"),
+            F.min("fired_seq").alias("fired_seq"),
+            F.first("origin_us").alias("origin_us"),
+        )
         .select(
             "stream_id",
             "tick",
             (F.col("origin_us") + F.col("tick") * cfg.step_us).alias("tick_us"),
-            F.col("head.timestamp_us").alias("fired_us"),
-            F.col("head.seq").alias("fired_seq"),
+            "fired_us",
+            "fired_seq",
         )
     )
 

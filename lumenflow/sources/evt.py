@@ -245,7 +245,7 @@ def read_events(spark: SparkSession, path: str, unwrap: bool = False, **options)
     return unwrap_time(read_records(spark, path, timeRows=True, live=True, **options))
 
 
-def unwrap_time(records: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
+def unwrap_time(records: DataFrame, block_rows: int = 1 << 25) -> DataFrame:
     """Monotonic event time from records that include the high time words.
 
     A wrap is a high part that falls by more than half its range. Wraps are counted and the running

@@ -13,7 +13,8 @@ def pixelised_events(spark: SparkSession, path: str, with_value: bool = False) -
     """
     log = spark.read.parquet(path)
     columns = [
-        F.lit("events").alias("stream_id"),
+        # Not a plain literal: Catalyst would fold it out of join and partition keys.
+        F.when(F.col("event_id").isNotNull(), F.lit("events")).alias("stream_id"),
         F.col("event_id").alias("seq"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp_us"),
         (F.col("user_id") % 24).cast("int").alias("x"),
