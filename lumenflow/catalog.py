@@ -28,7 +28,9 @@ from lumenflow.operators import (
     imu,
     metrics,
     motion,
+    outlines,
     panels,
+    proposals,
     rolling,
     tracker,
 )
@@ -158,6 +160,46 @@ def shrunk(spark, folder, factor=SHRINK, **options) -> DataFrame:
     return events.withColumn("timestamp_us", F.floor(F.col("timestamp_us") / factor).cast("long"))
 
 
+def pixel_mask(spark, folder):
+    return filters.mask_pixels(load(spark, folder), [(0, 0), (7, 3), (23, 17), (12, 9)])
+
+
+def clip_range(spark, folder):
+    start = 1_704_067_200_000_000 + 3 * DAY_US
+    return filters.clip_range(load(spark, folder), start, start + 5 * DAY_US)
+
+
+def accepted_flags(spark, folder):
+    accept = filters.configured(PolarityConfig("positive"), BACKGROUND)
+    return filters.accepted_flags(load(spark, folder), accept)
+
+
+def evenly_spaced(spark, folder):
+    daily = tumbling(load(spark, folder), DAY_US)
+    return outlines.evenly_spaced(daily, WINDOW_KEYS, ["seq"], 10).select(*WINDOW_KEYS, "seq")
+
+
+def cluster_proposals(spark, folder):
+    """Up to six clusters per six-hour window, each search without the boxes found before."""
+    pixels = _windows(spark, folder).groupBy(*WINDOW_KEYS, "x", "y").agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")
+    )
+    limits = proposals.ProposalLimits(cell_px=1, min_events=5)
+    return proposals.propose(pixels, limits)
+
+
+def comparison_panels(spark, folder):
+    rows = _still_rows(spark, folder).withColumns(
+        {
+            "ox": F.col("px"),
+            "oy": F.col("py"),
+            "foreground_off": F.col("polarity"),
+            "foreground_on": ~F.col("polarity"),
+        }
+    )
+    return panels.comparison_panels(rows, MOTION_KEYS, *SENSOR)
+
+
 def hop_counts(spark, folder):
     events = load(spark, folder)
     hops = explode_hops(events, F.col("timestamp_us"), WINDOW.window_us, 2 * HOUR_US)
@@ -481,6 +523,10 @@ def prediction_errors(spark, folder):
     return metrics.prediction_errors(tracks, poses, TRACK_CAMERA, TRACK_MOTION.step_us)
 
 
+def measured_segments(spark, folder):
+    return metrics.measured_segments(_derived_track(spark, folder)[0])
+
+
 def flight_paths(spark, folder):
     return metrics.flight_paths(_derived_track(spark, folder)[0])
 
@@ -522,6 +568,12 @@ QUERIES = {
         rolling_members,
         rolling_ideal,
         rolling_detections,
+        pixel_mask,
+        clip_range,
+        accepted_flags,
+        evenly_spaced,
+        cluster_proposals,
+        comparison_panels,
         hop_counts,
         density_panel,
         pixel_last_color,
@@ -551,6 +603,7 @@ QUERIES = {
         track_states,
         prediction_errors,
         flight_paths,
+        measured_segments,
         evt2_decode,
         evt21_decode,
         evt3_decode,

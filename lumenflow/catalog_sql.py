@@ -292,6 +292,32 @@ def _codec(words: int, time: str) -> str:
 
 
 ORACLE |= {
+    "pixel_mask": _with(
+        f"SELECT {EVENT} FROM px WHERE (x, y) NOT IN ((0, 0), (7, 3), (23, 17), (12, 9))"
+    ),
+    "clip_range": _with(
+        f"""SELECT {EVENT} FROM px WHERE timestamp_us BETWEEN {1_704_067_200_000_000 + 3 * DAY}
+            AND {1_704_067_200_000_000 + 8 * DAY}"""
+    ),
+    "accepted_flags": _with(
+        "pos AS (SELECT * FROM px WHERE NOT polarity)",
+        f"ok AS (SELECT seq FROM pos e WHERE {SUPPORTED.format(src='pos')})",
+        f"SELECT {EVENT}, seq IN (SELECT seq FROM ok) AS accepted FROM px",
+    ),
+    "evenly_spaced": _with(
+        f"""d AS (SELECT stream_id, CAST(timestamp_us // {DAY} AS BIGINT) AS window_id, seq,
+              row_number() OVER (PARTITION BY timestamp_us // {DAY} ORDER BY seq) - 1 AS r,
+              count(*) OVER (PARTITION BY timestamp_us // {DAY}) - 1 AS last FROM px)""",
+        """SELECT stream_id, window_id, seq FROM d
+           WHERE last < 10 OR list_contains(list_transform(range(0, 10), lambda i: i * last // 9), r)""",
+    ),
+    "comparison_panels": _with(
+        SHRUNK, STILL,
+        "p AS (SELECT *, unnest(CASE WHEN polarity THEN [0, 1, 2] ELSE [0, 1, 3] END) AS panel FROM still)",
+        """SELECT stream_id, CAST(window_id AS BIGINT) AS window_id, panel, CAST(x // 2 AS INTEGER) AS bx,
+             CAST(y // 2 AS INTEGER) AS by, count(*) AS n,
+             CAST(floor(255.0 * (1 - exp(-least(count(*), 255) / 2.0))) AS INTEGER) AS level FROM p GROUP BY ALL""",
+    ),
     "hop_counts": _with(
         f"""h AS (SELECT *, unnest(generate_series((timestamp_us + {2 * HOUR} - 1) // {2 * HOUR},
                                             (timestamp_us + {SIX}) // {2 * HOUR})) AS window_id FROM px)""",

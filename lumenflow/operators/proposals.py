@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,20 @@ from lumenflow.config import CameraModel
 from lumenflow.functions.label import connected
 from lumenflow.operators.components import _starts
 
-# Proposal limits.
+#: Fixed value: only this newest part of a window forms proposals.
 DETECT_US = 10_000
-MAX_PROPOSALS = 6
-PROPOSAL_CELL_PX = 3
-MIN_PROPOSAL_EVENTS = 15
-MIN_PROPOSAL_CELLS = 3
-MAX_PROPOSAL_EXTENT_PX = 800
+
+
+@dataclass(frozen=True)
+class ProposalLimits:
+    """The defaults are the tracker's fixed values."""
+
+    count: int = 6
+    cell_px: int = 3
+    min_events: int = 15
+    min_cells: int = 3
+    max_extent_px: int = 800
+
 
 PROPOSAL_TYPE = (
     "stream_id string, window_id long, rank int, centroid_x double, centroid_y double, "
@@ -44,8 +52,8 @@ def foreground_pixels(rows: DataFrame, camera: CameraModel) -> DataFrame:
     )
 
 
-def propose(pixels: DataFrame) -> DataFrame:
-    """Up to six clusters per window, largest first.
+def propose(pixels: DataFrame, limits: ProposalLimits = ProposalLimits()) -> DataFrame:
+    """A few clusters per window, largest first.
 
     Each cluster removes all pixels in its bounding box before the next search. Pixels are counts,
     so a window has at most one row per sensor pixel; many windows are searched per Arrow batch.
@@ -71,7 +79,9 @@ def propose(pixels: DataFrame) -> DataFrame:
         group = np.zeros(table.num_rows, dtype=np.int64)
         group[starts[1:]] = 1
         found = largest_boxes(
-            np.cumsum(group), *(table.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "n", "first_seq"))
+            np.cumsum(group),
+            *(table.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "n", "first_seq")),
+            limits,
         )
         at = pa.array(starts[found["group"]])
         columns = [table.column(k).take(at).combine_chunks() for k in keys]
@@ -94,16 +104,16 @@ def propose(pixels: DataFrame) -> DataFrame:
     return pixels.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, PROPOSAL_TYPE)
 
 
-def largest_boxes(group, x, y, n, first_seq) -> dict[str, np.ndarray]:
+def largest_boxes(group, x, y, n, first_seq, limits: ProposalLimits) -> dict[str, np.ndarray]:
     """Repeated search for the largest cluster of every group; ties go to the earliest event."""
     found: list[dict[str, np.ndarray]] = []
-    for rank in range(1, MAX_PROPOSALS + 1):
-        enough = np.bincount(group, weights=n, minlength=1) >= MIN_PROPOSAL_EVENTS
+    for rank in range(1, limits.count + 1):
+        enough = np.bincount(group, weights=n, minlength=1) >= limits.min_events
         alive = enough[group] if len(group) else np.zeros(0, dtype=bool)
         group, x, y, n, first_seq = (v[alive] for v in (group, x, y, n, first_seq))
         if not len(group):
             break
-        best = _largest(group, x, y, n, first_seq)
+        best = _largest(group, x, y, n, first_seq, limits)
         if not len(best["group"]):
             break
         best["rank"] = np.full(len(best["group"]), rank)
@@ -124,8 +134,8 @@ def largest_boxes(group, x, y, n, first_seq) -> dict[str, np.ndarray]:
     return {k: np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in names}
 
 
-def _largest(group, x, y, n, first_seq) -> dict[str, np.ndarray]:
-    cell_x, cell_y = x // PROPOSAL_CELL_PX, y // PROPOSAL_CELL_PX
+def _largest(group, x, y, n, first_seq, limits: ProposalLimits) -> dict[str, np.ndarray]:
+    cell_x, cell_y = x // limits.cell_px, y // limits.cell_px
     cells, cell_at = np.unique(np.stack([group, cell_x, cell_y]), axis=1, return_inverse=True)
     _, cluster_of_cell = np.unique(connected(*cells), return_inverse=True)
     cluster = cluster_of_cell[cell_at.ravel()]
@@ -144,10 +154,10 @@ def _largest(group, x, y, n, first_seq) -> dict[str, np.ndarray]:
         "max_y": reduce(np.maximum, y),
     }
     ok = (
-        (count >= MIN_PROPOSAL_EVENTS)
-        & (rows >= MIN_PROPOSAL_CELLS)
-        & (box["max_x"] - box["min_x"] < MAX_PROPOSAL_EXTENT_PX)
-        & (box["max_y"] - box["min_y"] < MAX_PROPOSAL_EXTENT_PX)
+        (count >= limits.min_events)
+        & (rows >= limits.min_cells)
+        & (box["max_x"] - box["min_x"] < limits.max_extent_px)
+        & (box["max_y"] - box["min_y"] < limits.max_extent_px)
     )
     owner = reduce(np.minimum, group)
     ranked = np.lexsort((reduce(np.minimum, first_seq), -count, owner))
