@@ -2,7 +2,7 @@
 
 A file is cut into byte ranges that are decoded independently. A reader that starts inside a file
 first looks back until it has found the last value of every decoder register, so splits give the
-same records as one pass. Only the header is read on the driver.
+same records as one pass. The driver only lists files; headers are read where the data is decoded.
 
 Options: ``path`` (file, folder or URI; comma separated), ``format`` (auto, evt2, evt21, evt3),
 ``endian`` (little, little32, big), ``splitBytes``, ``timeRows`` (also emit high time words) and
@@ -34,8 +34,17 @@ HEADER_BYTES = 1 << 20
 
 @dataclass
 class Range(InputPartition):
+    """File bytes; a word belongs to the range that holds its last byte."""
+
     path: str
-    stream_id: str
+    begin: int
+    end: int
+
+
+@dataclass
+class Stretch:
+    """A range resolved to whole words of one format."""
+
     fmt: str
     data_start: int
     begin: int
@@ -97,21 +106,22 @@ class Options:
     def resolve(self, header: evt.Header) -> str:
         return header.format if self.format == "auto" else evt.FORMATS[self.format]
 
-    def ranges(self, path: str, size: int, begin: int | None = None) -> list[Range]:
-        header = read_header(path)
+    def ranges(self, path: str, end: int, begin: int = 0) -> list[Range]:
+        step = max(self.split_bytes, 1)
+        return [Range(path, at, min(at + step, end)) for at in range(begin, end, step)]
+
+    def stretch(self, part: Range) -> Stretch:
+        header = read_header(part.path)
         fmt = self.resolve(header)
         word = evt.WORD_BYTES[fmt]
-        start = max(header.size, begin or 0)
-        whole = header.size + (size - header.size) // word * word
-        step = max(self.split_bytes // word, 1) * word
-        name = path.rsplit("/", 1)[-1]
-        return [
-            Range(path, name, fmt, header.size, at, min(at + step, whole))
-            for at in range(start, whole, step)
-        ]
 
+        def whole(at: int) -> int:
+            return header.size + max(at - header.size, 0) // word * word
+
+        return Stretch(fmt, header.size, whole(part.begin), whole(part.end))
 
-def _registers_before(file, part: Range, options: Options) -> evt.Registers:
+
+def _registers_before(file, part: Stretch, options: Options) -> evt.Registers:
     """Registers at the start of a range, from as little of the file as needed."""
     size = LOOK_BACK_BYTES
     while True:
@@ -123,7 +133,7 @@ def _registers_before(file, part: Range, options: Options) -> evt.Registers:
         size *= 2
 
 
-def _from_start(words, part: Range, options: Options) -> evt.Registers:
+def _from_start(words, part: Stretch, options: Options) -> evt.Registers:
     return evt.decode(words, evt.Registers(base=0), part.fmt, live=options.live)[1]
 
 
@@ -151,20 +161,22 @@ def _batch(records: evt.Records, first_word: int, stream_id: str, schema: pa.Sch
     )
 
 
-def read_range(part: Range, options: Options) -> Iterator[pa.RecordBatch]:
+def read_range(source: Range, options: Options) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(RECORD)
-    filesystem, inner = _filesystem(part.path)
+    filesystem, inner = _filesystem(source.path)
+    part = options.stretch(source)
     word = evt.WORD_BYTES[part.fmt]
+    stream_id = source.path.rsplit("/", 1)[-1]
     with filesystem.open_input_file(inner) as file:
         regs = evt.Registers(base=0)
-        if part.begin > part.data_start:
+        if part.data_start < part.begin < part.end:
             regs = _registers_before(file, part, options)
         for at in range(part.begin, part.end, CHUNK_BYTES):
             data = file.read_at(min(CHUNK_BYTES, part.end - at), at)
             words = evt.words_of(data, part.fmt, options.endian)
             records, regs = evt.decode(words, regs, part.fmt, options.time_rows, options.live)
             if len(records.word):
-                yield _batch(records, (at - part.data_start) // word, part.stream_id, schema)
+                yield _batch(records, (at - part.data_start) // word, stream_id, schema)
 
 
 class _Reader(DataSourceReader):
@@ -181,7 +193,7 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Follows growing and new files; the offset is the decoded size of each file."""
+    """Follows growing and new files; the offset is the size of each file that was listed."""
 
     def __init__(self, options: Options):
         self.options = options
@@ -193,16 +205,13 @@ class _StreamReader(DataSourceStreamReader):
         return {path: size for path, size in list_files(self.options.path)}
 
     def partitions(self, start, end):
-        out = []
-        for path, size in end.items():
-            if size <= start.get(path, 0):
-                continue
-            header = read_header(path)
-            word = evt.WORD_BYTES[self.options.resolve(header)]
-            done = max(start.get(path, 0), header.size)
-            # A word that was cut off last time is read now as a whole.
-            out += self.options.ranges(path, size, header.size + (done - header.size) // word * word)
-        return out
+        # A word that was cut off last time ends in the new bytes, so it is read now as a whole.
+        return [
+            part
+            for path, size in end.items()
+            if size > start.get(path, 0)
+            for part in self.options.ranges(path, size, start.get(path, 0))
+        ]
 
     def read(self, partition):
         return read_range(partition, self.options)
