@@ -66,29 +66,37 @@ def background_flags(events: DataFrame, cfg: BackgroundConfig = BackgroundConfig
         & (F.col("__slice") == floor_div(t, length))
     )
 
-    def target(dx: int, dy: int, asks: bool) -> Column:
-        return F.struct(
-            (F.col("x") + dx).alias("px"), (F.col("y") + dy).alias("py"), F.lit(asks).alias("asks")
+    # Slice and pixel in one number, compared first: most rows differ there, so the sort below
+    # rarely looks at the other keys. Pixel coordinates are below 2^19.
+    here = F.pmod("__slice", F.lit(1 << 22)) * (1 << 40) + (y + r) * (1 << 20) + x + r
+    stamps = F.array(*[F.lit(dy * (1 << 20) + dx).cast("long") for dx, dy in disc])
+    question = F.array(F.lit(0).cast("long"))
+    # Stamps carry only their time; the row itself travels with its question.
+    spread = (
+        placed.withColumn("__here", here)
+        .withColumn("__by", F.explode(F.when(home, F.concat(stamps, question)).otherwise(stamps)))
+        .select(
+            "stream_id",
+            "seq",
+            "__tx",
+            "__ty",
+            "__slice",
+            (F.col("__here") + F.col("__by")).alias("__pixel"),
+            F.when(F.col("__by") != 0, t).alias("__stamp"),
+            F.when(F.col("__by") == 0, F.struct(*payload)).alias("__row"),
         )
-
-    stamps = F.array(*[target(dx, dy, False) for dx, dy in disc])
-    question = F.array(target(0, 0, True))
-    spread = placed.withColumn(
-        "__at", F.explode(F.when(home, F.concat(stamps, question)).otherwise(stamps))
     )
     seen = (
-        Window.partitionBy("stream_id", "__tx", "__ty", "__slice", "__at.px", "__at.py")
+        Window.partitionBy("__pixel", "__slice", "__tx", "__ty", "stream_id")
         .orderBy("seq")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    stamp = F.when(~F.col("__at.asks"), t)
+    recent = F.col("__last") >= F.col("timestamp_us") - cfg.window_us
     return (
-        spread.withColumn("__last", F.max(stamp).over(seen))
-        .where("__at.asks")
-        .select(
-            *payload,
-            F.coalesce(F.col("__last") >= t - cfg.window_us, F.lit(False)).alias("supported"),
-        )
+        spread.withColumn("__last", F.max("__stamp").over(seen))
+        .where("__row is not null")
+        .select("__row.*", "__last")
+        .select(*payload, F.coalesce(recent, F.lit(False)).alias("supported"))
     )
 
 

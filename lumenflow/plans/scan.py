@@ -31,7 +31,8 @@ def running(
     rows = df.withColumn("__block", block)
     for name, value in {**last, **total, **peak}.items():
         rows = rows.withColumn(f"__in_{name}", value)
-    group = [*keys, "__block"]
+    # The first sort key decides most comparisons; the leading key is often one value for all rows.
+    group = [*reversed(keys[1:]), "__block", *keys[:1]]
 
     ends = [F.max_by(f"__in_{n}", F.when(F.col(f"__in_{n}").isNotNull(), at)).alias(n) for n in last]
     sums = [F.sum(f"__in_{n}").alias(n) for n in total]
