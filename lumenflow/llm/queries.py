@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenflow.deploy import ship
-from lumenflow.llm import mixing, packing, quality_rules, token_counts, top_k, url_rules
+from lumenflow.llm import (
+    language, mixing, near_dedup, ordinal, packing, quality_rules, suffix_dedup, token_counts, top_k, url_rules,
+)
 from lumenflow.llm.sql import ORACLE  # noqa: F401
 
 URL_RULES = (
@@ -35,6 +37,19 @@ def mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
+    labelled = language.identify(docs, model)
+    return labelled.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return near_dedup.classes(table(spark, folder, "documents"), near_dedup.NearConfig(width=4))
+
+
 def packing_balanced(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     config = packing.PackConfig(vocabulary("word_bpe_49k.json"))
@@ -50,6 +65,13 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = suffix_dedup.cut(docs)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
+
+
 def quality_votes(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents"), carry=False)
     return judged.select(
@@ -63,6 +85,18 @@ def token_totals(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), config)
 
 
+def ratings(labels: DataFrame) -> DataFrame:
+    """Grade 0 for toxic, 1 for low and 2 for good quality; unknown without both labels."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("toxic") == 0, F.when(F.col("quality") == 1, 2).otherwise(1))
+    return labels.select("doc_id", F.when(F.col("quality").isNotNull(), grade).alias("grade"))
+
+
+def quality_grades(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, folder, "documents")
+    return ordinal.grade(docs, ordinal.train(docs, ratings(table(spark, folder, "labels"))))
+
+
 def inner_product_top_k(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     return top_k.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -70,9 +104,13 @@ def inner_product_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing_to_weights,
+    "op2_language_id": language_crf,
+    "op3_near_dedup": near_copies,
     "op4_packing": packing_balanced,
     "op5_url_filters": url_filter,
+    "op6_suffix_dedup": repeated_strings,
     "op7_quality_rules": quality_votes,
     "op8_token_counts": token_totals,
+    "op9_quality_classifier": quality_grades,
     "op10_top_k": inner_product_top_k,
 }
