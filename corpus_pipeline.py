@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenflow.llm import mixing, packing, quality_rules
+from lumenflow.deploy import ship
+from lumenflow.llm import mixing, near_dedup, packing, quality_rules, suffix_dedup
 from lumenflow.llm.queries import vocabulary
 from lumenflow.llm.store import saved
 
@@ -13,16 +14,30 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules.keep_good(docs)
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8."""
+    ship(spark)
+    return near_dedup.dedup(docs)
+
+
+def stripped_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffix_dedup.strip(docs)
+
+
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.packed(docs, packing.PackConfig(vocabulary("word_bpe_49k.json")))
 
 
 STAGES = [
     ("quality_rules", good_documents),
+    ("near_dedup", distinct_documents),
+    ("suffix_dedup", stripped_documents),
     ("mixing", mixed_documents),
     ("packing", packed_sequences),
 ]

@@ -68,8 +68,8 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    cut = suffix_dedup.cut(docs)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
+    cut = suffix_dedup.cut(suffix_dedup.numbered(docs))
+    return cut.select("row.id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256")).withColumnRenamed("id", "doc_id")
 
 
 def quality_votes(spark: SparkSession, folder: str) -> DataFrame:

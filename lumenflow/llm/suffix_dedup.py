@@ -352,7 +352,7 @@ def removed_windows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
     same = F.lag("segment").over(order) == F.col("segment")
     found = found.withColumn("again", F.col("again") | F.coalesce(same, F.lit(False)))
     found = found.withColumn("varied", F.min("segment").over(every) != F.max("segment").over(every))
-    found = found.filter("again OR varied")
+    found = saved(found.filter("again OR varied"))
     compared = windows_to_compare(docs, found.filter("NOT again"), config)
     return found.filter("again").select("doc_id", "lo", "hi").unionByName(repeats(compared, config))
 
@@ -363,6 +363,7 @@ def cut(texts: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     ``rest`` is what remains, as bytes; spans are maximal removed ranges. A null text is empty. Ids
     must be distinct and not null (``numbered`` makes them so). An empty table gives an empty one.
     """
+    texts = texts.filter("doc_id IS NOT NULL")
     removed = removed_windows(texts, config)
     lists = removed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
     more = texts.columns[2:]
@@ -429,7 +430,7 @@ def strip(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     for c in docs.columns:
         if c == "text":
             columns.append(F.col("text"))
-        elif c == "n_chars" and "n_removed" in rest.columns:
+        elif c == "n_chars":
             columns.append(F.length("text").cast(kinds[c]).alias(c))
         else:
             columns.append(F.col("row")["id" if c == "doc_id" else f"c_{c}"].alias(c))
@@ -438,4 +439,4 @@ def strip(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
 
 def _text(rest: Column) -> Column:
     """Bytes as text, without fragments of characters."""
-    return F.translate(F.decode(rest, "UTF-8"), "\ufffd", "")
+    return F.translate(F.make_valid_utf8(rest.cast("string")), "\ufffd", "")
