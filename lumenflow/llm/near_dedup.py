@@ -4,8 +4,9 @@
    equal sets count once from here on.
 2. Independent trees: a node branches by the minwise tokens at one, sometimes two, of its own
    coordinates, which keeps a pair at the wanted similarity on about one common path however deep.
-   Nodes with few documents stop and are compared exhaustively by sketch; others branch again. Nodes
-   still large at the last level hold near copies of each other and are walked once against leaders.
+   Nodes with few documents stop and are compared exhaustively by sketch. In a larger node all
+   documents meet a few leaders: those like a leader are done, since whatever is like them is linked
+   to that leader too; the others branch again. What is left at the last level is walked once.
 3. Sketch matches give loose groups. Inside these, links are confirmed on the full sets: a group is
    dealt out in chunks that share its first document, and what a chunk leaves outside the group's
    main class is then compared with every chunk. So no pair inside a loose group goes unjudged.
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.llm.graph import components
@@ -35,15 +36,16 @@ class NearConfig:
 
     ``trees``, ``depth``, ``leaf``: number of trees, branching levels, rows compared exhaustively.
     ``loose``: least sketch similarity followed up, far enough below ``percent`` that noise loses
-    nothing. ``walk``: rows of a large last node walked together. ``chunk``: shingles per chunk.
+    nothing. ``leaders`` per larger node, met by ``walk`` rows at a time. ``chunk``: shingles per chunk.
     """
 
     width: int = 5
     percent: int = 80
-    trees: int = 16
+    trees: int = 12
     depth: int = 6
     leaf: int = 64
     loose: float = 0.6
+    leaders: int = 32
     walk: int = 4096
     chunk: int = 1 << 20
     seed: int = 3
@@ -221,7 +223,7 @@ def compare_leaves(rows: DataFrame, config: NearConfig) -> DataFrame:
                     left, right = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
                     near = likeness(sketch[left], sketch[right]) >= config.loose
                     left, right = left[near], right[near]
-                    if len(left) > 2 * len(part) * n:
+                    if n > 2 and len(left):
                         base = part[0]
                         left, right = _forest(left - base, right - base, int(part[-1] + n - base))
                         left, right = left + base, right + base
@@ -232,6 +234,71 @@ def compare_leaves(rows: DataFrame, config: NearConfig) -> DataFrame:
     return _sorted(rows.select("node", "id", "sketch"), "node").mapInArrow(run, "a long, b long").distinct()
 
 
+class _Net:
+    """Links that connect rows start..end as their being near common leaders does, about one per row."""
+
+    def __init__(self, ids: np.ndarray, start: int, end: int):
+        self.ids, self.start = ids, start
+        self.first = np.full(end - start, -1)
+        self.a, self.b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def meet(self, head: int, near: np.ndarray) -> None:
+        near = near.copy()
+        near[head - self.start] = True
+        old = np.unique(self.first[near & (self.first >= 0)])
+        fresh = np.flatnonzero(near & (self.first < 0))
+        self.first[fresh] = head
+        self._add(np.concatenate((fresh + self.start, old)), head)
+
+    def _add(self, rows: np.ndarray, head: int) -> None:
+        rows = rows[rows != head]
+        self.a = np.concatenate((self.a, self.ids[rows]))
+        self.b = np.concatenate((self.b, np.full(len(rows), self.ids[head])))
+
+
+def meet_leaders(large: DataFrame, sketch: DataFrame, config: NearConfig) -> DataFrame:
+    """Rows (node, id, n) of large nodes meet their node's leaders: links (a, b), or (node, id) to branch on.
+
+    Leaders are the rows with the smallest hashed ids. A row at ``percent`` less 5 from a leader is
+    done; every row is linked, as ``walk_nodes`` does, to leaders at ``loose`` less 0.2.
+    """
+    attach, link = config.percent / 100 - 0.05, config.loose - 0.2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, table in grouped(batches, 2):
+            node, ids = table.column(0).to_numpy(), table.column(2).to_numpy()
+            sketch = _rows_of(table.column(3), np.uint8, COORDINATES // 2)
+            leads = table.column(4).to_numpy(zero_copy_only=False)
+            a, b, rest = [], [], []
+            for start, end in zip(first, np.append(first[1:], len(ids)), strict=True):
+                net = _Net(ids, start, end)
+                free = ~leads[start:end]
+                for head in start + np.flatnonzero(leads[start:end]):
+                    like = likeness(sketch[start:end], sketch[head][None, :])
+                    net.meet(head, like >= link)
+                    free &= like < attach
+                a.append(net.a)
+                b.append(net.b)
+                rest.append(start + np.flatnonzero(free))
+            links, rest = _emit(a, b), np.concatenate(rest)
+            none = pa.nulls(links.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*links.columns, none, none], names)
+            none = pa.nulls(len(rest), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(node[rest]), pa.array(ids[rest])], names)
+
+    names = ["a", "b", "node", "id"]
+    parts = F.ceil(F.col("n") / config.walk)
+    order = Window.partitionBy("node").orderBy(F.xxhash64("id", "node"), "id")
+    leaders = large.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= config.leaders)
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    leaders = leaders.select("node", "id", everywhere.alias("part"), F.lit(True).alias("leads"))
+    rows = large.join(leaders.select("node", "id").distinct(), ["node", "id"], "left_anti")
+    part = F.pmod(F.xxhash64("id"), parts)
+    rows = rows.select("node", "id", part.alias("part"), F.lit(False).alias("leads"))
+    rows = rows.unionByName(leaders).join(sketch, "id").select("node", "part", "id", "sketch", "leads")
+    return _sorted(rows, "node", "part").mapInArrow(run, "a long, b long, node long, id long")
+
+
 def walk_nodes(rows: DataFrame, config: NearConfig, attach: float, link: float, leaders: bool) -> DataFrame:
     """Walk groups (node, part, id, sketch) once. A row joins the first leader at ``attach`` or becomes one.
 
@@ -246,17 +313,17 @@ def walk_nodes(rows: DataFrame, config: NearConfig, attach: float, link: float,
             sketch = _rows_of(table.column(3), np.uint8, COORDINATES // 2)
             a, b, tops = [], [], []
             for start, end in zip(first, np.append(first[1:], len(ids)), strict=True):
-                rows_ = np.arange(start, end)
+                net = _Net(ids, start, end)
                 free = np.ones(end - start, bool)
                 while free.any():  # the first row left is a leader, which all rows meet
                     head = start + int(free.argmax())
-                    like = likeness(sketch[rows_], sketch[head][None, :])
-                    near = rows_[(like >= link) & (rows_ != head)]
-                    a.append(ids[near])
-                    b.append(np.full(len(near), ids[head]))
+                    like = likeness(sketch[start:end], sketch[head][None, :])
+                    net.meet(head, like >= link)
                     free &= like < attach
                     free[head - start] = False
                     tops.append(head)
+                a.append(net.a)
+                b.append(net.b)
             if leaders:
                 yield pa.RecordBatch.from_arrays(
                     [table.column(0).take(tops), table.column(2).take(tops), table.column(3).take(tops)],
@@ -275,8 +342,9 @@ def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
 
 def loose_links(sets: DataFrame, config: NearConfig) -> DataFrame:
     """Links (a, b) of sets (id, signature, sketch) that look alike by sketch, enough to connect all such."""
+    sketch = sets.select("id", "sketch")
     level = branch(sets, config)
-    leaves, last = [], None
+    leaves, met, last = [], [], None
     for depth in range(1, config.depth + 1):
         level = saved(level)
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -288,12 +356,16 @@ def loose_links(sets: DataFrame, config: NearConfig) -> DataFrame:
         if depth == config.depth:
             last = large
         else:
-            level = branch(large.select("node", "id").join(sets.select("id", "signature"), "id"), config)
+            after = saved(meet_leaders(large, sketch, config))
+            met.append(after.filter("a IS NOT NULL").select("a", "b").distinct())
+            rest = after.filter("id IS NOT NULL").select("node", "id")
+            level = branch(rest.join(sets.select("id", "signature"), "id"), config)
     small = leaves[0]
     for more in leaves[1:]:
         small = small.unionByName(more)
-    sketch = sets.select("id", "sketch")
     links = compare_leaves(small.join(sketch, "id"), config)
+    for more in met:
+        links = links.unionByName(more)
     if last is not None:
         parts = F.ceil(F.col("n") / config.walk)
         large = last.withColumn("part", F.pmod(F.xxhash64("id", "node"), parts).cast("int")).join(sketch, "id")
