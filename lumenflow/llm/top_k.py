@@ -169,7 +169,7 @@ def top_k(vectors: DataFrame, query: Column, scale: int = 64, config: SearchConf
         )
         wanted = wanted.withColumn("block", F.explode(F.transform(reach, lambda x: x[0].cast("int"))))
         wanted = saved(wanted)
-        cells = wanted.select("query_block", "block").distinct()
+        cells = saved(wanted.select("query_block", "block").distinct())
         rest = _cells(wanted, placed.join(cells, "block"), turn, config)
         head = head.unionByName(rest)
     ranked = head.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.k)
