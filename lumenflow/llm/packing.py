@@ -10,15 +10,17 @@ Packing groups hold a bounded number of tokens inside a partition: no shuffle, b
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lumenflow.llm.words import Block, blocks, words
+from lumenflow.llm.words import Block, Prefix, Words, blocks, mix, spans, words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -37,16 +39,46 @@ class PackConfig:
     linear: float = 1.0
     quadratic: float = 1.0 / 2048
     group_tokens: int = 1 << 21
-    cache_words: int = 1 << 20
+    cache_words: int = 1 << 19
 
 
-class WordTokens:
-    """Token ids of words, each distinct word tokenised once.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+MARK = np.zeros(256, bool)
+MARK[list(b".,;:!?*&%$#")] = True
+
+
+def pretokens(block: Block) -> Words:
+    """Words, with the marks that end a word cut off behind an ASCII letter, hashed without case.
 
-    Text is cut at ASCII white space, across which this kind of vocabulary never merges.
+    The vocabulary lower-cases and never merges across white space or from letters to marks, so ids
+    of these parts laid end to end are the ids of the text. Words with ``|`` keep their case: special
+    tokens are spelled with it.
     """
+    data = block.data
+    start, end = spans(block)
+    if not len(start):
+        return words(block)
+    solid = np.maximum.accumulate(np.where(MARK[data], -1, np.arange(len(data))))[end - 1]
+    cut = np.flatnonzero((solid >= start) & (solid < end - 1) & LETTER[data[np.maximum(solid, 0)]])
+    middle = solid[cut] + 1
+    start, end = np.concatenate((start, middle)), np.concatenate((end, end[cut]))
+    end[cut] = middle
+    order = np.argsort(start)
+    start, end = start[order], end[order]
+    key = Prefix(data, lower=True).of(start, end)
+    bars = np.concatenate(([0], np.cumsum(data == 0x7C)))
+    exact = np.flatnonzero(bars[end] > bars[start])
+    if len(exact):
+        key[exact] = mix(Prefix(data).of(start[exact], end[exact]) + np.uint64(1))
+    return Words(start, end, np.searchsorted(block.offsets, start, "right") - 1, key)
+
+
+class WordTokens:
+    """Token ids of pre-tokens, each distinct one tokenised once."""
 
     def __init__(self, path: str, limit: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,40 +86,59 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.begin = np.zeros(1, np.int64)
+        self.keys = np.zeros(0, np.uint64)  # hashes of known words, ascending
+        self.first = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(count) - count)
+        self.count = np.insert(self.count, at, count)
+        flat = np.fromiter(chain.from_iterable(parts), np.int32, int(count.sum()))
+        self.ids = np.concatenate((self.ids, flat))
+
     def encode(self, block: Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each followed by ``end_id``, and where the rows begin."""
-        found = words(block)
+        found = pretokens(block)
         rows = len(block.offsets) - 1
-        distinct, first, which = np.unique(found.hash, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > self.limit:
+        distinct, sample, which = np.unique(found.hash, return_index=True, return_inverse=True)
+        if len(self.keys) + len(distinct) > self.limit:
             self.clear()
-        keys = distinct.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.slot]
-        if new:
-            data = block.data
-            texts = [data[found.start[i] : found.end[i]].tobytes().decode("utf-8", "replace") for i in first[new]]
-            parts = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            for k in new:
-                self.slot[keys[k]] = len(self.slot)
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(lengths)))
-            flat = np.fromiter((x for p in parts for x in p), np.int32, int(lengths.sum()))
-            self.ids = np.concatenate((self.ids, flat))
-        slots = np.fromiter((self.slot[key] for key in keys), np.int64, len(keys))[which]
-        count = self.begin[slots + 1] - self.begin[slots]
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        if not known.all():
+            content = block.data.tobytes()
+            new = sample[~known]
+            bounds = zip(found.start[new].tolist(), found.end[new].tolist(), strict=True)
+            self.learn(distinct[~known], [content[a:b].decode("utf-8", "replace") for a, b in bounds])
+            at = np.searchsorted(self.keys, distinct)
+        slots = at[which]
+        count = self.count[slots]
         before = np.cumsum(count) - count
         total = int(count.sum())
-        source = np.arange(total) + np.repeat(self.begin[slots] - before, count)
+        source = np.arange(total) + np.repeat(self.first[slots] - before, count)
         out = np.full(total + rows, end_id, np.int32)
         out[np.arange(total) + np.repeat(found.row, count)] = self.ids[source]
         per_row = np.bincount(found.row, weights=count, minlength=rows).astype(np.int64) + 1
         return out, np.concatenate(([0], np.cumsum(per_row)))
 
 
+_workers: dict[tuple[str, int], WordTokens] = {}
+
+
+def loaded(path: str, limit: int) -> WordTokens:
+    """One tokenizer per Python worker, which later tasks find again."""
+    if (path, limit) not in _workers:
+        _workers[path, limit] = WordTokens(path, limit)
+    return _workers[path, limit]
+
+
 def assign(lengths: list[int], config: PackConfig) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (piece, start in the piece, length); every sequence is exactly full."""
     order = sorted(range(len(lengths)), key=lambda k: -lengths[k])
@@ -139,7 +190,7 @@ def packed(docs: DataFrame, config: PackConfig) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(config.vocabulary, config.cache_words)
+        tokens = loaded(config.vocabulary, config.cache_words)
         sequence = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
         tails: list[tuple] = []
