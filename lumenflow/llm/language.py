@@ -154,6 +154,9 @@ def fit(found: tuple, labels: list[str], config: LanguageConfig) -> Model:
     data, ids, label, spans_ = found
     start, end, key = spans_
     size = len(labels)
+    if not len(ids):
+        flat = np.zeros((1 << config.bits, size), np.float32)
+        return Model(tuple(labels), flat, np.ones((size, size)), key[:0], np.zeros((0, size)), config.bits)
     index, begin = features(data, start, end, key, config.bits)
     owner = np.repeat(np.arange(len(key)), np.diff(begin))
     rng = np.random.default_rng(config.seed)
@@ -162,7 +165,7 @@ def fit(found: tuple, labels: list[str], config: LanguageConfig) -> Model:
     while cut[-1] < len(ids):
         cut.append(cut[-1] + int(rng.integers(8, STRETCH + 1)))
     order = np.concatenate(
-        [np.arange(cut[k], min(cut[k + 1], len(ids))) for k in rng.permutation(len(cut) - 1)] or [np.zeros(0, np.int64)]
+        [np.arange(cut[k], min(cut[k + 1], len(ids))) for k in rng.permutation(len(cut) - 1)]
     )
     order = order[: len(order) // STRETCH * STRETCH] if len(order) >= STRETCH else order
     ids, label = ids[order], label[order]
@@ -182,8 +185,8 @@ def fit(found: tuple, labels: list[str], config: LanguageConfig) -> Model:
     inner = np.ones(len(ids), bool)
     inner[lanes[:-1]] = False
     np.add.at(pair_truth, (label[:-1][inner[1:]], label[1:][inner[1:]]), 1)
-    n = max(len(ids), 1)
-    for t in range(1, config.rounds + 1 if len(ids) else 0):
+    n = len(ids)
+    for t in range(1, config.rounds + 1):
         weights, logs, scale = parameters
         table = np.add.reduceat(weights[index], begin[:-1], axis=0) + scale[0] * log_odds
         table = np.exp(np.clip(table - table.max(1, keepdims=True), -30, 0))
@@ -225,9 +228,10 @@ def train(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> Model:
     labels = sorted(set(rows.column("lang").to_pylist()))
     place = {x: k for k, x in enumerate(labels)}
     of_row = np.array([place[x] for x in rows.column("lang").to_pylist()], np.int64)
-    whole = next(blocks(rows.column("text"), 1 << 40), None)
-    if whole is None:
-        whole = Block(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    parts = list(blocks(rows.column("text")))
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(p.offsets) for p in parts)])
+    data = np.concatenate([np.zeros(0, np.uint8), *(p.data for p in parts)])
+    whole = Block(0, len(sizes), data, np.concatenate(([0], np.cumsum(sizes))))
     found = letters(whole)
     key, first, which = np.unique(found.hash, return_index=True, return_inverse=True)
     spans_ = (found.start[first], found.end[first], key)

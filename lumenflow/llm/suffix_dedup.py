@@ -406,7 +406,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     Distinct ids stay as they are. Otherwise rows are numbered by doc_id (null last) and text, so of
     repeated rows the first counts as the earliest.
     """
-    others = F.struct(F.col("doc_id").alias("id"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns if c not in ("doc_id", "text")])
+    others = F.struct(F.col("doc_id").alias("id"), F.col("text").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns if c not in ("doc_id", "text")])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", others.alias("row"))
     counts = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     if counts.n == counts.ids:
@@ -424,7 +424,7 @@ def strip(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """
     rest = cut(numbered(docs), config).select("row", "rest", "n_bytes", "n_removed")
     text = F.when(F.col("n_removed") > 0, _text(F.col("rest"))).otherwise(F.col("rest").cast("string"))
-    rest = rest.withColumn("text", text)
+    rest = rest.withColumn("text", F.when(~F.col("row.none"), text))
     kinds = dict(docs.dtypes)
     columns = []
     for c in docs.columns:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20  # bytes of text worked on at a time; a longer text is a block of its own
+ROWS = 1 << 10  # rows of a batch copied at a time
 
 _rng = np.random.default_rng(20240607)
 _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,18 +45,17 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
     """Cut a string column into blocks of whole texts; null is read as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    n = len(texts)
-    if not n:
-        return
-    _, places, content = texts.buffers()
-    at = np.frombuffer(places, np.int64, n + 1, texts.offset * 8)
-    data = np.frombuffer(content, np.uint8) if content is not None else np.zeros(0, np.uint8)
-    first = 0
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
-        yield Block(first, last, data[at[first] : at[last]], at[first : last + 1] - at[first])
-        first = last
+    for start in range(0, len(texts), ROWS):
+        part = texts.slice(start, ROWS).cast(pa.large_binary()).fill_null(b"")
+        n = len(part)
+        _, places, content = part.buffers()
+        at = np.frombuffer(places, np.int64, n + 1, part.offset * 8)
+        data = np.frombuffer(content, np.uint8) if content is not None else np.zeros(0, np.uint8)
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
+            yield Block(start + first, start + last, data[at[first] : at[last]], at[first : last + 1] - at[first])
+            first = last
 
 
 def mix(x: np.ndarray) -> np.ndarray:
