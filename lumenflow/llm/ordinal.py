@@ -159,11 +159,10 @@ def train(docs: DataFrame, ratings: DataFrame, config: OrdinalConfig = OrdinalCo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                index, begin, value = features(block, bits)
-                bounds = list(zip(begin[:-1], begin[1:], strict=True))
-                parts = [pa.array([x[a:b].tobytes() for a, b in bounds], pa.binary()) for x in (index, value)]
+                index, begin = features(block, bits)
+                parts = [index[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 grade = batch.column(0).slice(block.first, block.last - block.first)
-                yield pa.RecordBatch.from_arrays([grade, *parts], ["grade", "f", "value"])
+                yield pa.RecordBatch.from_arrays([grade, pa.array(parts, pa.binary())], ["grade", "f"])
 
     joined = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     joined = joined.select(F.col("grade").cast("int").alias("grade"), "text")
