@@ -438,11 +438,11 @@ ORACLE |= {
           WHERE (timestamp_us - (SELECT min(timestamp_us) FROM sh)) % 350000 < 30000)""",
         """nn AS (SELECT slot, count(*) AS n, row_number() OVER (ORDER BY slot) - 1 AS r, count(*) OVER () AS m
                   FROM sl GROUP BY slot HAVING count(*) >= 5)""",
-        """rk AS (SELECT sl.*, n, row_number() OVER (PARTITION BY slot ORDER BY seq) - 1 AS k,
-                    greatest(n // 5000, 1) AS step
+        """rk AS (SELECT sl.*, n, row_number() OVER (PARTITION BY slot ORDER BY seq) - 1 AS k
                   FROM sl JOIN nn USING (slot) WHERE r % greatest(CAST(ceil(m / 40.0) AS BIGINT), 1) = 0)""",
-        """SELECT stream_id, slot, CAST(k // step AS INTEGER) AS rank, seq, timestamp_us, x, y FROM rk
-           WHERE k % step = 0 AND k < step * 5000""",
+        """SELECT stream_id, slot, CAST(CASE WHEN n > 5000 THEN k * 5000 // n ELSE k END AS INTEGER) AS rank,
+             seq, timestamp_us, x, y FROM rk
+           WHERE n <= 5000 OR (k + 1) * 5000 // n > k * 5000 // n""",
     ),
     "evt2_decode": _codec(2, "timestamp_us"),
     "evt21_decode": _codec(2, "timestamp_us"),

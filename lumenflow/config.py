@@ -87,6 +87,8 @@ class ClusterConfig:
     max_bbox_height: int = 200
     circle_fit: bool = True
     circle_tolerance_px: float = 2.5
+    #: Most events a circle is fitted to, spread over all events of the cluster.
+    circle_points: int = 96
 
     def __post_init__(self):
         _positive("", self, "window_us", "step_us", "cell_size", "circle_tolerance_px")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,17 +16,14 @@ CIRCLE_TYPE = (
 _EMPTY = (None,) * 6
 
 
+CORNERS = 24  # points that triples are formed from, spread over all points
+
+
 @lru_cache(maxsize=256)
-def _triples(count: int) -> np.ndarray:
-    """Index triples i < j < k; each index advances by the stride from the one before it."""
-    stride = max(count // 24, 1)
-    rows = [
-        (i, j, k)
-        for i in range(0, count, stride)
-        for j in range(i + 1, count, stride)
-        for k in range(j + 1, count, stride)
-    ]
-    return np.array(rows, dtype=np.int64).reshape(-1, 3)
+def point_triples(count: int) -> np.ndarray:
+    """Index triples of at most ``CORNERS`` points at equal distances in the list."""
+    corners = np.arange(min(count, CORNERS)) * count // min(count, CORNERS)
+    return np.array(list(combinations(corners.tolist(), 3)), dtype=np.int64).reshape(-1, 3)
 
 
 def circumcircles(a: np.ndarray, b: np.ndarray, c: np.ndarray):
@@ -45,7 +43,7 @@ def fit_circle(x: np.ndarray, y: np.ndarray, tolerance: float) -> tuple:
     points = np.column_stack([x, y]).astype(float)
     if len(points) < 6:
         return _EMPTY
-    at = _triples(len(points))
+    at = point_triples(len(points))
     cx, cy, radius, _, ok = circumcircles(points[at[:, 0]], points[at[:, 1]], points[at[:, 2]])
     ok &= radius >= 1.0
     if not ok.any():

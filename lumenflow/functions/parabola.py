@@ -19,16 +19,19 @@ FIT_TYPE = (
 
 
 @lru_cache(maxsize=256)
-def _pairs(count: int, budget: int) -> np.ndarray:
-    """Strided index pairs i < j, at most ``budget`` of them."""
-    total = count * (count - 1) // 2
-    stride = 1 if total <= budget else max(int(math.sqrt(total / budget)), 1)
-    rows = [(i, j) for i in range(0, count, stride) for j in range(i + 1, count, stride)]
-    return np.array(rows[:budget], dtype=np.int64).reshape(-1, 2)
+def point_pairs(count: int, budget: int) -> np.ndarray:
+    """Index pairs i < j; beyond ``budget``, that many at equal distances in the list of all pairs."""
+    pairs = np.column_stack(np.triu_indices(count, 1))
+    if len(pairs) > budget:
+        pairs = pairs[np.arange(budget) * len(pairs) // budget]
+    return pairs
 
 
 def fit_parabola(us: np.ndarray, position: np.ndarray, cfg: ParabolaConfig):
-    """Best two-point path by inliers, then mean error; refit by least squares on its inliers."""
+    """Best two-point path by inliers, then mean error; refit by least squares on its inliers.
+
+    At most ``cfg.max_pair_samples`` pairs of points are tried, spread over all pairs.
+    """
     n = len(us)
     if n < cfg.min_points:
         return None
@@ -36,7 +39,7 @@ def fit_parabola(us: np.ndarray, position: np.ndarray, cfg: ParabolaConfig):
     gravity = np.asarray(cfg.gravity)
     # Without gravity's part every path is a straight line.
     line = position - 0.5 * gravity * (t * t)[:, None]
-    at = _pairs(n, cfg.max_pair_samples)
+    at = point_pairs(n, cfg.max_pair_samples)
     dt = t[at[:, 1]] - t[at[:, 0]]
     at, dt = at[np.abs(dt) >= cfg.min_sample_dt_s], dt[np.abs(dt) >= cfg.min_sample_dt_s]
     if not len(at):
@@ -55,13 +58,12 @@ def fit_parabola(us: np.ndarray, position: np.ndarray, cfg: ParabolaConfig):
     needed = max(math.ceil(cfg.min_inlier_ratio * n), cfg.min_points)
     if count[best] < needed:
         return None
-    ti, li = t[inlier[best]], line[inlier[best]]
-    m, st, stt = len(ti), ti.sum(), (ti * ti).sum()
-    spread = st * st - m * stt
-    if abs(spread) <= 1.1920929e-07:
+    chosen = inlier[best]
+    design = np.column_stack([np.ones(chosen.sum()), t[chosen]])
+    solution, _, rank, _ = np.linalg.lstsq(design, line[chosen], rcond=None)
+    if rank < 2:
         return None
-    sl, stl = li.sum(axis=0), (ti[:, None] * li).sum(axis=0)
-    p, v = (st * stl - sl * stt) / spread, (st * sl - m * stl) / spread
+    p, v = solution
     error = errors(p, v)
     inlier = error <= cfg.inlier_threshold_m
     if inlier.sum() < needed:

@@ -17,6 +17,7 @@ from lumenflow.plans.fence import fence
 from lumenflow.plans.hopping import floor_div
 from lumenflow.plans.lineage import materialise
 from lumenflow.plans.scan import running
+from lumenflow.plans.thin import evenly, thinned_rank
 from lumenflow.sources.imu import GYRO
 
 # Fixed values of the calibration sample.
@@ -41,7 +42,7 @@ RANK_BLOCK = 1 << 25
 def calibration_windows(events: DataFrame, min_events: int = MIN_WINDOW_EVENTS) -> DataFrame:
     """Short samples spread over the recording: the first 30 ms of every 350 ms slot.
 
-    Slots with enough events are thinned by a stride to at most 5000 events, and at most 40 slots
+    Slots with enough events are thinned to at most 5000 events spread over the slot, and at most 40 slots
     per stream are kept by a stride over the slots. The recording is read once and only the
     sampled share of each slot is shuffled.
     """
@@ -61,9 +62,9 @@ def calibration_windows(events: DataFrame, min_events: int = MIN_WINDOW_EVENTS)
         floor_div(F.col("seq"), RANK_BLOCK),
         total={"rank": one},
     )
-    step = F.greatest(F.floor(F.col("n") / WINDOW_POINTS), F.lit(1))
-    return thinned.where((F.col("rank") % step == 0) & (F.col("rank") < step * WINDOW_POINTS)).select(
-        *events.columns, "origin_us", "slot", (F.col("rank") / step).cast("int").alias("rank")
+    rank, n = F.col("rank"), F.col("n")
+    return thinned.where(evenly(rank, n, WINDOW_POINTS)).select(
+        *events.columns, "origin_us", "slot", thinned_rank(rank, n, WINDOW_POINTS).cast("int").alias("rank")
     )
 
 
@@ -98,11 +99,9 @@ def fit_points(samples: DataFrame, camera: CameraModel) -> tuple[DataFrame, Data
             "centre_us": (F.min("timestamp_us").over(whole) + F.max("timestamp_us").over(whole)) * 0.5,
         }
     )
-    step = F.greatest(F.floor(F.col("n") / FIT_POINTS), F.lit(1))
     x, y = F.col("x"), F.col("y")
     cropped = centred.where(
-        (F.col("rank") % step == 0)
-        & (F.col("rank") < step * FIT_POINTS)
+        evenly(F.col("rank"), F.col("n"), FIT_POINTS)
         & (x > BORDER_PX)
         & (y > BORDER_PX)
         & (x + BORDER_PX < camera.width)

@@ -15,6 +15,7 @@ from lumenflow.plans.hopping import ceil_div, explode_hops, floor_div
 from lumenflow.plans.lineage import materialise
 from lumenflow.plans.ordered import scan_ordered, spread
 from lumenflow.plans.scan import running
+from lumenflow.plans.thin import evenly
 from lumenflow.plans.sized import broadcast_if_small
 
 #: ``tick_us`` follows from the tick; as a key it travels along for free.
@@ -197,17 +198,13 @@ def rolling_detections(
     return detections.join(circles, ["stream_id", "tick"], "left")
 
 
-#: At most this many points enter a circle fit.
-CIRCLE_POINTS = 96
-
-
 def circle_fits(
     members: DataFrame, labelled: DataFrame, detections: DataFrame, cfg: ClusterConfig
 ) -> DataFrame:
-    """Robust circle per detection, from evenly strided members in (cell, seq) order.
+    """Robust circle per detection, from ``cfg.circle_points`` members spread over (cell, seq) order.
 
     A member's rank is the count of its cluster's earlier cells plus its rank inside its cell, so
-    no window is sorted as a whole. Only the strided members travel on.
+    no window is sorted as a whole. Only those members travel on.
     """
     keys = ["stream_id", "tick"]
     earlier = (
@@ -220,13 +217,12 @@ def circle_fits(
         .select(*keys, "cx", "cy", "before", "event_count")
     )
     inside = Window.partitionBy(*keys, "cx", "cy").orderBy("seq")
-    step = F.greatest(F.floor(F.col("event_count") / CIRCLE_POINTS), F.lit(1))
     points = (
         members.withColumn("cx", cell_of("x", cfg.cell_size))
         .withColumn("cy", cell_of("y", cfg.cell_size))
         .join(cells, [*keys, "cx", "cy"])
         .withColumn("rank", F.col("before") + F.row_number().over(inside) - 1)
-        .where((F.col("rank") % step == 0) & (F.col("rank") < step * CIRCLE_POINTS))
+        .where(evenly(F.col("rank"), F.col("event_count"), cfg.circle_points))
     )
     return (
         spread(points.select(*keys, "rank", "x", "y"), keys)

@@ -33,9 +33,9 @@ class LiveTracker:
             newest = rows["window_id"].max()
             if (newest - rows["window_id"].min()) * self.step_us > self.skip_lag_us:
                 rows = rows[rows["window_id"] == newest]
-                tracks = self.machine.links.tracks
+                tracks = self.machine.tracks
                 self.machine = TrackMachine(*self.args)
-                self.machine.links.tracks = tracks
+                self.machine.memory = self.machine.memory._replace(born=tracks)
         return self.machine(rows.assign(episode=0))
 
 

@@ -72,14 +72,18 @@ def rotation_scene():
     return rows
 
 
-def moving_ring(milliseconds=400, speed=800.0):
-    """A ring that crosses flickering static edges in front of a still camera (640 x 480)."""
+def crossing_ball(milliseconds=400, start=(620.0, 150.0), velocity=(-700.0, 260.0), radius=26.0, seed=17):
+    """A ball's outline that crosses the view before flickering pixels (720 x 540, still camera).
+
+    Each millisecond shows a random two thirds of the outline, jittered by a fraction of a pixel.
+    """
+    rng = np.random.default_rng(seed)
+    flicker = rng.integers([0, 0], [720, 540], size=(500, 2))
     rows = []
     for ms in range(milliseconds):
-        us = ms * 1000
-        rows += [(us, x, y) for y in range(30, 450, 3) for x in (40, 41, 600, 601)]
-        cx, cy = 100 + speed * us * 1e-6, 200
-        for i in range(180):
-            a = i * math.tau / 180
-            rows.append((us, math.floor(cx + 20 * math.cos(a) + 0.5), math.floor(cy + 20 * math.sin(a) + 0.5)))
+        angle = np.sort(rng.choice(240, 160, replace=False)) * math.tau / 240
+        centre = np.array(start) + np.array(velocity) * ms * 1e-3
+        edge = centre + radius * np.column_stack([np.cos(angle), np.sin(angle)]) + rng.normal(0, 0.2, (160, 2))
+        rows += [(ms * 1000, int(x), int(y)) for x, y in flicker]
+        rows += [(ms * 1000, int(round(x)), int(round(y))) for x, y in edge if 0 <= x < 719 and 0 <= y < 539]
     return rows

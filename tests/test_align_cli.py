@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from fixtures import event_table, imu_table, moving_ring, simple_camera
+from fixtures import event_table, imu_table, crossing_ball, simple_camera
 from lumenflow import cli
 from lumenflow.config import InvalidConfig
 from lumenflow.operators import alignment, imu
@@ -66,10 +66,10 @@ def pack_evt2(rows):
 @pytest.fixture(scope="module")
 def ring_files(tmp_path_factory):
     folder = tmp_path_factory.mktemp("ring")
-    (folder / "ring.raw").write_bytes(b"% evt 2.0\n% geometry 640x480\n" + pack_evt2(moving_ring(200)))
+    (folder / "ring.raw").write_bytes(b"% evt 2.0\n% geometry 720x540\n" + pack_evt2(crossing_ball(200)))
     (folder / "imu.csv").write_text("timestamp,gx,gy,gz\n" + "".join(f"{i * 0.01},0,0,0\n" for i in range(60)))
     (folder / "calibration.json").write_text(
-        json.dumps({"image_width": 640, "image_height": 480, "camera_matrix": [[500, 0, 320], [0, 500, 240], [0, 0, 1]]})
+        json.dumps({"image_width": 720, "image_height": 540, "camera_matrix": [[620, 0, 360], [0, 620, 270], [0, 0, 1]]})
     )
     (folder / "a.alignment").write_text("0.0\n1,0,0,0,1,0,0,0,1\n")
     return folder
@@ -87,7 +87,7 @@ def test_ball_3d_command(spark, ring_files, capsys):
     out = str(ring_files / "tracks")
     command = [
         "ball-3d", files["ring.raw"], "--imu", files["imu.csv"], "--calibration", files["calibration.json"],
-        "--alignment", files["a.alignment"], "--ball-diameter-m", "0.07", "--tracks-csv", out,
+        "--alignment", files["a.alignment"], "--ball-diameter-m", "0.09", "--tracks-csv", out,
     ]
     assert cli.main(command) == 0
     assert "track 1:" in capsys.readouterr().out
