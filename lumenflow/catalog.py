@@ -48,7 +48,7 @@ SENSOR = (24, 18)
 WINDOW = ClusterConfig(window_us=6 * HOUR_US, step_us=6 * HOUR_US, cell_size=1, min_events=5, min_cells=3, circle_fit=False)
 ROLLING = ClusterConfig(window_us=6 * HOUR_US, step_us=3 * HOUR_US, cell_size=1, min_events=5, min_cells=3)
 BACKGROUND = BackgroundConfig(radius_px=2, window_us=HOUR_US)
-STATIC = StaticConfig(cell_size=4, stable_after_us=DAY_US, min_events=40, inactive_after_us=2 * HOUR_US)
+STATIC = StaticConfig(cell_size=4, stable_after_us=DAY_US, min_events=8, inactive_after_us=8 * HOUR_US)
 
 
 def load(spark: SparkSession, folder: str, **options) -> DataFrame:
@@ -81,6 +81,12 @@ def static_filter(spark, folder):
     return filters.static_flags(load(spark, folder), STATIC)
 
 
+def static_removed(spark, folder):
+    """What the static filter lets through."""
+    flagged = static_filter(spark, folder)
+    return flagged.where(~F.col("is_static")).drop("is_static")
+
+
 def static_cleanup(spark, folder):
     return filters.cleanup_instants(load(spark, folder), STATIC.inactive_after_us)
 
@@ -559,6 +565,7 @@ QUERIES = {
         polarity_filter,
         background_filter,
         static_filter,
+        static_removed,
         static_cleanup,
         filter_chain,
         cell_counts,

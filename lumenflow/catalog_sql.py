@@ -11,6 +11,7 @@ px AS (
 EVENT = "stream_id, seq, timestamp_us, x, y, polarity"
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+IDLE = 8 * HOUR
 SIX = 6 * HOUR
 THREE = 3 * HOUR
 
@@ -29,9 +30,9 @@ EXISTS (SELECT 1 FROM {{src}} o WHERE o.seq < e.seq AND o.timestamp_us >= e.time
 # The sweep chain: the next sweep is the first event later than the last one plus the idle time.
 SWEEPS = f"""
 sweeps AS (
-  SELECT min(timestamp_us) AS c FROM px WHERE timestamp_us > {2 * HOUR}
+  SELECT min(timestamp_us) AS c FROM px WHERE timestamp_us > {IDLE}
   UNION ALL
-  SELECT (SELECT min(timestamp_us) FROM px WHERE timestamp_us > c + {2 * HOUR})
+  SELECT (SELECT min(timestamp_us) FROM px WHERE timestamp_us > c + {IDLE})
   FROM sweeps WHERE c IS NOT NULL)
 """
 
@@ -91,10 +92,10 @@ ORACLE = {
                  lag(timestamp_us) OVER (PARTITION BY x // 4, y // 4 ORDER BY seq) AS prev_us FROM px)""",
         "swept AS (SELECT p.*, s.c FROM prev p ASOF LEFT JOIN sweeps s ON s.c <= p.timestamp_us)",
         f"""opened AS (
-          SELECT *, sum(CASE WHEN prev_us IS NULL OR coalesce(c - prev_us > {2 * HOUR}, FALSE) THEN 1 ELSE 0 END)
+          SELECT *, sum(CASE WHEN prev_us IS NULL OR coalesce(c - prev_us > {IDLE}, FALSE) THEN 1 ELSE 0 END)
                     OVER (PARTITION BY sx, sy ORDER BY seq) AS session FROM swept)""",
         f"""SELECT {EVENT},
-              timestamp_us - min(timestamp_us) OVER s >= {DAY} AND row_number() OVER s >= 40 AS is_static
+              timestamp_us - min(timestamp_us) OVER s >= {DAY} AND row_number() OVER s >= 8 AS is_static
             FROM opened WINDOW s AS (PARTITION BY sx, sy, session ORDER BY seq)""",
         recursive=True,
     ),
@@ -448,3 +449,5 @@ ORACLE |= {
     "evt21_decode": _codec(2, "timestamp_us"),
     "evt3_decode": _codec(4, "timestamp_us % 16777216"),
 }
+
+ORACLE["static_removed"] = f"SELECT * EXCLUDE (is_static) FROM ({ORACLE['static_filter']}) WHERE NOT is_static"
