@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.llm.graph import components
 from lumenflow.llm.store import no_rows, saved
-from lumenflow.llm.words import blocks, mix, shingles, words
+from lumenflow.llm.words import blocks, give_back, mix, shingles, words
 
 COORDINATES = 128
 
@@ -177,6 +177,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.n
     if held:
         whole = joined()
         yield cut(whole), whole
+    give_back()
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

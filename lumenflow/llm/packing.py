@@ -39,7 +39,7 @@ class PackConfig:
     linear: float = 1.0
     quadratic: float = 1.0 / 2048
     group_tokens: int = 1 << 21
-    cache_words: int = 1 << 19
+    cache_words: int = 1 << 18
 
 
 LETTER = np.zeros(256, bool)
@@ -92,7 +92,9 @@ class WordTokens:
         self.ids = np.zeros(0, np.int32)
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        parts = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = self.tokenizer.encode_batch_fast
+        some = (texts[k : k + 2048] for k in range(0, len(texts), 2048))
+        parts = [e.ids for part in some for e in encode(part, add_special_tokens=False)]
         count = np.fromiter(map(len, parts), np.int64, len(parts))
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.deploy import ship
 from lumenflow.llm import (
     language, mixing, near_dedup, ordinal, packing, quality_rules, suffix_dedup, token_counts, top_k, url_rules,
 )
 from lumenflow.llm.sql import ORACLE  # noqa: F401
+from lumenflow.llm.store import ready
 
 URL_RULES = (
     ("block", "net/"),
@@ -38,7 +38,7 @@ def mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def language_crf(spark: SparkSession, folder: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
     labelled = language.identify(docs, model)
@@ -46,12 +46,12 @@ def language_crf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, folder: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return near_dedup.classes(table(spark, folder, "documents"), near_dedup.NearConfig(width=4))
 
 
 def packing_balanced(spark: SparkSession, folder: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     config = packing.PackConfig(vocabulary("word_bpe_49k.json"))
     pieces = packing.packed(table(spark, folder, "documents"), config)
     return pieces.select(
@@ -66,7 +66,7 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     cut = suffix_dedup.cut(suffix_dedup.numbered(docs))
     return cut.select("row.id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256")).withColumnRenamed("id", "doc_id")
@@ -80,7 +80,7 @@ def quality_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_totals(spark: SparkSession, folder: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     config = token_counts.CountConfig(vocabulary("byte_bpe_50k.tiktoken"))
     return token_counts.token_counts(table(spark, folder, "documents"), config)
 
@@ -92,13 +92,13 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def quality_grades(spark: SparkSession, folder: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     docs = table(spark, folder, "documents")
     return ordinal.grade(docs, ordinal.train(docs, ratings(table(spark, folder, "labels"))))
 
 
 def inner_product_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return top_k.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 

@@ -7,6 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenflow.deploy import ship
+
+#: Rows that Python workers receive at a time; Spark's default suits short rows, not whole texts.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+DEFAULT_ROWS, ROWS = "10000", "1000"
+
+
+def ready(spark: SparkSession) -> None:
+    """Ship the package to the executors and bound Arrow batches, where the session has the defaults."""
+    ship(spark)
+    if spark.conf.get(BATCH) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, ROWS)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, one temporary folder (tests only)."""
@@ -20,14 +33,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders written so far, oldest first.
+made: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet and go on from the files: computed once, read again after a lost executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folders: list[str], needed: DataFrame) -> None:
+    """Delete ``folders`` except those that ``needed`` reads."""
+    files = needed.inputFiles() if folders else []
+    for folder in folders:
+        name = folder.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in file for file in files):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that ``saved`` wrote and nothing reads any more."""
     session = df.sparkSession._jsparkSession

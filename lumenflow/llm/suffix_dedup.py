@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.llm.store import saved
-from lumenflow.llm.words import Block, Prefix, blocks, mix
+from lumenflow.llm.words import Block, Prefix, blocks, give_back, mix
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class SuffixConfig:
 
     length: int = 100
     gram: int = 32
-    shard: int = 1 << 20
+    shard: int = 1 << 19
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -288,6 +288,7 @@ def repeats(parts: DataFrame, config: SuffixConfig) -> DataFrame:
             yield settle_part(held)
         elif held:
             yield settle(held)
+        give_back()
 
     sorted_ = parts.repartition("key").sortWithinPartitions("key", "doc_id", "lo")
     return sorted_.select("key", "doc_id", "lo", "bytes").mapInArrow(run, "doc_id long, lo long, hi long")

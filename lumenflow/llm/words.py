@@ -6,6 +6,7 @@ codes modulo 2^64, taken from running sums, so a batch costs a few passes over i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,6 +26,15 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Block(NamedTuple):
     """Rows ``first`` to ``last`` of a batch; row r's bytes are data[offsets[r-first]:offsets[r-first+1]]."""
 
@@ -56,6 +66,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield Block(start + first, start + last, data[at[first] : at[last]], at[first : last + 1] - at[first])
             first = last
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

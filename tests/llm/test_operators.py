@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest import SF, odd_rows, prose  # noqa: F401
+from odd import SF, odd_rows, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
