@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lumenflow.config import (
     BackgroundConfig,
@@ -25,7 +25,7 @@ from lumenflow.plans.lineage import materialise
 from lumenflow.sinks import text
 from lumenflow.sources import evt
 from lumenflow.sources.calibration import parse_pixel_mask, read_calibration
-from lumenflow.sources.imu import read_imu_csv, still_imu
+from lumenflow.sources.imu import imu_of_recordings, read_imu_csv, still_imu
 
 COMMANDS = ("track-ball", "motion-compare", "ball-3d")
 
@@ -80,10 +80,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def recordings(args) -> list[str]:
+    """Stream names of the recording, or of all recordings of a folder."""
+    return [name.rsplit("/", 1)[-1] for name, _ in evt.list_files(args.recording)]
+
+
+def sensor_size(headers: DataFrame) -> tuple[int, int]:
+    """The size that all recordings of a run share; 1280 x 720 where a header has none."""
+
+    def known(name: str, usual: int):
+        return F.when(F.col(name) > 0, F.col(name)).otherwise(usual)
+
+    sizes = headers.select(known("width", 1280), known("height", 720)).distinct().take(2)
+    if len(sizes) != 1:
+        raise InvalidConfig("recording", "one run needs recordings of one sensor size")
+    return tuple(sizes[0])
+
+
 def load_events(spark: SparkSession, args) -> tuple[DataFrame, tuple[int, int]]:
     """Decoded once into the shared folder; every later stage reads columns from there."""
-    header = evt.read_header(evt.list_files(args.recording)[0][0])
-    sensor = (header.width or 1280, header.height or 720)
+    sensor = sensor_size(evt.header_table(spark, args.recording))
     events = evt.read_events(spark, args.recording, args.unwrap, format=args.format, endian=args.endian)
     if args.mask_pixels:
         events = filters.mask_pixels(events, parse_pixel_mask(args.mask_pixels, *sensor))
@@ -109,7 +125,8 @@ def track_ball(spark: SparkSession, args) -> DataFrame:
         fits = ball.parabola_fits(points, fit, order="timestamp_us")
         found = found.join(fits.select("stream_id", "tick", "fit"), ["stream_id", "tick"], "left")
     if args.max_detections:
-        found = found.orderBy("timestamp_us", "stream_id", "tick").limit(args.max_detections)
+        order = Window.partitionBy("stream_id").orderBy("timestamp_us", "tick")
+        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= args.max_detections)
     return text.detection_lines(found, with_fit=args.parabola_fit)
 
 
@@ -119,13 +136,14 @@ def motion_inputs(spark: SparkSession, args):
     camera = read_calibration(args.calibration).for_sensor(*sensor)
     if not filters.time_decreases(events).isEmpty():
         raise InvalidConfig("recording", "time goes backwards; use --unwrap")
-    if args.imu:
+    names = recordings(args)
+    if not args.imu:
+        imu = still_imu(evt.time_range(events))
+    elif len(names) == 1:
         # The samples belong to the one recording, whatever their file is called.
-        name = events.select("stream_id").first()[0]
-        imu = read_imu_csv(spark, args.imu, stream_id=name)
+        imu = read_imu_csv(spark, args.imu, stream_id=names[0])
     else:
-        span = evt.time_range(events).first()
-        imu = still_imu(spark, span.stream_id, (span.last_us - span.first_us) * 1e-6)
+        imu = imu_of_recordings(materialise(read_imu_csv(spark, args.imu)), materialise(evt.time_range(events)))
     intervals = prepared_imu(imu)
     offset, mount = 0.0, MotionConfig().mount
     if args.alignment:
@@ -136,6 +154,8 @@ def motion_inputs(spark: SparkSession, args):
         mount = text.check_mount([float(v) for v in args.imu_to_camera.split(",")])
     manual = args.alignment or args.motion_offset is not None or args.imu_to_camera
     if args.imu and (args.auto_align or not manual):
+        if len(names) > 1:
+            raise InvalidConfig("alignment", "is searched for one recording at a time; give --alignment for several")
         found = alignment.auto_align(events, intervals, camera, offset, args.alignment_range)
         offset, mount = found.offset_s, found.mount
         if args.save_alignment:
@@ -199,31 +219,35 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.command == "track-ball":
             lines = track_ball(spark, args)
+            many = len(recordings(args)) > 1
             if args.output:
-                lines.select("line").write.mode("errorifexists").text(args.output)
+                writer = lines.select(*(["stream_id"] if many else []), "line").write.mode("errorifexists")
+                (writer.partitionBy("stream_id") if many else writer).text(args.output)
             else:
-                for row in lines.orderBy("timestamp_us").toLocalIterator():
-                    print(row.line)
+                for row in lines.orderBy("stream_id", "timestamp_us").toLocalIterator():
+                    print(f"{row.stream_id} {row.line}" if many else row.line)
         elif args.command == "motion-compare":
             found = materialise(motion_compare(spark, args))
-            summary = found.agg(
+            summary = found.groupBy("stream_id").agg(
                 F.count(F.lit(1)).alias("windows"),
                 F.sum("events").alias("events"),
                 F.sum("foreground_off").alias("foreground_off"),
                 F.sum("foreground_on").alias("foreground_on"),
                 F.median(F.col("focus_on") / F.nullif("focus_off", F.lit(0))).alias("median_focus_gain"),
             )
-            print(summary.first().asDict())
+            for row in summary.orderBy("stream_id").toLocalIterator():
+                print(row.asDict())
         else:
             tracks = ball_3d(spark, args)
             if args.tracks_csv:
                 text.write_tracks(tracks, args.tracks_csv)
             if args.output:
                 tracks.write.mode("errorifexists").parquet(args.output)
-            print(metrics.state_counts(tracks, ["stream_id"]).first())
-            for row in metrics.track_summary(tracks).orderBy("track_id").toLocalIterator():
+            for row in metrics.state_counts(tracks, ["stream_id"]).orderBy("stream_id").toLocalIterator():
+                print(row.asDict())
+            for row in metrics.track_summary(tracks).orderBy("stream_id", "track_id").toLocalIterator():
                 print(
-                    f"track {row.track_id}: {row.start_s:.2f}s to {row.end_s:.2f}s, {row.measured} measured "
+                    f"{row.stream_id} track {row.track_id}: {row.start_s:.2f}s to {row.end_s:.2f}s, {row.measured} measured "
                     f"({row.outlines} with outline), depth {row.min_depth_m:.2f} to {row.max_depth_m:.2f} m"
                 )
     except (InvalidConfig, FileExistsError, FileNotFoundError) as error:

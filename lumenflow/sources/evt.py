@@ -288,10 +288,20 @@ def time_range(events: DataFrame) -> DataFrame:
 
 def header_table(spark: SparkSession, path: str) -> DataFrame:
     """One row per recording: header lines, version, size and the format that will be used."""
-    rows = []
-    for name, _ in list_files(path):
-        h = read_header(name)
-        rows.append((name.rsplit("/", 1)[-1], h.lines, h.version, h.width, h.height, h.format))
-    return spark.createDataFrame(
-        rows, "stream_id string, lines array<string>, version string, width int, height int, format string"
-    )
+    schema = "stream_id string, lines array<string>, version string, width int, height int, format string"
+
+    def headers(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            rows = []
+            for name in table.column(0).to_pylist():
+                h = read_header(name)
+                rows.append((name.rsplit("/", 1)[-1], h.lines, h.version, h.width, h.height, h.format))
+            columns = [list(c) for c in zip(*rows)] or [[]] * 6
+            kinds = (pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                ["stream_id", "lines", "version", "width", "height", "format"],
+            )
+
+    names = spark.createDataFrame([(name,) for name, _ in list_files(path)], "path string")
+    return names.mapInArrow(headers, schema)

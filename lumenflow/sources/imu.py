@@ -62,12 +62,30 @@ def rebase(samples: DataFrame, has_gravity: bool) -> DataFrame:
     )
 
 
-def still_imu(spark: SparkSession, stream_id: str, duration_s: float, step_s: float = 0.02) -> DataFrame:
-    """Zero rotation and gravity along the image's vertical, for input without an inertial sensor."""
-    count = int(duration_s / step_s) + 2
+def _stem(name: str):
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def imu_of_recordings(samples: DataFrame, spans: DataFrame) -> DataFrame:
+    """Samples of ``read_imu_csv`` under the streams of ``spans`` whose name, without ending, is the same.
+
+    A stream without samples is an error, so no recording is left out by the joins that follow.
+    """
+    streams = spans.select("stream_id", _stem("stream_id").alias("stem"))
+    files = samples.select("stream_id").distinct().select(_stem("stream_id").alias("stem"))
+    missing = streams.join(files, "stem", "left_anti").agg(F.min("stream_id"), F.count("stream_id")).first()
+    if missing[1]:
+        raise InvalidConfig("imu", f"no CSV named like {missing[0]} ({missing[1]} recordings without samples)")
+    return samples.withColumn("stem", _stem("stream_id")).drop("stream_id").join(streams, "stem").drop("stem")
+
+
+def still_imu(spans: DataFrame, step_s: float = 0.02) -> DataFrame:
+    """Zero rotation and gravity along the image's vertical over each stream's time (stream_id, first_us, last_us)."""
+    duration_s = (F.col("last_us") - F.col("first_us")) * 1e-6
+    ids = F.sequence(F.lit(0).cast("long"), F.floor(duration_s / step_s) + 1)
     zero = F.lit(0.0)
-    return spark.range(count).select(
-        F.lit(stream_id).alias("stream_id"),
+    return spans.select("stream_id", F.explode(ids).alias("id")).select(
+        "stream_id",
         (F.col("id") * step_s).alias("time_s"),
         *[zero.alias(c) for c in GYRO],
         *[F.lit(g).alias(c) for g, c in zip((0.0, 1.0, 0.0), GRAVITY)],

@@ -106,3 +106,58 @@ def test_motion_compare_command(spark, ring_files, capsys):
     assert cli.main(command) == 0
     assert "median_focus_gain" in capsys.readouterr().out
     assert spark.read.parquet(frames).select("panel").distinct().count() == 4
+
+
+@pytest.fixture(scope="module")
+def two_recordings(tmp_path_factory, ring_files):
+    """The same ball in two recordings, the second one shorter; a camera at rest."""
+    folder = tmp_path_factory.mktemp("several")
+    (folder / "raw").mkdir()
+    (folder / "imu").mkdir()
+    for name, updates in (("one", 200), ("two", 160)):
+        body = b"% evt 2.0\n% geometry 720x540\n" + pack_evt2(crossing_ball(updates))
+        (folder / "raw" / f"{name}.raw").write_bytes(body)
+        (folder / "imu" / f"{name}.csv").write_text((ring_files / "imu.csv").read_text())
+    return folder
+
+
+def several(command, folder, ring_files, *more):
+    calibration, aligned = str(ring_files / "calibration.json"), str(ring_files / "a.alignment")
+    return [command, str(folder / "raw"), "--calibration", calibration, "--alignment", aligned, *more]
+
+
+@pytest.mark.parametrize("imu_folder", ["imu", None])
+def test_ball_3d_of_several_recordings(spark, ring_files, two_recordings, capsys, imu_folder):
+    out = str(two_recordings / f"tracks-{imu_folder}")
+    more = ["--imu", str(two_recordings / imu_folder)] if imu_folder else []
+    command = several("ball-3d", two_recordings, ring_files, "--ball-diameter-m", "0.09", "--output", out, *more)
+    assert cli.main(command) == 0
+    shown = capsys.readouterr().out
+    assert "one.raw track 1:" in shown and "two.raw track 1:" in shown
+    measured = spark.read.parquet(out).where("state = 'measured'").groupBy("stream_id").count().collect()
+    assert {r.stream_id for r in measured} == {"one.raw", "two.raw"} and all(r["count"] > 5 for r in measured)
+
+
+def test_several_recordings_need_samples_each(ring_files, two_recordings, tmp_path, capsys):
+    (tmp_path / "one.csv").write_text((ring_files / "imu.csv").read_text())
+    more = ["--ball-diameter-m", "0.09", "--imu", str(tmp_path)]
+    assert cli.main(several("ball-3d", two_recordings, ring_files, *more)) == 1
+    assert "two.raw" in capsys.readouterr().err
+    search = [*several("ball-3d", two_recordings, ring_files, *more[:2], "--imu", str(two_recordings / "imu")), "--auto-align"]
+    assert cli.main(search) == 1
+    assert "one recording at a time" in capsys.readouterr().err
+
+
+def test_track_ball_of_several_recordings(spark, two_recordings, tmp_path):
+    out = str(tmp_path / "lines")
+    command = [str(two_recordings / "raw"), "track-ball", "--max-detections", "3", "--no-circle-fit", "--min-events", "50"]
+    assert cli.main([*command, "--output", out]) == 0
+    rows = spark.read.text(out).groupBy("stream_id").count().collect()
+    assert {r.stream_id: r["count"] for r in rows} == {"one.raw": 3, "two.raw": 3}
+
+
+def test_recordings_of_one_size_only(spark, two_recordings, tmp_path, capsys):
+    for name, size in (("a", b"720x540"), ("b", b"640x480")):
+        (tmp_path / f"{name}.raw").write_bytes(b"% evt 2.0\n% geometry " + size + b"\n" + pack_evt2(crossing_ball(2)))
+    assert cli.main([str(tmp_path), "track-ball"]) == 1
+    assert "one sensor size" in capsys.readouterr().err
