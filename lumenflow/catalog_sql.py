@@ -258,6 +258,41 @@ vec AS (
          CASE WHEN covered THEN (cos(d0) - sin(d0) * rx) * (1 - f) + (cos(d1) - sin(d1) * rx) * f ELSE 1.0 END AS vz
   FROM ray)
 """
+# Both versions of every window, as windows 2 w (unturned) and 2 w + 1 (turned).
+TURNED = """
+pt AS (
+  SELECT window_id * 2 + kind AS window_id, pos / 600 AS age,
+         CASE kind WHEN 1 THEN 20.0 * vx / vz + 12.0 ELSE 20.0 * rx + 12.0 END AS px,
+         CASE kind WHEN 1 THEN 21.0 * (CASE WHEN covered THEN ry * (1 - f) + ry * f ELSE ry END) / vz + 9.0
+                   ELSE 21.0 * ry + 9.0 END AS py
+  FROM vec, (VALUES (0), (1)) AS k(kind)),
+placed AS (
+  SELECT *, CAST(floor(floor(px) / 3) AS INTEGER) AS cx, CAST(floor(floor(py) / 3) AS INTEGER) AS cy
+  FROM pt WHERE px >= 0 AND px < 24 AND py >= 0 AND py < 18),
+mc AS (
+  SELECT (SELECT min(stream_id) FROM sh) AS stream_id, window_id, cx, cy, count(*) AS n,
+         sum(age) / count(*) AS mean_age, count(*) FILTER (age < 0.25) AS early
+  FROM placed GROUP BY ALL),
+scored AS (SELECT *, avg(mean_age) FILTER (n >= 3) OVER (PARTITION BY window_id) AS window_age FROM mc),
+late AS (SELECT * FROM scored WHERE n >= 3 AND mean_age - window_age > 0.12)
+"""
+TURNED_TABLES = """
+flag AS (
+  SELECT window_id, cx, cy,
+         count(*) OVER r >= 2 AND count(*) FILTER (early_support < 3) OVER r >= count(*) OVER r * 0.1 AS keep
+  FROM support JOIN marked USING (window_id, cx, cy) WINDOW r AS (PARTITION BY window_id, label)),
+hits AS (SELECT window_id, count(*) AS n FROM placed JOIN flag USING (window_id, cx, cy) WHERE keep GROUP BY ALL),
+corner AS (
+  SELECT window_id, floor(px / 3) + i AS ix, floor(py / 3) + j AS iy,
+         (CASE i WHEN 1 THEN px / 3 - floor(px / 3) ELSE 1 - (px / 3 - floor(px / 3)) END)
+         * (CASE j WHEN 1 THEN py / 3 - floor(py / 3) ELSE 1 - (py / 3 - floor(py / 3)) END) AS v
+  FROM pt, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS c(i, j)
+  WHERE px >= 0 AND py >= 0 AND px / 3 < 7 AND py / 3 < 5),
+energy AS (
+  SELECT window_id, round(sum(v * v), 6) AS focus
+  FROM (SELECT window_id, ix, iy, sum(v) AS v FROM corner GROUP BY ALL) GROUP BY ALL),
+total AS (SELECT window_id, count(*) AS events FROM vec GROUP BY ALL)
+"""
 KALMAN = f"""
 z AS (
   SELECT *, row_number() OVER (ORDER BY timestamp_us) AS rn FROM (
@@ -400,6 +435,15 @@ ORACLE |= {
         """SELECT window_id, seq, covered, round(20.0 * vx / vz + 12.0, 4) AS px,
              round(21.0 * (CASE WHEN covered THEN ry * (1 - f) + ry * f ELSE ry END) / vz + 9.0, 4) AS py FROM vec""",
     ),
+    "turned_foreground": _with(
+        SHRUNK, SAMPLES, ANGLES, TURNED, LATE_LABELS, TURNED_TABLES,
+        """SELECT (SELECT min(stream_id) FROM sh) AS stream_id, CAST(t.window_id AS BIGINT) AS window_id, events,
+             coalesce(h.n, 0) AS foreground_off, coalesce(g.n, 0) AS foreground_on,
+             e.focus AS focus_off, d.focus AS focus_on
+           FROM total t LEFT JOIN hits h ON h.window_id = 2 * t.window_id LEFT JOIN hits g ON g.window_id = 2 * t.window_id + 1
+           LEFT JOIN energy e ON e.window_id = 2 * t.window_id LEFT JOIN energy d ON d.window_id = 2 * t.window_id + 1""",
+        recursive=True,
+    ),
     "foreground_cells": _with(
         SHRUNK, STILL,
         """SELECT stream_id, CAST(window_id AS BIGINT) AS window_id, cx, cy, n, early, round(mean_age, 8) AS mean_age,
