@@ -54,6 +54,14 @@ def parser() -> argparse.ArgumentParser:
     track.add_argument("--raw-polarity", action="store_true")
     track.add_argument("--filter-background-activity", action="store_true")
     track.add_argument("--filter-static", action="store_true")
+    background, static = BackgroundConfig(), StaticConfig()
+    for name, value in (
+        ("background-radius-px", background.radius_px), ("background-window-us", background.window_us),
+        ("background-cleanup-after-us", background.cleanup_after_us), ("static-cell-size", static.cell_size),
+        ("static-stable-after-us", static.stable_after_us), ("static-min-events", static.min_events),
+        ("static-inactive-after-us", static.inactive_after_us),
+    ):
+        track.add_argument(f"--{name}", type=int, default=value)
     track.add_argument("--parabola-fit", action="store_true")
     track.add_argument("--calibration")
 
@@ -110,8 +118,14 @@ def track_ball(spark: SparkSession, args) -> DataFrame:
     events, sensor = load_events(spark, args)
     accept = filters.configured(
         PolarityConfig(args.polarity, not args.raw_polarity),
-        BackgroundConfig() if args.filter_background_activity else None,
-        StaticConfig() if args.filter_static else None,
+        BackgroundConfig(args.background_radius_px, args.background_window_us, args.background_cleanup_after_us)
+        if args.filter_background_activity
+        else None,
+        StaticConfig(
+            args.static_cell_size, args.static_stable_after_us, args.static_min_events, args.static_inactive_after_us
+        )
+        if args.filter_static
+        else None,
     )
     cfg = ClusterConfig(
         args.window_us, args.step_us, args.cell_size, args.min_events, args.min_cells,

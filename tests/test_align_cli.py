@@ -82,6 +82,17 @@ def test_track_ball_command(spark, ring_files, capsys):
     assert len(lines) == 3 and all(line.startswith("t=") and "circle=none" in line for line in lines)
 
 
+def test_filter_options_take_effect(ring_files, capsys):
+    command = [str(ring_files / "ring.raw"), "track-ball", "--no-circle-fit", "--min-events", "50", "--max-detections", "2"]
+    assert cli.main([*command, "--filter-background-activity", "--background-radius-px", "0"]) == 0
+    assert capsys.readouterr().out == ""  # nothing supports an event within no distance
+    static = ["--filter-static", "--static-min-events", "1", "--static-stable-after-us", "0", "--static-cell-size", "720"]
+    assert cli.main([*command, *static]) == 0
+    assert capsys.readouterr().out == ""  # one cell holds all events
+    assert cli.main([*command, "--filter-static", "--static-cell-size", "0"]) == 1
+    assert "static_cell_size" in capsys.readouterr().err
+
+
 def test_ball_3d_command(spark, ring_files, capsys):
     files = {n: str(ring_files / n) for n in ("ring.raw", "imu.csv", "calibration.json", "a.alignment")}
     out = str(ring_files / "tracks")
