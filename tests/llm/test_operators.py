@@ -391,6 +391,41 @@ def test_token_counts(odd, empty, documents):
     assert token_counts.token_counts(empty, config).count() == 0
 
 
+def test_token_counts_of_whole_pretokens(spark):
+    """Pre-tokens and pieces over 64 bytes, by a reading without any bound."""
+    import base64
+    import re
+
+    pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PIECES, "rb"))}
+    longest = max(map(len, pieces))
+    assert longest == 128
+
+    def count(token):
+        best = [(0.0, 0)] + [(-math.inf, 0)] * len(token)
+        for end in range(1, len(token) + 1):
+            for size in range(min(end, longest), 0, -1):
+                rank = pieces.get(token[end - size : end])
+                if rank is not None and best[end - size][0] - math.log(rank + 2.7) > best[end][0]:
+                    best[end] = best[end - size][0] - math.log(rank + 2.7), best[end - size][1] + 1
+        return best[-1][1]
+
+    large = [p for p in pieces if len(p) > 64 and not p.strip(b" ") == b"" and not set(p) & set(b"\t\n\v\f\r")]
+    assert large
+    noise = base64.b64encode(np.random.default_rng(5).bytes(3000)).decode()
+    rows = [
+        "see https://example.org/" + "/".join(f"section-{k}" for k in range(20)) + "?q=information&lang=en here",
+        noise, "a " + noise[:65] + " " + noise[:64] + "  " + noise[:63], "\u4e2d\u6587\u6ca1\u6709\u7a7a\u683c\u3002" * 40, "internationalization" * 30,
+        *("begin" + p.decode("utf-8", "ignore") + "end" for p in large), *(p.decode("utf-8", "ignore") for p in large), "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = []
+    for k, text in enumerate(rows):
+        tokens = re.findall(rb"\x20?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]", text.encode())
+        want.append((k, len(text.encode()), len(tokens), sum(map(count, tokens))))
+    for config in (token_counts.CountConfig(PIECES), token_counts.CountConfig(PIECES, shared=4, stretch=37)):
+        assert sorted(tuple(r) for r in token_counts.token_counts(docs, config).collect()) == want
+
+
 # graded quality -------------------------------------------------------------------------------
 
 
