@@ -7,8 +7,9 @@
 2. The bytes of the remaining segments (parts of texts that agree near the anchor and differ further
    off) are dealt by anchor and neighbouring gram to shards. Each shard's suffix array is built by
    Larsson-Sadakane refinement, Kasai's method gives common prefixes, and runs with a common prefix
-   of at least ``length`` are equal windows. An anchor too frequent for one shard is spread over
-   several, whose sorted distinct windows are merged by binary search.
+   of at least ``length`` are equal windows. The segments of an anchor too frequent for one shard are
+   salted over several, in tasks of their own; each hands on its distinct windows once, and those of
+   all shards meet by 128-bit digest.
 3. Per text, removed windows are joined into spans.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 from lumenflow.llm.store import saved
 from lumenflow.llm.words import Block, Prefix, blocks, give_back, mix
 
+NAMES = ["doc_id", "lo", "hi", "digest"]
+DIGESTS = 1 << 16  # windows a worker hands on at a time
+
 
 @dataclass(frozen=True)
 class SuffixConfig:
@@ -197,7 +202,11 @@ def equal_windows(data: np.ndarray, end: np.ndarray, config: SuffixConfig) -> tu
 
 
 def repeats(parts: DataFrame, config: SuffixConfig) -> DataFrame:
-    """Removed windows (doc_id, lo, hi) among segments (key, doc_id, lo, bytes) that share a key."""
+    """Removed windows (doc_id, lo, hi) among segments (key, salted, doc_id, lo, bytes) that share a key.
+
+    Under salted keys, also the earliest of each distinct window with its ``digest``, else null: the same
+    window may be under another salt.
+    """
 
     def shard(ids: np.ndarray, lo: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Windows of the shard in suffix order: doc, start, head of run, and the bytes they begin at."""
@@ -225,97 +234,59 @@ def repeats(parts: DataFrame, config: SuffixConfig) -> DataFrame:
         head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-        return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first]), pa.array(start[last])], ["doc_id", "lo", "hi"])
+        none = pa.nulls(len(first), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first]), pa.array(start[last]), none], NAMES)
+
+    def settle(rows: list, salted: bool) -> Iterator[pa.RecordBatch]:
+        ids = np.array([r[2] for r in rows], np.int64)
+        lo = np.array([r[3] for r in rows], np.int64)
+        doc, start, head, place, data = shard(ids, lo, [r[4] for r in rows])
+        mark, first = later(doc, start, head)
+        yield runs(doc[mark], start[mark])
+        raw = data.tobytes() if salted else b""
+        for k in range(0, len(first) if salted else 0, DIGESTS):
+            some = first[k : k + DIGESTS]
+            digest = [hashlib.blake2b(raw[x : x + config.length], digest_size=16).digest() for x in place[some].tolist()]
+            at = pa.array(start[some])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), at, at, pa.array(digest, pa.binary())], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[bool, int, int, int, bytes]] = []
         size = 0
-        merged: tuple | None = None  # sorted distinct windows of one key's earlier shards, doc, start
-
-        def settle(rows: list) -> pa.RecordBatch:
-            ids = np.array([r[1] for r in rows], np.int64)
-            lo = np.array([r[2] for r in rows], np.int64)
-            doc, start, head, _, _ = shard(ids, lo, [r[3] for r in rows])
-            mark, _ = later(doc, start, head)
-            return runs(doc[mark], start[mark])
-
-        def settle_part(rows: list) -> pa.RecordBatch:
-            """One shard of a key that has several: rows come in ascending (doc_id, lo)."""
-            nonlocal merged
-            ids = np.array([r[1] for r in rows], np.int64)
-            lo = np.array([r[2] for r in rows], np.int64)
-            doc, start, head, place, data = shard(ids, lo, [r[3] for r in rows])
-            mark, first = later(doc, start, head)
-            text = np.lib.stride_tricks.sliding_window_view(data, config.length)
-            windows = np.ascontiguousarray(text[place[first]]).view(f"V{config.length}").ravel()
-            windows = _sortable(windows)
-            if merged is not None and len(windows):
-                at = np.searchsorted(merged, windows)
-                known = merged[np.minimum(at, len(merged) - 1)] == windows
-                run_ = np.cumsum(head) - 1
-                mark |= known[run_]  # earlier shards hold earlier texts only
-                windows = windows[~known]
-                merged = np.insert(merged, at[~known], windows)
-            elif merged is None:
-                merged = windows
-            return runs(doc[mark], start[mark])
-
-        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-        last = None
         for batch in batches:
-            for row in rows_of(batch):
-                if row[0] != last:
-                    if merged is not None:
-                        if held:
-                            yield settle_part(held)
-                        held, size, merged = [], 0, None
-                    elif size >= config.shard:
-                        yield settle(held)
-                        held, size = [], 0
-                    last = row[0]
-                elif size >= 2 * config.shard:
-                    # whole keys before this one first, then the key's own shards one after another
-                    whole = [r for r in held if r[0] != last]
-                    if whole:
-                        yield settle(whole)
-                    yield settle_part([r for r in held if r[0] == last])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (row[0] != held[-1][0] or row[1] != held[-1][1] and size >= config.shard):
+                    yield from settle(held, held[-1][0])
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
-        if merged is not None and held:
-            yield settle_part(held)
-        elif held:
-            yield settle(held)
+                size += len(row[4])
+        if held:
+            yield from settle(held, held[-1][0])
         give_back()
 
-    sorted_ = parts.repartition("key").sortWithinPartitions("key", "doc_id", "lo")
-    return sorted_.select("key", "doc_id", "lo", "bytes").mapInArrow(run, "doc_id long, lo long, hi long")
-
-
-def _sortable(windows: np.ndarray) -> np.ndarray:
-    """Raw windows as byte strings that compare like them (S drops only trailing zeros, of equal length here)."""
-    return windows.view(f"S{windows.dtype.itemsize}") if len(windows) else windows.astype(f"S{windows.dtype.itemsize}")
+    sorted_ = parts.repartition("key").sortWithinPartitions("salted", "key", "doc_id", "lo")
+    schema = "doc_id long, lo long, hi long, digest binary"
+    return sorted_.select("salted", "key", "doc_id", "lo", "bytes").mapInArrow(run, schema)
 
 
 def windows_to_compare(docs: DataFrame, found: DataFrame, config: SuffixConfig) -> DataFrame:
-    """Bytes (key, doc_id, lo, bytes) of segments (doc_id, lo, hi, at, anchor), from the texts.
+    """Bytes (key, salted, doc_id, lo, bytes) of segments (doc_id, lo, hi, at, anchor, salt), from the texts.
 
     A window reaches far to the left or to the right of its anchor. Segments are cut between the two
     and keyed by the gram on that side as well, so a frequent short phrase does not gather them all.
+    A salt of 0 or more goes into the key.
     """
     side = (config.length - config.gram) // 2
-    wanted = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "at", "anchor"))).alias("s"))
+    wanted = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "at", "anchor", "salt"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             texts = batch.column(1).cast(pa.large_binary())
             lists = batch.column(2)
             begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             flat = lists.flatten()
-            lo, hi, at, anchor = (flat.field(k).to_numpy() for k in range(4))
+            lo, hi, at, anchor, salt = (flat.field(k).to_numpy() for k in range(5))
             for r, doc in enumerate(batch.column(0).to_pylist()):
                 text = texts[r].as_py()
                 own = slice(begin[r], begin[r + 1])
@@ -331,31 +302,50 @@ def windows_to_compare(docs: DataFrame, found: DataFrame, config: SuffixConfig)
                     first, last, mid = first[use], last[use], at[own][use]
                     a, b = (mid - side, mid) if left else (mid + config.gram, mid + config.gram + side)
                     key = mix(prefix.of(a, b) ^ mix(anchor[own][use].view(np.uint64) + np.uint64(left)))
+                    salted = salt[own][use] >= 0
+                    key = np.where(salted, mix(key + mix(salt[own][use].view(np.uint64))), key)
                     out[0] += key.view(np.int64).tolist()
-                    out[1] += [doc] * len(use)
-                    out[2] += first.tolist()
-                    out[3] += [text[x : y + config.length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    out[1] += salted.tolist()
+                    out[2] += [doc] * len(use)
+                    out[3] += first.tolist()
+                    out[4] += [text[x : y + config.length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["key", "doc_id", "lo", "bytes"]
+                [pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["key", "salted", "doc_id", "lo", "bytes"]
             )
 
     # the same columns as in ``cut``: both joins then share one shuffle of the texts
     rows = docs.join(wanted, "doc_id").select("doc_id", "text", "s", *docs.columns[2:])
-    return rows.mapInArrow(run, "key long, doc_id long, lo long, bytes binary")
+    return rows.mapInArrow(run, "key long, salted boolean, doc_id long, lo long, bytes binary")
 
 
-def removed_windows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
-    """Starts (doc_id, lo..hi) of windows that occur earlier."""
+def repeated_segments(docs: DataFrame, config: SuffixConfig) -> DataFrame:
+    """Segments of ``anchors`` that are ``again`` or share an anchor with different ones.
+
+    ``salt`` is -1, or a number below the shards that the bytes to compare under the anchor fill.
+    """
     found = anchors(docs, config)
     every = Window.partitionBy("anchor")
     order = every.orderBy("segment", "doc_id", "lo")
     same = F.lag("segment").over(order) == F.col("segment")
     found = found.withColumn("again", F.col("again") | F.coalesce(same, F.lit(False)))
     found = found.withColumn("varied", F.min("segment").over(every) != F.max("segment").over(every))
-    found = saved(found.filter("again OR varied"))
-    compared = windows_to_compare(docs, found.filter("NOT again"), config)
-    return found.filter("again").select("doc_id", "lo", "hi").unionByName(repeats(compared, config))
+    # a segment is cut in two, each with its windows' further bytes
+    size = F.sum(F.when(~F.col("again"), F.col("hi") - F.col("lo") + 2 * config.length)).over(every)
+    salt = F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("size") / config.shard))
+    found = found.withColumn("size", size)
+    found = found.withColumn("salt", F.when(F.col("size") > 2 * config.shard, salt).otherwise(-1).cast("long"))
+    return saved(found.drop("size").filter("again OR varied"))
+
+
+def removed_windows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
+    """Starts (doc_id, lo..hi) of windows that occur earlier."""
+    found = repeated_segments(docs, config)
+    compared = saved(repeats(windows_to_compare(docs, found.filter("NOT again"), config), config))
+    place = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id", "lo"))
+    across = compared.filter("digest IS NOT NULL").withColumn("place", place).filter("place > 1")
+    removed = (found.filter("again"), compared.filter("digest IS NULL"), across)
+    return reduce(DataFrame.unionByName, [x.select("doc_id", "lo", "hi") for x in removed])
 
 
 def cut(texts: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:

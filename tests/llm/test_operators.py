@@ -278,6 +278,21 @@ def test_repeated_strings_of_one_anchor(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute.repeated_bytes(rows)
 
 
+def test_repeated_strings_of_a_hot_key_are_spread(spark):
+    """A line of 66 to 99 bytes in differing surroundings: no key holds more than a few shards of bytes."""
+    line = "a line that very many of these documents carry in their midst, of some ninety bytes in all"
+    assert 66 <= len(line) <= 99
+    rows = [(k, prose(k % 350, 15) + " " + line + " " + prose(k + 500, 20)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    config = suffix_dedup.SuffixConfig(shard=4000)
+    found = suffix_dedup.repeated_segments(docs, config)
+    compared = suffix_dedup.windows_to_compare(docs, found.filter("NOT again"), config)
+    sizes = [r.n for r in compared.groupBy("key").agg(F.sum(F.length("bytes")).alias("n")).collect()]
+    assert sum(sizes) > 10 * config.shard and max(sizes) < 3 * config.shard
+    got = suffix_dedup.cut(docs, config).withColumn("sha", F.sha2("rest", 256)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute.repeated_bytes(rows)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
     data = rng.integers(0, 3, 500).astype(np.uint8)
