@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.llm.store import saved
@@ -348,11 +348,12 @@ def removed_windows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
     return reduce(DataFrame.unionByName, [x.select("doc_id", "lo", "hi") for x in removed])
 
 
-def cut(texts: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
+def cut(texts: DataFrame, config: SuffixConfig = SuffixConfig(), characters: bool = False) -> DataFrame:
     """Per row of ``texts`` (doc_id, text, more): doc_id, n_bytes, n_removed, n_spans, ``rest``, and the further columns.
 
     ``rest`` is what remains, as bytes; spans are maximal removed ranges. A null text is empty. Ids
-    must be distinct and not null (``numbered`` makes them so). An empty table gives an empty one.
+    must be distinct and not null (``numbered`` makes them so). An empty table gives an empty one. With
+    ``characters``, spans grow to whole characters at their edges.
     """
     texts = texts.filter("doc_id IS NOT NULL")
     removed = removed_windows(texts, config)
@@ -369,6 +370,8 @@ def cut(texts: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
                 spans_: list[list[int]] = []
                 for x in own.as_py() or ():
                     a, b = x["lo"], x["hi"] + config.length
+                    if characters:
+                        a, b = _widened(text, a, b)
                     if spans_ and a <= spans_[-1][1]:
                         spans_[-1][1] = max(spans_[-1][1], b)
                     else:
@@ -413,9 +416,8 @@ def strip(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     A character cut in the middle is removed whole. Documents stay even if nothing is left of them;
     a null text stays null.
     """
-    rest = cut(numbered(docs), config).select("row", "rest", "n_bytes", "n_removed")
-    text = F.when(F.col("n_removed") > 0, _text(F.col("rest"))).otherwise(F.col("rest").cast("string"))
-    rest = rest.withColumn("text", F.when(~F.col("row.none"), text))
+    rest = cut(numbered(docs), config, characters=True).select("row", "rest")
+    rest = rest.withColumn("text", F.when(~F.col("row.none"), F.col("rest").cast("string")))
     kinds = dict(docs.dtypes)
     columns = []
     for c in docs.columns:
@@ -428,6 +430,11 @@ def strip(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     return rest.select(*columns)
 
 
-def _text(rest: Column) -> Column:
-    """Bytes as text, without fragments of characters."""
-    return F.translate(F.make_valid_utf8(rest.cast("string")), "\ufffd", "")
+def _widened(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """Range a..b with the rest of a UTF-8 character that either edge cuts."""
+    if a < len(text) and text[a] & 0xC0 == 0x80:
+        a = next((k for k in range(a - 1, max(a - 4, -1), -1) if text[k] >= 0xC0), a)
+    for _ in range(3):
+        if b < len(text) and text[b] & 0xC0 == 0x80:
+            b += 1
+    return a, b

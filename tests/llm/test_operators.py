@@ -293,6 +293,19 @@ def test_repeated_strings_of_a_hot_key_are_spread(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute.repeated_bytes(rows)
 
 
+def test_strip_keeps_replacement_characters(spark):
+    """Only characters that the edge of a removed span cuts go with it."""
+    again = prose(1, 40)
+    rows = [
+        (0, "\u4e2d" + again + "\u6587 first"),
+        (1, "own \ufffd\u4e2d\ufffd " + "\u4e2d" + again + "\u6587 \ufffd tail"),
+        (2, "\u4e2e" + again + "\u6586\u00e9"),  # two bytes in common before, and the first two after
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.strip(docs).collect()}
+    assert got == {0: rows[0][1], 1: "own \ufffd\u4e2d\ufffd \ufffd tail", 2: "\u4e2e\u00e9"}
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
     data = rng.integers(0, 3, 500).astype(np.uint8)
