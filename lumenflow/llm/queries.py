@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenflow.llm import (
-    language, mixing, near_dedup, ordinal, packing, quality_rules, suffix_dedup, token_counts, top_k, url_rules,
+    collocations, language, lexical, line_dedup, mixing, near_dedup, ordinal, packing, quality_rules, suffix_dedup,
+    token_counts, top_k, url_rules,
 )
 from lumenflow.llm.sql import ORACLE  # noqa: F401
 from lumenflow.llm.store import ready
@@ -102,6 +103,22 @@ def inner_product_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def repeated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    cut = line_dedup.with_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing_to_weights,
     "op2_language_id": language_crf,
@@ -113,4 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_totals,
     "op9_quality_classifier": quality_grades,
     "op10_top_k": inner_product_top_k,
+    "op11_collocations": phrase_collocations,
+    "op12_line_dedup": repeated_lines,
+    "op13_lexical_search": lexical_search,
 }

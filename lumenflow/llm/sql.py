@@ -141,9 +141,79 @@ SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
+CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def collocations_sql(least: int = 100, top: int = 2000) -> str:
+    leads = ", ".join(f"lead(w, {k}) OVER o AS w{k}" for k in range(1, 5))
+    grams = "\nUNION ALL ".join(
+        f"SELECT lang, {n} AS words, list_value({', '.join(['w', *(f'w{k}' for k in range(1, n))])}) AS g FROM s"
+        f" WHERE {f'w{n - 1} IS NOT NULL' if n > 1 else 'true'}"
+        for n in range(1, 6)
+    )
+    return f"""
+WITH p AS (
+  SELECT row_number() OVER () AS k, lang, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), {CAPITALS}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+w AS (SELECT k, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT k, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p)),
+totals AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, {leads} FROM w WINDOW o AS (PARTITION BY k ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, words, g, count(*) AS f FROM ({grams}) GROUP BY ALL HAVING count(*) >= {least}),
+covered AS (SELECT DISTINCT lang, g, f FROM (
+  SELECT lang, g[1:words - 1] AS g, f FROM f WHERE words > 2 UNION ALL SELECT lang, g[2:words] AS g, f FROM f WHERE words > 2)),
+opened AS (SELECT * FROM f WHERE words > 1 AND NOT EXISTS (
+  SELECT 1 FROM covered c WHERE c.lang = f.lang AND c.g = f.g AND c.f = f.f)),
+cut AS (
+  SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM opened) c JOIN totals t ON c.lang = t.lang
+  JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:c.words]),
+lowest AS (SELECT lang, g, any_value(a) AS a, any_value(n) AS n, min((score, k, l, r)) AS x FROM cut GROUP BY lang, g),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, x[3] AS l, x[4] AS r, n, x[1] AS score FROM lowest)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM ranked)
+WHERE rank <= {top}
+"""
+
+
+LINES = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT k, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {CAPITALS}) AS key FROM l),
+firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key),
+judged AS (SELECT k, doc_id, line, i, coalesce(doc_id IS NULL AND first IS NOT NULL OR doc_id > first, false) AS goes
+  FROM keyed LEFT JOIN firsts USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+FROM judged GROUP BY k
+"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), {CAPITALS}), '{TERM}') AS ws FROM documents),
+c AS (SELECT count(*) AS docs, sum(len(ws)) AS words FROM d WHERE len(ws) > 0),
+p AS (SELECT k, doc_id, own, t, count(*) AS tf FROM (SELECT k, doc_id, len(ws) AS own, unnest(ws) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, docs),
+q AS (SELECT i, item_id, t, count(*) AS repeats FROM (
+  SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {CAPITALS}), '{TERM}')) AS t
+  FROM benchmark) GROUP BY ALL),
+s AS (
+  SELECT i, item_id, k, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * own * docs) // words))))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN p USING (t), c GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20
+"""
+
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing_sql(),
     "op5_url_filters": URL,
     "op7_quality_rules": quality_sql(),
     "op10_top_k": TOP_K,
+    "op11_collocations": collocations_sql(),
+    "op12_line_dedup": LINES,
+    "op13_lexical_search": LEXICAL,
 }
