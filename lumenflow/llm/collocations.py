@@ -5,9 +5,9 @@
    passages give equal chunks and every phrase lies whole in the chunk in which it begins. A phrase counts
    there and only there: what begins in the overlap belongs to the next chunk.
 2. The dictionary of distinct chunks with parse frequencies is all that is counted from here on.
-3. Level by level, n-grams of distinct chunks are counted under 64-bit keys, weighted by frequency and
-   combined inside a task. Only n-grams whose two parts of n - 1 words reached ``least`` are counted, as far
-   as a filter of bounded size can tell; equal keys of different phrases can only let more through.
+3. Words, then pairs of frequent words, then longer phrases of frequent pairs are counted in distinct chunks,
+   weighted by frequency and combined inside a task. Phrases are counted under 64-bit keys first; a filter of
+   bounded size says which parts are frequent. Equal keys, or a full filter, only let more through.
 4. What is left is counted once more as text, so counts are exact, and cut, scored and ranked as rows.
 
 Odd input: a null or empty text has no words; a null ``lang`` is ``und``. Repeated rows count each time.
@@ -90,19 +90,21 @@ def parse(docs: DataFrame, config: CollocationConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch["lang"].to_pylist()
+            names, codes = coded(batch["lang"])
             found: dict[tuple[str, bool], Counter] = defaultdict(Counter)
             for block in blocks(batch["text"]):
                 block = block._replace(data=_PLAIN[block.data])
                 row, first, end, tail = cuts(block, config.longest, config.trigger)
                 raw = block.data.tobytes()
-                chunks = [raw[a:b] for a, b in zip(first.tolist(), end.tolist())]
-                wide = np.flatnonzero(double_spaces(block.data, first, end))
-                for k in wide.tolist():
-                    chunks[k] = b" ".join(chunks[k].split())
-                owner = [langs[block.first + r] for r in row.tolist()]
-                for key, chunk in zip(zip(owner, tail.tolist()), chunks):
-                    found[key][chunk] += 1
+                kind = codes[block.first : block.last][row] * 2 + tail
+                wide = double_spaces(block.data, first, end)
+                for k in np.unique(kind).tolist():
+                    key = names[k // 2], bool(k % 2)
+                    mine = kind == k
+                    some = mine & ~wide
+                    found[key].update([raw[a:b] for a, b in zip(first[some].tolist(), end[some].tolist())])
+                    some = mine & wide
+                    found[key].update([b" ".join(raw[a:b].split()) for a, b in zip(first[some].tolist(), end[some].tolist())])
             for (name, cut), counter in found.items():
                 n = len(counter)
                 columns = [pa.array([name] * n, pa.string()), pa.array(list(counter), pa.binary()).cast(pa.string()),
@@ -114,6 +116,12 @@ def parse(docs: DataFrame, config: CollocationConfig) -> DataFrame:
     return own.mapInArrow(run, "lang string, chunk string, tail boolean, times long")
 
 
+def coded(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Distinct values and the place of each row's value among them."""
+    found = column.dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy()
+
+
 def double_spaces(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Whether a stretch has two spaces side by side."""
     two = np.zeros(len(data) + 1, np.int64)
@@ -164,14 +172,12 @@ def seed(lang: str) -> int:
 
 
 class Filter:
-    """Bits of a Bloom filter with two probes a key; without bits everything passes."""
+    """Bits of a Bloom filter with two probes a key."""
 
-    def __init__(self, bits: np.ndarray | None):
+    def __init__(self, bits: np.ndarray):
         self.bits = bits
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        if self.bits is None:
-            return np.ones(len(key), bool)
         mask = np.uint64(len(self.bits) * 8 - 1)
         out = self._probe(key & mask)
         out[out] = self._probe((key[out] >> np.uint64(32)) & mask)
@@ -197,15 +203,75 @@ def filter_of(frequent: DataFrame, limit: int) -> np.ndarray:
     return out
 
 
-def gram_blocks(batch: pa.RecordBatch, overlap: int) -> Iterator[tuple[Block, Grams, list[str], np.ndarray]]:
-    langs = batch["lang"].to_pylist()
-    known = {x: seed(x) for x in set(langs)}
-    seeds = np.array([known[x] for x in langs], np.uint64)
+def gram_blocks(batch: pa.RecordBatch, overlap: int) -> Iterator[tuple[Block, Grams, list[str], np.ndarray, np.ndarray]]:
+    """Blocks of chunks with their words, the languages, and each row's language (by place) and frequency."""
+    names, codes = coded(batch["lang"])
+    seeds = np.array([seed(x) for x in names], np.uint64)[codes]
     tail = batch["tail"].to_numpy(zero_copy_only=False)
     times = batch["times"].to_numpy()
     for block in blocks(batch["chunk"]):
         part = slice(block.first, block.last)
-        yield block, grams(block, tail[part], seeds[part], overlap), langs[part], times[part]
+        yield block, grams(block, tail[part], seeds[part], overlap), names, codes[part], times[part]
+
+
+def tallied(found: dict[tuple[str, int], Counter], block: Block, g: Grams, names: list[str], codes: np.ndarray, times: np.ndarray, n: int, fits: np.ndarray) -> None:
+    """Count the ``n`` words at each of ``fits`` as text."""
+    raw = block.data.tobytes()
+    weight, code = times[g.row[fits]], codes[g.row[fits]]
+    for c in np.unique(code).tolist():
+        tally = found[names[c], n]
+        at = fits[(code == c) & (weight == 1)]
+        tally.update([raw[a:b] for a, b in zip(g.start[at].tolist(), g.end[at + n - 1].tolist())])
+        some = (code == c) & (weight > 1)
+        at = fits[some]
+        for a, b, w in zip(g.start[at].tolist(), g.end[at + n - 1].tolist(), weight[some].tolist()):
+            tally[raw[a:b]] += w
+
+
+def phrase_batches(found: dict[tuple[str, int], Counter], least: int = 0) -> Iterator[pa.RecordBatch]:
+    """The tallies as rows, which empties them, if they hold more than ``least`` texts."""
+    if sum(map(len, found.values())) > least:
+        for (lang, n), tally in found.items():
+            size = len(tally)
+            columns = [pa.array([lang] * size, pa.string()), pa.array(list(tally), pa.binary()).cast(pa.string()),
+                       pa.array(np.full(size, n, np.int32)), pa.array(list(tally.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "f"])
+        found.clear()
+
+
+def counted_words(chunks: DataFrame, config: CollocationConfig) -> DataFrame:
+    """(lang, phrase, words, f): counts of all words; 0 words: of all words of the language together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        for batch in batches:
+            for block, g, names, codes, times in gram_blocks(batch, config.longest - 1):
+                own = np.flatnonzero(g.own)
+                tallied(found, block, g, names, codes, times, 1, own)
+                totals = np.bincount(codes[g.row[own]], weights=times[g.row[own]], minlength=len(names))
+                for name, total in zip(names, totals.tolist()):
+                    found[name, 0][b""] += int(total)
+            yield from phrase_batches(found, PHRASES)
+        yield from phrase_batches(found)
+        give_back()
+
+    rows = chunks.select("lang", "chunk", "tail", "times").mapInArrow(run, "lang string, phrase string, words int, f long")
+    return rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+
+
+def word_keys(words: DataFrame) -> DataFrame:
+    """``key`` of (lang, phrase) rows of one word each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, codes = coded(batch["lang"])
+            seeds = np.array([seed(x) for x in names], np.uint64)[codes]
+            for block in blocks(batch["phrase"]):
+                rows = block.last - block.first
+                g = grams(block, np.zeros(rows, bool), seeds[block.first : block.last], 0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys(g, 1).view(np.int64))], ["key"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "key long")
 
 
 def combined(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,98 +281,86 @@ def combined(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[first], np.add.reduceat(times, first) if len(first) else times
 
 
-def level(chunks: DataFrame, n: int, below: np.ndarray | None, config: CollocationConfig) -> DataFrame:
-    """``key`` of all phrases of ``n`` words that may occur ``least`` times."""
+def level(chunks: DataFrame, sizes: range, known: int, below: np.ndarray, config: CollocationConfig) -> DataFrame:
+    """(words, key) of the phrases of ``sizes`` words that may occur ``least`` times.
+
+    ``below`` holds the keys of frequent phrases of ``known`` words; all such parts of a phrase must be in it.
+    """
     shared = chunks.sparkSession.sparkContext.broadcast(below)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes, held, size, fresh = Filter(shared.value), [], 0, 0
+        passes = Filter(shared.value)
+        held: dict[int, list] = defaultdict(list)
+        size = Counter()
         for batch in batches:
-            for _, g, _, times in gram_blocks(batch, config.longest - 1):
-                fits = np.flatnonzero(g.own & (g.left >= n))
-                if n > 1 and len(fits):
-                    shorter = keys(g, n - 1)
-                    fits = fits[passes(shorter[fits])]
-                    fits = fits[passes(shorter[fits + 1])]
-                held.append((keys(g, n)[fits], times[g.row[fits]]))
-                size += len(fits)
-                if size >= COMBINE:
-                    held = [combined(*map(np.concatenate, zip(*held)))]
-                    size = len(held[0][0])
-                    if size > COMBINE // 2:
-                        yield count_batch(*held[0])
-                        held, size = [], 0
-        if held:
-            yield count_batch(*combined(*map(np.concatenate, zip(*held))))
+            for _, g, _, _, times in gram_blocks(batch, config.longest - 1):
+                usable = np.flatnonzero(g.left >= known)
+                good = np.zeros(len(g.row), bool)
+                good[usable] = passes(keys(g, known)[usable])
+                for n in sizes:
+                    fits = np.flatnonzero(g.own & (g.left >= n))
+                    for k in range(n - known + 1):
+                        fits = fits[good[fits + k]]
+                    held[n].append((keys(g, n)[fits], times[g.row[fits]]))
+                    size[n] += len(fits)
+                    if size[n] >= COMBINE:
+                        held[n] = [combined(*map(np.concatenate, zip(*held[n])))]
+                        size[n] = len(held[n][0][0])
+                        if size[n] > COMBINE // 2:
+                            yield count_batch(n, *held.pop(n)[0])
+                            size[n] = 0
+        for n, parts in held.items():
+            yield count_batch(n, *combined(*map(np.concatenate, zip(*parts))))
         give_back()
 
-    counts = chunks.select("lang", "chunk", "tail", "times").mapInArrow(run, "key long, times long")
-    return counts.groupBy("key").agg(F.sum("times").alias("times")).filter(F.col("times") >= config.least).select("key")
+    counts = chunks.select("lang", "chunk", "tail", "times").mapInArrow(run, "words int, key long, times long")
+    return counts.groupBy("words", "key").agg(F.sum("times").alias("times")).filter(F.col("times") >= config.least).select("words", "key")
 
 
-def count_batch(key: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times)], ["key", "times"])
+def count_batch(n: int, key: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array(times)]
+    return pa.RecordBatch.from_arrays(columns, ["words", "key", "times"])
 
 
-def exact(chunks: DataFrame, filters: list[np.ndarray], config: CollocationConfig) -> DataFrame:
-    """(lang, phrase, words, f) of all phrases of 1 to ``longest`` words with f >= ``least``."""
+def exact(chunks: DataFrame, filters: dict[int, np.ndarray], config: CollocationConfig) -> DataFrame:
+    """(lang, phrase, words, f) of the phrases that the filter of their size lets through."""
     shared = chunks.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = [Filter(bits) for bits in shared.value]
+        passes = {n: Filter(bits) for n, bits in shared.value.items()}
         found: dict[tuple[str, int], Counter] = defaultdict(Counter)
         for batch in batches:
-            for block, g, langs, times in gram_blocks(batch, config.longest - 1):
-                raw = block.data.tobytes()
-                for n, passing in enumerate(passes, 1):
+            for block, g, names, codes, times in gram_blocks(batch, config.longest - 1):
+                for n, passing in passes.items():
                     fits = np.flatnonzero(g.own & (g.left >= n))
-                    fits = fits[passing(keys(g, n)[fits])]
-                    weight = times[g.row[fits]]
-                    for lang in set(langs):
-                        mine = np.array([x == lang for x in langs])[g.row[fits]]
-                        tally = found[lang, n]
-                        for some, every in ((mine & (weight == 1), True), (mine & (weight > 1), False)):
-                            at = fits[some]
-                            texts = [raw[a:b] for a, b in zip(g.start[at].tolist(), g.end[at + n - 1].tolist())]
-                            if every:
-                                tally.update(texts)
-                            else:
-                                for text, w in zip(texts, weight[some].tolist()):
-                                    tally[text] += w
-                if sum(map(len, found.values())) > PHRASES:
-                    yield from phrase_batches(found)
-                    found.clear()
+                    tallied(found, block, g, names, codes, times, n, fits[passing(keys(g, n)[fits])])
+            yield from phrase_batches(found, PHRASES)
         yield from phrase_batches(found)
         give_back()
 
     rows = chunks.select("lang", "chunk", "tail", "times").mapInArrow(run, "lang string, phrase string, words int, f long")
-    return rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= config.least)
-
-
-def phrase_batches(found: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
-    for (lang, n), tally in found.items():
-        size = len(tally)
-        columns = [pa.array([lang] * size, pa.string()), pa.array(list(tally), pa.binary()).cast(pa.string()),
-                   pa.array(np.full(size, n, np.int32)), pa.array(list(tally.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "f"])
+    return rows.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(chunks: DataFrame, config: CollocationConfig) -> DataFrame:
-    """All phrases that occur ``least`` times, with exact counts."""
-    filters: list[np.ndarray] = []
-    for n in range(1, config.longest + 1):
-        frequent = saved(level(chunks, n, filters[-1] if filters else None, config))
-        filters.append(filter_of(frequent, config.filter_bits))
-        if not filters[-1].any():
-            break
-    return exact(chunks, filters, config)
+    """All phrases that occur ``least`` times, with exact counts; 0 words: all words of a language."""
+    words = saved(counted_words(chunks, config).filter((F.col("words") == 0) | (F.col("f") >= config.least)))
+    below = filter_of(word_keys(words.filter("words = 1")), config.filter_bits)
+    two = saved(level(chunks, range(2, 3), 1, below, config))
+    filters = {2: filter_of(two, config.filter_bits)}
+    more = saved(level(chunks, range(3, config.longest + 1), 2, filters[2], config))
+    for n in range(3, config.longest + 1):
+        filters[n] = filter_of(more.filter(F.col("words") == n), config.filter_bits)
+    return words.unionByName(exact(chunks, filters, config).filter(F.col("f") >= config.least))
 
 
 # Score ----------------------------------------------------------------------------------------
 
 
-def score_phrases(phrases: DataFrame, totals: DataFrame, config: CollocationConfig) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score) from exact counts and the words of each language."""
+def score_phrases(counts: DataFrame, config: CollocationConfig) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score) from what ``frequent_phrases`` gives."""
+    totals = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
+    phrases = counts.filter("words > 0")
     long_ones = phrases.filter("words > 1")
     split = F.split("phrase", " ")
     # a phrase that is never seen without one of its neighbours; longer ones imply the next longer
@@ -336,8 +390,4 @@ def score_phrases(phrases: DataFrame, totals: DataFrame, config: CollocationConf
 def collocations(docs: DataFrame, config: CollocationConfig = CollocationConfig()) -> DataFrame:
     """Each language's ``top`` phrases whose parts keep together most."""
     chunks = saved(dictionary(docs, config))
-    # a chunk has one word more than spaces; the overlap counts in the next chunk
-    own = F.length("chunk") - F.length(F.translate("chunk", " ", "")) + 1 - F.when(F.col("tail"), config.longest - 1).otherwise(0)
-    totals = chunks.groupBy("lang").agg(F.sum(own * F.col("times")).alias("n"))
-    phrases = saved(frequent_phrases(chunks, config))
-    return score_phrases(phrases, totals, config)
+    return score_phrases(saved(frequent_phrases(chunks, config)), config)

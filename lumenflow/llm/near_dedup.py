@@ -2,8 +2,9 @@
 
 1. Each text becomes its set of word shingles, a minhash signature and a short sketch. Texts with
    equal sets count once from here on.
-2. Independent trees: a node branches by the minwise tokens at one, sometimes two, of its own
-   coordinates, which keeps a pair at the wanted similarity on about one common path however deep.
+2. Independent trees, each with coordinates of its own: a node branches by the minwise tokens at its
+   level's coordinate, sometimes at a second one of its own choice, which keeps a pair at the wanted
+   similarity on about one common path however deep.
    Nodes with few documents stop and are compared exhaustively by sketch. In a larger node all
    documents meet a few leaders: those like a leader are done, since whatever is like them is linked
    to that leader too; the others branch again. What is left at the last level is walked once.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.llm.graph import components
-from lumenflow.llm.store import no_rows, saved
+from lumenflow.llm.store import no_rows, numbered, numbered_columns, own_ids, saved
 from lumenflow.llm.words import blocks, give_back, mix, shingles, words
 
 COORDINATES = 128
@@ -34,14 +35,14 @@ COORDINATES = 128
 class NearConfig:
     """Texts are linked if 100 * common shingles >= ``percent`` * shingles of both.
 
-    ``trees``, ``depth``, ``leaf``: number of trees, branching levels, rows compared exhaustively.
+    ``trees`` (64 at most), ``depth``, ``leaf``: number of trees, branching levels, rows compared exhaustively.
     ``loose``: least sketch similarity followed up, far enough below ``percent`` that noise loses
     nothing. ``leaders`` per larger node, met by ``walk`` rows at a time. ``chunk``: shingles per chunk.
     """
 
     width: int = 5
     percent: int = 80
-    trees: int = 12
+    trees: int = 16
     depth: int = 6
     leaf: int = 64
     loose: float = 0.6
@@ -114,32 +115,39 @@ def _rows_of(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def branch(rows: DataFrame, config: NearConfig) -> DataFrame:
-    """(node, id) of the children of ``rows`` (id, signature, and node; without node, the trees' roots)."""
-    trees, seed = config.trees, config.seed
+def branch(rows: DataFrame, config: NearConfig, level: int) -> DataFrame:
+    """(node, id) of the children of ``rows`` (id, signature, and node; without node, the trees' roots).
+
+    The low six bits of a node are its tree, which has an equal share of the coordinates to itself.
+    """
+    trees, seed, depth = config.trees, config.seed, config.depth
+    own = COORDINATES // trees
     rooted = "node" not in rows.columns
-    numbers = np.arange(COORDINATES, dtype=np.uint64)
+    low = np.uint64(63)
 
     def children(node: np.ndarray, ids: np.ndarray, signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = (mix(node + np.uint64(1)) % np.uint64(COORDINATES)).astype(np.int64)
-        twice = mix(node + np.uint64(2)) % np.uint64(4) == 0  # 1 / 0.8 = 1.25 coordinates on average
-        shift = 1 + (mix(node + np.uint64(3)) % np.uint64(COORDINATES - 1)).astype(np.int64)
+        tree = (node & low).astype(np.int64)
+        first = tree * own + (level - 1) % own
+        spare = depth + (mix(node + np.uint64(3)) % np.uint64(max(1, own - depth))).astype(np.int64)
+        second = tree * own + spare % own
+        twice = (mix(node + np.uint64(2)) % np.uint64(4) == 0) & (second != first)  # 1 / 0.8 = 1.25 a node
         row = np.concatenate((np.arange(len(node)), np.flatnonzero(twice)))
-        at = np.concatenate((first, (first + shift)[twice] % COORDINATES))
+        at = np.concatenate((first, second[twice]))
         value = signature[row, at].astype(np.uint64)
-        return mix(node[row] ^ mix(value + (numbers[at] << np.uint64(32)))), ids[row]
+        child = mix(node[row] ^ mix(value + (at.astype(np.uint64) << np.uint64(32))))
+        return child & ~low | (node[row] & low), ids[row]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             signature = _rows_of(batch.column(1), np.uint32, COORDINATES)
             if rooted:
-                roots = mix(np.arange(trees, dtype=np.uint64) + np.uint64(seed << 20))
+                roots = mix(np.arange(trees, dtype=np.uint64) + np.uint64(seed << 20)) & ~low | np.arange(trees, dtype=np.uint64)
                 parts = [children(np.full(len(ids), r), ids, signature) for r in roots]
             else:
                 parts = [children(batch.column(2).to_numpy().view(np.uint64), ids, signature)]
-            for node, own in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(own)], ["node", "id"])
+            for node, own_ids in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(own_ids)], ["node", "id"])
 
     return rows.select("id", "signature", *([] if rooted else ["node"])).mapInArrow(run, "node long, id long")
 
@@ -344,7 +352,7 @@ def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
 def loose_links(sets: DataFrame, config: NearConfig) -> DataFrame:
     """Links (a, b) of sets (id, signature, sketch) that look alike by sketch, enough to connect all such."""
     sketch = sets.select("id", "sketch")
-    level = branch(sets, config)
+    level = branch(sets, config, 1)
     leaves, met, last = [], [], None
     for depth in range(1, config.depth + 1):
         level = saved(level)
@@ -360,7 +368,7 @@ def loose_links(sets: DataFrame, config: NearConfig) -> DataFrame:
             after = saved(meet_leaders(large, sketch, config))
             met.append(after.filter("a IS NOT NULL").select("a", "b").distinct())
             rest = after.filter("id IS NOT NULL").select("node", "id")
-            level = branch(rest.join(sets.select("id", "signature"), "id"), config)
+            level = branch(rest.join(sets.select("id", "signature"), "id"), config, depth + 1)
     small = leaves[0]
     for more in leaves[1:]:
         small = small.unionByName(more)
@@ -500,46 +508,54 @@ def confirmed_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, config:
     return links.unionByName(confirm(rows, config))
 
 
-def classes(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    The component is the smallest doc_id that links reach. Null text and text without words link with
-    nothing, nor do rows with a null doc_id (component null, kept). Repeated rows share their result.
-    If one smallest doc_id stands for several different texts, the text with the smallest digest is
-    linked for it and all of them get its component. An empty table gives an empty one.
-    """
+def _classes(docs: DataFrame, config: NearConfig) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of texts under distinct ids."""
     every = saved(text_sets(docs, config))
-    known = every.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    sets = known.groupBy("digest").agg(
+    sets = every.filter("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("id"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature"),
         F.first("sketch").alias("sketch"),
     )
     sets = saved(sets)
-    shown = sets
-    if not no_rows(sets.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")):
-        shown = saved(sets.groupBy("id").agg(F.min(F.struct(*sets.columns)).alias("s")).select("s.*"))
-    groups = saved(components(loose_links(shown, config)))
-    links = confirmed_links(docs, shown, groups, config)
+    groups = saved(components(loose_links(sets, config)))
+    links = confirmed_links(docs, sets, groups, config)
     named = components(links).withColumnRenamed("node", "id")
-    classes_ = sets.select("id", "digest").join(named, "id", "left")
-    classes_ = classes_.select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = every.select("doc_id", "n_shingles", "digest").join(classes_, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = sets.select("id", "digest").join(named, "id", "left")
+    named = named.select("digest", F.coalesce("component", "id").alias("component_id"))
+    out = every.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def classes(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    The component is the smallest doc_id that links reach. Null text and text without words link with
+    nothing. Where ids repeat or are null every row counts as a document of its own: rows are linked by
+    their texts, not by their ids, and a component of rows without an id has none (its first row is kept).
+    An empty table gives an empty one.
+    """
+    docs = docs.select("doc_id", "text")
+    if own_ids(docs):
+        return _classes(docs, config).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    placed = numbered(docs)
+    found = _classes(placed.select("doc_id", "text"), config)
+    found = found.select(F.col("doc_id").alias("own"), "n_shingles", F.col("component_id").alias("top"))
+    names = placed.select(F.col("doc_id").alias("own"), F.col("row.id").cast("long").alias("doc_id"))
+    tops = names.select(F.col("own").alias("top"), F.col("doc_id").alias("component_id"))
+    out = found.join(names, "own").join(tops, "top")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("own") == F.col("top"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def dedup(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component its smallest doc_id stays.
+    """The rows of ``docs`` without near copies: of each component the row with its smallest doc_id stays.
 
-    Rows with a null doc_id stay. Of rows that repeat a doc_id and its text, one stays.
+    Of several such rows one stays; rows with a null doc_id come last. Rows without words all stay.
     """
-    gone = classes(docs, config).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    counts = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    if counts.n == counts.ids:
-        return left
-    known, unknown = left.filter("doc_id IS NOT NULL"), left.filter("doc_id IS NULL")
-    return known.dropDuplicates(["doc_id", "text"]).unionByName(unknown)
+    own = own_ids(docs)
+    placed = docs if own else numbered(docs)
+    found = _classes(placed.select("doc_id", "text"), config)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    left = placed.join(gone, placed["doc_id"] == gone["gone_id"], "left_anti")
+    return left if own else left.select(*numbered_columns(docs))

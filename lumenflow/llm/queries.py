@@ -12,7 +12,7 @@ from lumenflow.llm import (
     token_counts, top_k, url_rules,
 )
 from lumenflow.llm.sql import ORACLE  # noqa: F401
-from lumenflow.llm.store import ready
+from lumenflow.llm.store import numbered, ready
 
 URL_RULES = (
     ("block", "net/"),
@@ -69,7 +69,7 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     ready(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    cut = suffix_dedup.cut(suffix_dedup.numbered(docs))
+    cut = suffix_dedup.cut(numbered(docs))
     return cut.select("row.id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256")).withColumnRenamed("id", "doc_id")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenflow.deploy import ship
 
@@ -66,3 +67,31 @@ def drop(df: DataFrame) -> None:
 
 def no_rows(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def own_ids(docs: DataFrame) -> bool:
+    """Whether each row has a doc_id that no other row has."""
+    counts = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    return counts.n == counts.ids
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): texts under distinct ids in the order of doc_id, and the other columns as struct ``row``.
+
+    Distinct ids stay as they are. Otherwise rows are numbered by doc_id (null last) and text, so of
+    repeated rows the first counts as the earliest.
+    """
+    rest = [F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns if c not in ("doc_id", "text")]
+    others = F.struct(F.col("doc_id").alias("id"), F.col("text").isNull().alias("none"), *rest)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", others.alias("row"))
+    if own_ids(docs):
+        return rows
+    place = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
+    placed = rows.repartitionByRange(*place).sortWithinPartitions(*place)
+    return saved(placed.withColumn("doc_id", F.monotonically_increasing_id()))
+
+
+def numbered_columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` taken back out of what ``numbered`` made of it."""
+    named = {"doc_id": F.col("row.id"), "text": F.col("text")}
+    return [named.get(c, F.col(f"row.`c_{c}`")).alias(c) for c in docs.columns]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenflow.llm.store import saved
+from lumenflow.llm.store import numbered, saved
 from lumenflow.llm.words import Block, Prefix, blocks, give_back, mix
 
 NAMES = ["doc_id", "lo", "hi", "digest"]
@@ -394,22 +394,6 @@ def cut(texts: DataFrame, config: SuffixConfig = SuffixConfig(), characters: boo
     return texts.join(lists, "doc_id", "left").select("doc_id", "text", "runs", *more).mapInArrow(run, schema)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, row): texts under distinct ids in the order of doc_id, and the other columns as struct ``row``.
-
-    Distinct ids stay as they are. Otherwise rows are numbered by doc_id (null last) and text, so of
-    repeated rows the first counts as the earliest.
-    """
-    others = F.struct(F.col("doc_id").alias("id"), F.col("text").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns if c not in ("doc_id", "text")])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", others.alias("row"))
-    counts = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    if counts.n == counts.ids:
-        return rows
-    place = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    placed = rows.repartitionByRange(*place).sortWithinPartitions(*place)
-    return saved(placed.withColumn("doc_id", F.monotonically_increasing_id()))
-
-
 def strip(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """The rows of ``docs`` with repeated strings taken out of ``text`` and ``n_chars`` brought up to date.
 

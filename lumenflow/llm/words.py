@@ -1,7 +1,8 @@
 """Words and shingles of many texts at once, on the UTF-8 bytes that Arrow holds.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes are polynomials over random byte
-codes modulo 2^64, taken from running sums, so a batch costs a few passes over its bytes.
+A word is a run of bytes other than 0x20 and 0x09-0x0D. A hash is two polynomials of the bytes modulo the
+prime 2^31 - 1 at two random points, taken from running sums, so a batch costs a few passes over its bytes.
+Two different strings of at most n bytes share a hash with chance (n / 2^31)^2 at most, whatever they hold.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import pyarrow as pa
 BLOCK = 1 << 20  # bytes of text worked on at a time; a longer text is a block of its own
 ROWS = 1 << 10  # rows of a batch copied at a time
 
-_rng = np.random.default_rng(20240607)
-_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+PRIME = (1 << 31) - 1
+_P, _BITS = np.uint64(PRIME), np.uint64(31)
+SEGMENT = 1 << 23  # bytes whose terms add up below 2^63
+_POINTS = (950_706_376, 1_583_458_089)  # both generate all residues
+_CODE = np.arange(1, 257, dtype=np.uint64)
 _LOWER_CODE = _CODE.copy()
 _LOWER_CODE[65:91] = _CODE[97:123]
 SPACE = np.zeros(256, bool)
@@ -79,34 +81,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Remainders modulo 2^31 - 1 of values below 2^63."""
+    x = (x >> _BITS) + (x & _P)
+    x = (x >> _BITS) + (x & _P)
+    return np.where(x >= _P, x - _P, x)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse."""
-    if len(_Powers.up) <= n:
+def _power_table(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, reduced(out * np.uint64(pow(base, len(out), PRIME)))))
+    return out[:n]
+
+
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each point its powers 0..n and those of its inverse."""
+    if not _tables or len(_tables[0][0]) <= n:
         size = max(n + 1, BLOCK + 1)
-        up, down = np.full(size, _BASE), np.full(size, _BASE_INVERSE)
-        up[0] = down[0] = 1
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        made = [(_power_table(x, size), _power_table(pow(x, -1, PRIME), size)) for x in _POINTS]
         if size > 16 * BLOCK:
-            return up, down
-        _Powers.up, _Powers.down = up, down
-    return _Powers.up, _Powers.down
+            return made
+        _tables[:] = made
+    return _tables
 
 
 class Prefix:
-    """Hashes of any substring of ``data`` from one running sum."""
+    """Hashes of any substring of ``data`` from running sums."""
 
     def __init__(self, data: np.ndarray, lower: bool = False):
-        up, self.down = powers(len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER_CODE if lower else _CODE)[data] * up[: len(data)], out=self.sums[1:])
+        n = len(data)
+        code = (_LOWER_CODE if lower else _CODE)[data]
+        self.lanes = []
+        for up, down in powers(n):
+            sums = np.zeros(n + 1, np.uint64)
+            np.multiply(code, up[:n], out=sums[1:])
+            for first in range(0, n, SEGMENT):
+                part = sums[first : first + SEGMENT + 1]
+                np.cumsum(part, out=part)
+                if n > SEGMENT:
+                    part[:] = reduced(part)
+            self.lanes.append((sums, down))
+        self.lift = _P if n > SEGMENT else np.uint64(0)  # reduced sums may fall
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        one, two = (reduced(reduced(sums[end] + self.lift - sums[start]) * down[start]) for sums, down in self.lanes)
+        return mix(one << np.uint64(32) | two)
 
 
 def words(block: Block, lower: bool = False) -> Words:

@@ -160,6 +160,70 @@ def test_near_copies_odd_rows(odd, empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.dedup(empty).count() == 0
 
 
+def test_near_copies_of_repeated_and_null_ids(spark):
+    """Rows are linked by their texts, whatever ids they share."""
+    b, c = prose(71, 60), prose(72, 60)
+    rows = [(1, b), (1, c), (2, b), (3, c + " more"), (None, b), (None, prose(73, 60)), (None, prose(73, 60) + " x"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.classes(docs).collect())
+    assert got == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False),
+                           (None, None, True), (None, None, False), (4, 4, True), (4, 4, True)])
+    left = near_dedup.dedup(docs.withColumn("row", F.lit(1)).withColumn("id", F.lit("i")))
+    assert left.columns == ["doc_id", "text", "row", "id"]
+    assert Counter(tuple(r)[:2] for r in left.collect()) == Counter([rows[0], rows[1], rows[5], rows[7], rows[8]])
+
+
+def test_near_copies_just_alike_in_a_crowd(spark):
+    """Pairs at 0.80 to 0.83 among texts that share half their words, in nodes far above the leaf size."""
+    rng = np.random.default_rng(8)
+    base = prose(21, 300).split()
+    rows = []
+    for k in range(220):
+        own = list(base)
+        for j in rng.choice(300, 45, replace=False):
+            own[j] = f"t{k}x{j}"
+        other = list(own)
+        for j in rng.choice(290, 1) + np.arange(0, 300, 60):
+            other[(j + 7) % 300] = f"u{k}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    sets = [brute.shingle_set(t, 5) for _, t in rows]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert 0.8 < np.mean(alike) < 0.86
+    config = near_dedup.NearConfig(leaf=8, walk=64, leaders=2)
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), config).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_components(rows, 5)
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """Two words that polynomial hashes modulo 2^64 cannot tell apart, whatever the base."""
+    words = [thue_morse(2048, "ab"), thue_morse(2048, "ba")]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in near_dedup.classes(docs).collect())
+    assert near_dedup.dedup(docs).count() == 2
+    check_packing(list(enumerate(words)), packing.packed(docs, packing.PackConfig(VOCABULARY)).collect())
+    import base64
+
+    pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PIECES, "rb"))}
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, token_counts.CountConfig(PIECES)).collect()}
+    assert got == {k: plain_count(w.encode(), pieces) for k, w in enumerate(words)}
+
+
+def test_links_are_thinned_to_stars(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (5000, 2))] + [(900, 901)]
+    want = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    pairs = spark.createDataFrame([(max(x), min(x)) for x in links if x[0] != x[1]], "u long, v long")
+    assert sorted(tuple(r) for r in graph.thinned(pairs).collect()) == sorted((k, v) for k, v in want.items() if k != v)
+    monkeypatch.setattr(graph, "CHUNK", 3000)
+    assert graph.thinned(pairs).count() < 1000
+    again = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert again == want
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -380,7 +444,7 @@ def test_quality_keeps_prose(spark):
 def plain_count(token, pieces):
     best = [(0.0, 0)] + [(-math.inf, 0)] * len(token)
     for end in range(1, len(token) + 1):
-        for size in range(min(end, 64), 0, -1):
+        for size in range(min(end, 128), 0, -1):
             rank = pieces.get(token[end - size : end])
             if rank is not None:
                 value = -math.log(rank + 2.7) + best[end - size][0]
@@ -396,7 +460,7 @@ def plain_pretokens(data):
         if a > at and data[a - 1 : a] == b" ":
             a -= 1
         out += [data[i : i + 1] for i in range(at, a)]
-        out += [data[i : min(i + 64, b)] for i in range(a, b, 64)]
+        out.append(data[a:b])
         at = b
     return out + [data[i : i + 1] for i in range(at, len(data))]
 
