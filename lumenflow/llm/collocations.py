@@ -35,6 +35,7 @@ _PLAIN[65:91] += 32
 _PLAIN[list(b".,;:!?\n\x0b\x0c\r")] = 10
 _PLAIN[9] = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+CHUNKS = 1 << 14  # chunks worked on at a time
 COMBINE = 1 << 22  # keys held by a task before they are combined or passed on
 PHRASES = 1 << 18  # distinct texts held by a task
 
@@ -159,12 +160,32 @@ def grams(block: Block, tail: np.ndarray, seeds: np.ndarray, overlap: int) -> Gr
     return Grams(start, end, row, own, left, seeds[row], Prefix(block.data).of(start, end))
 
 
-def keys(g: Grams, n: int) -> np.ndarray:
-    """64-bit keys of the ``n`` words from each word on; of no meaning where fewer are left."""
-    rolled = g.hash.copy()
+def keys(g: Grams, n: int, at: np.ndarray) -> np.ndarray:
+    """64-bit keys of the ``n`` words from each word of ``at`` on."""
+    rolled = g.hash[at]
     for k in range(1, n):
-        rolled[:-k] = rolled[:-k] * _STEP + g.hash[k:]
-    return mix(rolled + g.seed * np.uint64(2 * n + 1))
+        rolled = rolled * _STEP + g.hash[at + k]
+    return mix(rolled + g.seed[at] * np.uint64(2 * n + 1))
+
+
+def word_counts(block: Block, g: Grams, names: list[str], codes: np.ndarray, times: np.ndarray, own: np.ndarray) -> Iterator[tuple[str, list[bytes], list[int]]]:
+    """For each language its distinct words among ``own`` and how often they occur."""
+    length = g.end - g.start
+    at = np.zeros(len(length) + 1, np.int64)
+    np.cumsum(length, out=at[1:])
+    inside = np.zeros(len(block.data) + 1, np.int8)
+    inside[g.start] += 1
+    inside[g.end] -= 1
+    solid = block.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]  # words side by side
+    words = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(solid)])
+    found = words.dictionary_encode()
+    texts, number = found.dictionary.to_pylist(), found.indices.to_numpy()
+    code = codes[g.row]
+    for c in np.unique(code).tolist():
+        some = own[code[own] == c]
+        sums = np.bincount(number[some], weights=times[g.row[some]], minlength=len(texts)).astype(np.int64)
+        held = np.flatnonzero(sums)
+        yield names[c], [texts[k] for k in held.tolist()], sums[held].tolist()
 
 
 def seed(lang: str) -> int:
@@ -203,13 +224,26 @@ def filter_of(frequent: DataFrame, limit: int) -> np.ndarray:
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``CHUNKS`` rows but for the last: chunks are short."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNKS:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def gram_blocks(batch: pa.RecordBatch, overlap: int) -> Iterator[tuple[Block, Grams, list[str], np.ndarray, np.ndarray]]:
     """Blocks of chunks with their words, the languages, and each row's language (by place) and frequency."""
     names, codes = coded(batch["lang"])
     seeds = np.array([seed(x) for x in names], np.uint64)[codes]
     tail = batch["tail"].to_numpy(zero_copy_only=False)
     times = batch["times"].to_numpy()
-    for block in blocks(batch["chunk"]):
+    for block in blocks(batch["chunk"], rows=CHUNKS):
         part = slice(block.first, block.last)
         yield block, grams(block, tail[part], seeds[part], overlap), names, codes[part], times[part]
 
@@ -244,13 +278,12 @@ def counted_words(chunks: DataFrame, config: CollocationConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], Counter] = defaultdict(Counter)
-        for batch in batches:
+        for batch in gathered(batches):
             for block, g, names, codes, times in gram_blocks(batch, config.longest - 1):
                 own = np.flatnonzero(g.own)
-                tallied(found, block, g, names, codes, times, 1, own)
-                totals = np.bincount(codes[g.row[own]], weights=times[g.row[own]], minlength=len(names))
-                for name, total in zip(names, totals.tolist()):
-                    found[name, 0][b""] += int(total)
+                for name, texts, counts in word_counts(block, g, names, codes, times, own):
+                    found[name, 1].update(dict(zip(texts, counts)))
+                    found[name, 0][b""] += sum(counts)
             yield from phrase_batches(found, PHRASES)
         yield from phrase_batches(found)
         give_back()
@@ -269,7 +302,7 @@ def word_keys(words: DataFrame) -> DataFrame:
             for block in blocks(batch["phrase"]):
                 rows = block.last - block.first
                 g = grams(block, np.zeros(rows, bool), seeds[block.first : block.last], 0)
-                yield pa.RecordBatch.from_arrays([pa.array(keys(g, 1).view(np.int64))], ["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys(g, 1, np.arange(len(g.row))).view(np.int64))], ["key"])
 
     return words.select("lang", "phrase").mapInArrow(run, "key long")
 
@@ -292,16 +325,16 @@ def level(chunks: DataFrame, sizes: range, known: int, below: np.ndarray, config
         passes = Filter(shared.value)
         held: dict[int, list] = defaultdict(list)
         size = Counter()
-        for batch in batches:
+        for batch in gathered(batches):
             for _, g, _, _, times in gram_blocks(batch, config.longest - 1):
                 usable = np.flatnonzero(g.left >= known)
                 good = np.zeros(len(g.row), bool)
-                good[usable] = passes(keys(g, known)[usable])
+                good[usable] = passes(keys(g, known, usable))
                 for n in sizes:
                     fits = np.flatnonzero(g.own & (g.left >= n))
                     for k in range(n - known + 1):
                         fits = fits[good[fits + k]]
-                    held[n].append((keys(g, n)[fits], times[g.row[fits]]))
+                    held[n].append((keys(g, n, fits), times[g.row[fits]]))
                     size[n] += len(fits)
                     if size[n] >= COMBINE:
                         held[n] = [combined(*map(np.concatenate, zip(*held[n])))]
@@ -329,11 +362,16 @@ def exact(chunks: DataFrame, filters: dict[int, np.ndarray], config: Collocation
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = {n: Filter(bits) for n, bits in shared.value.items()}
         found: dict[tuple[str, int], Counter] = defaultdict(Counter)
-        for batch in batches:
+        for batch in gathered(batches):
             for block, g, names, codes, times in gram_blocks(batch, config.longest - 1):
+                pairs = np.flatnonzero(g.left >= 2)
+                good = np.zeros(len(g.row), bool)
+                good[pairs] = passes[2](keys(g, 2, pairs))
                 for n, passing in passes.items():
                     fits = np.flatnonzero(g.own & (g.left >= n))
-                    tallied(found, block, g, names, codes, times, n, fits[passing(keys(g, n)[fits])])
+                    for k in range(n - 1):
+                        fits = fits[good[fits + k]]
+                    tallied(found, block, g, names, codes, times, n, fits[passing(keys(g, n, fits))])
             yield from phrase_batches(found, PHRASES)
         yield from phrase_batches(found)
         give_back()

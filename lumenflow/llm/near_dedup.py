@@ -208,18 +208,23 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _emit(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct links between different labels."""
     none = np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"]
-    )
+    a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+    a, b = np.maximum(a, b), np.minimum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = a != b
+    keep[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
 def compare_leaves(rows: DataFrame, config: NearConfig) -> DataFrame:
-    """Links (a, b) by sketch inside small nodes: (node, id, sketch), every pair of a node looked at."""
+    """Links (a, b) by sketch inside small nodes: (node, id, sketch, label), every pair of a node looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, table in grouped(batches, 1):
-            ids = table.column(1).to_numpy()
+            ids = table.column(3).to_numpy()
             sketch = _rows_of(table.column(2), np.uint8, COORDINATES // 2)
             size = np.diff(np.append(first, len(ids)))
             a, b = [], []
@@ -240,11 +245,14 @@ def compare_leaves(rows: DataFrame, config: NearConfig) -> DataFrame:
                     b.append(ids[right])
             yield _emit(a, b)
 
-    return _sorted(rows.select("node", "id", "sketch"), "node").mapInArrow(run, "a long, b long").distinct()
+    return _sorted(rows.select("node", "id", "sketch", "label"), "node").mapInArrow(run, "a long, b long").distinct()
 
 
 class _Net:
-    """Links that connect rows start..end as their being near common leaders does, about one per row."""
+    """Links that connect rows start..end as their being near common leaders does, about one per row.
+
+    Rows go by their labels: what is connected already is not linked again.
+    """
 
     def __init__(self, ids: np.ndarray, start: int, end: int):
         self.ids, self.start = ids, start
@@ -275,12 +283,12 @@ def meet_leaders(large: DataFrame, sketch: DataFrame, config: NearConfig) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, table in grouped(batches, 2):
-            node, ids = table.column(0).to_numpy(), table.column(2).to_numpy()
+            node, ids, labels = (table.column(k).to_numpy() for k in (0, 2, 5))
             sketch = _rows_of(table.column(3), np.uint8, COORDINATES // 2)
             leads = table.column(4).to_numpy(zero_copy_only=False)
             a, b, rest = [], [], []
             for start, end in zip(first, np.append(first[1:], len(ids)), strict=True):
-                net = _Net(ids, start, end)
+                net = _Net(labels, start, end)
                 free = ~leads[start:end]
                 for head in start + np.flatnonzero(leads[start:end]):
                     like = likeness(sketch[start:end], sketch[head][None, :])
@@ -304,25 +312,26 @@ def meet_leaders(large: DataFrame, sketch: DataFrame, config: NearConfig) -> Dat
     rows = large.join(leaders.select("node", "id").distinct(), ["node", "id"], "left_anti")
     part = F.pmod(F.xxhash64("id"), parts)
     rows = rows.select("node", "id", part.alias("part"), F.lit(False).alias("leads"))
-    rows = rows.unionByName(leaders).join(sketch, "id").select("node", "part", "id", "sketch", "leads")
+    rows = rows.unionByName(leaders).join(sketch, "id").select("node", "part", "id", "sketch", "leads", "label")
     return _sorted(rows, "node", "part").mapInArrow(run, "a long, b long, node long, id long")
 
 
 def walk_nodes(rows: DataFrame, config: NearConfig, attach: float, link: float, leaders: bool) -> DataFrame:
-    """Walk groups (node, part, id, sketch) once. A row joins the first leader at ``attach`` or becomes one.
+    """Walk groups (node, part, id, sketch, label) once. A row joins the first leader at ``attach`` or becomes one.
 
-    Rows are linked to every leader at ``link``. With distance 1 - likeness, a pair nearer than
+    Rows are linked, by their labels, to every leader at ``link``. With distance 1 - likeness, a pair nearer than
     ``attach - link`` of distance ends up connected, as the later one is within ``link`` of the
-    earlier one's leader. Emits links, or with ``leaders`` the leaders themselves as (node, id, sketch).
+    earlier one's leader. Emits links, or with ``leaders`` the leaders themselves
+    as (node, id, sketch, label).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, table in grouped(batches, 2):
-            ids = table.column(2).to_numpy()
+            labels = table.column(4).to_numpy()
             sketch = _rows_of(table.column(3), np.uint8, COORDINATES // 2)
             a, b, tops = [], [], []
-            for start, end in zip(first, np.append(first[1:], len(ids)), strict=True):
-                net = _Net(ids, start, end)
+            for start, end in zip(first, np.append(first[1:], len(labels)), strict=True):
+                net = _Net(labels, start, end)
                 free = np.ones(end - start, bool)
                 while free.any():  # the first row left is a leader, which all rows meet
                     head = start + int(free.argmax())
@@ -334,15 +343,13 @@ def walk_nodes(rows: DataFrame, config: NearConfig, attach: float, link: float,
                 a.append(net.a)
                 b.append(net.b)
             if leaders:
-                yield pa.RecordBatch.from_arrays(
-                    [table.column(0).take(tops), table.column(2).take(tops), table.column(3).take(tops)],
-                    ["node", "id", "sketch"],
-                )
+                columns = [table.column(k).take(tops) for k in (0, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "id", "sketch", "label"])
             else:
                 yield _emit(a, b)
 
-    schema = "node long, id long, sketch binary" if leaders else "a long, b long"
-    return _sorted(rows.select("node", "part", "id", "sketch"), "node", "part").mapInArrow(run, schema)
+    schema = "node long, id long, sketch binary, label long" if leaders else "a long, b long"
+    return _sorted(rows.select("node", "part", "id", "sketch", "label"), "node", "part").mapInArrow(run, schema)
 
 
 def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
@@ -351,7 +358,7 @@ def _sorted(rows: DataFrame, *keys: str) -> DataFrame:
 
 def loose_links(sets: DataFrame, config: NearConfig) -> DataFrame:
     """Links (a, b) of sets (id, signature, sketch) that look alike by sketch, enough to connect all such."""
-    sketch = sets.select("id", "sketch")
+    sketch = sets.select("id", "sketch", F.col("id").alias("label"))
     level = branch(sets, config, 1)
     leaves, met, last = [], [], None
     for depth in range(1, config.depth + 1):
@@ -365,7 +372,16 @@ def loose_links(sets: DataFrame, config: NearConfig) -> DataFrame:
         if depth == config.depth:
             last = large
         else:
-            after = saved(meet_leaders(large, sketch, config))
+            after = None
+            if depth == 1:  # the first tree labels crowds for all others
+                first = F.col("node").bitwiseAND(63) == 0
+                after = saved(meet_leaders(large.filter(first), sketch, config))
+                large = large.filter(~first)
+                known = components(after.filter("a IS NOT NULL")).withColumnRenamed("node", "id")
+                label = F.coalesce("component", "id").alias("label")
+                sketch = saved(sets.select("id", "sketch").join(known, "id", "left").select("id", "sketch", label))
+            more = saved(meet_leaders(large, sketch, config))
+            after = more if after is None else after.unionByName(more)
             met.append(after.filter("a IS NOT NULL").select("a", "b").distinct())
             rest = after.filter("id IS NOT NULL").select("node", "id")
             level = branch(rest.join(sets.select("id", "signature"), "id"), config, depth + 1)

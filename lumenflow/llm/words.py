@@ -53,12 +53,12 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
+def blocks(texts: pa.Array, limit: int = BLOCK, rows: int = ROWS) -> Iterator[Block]:
     """Cut a string column into blocks of whole texts; null is read as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    for start in range(0, len(texts), ROWS):
-        part = texts.slice(start, ROWS).cast(pa.large_binary()).fill_null(b"")
+    for start in range(0, len(texts), rows):
+        part = texts.slice(start, rows).cast(pa.large_binary()).fill_null(b"")
         n = len(part)
         _, places, content = part.buffers()
         at = np.frombuffer(places, np.int64, n + 1, part.offset * 8)
