@@ -172,7 +172,8 @@ def pixel_mask(spark, folder):
 
 def clip_range(spark, folder):
     start = 1_704_067_200_000_000 + 3 * DAY_US
-    return filters.clip_range(load(spark, folder), start, start + 5 * DAY_US)
+    end = start + 5 * DAY_US
+    return filters.clip_range(load(spark, folder, since_us=start, until_us=end), start, end)
 
 
 def accepted_flags(spark, folder):

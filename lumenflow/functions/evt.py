@@ -79,10 +79,145 @@ class Registers:
     base: int | None = None
     polarity: bool = False
 
-    def complete(self, fmt: str) -> bool:
-        if fmt != "evt3":
-            return self.high is not None
-        return None not in (self.high, self.low, self.y, self.base)
+
+@dataclass(frozen=True)
+class Summary:
+    """What a stretch of words does to the registers; summaries of neighbouring stretches compose.
+
+    ``base`` is the vector base at the end if the stretch set it, ``moved`` how far vectors moved it since, or
+    over the whole stretch. The low time part is kept apart for words before and after the first high part,
+    because a live feed restarts it there if the high part before was another one.
+    """
+
+    first_high: int | None = None
+    high: int | None = None
+    low_before: int | None = None
+    low_after: int | None = None
+    y: int | None = None
+    base: int | None = None
+    moved: int = 0
+    polarity: bool = False
+    live: bool = False
+
+    def then(self, later: Summary) -> Summary:
+        before, after = self.low_before, self.low_after
+        if self.first_high is None:
+            before, after = _last(before, later.low_before), later.low_after
+        else:
+            after = _last(after, later.low_before)
+            if later.live and later.first_high is not None and later.first_high != self.high:
+                after = 0
+            after = _last(after, later.low_after)
+        set_later = later.base is not None
+        return Summary(
+            first_high=later.first_high if self.first_high is None else self.first_high,
+            high=_last(self.high, later.high),
+            low_before=before,
+            low_after=after,
+            y=_last(self.y, later.y),
+            base=_last(self.base, later.base),
+            moved=later.moved if set_later else self.moved + later.moved,
+            polarity=later.polarity if set_later else self.polarity,
+            live=self.live or later.live,
+        )
+
+    def after(self, regs: Registers) -> Registers:
+        """The registers behind the stretch, given those before it."""
+        low = _last(regs.low, self.low_before)
+        if self.live and None not in (self.first_high, regs.high) and self.first_high != regs.high:
+            low = 0
+        base, polarity = (regs.base, regs.polarity) if self.base is None else (self.base, self.polarity)
+        return Registers(
+            high=_last(regs.high, self.high),
+            low=_last(low, self.low_after),
+            y=_last(regs.y, self.y),
+            base=None if base is None else min(base + self.moved, 0xFFFF),
+            polarity=polarity,
+        )
+
+    def knows(self, register: str) -> bool:
+        """Whether the register behind the stretch does not depend on what was before."""
+        if register == "low":
+            if self.low_after is not None:
+                return True
+            return self.low_before is not None and (self.first_high is None or not self.live)
+        return getattr(self, register) is not None
+
+
+def _last(earlier, later):
+    return earlier if later is None else later
+
+
+def shape(words: np.ndarray, fmt: str) -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each word and its high time part, if it is one."""
+    if fmt == "evt3":
+        w = words.astype(np.int64)
+        return w >> 12, w & 0xFFF
+    top = words.astype(np.int64) if fmt == "evt2" else (words >> np.uint64(32)).astype(np.int64)
+    return top >> 28, top & 0x0FFFFFFF
+
+
+def summarise(words: np.ndarray, fmt: str, live: bool = False) -> Summary:
+    kind, value = shape(words, fmt)
+    highs = np.flatnonzero(kind == 0x8)
+    first = int(value[highs[0]]) if len(highs) else None
+    high = int(value[highs[-1]]) if len(highs) else None
+    if fmt != "evt3":
+        return Summary(first_high=first, high=high)
+    lows, at_low = np.flatnonzero(kind == 0x6), value
+    border = highs[0] if len(highs) else len(kind)
+    if live and len(highs):
+        changes = highs[1:][value[highs[1:]] != value[highs[:-1]]]
+        at_low = value.copy()
+        at_low[changes] = 0
+        lows = np.union1d(lows, changes)
+    before, after = lows[lows < border], lows[lows > border]
+    width = np.where(kind == 0x4, 12, np.where(kind == 0x5, 8, 0))
+    bases, ys = np.flatnonzero(kind == 0x3), np.flatnonzero(kind == 0x0)
+    since = bases[-1] if len(bases) else 0
+    return Summary(
+        first_high=first,
+        high=high,
+        low_before=int(at_low[before[-1]]) if len(before) else None,
+        low_after=int(at_low[after[-1]]) if len(after) else None,
+        y=int(value[ys[-1]] & 0x7FF) if len(ys) else None,
+        base=int(value[since] & 0x7FF) if len(bases) else None,
+        moved=int(width[since:].sum()),
+        polarity=bool(len(bases) and value[since] & 0x800),
+        live=live,
+    )
+
+
+def missing(words: np.ndarray, regs: Registers, fmt: str, live: bool = False) -> set[str]:
+    """Unset registers that ``words`` use before they set them."""
+    kind, _ = shape(words, fmt)
+
+    def first(*kinds: int) -> int:
+        at = np.flatnonzero(np.isin(kind, kinds))
+        return int(at[0]) if len(at) else len(kind)
+
+    if fmt != "evt3":
+        return {"high"} if regs.high is None and first(0x0, 0x1, 0xA) < first(0x8) else set()
+    timed, placed, vectors = first(0x2, 0x4, 0x5, 0xA), first(0x2, 0x4, 0x5), first(0x4, 0x5)
+    found = {
+        "high": timed < first(0x8) or live,  # a live feed needs the high part before to know of a restart
+        "low": timed < first(0x6) or live,
+        "y": placed < first(0x0),
+        "base": vectors < first(0x3),
+    }
+    return {name for name, used in found.items() if used and getattr(regs, name) is None}
+
+
+def time_span(words: np.ndarray, regs: Registers, fmt: str) -> tuple[int, int] | None:
+    """Bounds of the times that ``words`` can have, or None if no word has a time."""
+    kind, value = shape(words, fmt)
+    highs = value[kind == 0x8]
+    if regs.high is not None:
+        highs = np.append(highs, regs.high)
+    if not len(highs):
+        return None
+    bits = 12 if fmt == "evt3" else 6
+    return int(highs.min()) << bits, int(highs.max()) + 1 << bits
 
 
 @dataclass

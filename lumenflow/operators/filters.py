@@ -273,7 +273,7 @@ def mask_pixels(events: DataFrame, pixels: Iterable[tuple[int, int]]) -> DataFra
 
 
 def clip_range(events: DataFrame, start_us: int | None, end_us: int | None) -> DataFrame:
-    """Inclusive time range; reaches the Parquet scan as a row-group filter."""
+    """Inclusive time range; reaches the scan of a prepared table or a recording as a filter."""
     if start_us is not None:
         events = events.where(F.col("timestamp_us") >= start_us)
     if end_us is not None:

@@ -1,12 +1,17 @@
 """``spark.read.format("evt")``: packed event recordings as a table of records.
 
-A file is cut into byte ranges that are decoded independently. A reader that starts inside a file
-first looks back until it has found the last value of every decoder register, so splits give the
-same records as one pass. The driver only lists files; headers are read where the data is decoded.
+A file is cut into byte ranges that are decoded independently. A reader that starts inside a file looks
+back only for registers that its words use before they set them. It composes register summaries of the
+stretches before, nearest first, each byte once, so splits give the same records as one pass. The driver
+only lists files; headers are read where the data is decoded.
+
+A filter on ``timestamp_us`` reaches the reader: stretches whose time words lie outside are not decoded. With
+``timeSorted`` a reader first searches its range for the time by probing some kilobytes (high time words must
+not decrease, so EVT3 recordings must be shorter than one wrap of 16.7 s), and leaves the rest unread.
 
 Options: ``path`` (file, folder or URI; comma separated), ``format`` (auto, evt2, evt21, evt3),
-``endian`` (little, little32, big), ``splitBytes``, ``timeRows`` (also emit high time words) and
-``live`` (low time part restarts with the high part).
+``endian`` (little, little32, big), ``splitBytes``, ``timeRows`` (also emit high time words), ``live``
+(low time part restarts with the high part) and ``timeSorted``.
 """
 
 from __future__ import annotations
@@ -18,7 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition,
+    LessThan, LessThanOrEqual,
+)
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenflow.config import InvalidConfig
@@ -30,6 +38,9 @@ from lumenflow.schema import EVENT_COLUMNS, RECORD
 CHUNK_BYTES = 1 << 22
 LOOK_BACK_BYTES = 1 << 16
 HEADER_BYTES = 1 << 20
+PROBE_BYTES = 1 << 12
+SEARCH_BYTES = 1 << 18  # distance of the places that a search by time looks at
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 @dataclass
@@ -102,6 +113,10 @@ class Options:
         self.split_bytes = int(get("splitbytes") or 64 << 20)
         self.time_rows = (get("timerows") or "false").lower() == "true"
         self.live = (get("live") or "false").lower() == "true"
+        self.sorted = (get("timesorted") or "false").lower() == "true"
+        self.prune = (get("prune") or "false").lower() == "true"
+        self.since: int | None = None  # inclusive bounds of the times asked for
+        self.until: int | None = None
 
     def resolve(self, header: evt.Header) -> str:
         return header.format if self.format == "auto" else evt.FORMATS[self.format]
@@ -121,20 +136,66 @@ class Options:
         return Stretch(fmt, header.size, whole(part.begin), whole(part.end))
 
 
-def _registers_before(file, part: Stretch, options: Options) -> evt.Registers:
-    """Registers at the start of a range, from as little of the file as needed."""
-    size = LOOK_BACK_BYTES
-    while True:
-        begin = max(part.data_start, part.begin - size)
-        words = evt.words_of(file.read_at(part.begin - begin, begin), part.fmt, options.endian)
-        _, found = evt.decode(words, evt.Registers(), part.fmt, live=options.live)
-        if begin == part.data_start or found.complete(part.fmt):
-            return found if begin > part.data_start else _from_start(words, part, options)
-        size *= 2
-
-
-def _from_start(words, part: Stretch, options: Options) -> evt.Registers:
-    return evt.decode(words, evt.Registers(base=0), part.fmt, live=options.live)[1]
+class _Behind:
+    """Registers at ``at``, from as little of the file before as needed."""
+
+    def __init__(self, file, part: Stretch, at: int, options: Options):
+        self.file, self.part, self.options = file, part, options
+        self.at, self.size = at, LOOK_BACK_BYTES
+        self.summary = evt.Summary(live=options.live)
+
+    def registers(self, wanted: set[str] = frozenset()) -> evt.Registers:
+        fmt, start = self.part.fmt, self.part.data_start
+        while self.at > start and not all(map(self.summary.knows, wanted)):
+            begin = max(start, self.at - self.size)
+            words = evt.words_of(self.file.read_at(self.at - begin, begin), fmt, self.options.endian)
+            self.summary = evt.summarise(words, fmt, self.options.live).then(self.summary)
+            self.at = begin
+            self.size *= 2
+        return self.summary.after(evt.Registers(base=0) if self.at == start else evt.Registers())
+
+
+def _first_high(file, part: Stretch, at: int, options: Options) -> tuple[int, int] | None:
+    """Value and place of the first high time word at or after ``at``."""
+    while at < part.end:
+        words = evt.words_of(file.read_at(min(PROBE_BYTES, part.end - at), at), part.fmt, options.endian)
+        kind, value = evt.shape(words, part.fmt)
+        found = np.flatnonzero(kind == 0x8)
+        if len(found):
+            return int(value[found[0]]), at + int(found[0]) * evt.WORD_BYTES[part.fmt]
+        if not len(words):
+            break
+        at += len(words) * evt.WORD_BYTES[part.fmt]
+    return None
+
+
+def narrowed(file, part: Stretch, options: Options) -> Stretch:
+    """The part of a range that can hold the times asked for, if high time words do not decrease."""
+    bits = 12 if part.fmt == "evt3" else 6
+    blocks = range(part.begin, part.end, SEARCH_BYTES)
+    found: dict[int, tuple[int, int] | None] = {}
+
+    def high(k: int) -> tuple[int, int] | None:
+        if k not in found:
+            found[k] = _first_high(file, part, blocks[k], options)
+        return found[k]
+
+    def first(test) -> int:
+        """The first block for which ``test`` holds of its high time; all later ones hold too."""
+        low, up = 0, len(blocks)
+        while low < up:
+            middle = (low + up) // 2
+            low, up = (low, middle) if high(middle) is None or test(high(middle)[0]) else (middle + 1, up)
+        return low
+
+    begin, end = part.begin, part.end
+    if options.since is not None:
+        begin = blocks[max(0, first(lambda x: x >= options.since >> bits) - 1)]
+    if options.until is not None:
+        k = first(lambda x: x > options.until >> bits)
+        if k < len(blocks) and high(k) is not None:
+            end = high(k)[1]
+    return Stretch(part.fmt, part.data_start, begin, max(begin, end))
 
 
 def _batch(records: evt.Records, first_word: int, stream_id: str, schema: pa.Schema) -> pa.RecordBatch:
@@ -168,15 +229,32 @@ def read_range(source: Range, options: Options) -> Iterator[pa.RecordBatch]:
     word = evt.WORD_BYTES[part.fmt]
     stream_id = source.path.rsplit("/", 1)[-1]
     with filesystem.open_input_file(inner) as file:
-        regs = evt.Registers(base=0)
-        if part.data_start < part.begin < part.end:
-            regs = _registers_before(file, part, options)
+        if options.sorted and part.begin < part.end:
+            part = narrowed(file, part, options)
+        behind = _Behind(file, part, part.begin, options)
+        passed = evt.Summary(live=options.live)
         for at in range(part.begin, part.end, CHUNK_BYTES):
             data = file.read_at(min(CHUNK_BYTES, part.end - at), at)
             words = evt.words_of(data, part.fmt, options.endian)
-            records, regs = evt.decode(words, regs, part.fmt, options.time_rows, options.live)
-            if len(records.word):
-                yield _batch(records, (at - part.data_start) // word, stream_id, schema)
+            wanted = evt.missing(words, passed.after(behind.registers()), part.fmt, options.live)
+            regs = passed.after(behind.registers(wanted & {"high"}))
+            if not _outside(words, regs, part.fmt, options):
+                regs = passed.after(behind.registers(wanted))
+                records, _ = evt.decode(words, regs, part.fmt, options.time_rows, options.live)
+                if len(records.word):
+                    yield _batch(records, (at - part.data_start) // word, stream_id, schema)
+            passed = passed.then(evt.summarise(words, part.fmt, options.live))
+
+
+def _outside(words: np.ndarray, regs: evt.Registers, fmt: str, options: Options) -> bool:
+    """Whether no word can have a time that is asked for."""
+    if options.since is None and options.until is None:
+        return False
+    span = evt.time_span(words, regs, fmt)
+    if span is None:
+        return True
+    before = options.until is not None and span[0] > options.until
+    return before or (options.since is not None and span[1] <= options.since)
 
 
 class _Reader(DataSourceReader):
@@ -192,6 +270,25 @@ class _Reader(DataSourceReader):
         return iter(()) if partition is None else read_range(partition, self.options)
 
 
+class _PruningReader(_Reader):
+    """Takes bounds on ``timestamp_us``; Spark still applies the filters themselves."""
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            if getattr(f, "attribute", None) == ("timestamp_us",) and isinstance(getattr(f, "value", None), int):
+                low, high = {
+                    EqualTo: (f.value, f.value),
+                    GreaterThanOrEqual: (f.value, None),
+                    GreaterThan: (f.value + 1, None),
+                    LessThanOrEqual: (None, f.value),
+                    LessThan: (None, f.value - 1),
+                }.get(type(f), (None, None))
+                options = self.options
+                options.since = max((x for x in (options.since, low) if x is not None), default=None)
+                options.until = min((x for x in (options.until, high) if x is not None), default=None)
+            yield f
+
+
 class _StreamReader(DataSourceStreamReader):
     """Follows growing and new files; the offset is the size of each file that was listed."""
 
@@ -226,7 +323,8 @@ class EvtDataSource(DataSource):
         return RECORD
 
     def reader(self, schema):
-        return _Reader(Options(self.options))
+        options = Options(self.options)
+        return _PruningReader(options) if options.prune else _Reader(options)
 
     def streamReader(self, schema):
         return _StreamReader(Options(self.options))
@@ -236,7 +334,9 @@ def read_records(spark: SparkSession, path: str, **options) -> DataFrame:
     """All records of one or more recordings."""
     Options({"path": path, **{k: str(v) for k, v in options.items()}})
     spark.dataSource.register(EvtDataSource)
-    reader = spark.read.format("evt").option("path", path)
+    if spark.conf.get(PUSHDOWN, None) is None or spark.conf.get(PUSHDOWN) == "false":
+        spark.conf.set(PUSHDOWN, "true")
+    reader = spark.read.format("evt").option("path", path).option("prune", True)
     for key, value in options.items():
         reader = reader.option(key, str(value).lower() if isinstance(value, bool) else value)
     return reader.load()

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def pixelised_events(spark: SparkSession, path: str, with_value: bool = False) -> DataFrame:
+def pixelised_events(
+    spark: SparkSession, path: str, with_value: bool = False, since_us: int | None = None, until_us: int | None = None
+) -> DataFrame:
     """Map each log row to a pixel of a 24 x 18 sensor.
 
     ``seq`` is the log key, the pixel comes from the user and the key, and clicks and purchases
-    count as positive polarity. Only the needed columns are read.
+    count as positive polarity. Only the needed columns are read. ``since_us`` and ``until_us``
+    (inclusive) are compared with the stored time itself, so they prune Parquet row groups.
     """
     log = spark.read.parquet(path)
+    kind = log.schema["ts"].dataType
+    if since_us is not None:
+        log = log.where(F.col("ts") >= F.timestamp_micros(F.lit(since_us)).cast(kind))
+    if until_us is not None:
+        log = log.where(F.col("ts") <= F.timestamp_micros(F.lit(until_us)).cast(kind))
     columns = [
         # Not a plain literal: Catalyst would fold it out of join and partition keys.
         F.when(F.col("event_id").isNotNull(), F.lit("events")).alias("stream_id"),
