@@ -47,28 +47,41 @@ def simple_camera(focal, width, height):
     return CameraModel(focal, focal, width / 2, height / 2).for_sensor(width, height)
 
 
-def rotation_about_y(angle):
-    c, s = math.cos(angle), math.sin(angle)
-    return np.array([[c, 0, s], [0, 1, 0], [-s, 0, c]])
+def turn_matrix(vector):
+    """Rotation by ``|vector|`` about ``vector`` (Rodrigues)."""
+    vector = np.asarray(vector, float)
+    angle = np.linalg.norm(vector)
+    if angle == 0:
+        return np.eye(3)
+    x, y, z = vector / angle
+    k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return np.eye(3) + math.sin(angle) * k + (1 - math.cos(angle)) * k @ k
 
 
-def rotation_scene():
-    """Static edges seen by a turning camera and one edge that moves on its own (320 x 240, 40 ms)."""
+def projected(camera, points, turn):
+    """Pixels of viewing directions after a turn, without lens distortion."""
+    rays = turn @ np.vstack([(points[0] - camera.cx) / camera.fx, (points[1] - camera.cy) / camera.fy, np.ones(len(points[0]))])
+    return camera.fx * rays[0] / rays[2] + camera.cx, camera.fy * rays[1] / rays[2] + camera.cy
+
+
+def turning_scene(camera, rate, milliseconds, seed):
+    """What a camera turning at ``rate`` (rad/s per axis) sees: fixed dots, and dots in one patch that drift.
+
+    Rows of (timestamp_us, x, y, True); every dot fires now and then, in time order.
+    """
+    rng = np.random.default_rng(seed)
+    fixed = rng.uniform([30, 30], [camera.width - 30, camera.height - 30], (260, 2)).T
+    patch = rng.uniform([camera.width * 0.4, camera.height * 0.35], [camera.width * 0.5, camera.height * 0.6], (120, 2)).T
+    drift = rng.uniform(-900, 900, 2)
     rows = []
-    for i in range(41):
-        t = i * 0.001
-        turn = rotation_about_y(-t)
-
-        def place(x, y, moving):
-            ray = turn @ np.array([(x - 160) / 300, (y - 120) / 300, 1.0])
-            px, py = 300 * ray[0] / ray[2] + 160, 300 * ray[1] / ray[2] + 120
-            rows.append((i * 1000, math.floor(px + 0.5), math.floor(py + 0.5), moving))
-
-        for x in (60, 100, 140, 180, 220):
-            for y in range(30, 110, 3):
-                place(x, y, False)
-        for y in range(150, 200, 2):
-            place(50 + t * 900, y, True)
+    for ms in range(milliseconds):
+        world = turn_matrix(np.multiply(rate, ms * 1e-3)).T  # directions as the turned camera sees them
+        moved = patch + (drift * ms * 1e-3)[:, None]
+        for dots, share in ((fixed, 0.3), (moved, 0.5)):
+            some = dots[:, rng.random(dots.shape[1]) < share]
+            for x, y in zip(*np.round(projected(camera, some, world))):
+                if 0 <= x < camera.width and 0 <= y < camera.height:
+                    rows.append((ms * 1000, int(x), int(y), True))
     return rows
 
 

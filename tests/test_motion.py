@@ -1,7 +1,9 @@
+from collections import defaultdict
+
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from fixtures import event_table, imu_table, rotation_scene, simple_camera, window_rows
+from fixtures import event_table, imu_table, projected, simple_camera, turn_matrix, turning_scene, window_rows
 from lumenflow.config import InvalidConfig, MotionConfig
 from lumenflow.operators import foreground, imu, motion
 from lumenflow.sources.imu import read_imu_csv
@@ -9,63 +11,109 @@ from lumenflow.sources.imu import read_imu_csv
 KEYS = ["stream_id", "window_id"]
 
 
-def test_late_regions_need_new_cells(spark):
-    camera = simple_camera(80, 96, 72)
-    rows = [(t, x, y) for y in range(48, 66, 3) for x in range(3, 90, 3) for t in (4000, 5000, 6000)]
-    for y in range(0, 24, 3):
-        for repeat in range(3):
-            rows += [
-                (1000, 30 if repeat < 2 else 36, y),
-                (9000, 33, y),
-                (1000, 60, y),
-                (9000, 63 if y < 12 else 66, y),
-            ]
-    placed = window_rows(event_table(spark, rows), 0, 10_000).withColumns(
-        {"px": F.col("x").cast("double"), "py": F.col("y").cast("double")}
-    )
-    loose = MotionConfig(min_new_fraction=0.0)
-    assert foreground.segment(placed, KEYS, camera, loose).where("foreground").count() == 48
-    marked = foreground.segment(placed, KEYS, camera, MotionConfig()).toPandas()
-    assert marked.foreground.sum() == 24
-    assert (marked.foreground == ((marked.timestamp_us == 9000) & (marked.x >= 63))).all()
+def plain_foreground(rows, camera, cfg):
+    """Rows of (start, end, time, px, py) of one window: whether each lies in a kept region."""
+    places = [None if px is None or not (0 <= px < camera.width and 0 <= py < camera.height)
+              else (int(px) // cfg.cell_px, int(py) // cfg.cell_px) for *_, px, py in rows]
+    ages = defaultdict(list)
+    for (start, end, time, *_), place in zip(rows, places):
+        if place is not None:
+            ages[place].append((time - start) / max(end - start, 1))
+    means = {c: sum(a) / len(a) for c, a in ages.items()}
+    occupied = [c for c in ages if len(ages[c]) >= cfg.min_events]
+    whole = sum(means[c] for c in occupied) / len(occupied) if occupied else 0.0
+    late = {c for c in occupied if means[c] - whole > cfg.threshold}
+    early = {c: sum(a < 0.25 for a in ages[c]) for c in ages}
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    kept, left = set(), set(late)
+    while left:
+        region, stack = set(), [left.pop()]
+        while stack:
+            x, y = stack.pop()
+            region.add((x, y))
+            near = {(x + i, y + j) for i, j in around} & left
+            left -= near
+            stack += near
+        support = {c: sum(early.get((c[0] + i, c[1] + j), 0) for i, j in around) for c in region}
+        new = sum(cfg.min_new_fraction == 0 or n < cfg.min_events for n in support.values())
+        if len(region) >= cfg.min_component_cells and new >= len(region) * cfg.min_new_fraction:
+            kept |= region
+    return [c in kept for c in places]
+
+
+@pytest.mark.parametrize("new_fraction", [0.0, 0.4, 1.0])
+def test_kept_regions_match_a_plain_reading(spark, new_fraction):
+    """Random patches that begin early, late or both, in several windows of two streams."""
+    rng = np.random.default_rng(41)
+    camera = simple_camera(50, 64, 48)
+    cfg = MotionConfig(cell_px=2, threshold=0.1, min_events=2, min_component_cells=3, min_new_fraction=new_fraction)
+    data, seq = [], 0
+    for stream in "ab":
+        for window in range(4):
+            start, end = 20_000 * window, 20_000 * window + int(rng.integers(9_000, 15_000))
+            for _ in range(14):
+                corner, size = rng.uniform([-3, -3], [62, 46]), rng.uniform(1, 9, 2)
+                first = rng.choice([0.0, 0.0, 0.6])
+                for _ in range(int(rng.integers(5, 90))):
+                    place = corner + rng.random(2) * size
+                    time = start + int((first + (1 - first) * rng.random()) * (end - start))
+                    data.append((stream, window, seq, start, end, time, *place.tolist()))
+                    seq += 1
+            data.append((stream, window, seq, start, end, start, None, None))
+            seq += 1
+    rows = spark.createDataFrame(data, "stream_id string, window_id long, seq long, start_us long, end_us long, timestamp_us long, px double, py double")
+    got = {r.seq: r.foreground for r in foreground.segment(rows, KEYS, camera, cfg).collect()}
+    for stream in "ab":
+        for window in range(4):
+            own = [r for r in data if r[:2] == (stream, window)]
+            assert [got[r[2]] for r in own] == plain_foreground([r[3:] for r in own], camera, cfg)
+    assert 0 < sum(got.values()) < len(got)
+
+
+RATE = (0.7, -1.1, 0.9)
 
 
 @pytest.fixture(scope="module")
 def rotating(spark):
-    rows = rotation_scene()
-    camera = simple_camera(300, 320, 240)
-    events = event_table(spark, rows)
-    samples = imu_table(spark, [i * 0.01 for i in range(21)], gyro=(0.0, 1.0, 0.0))
-    return rows, camera, events, imu.prepared_imu(samples)
+    camera = simple_camera(210, 260, 180)
+    rows = turning_scene(camera, RATE, 36, seed=43)
+    samples = imu_table(spark, [i * 0.01 for i in range(21)], gyro=RATE)
+    return rows, camera, event_table(spark, rows), imu.prepared_imu(samples)
 
 
 def compensated(spark, scene, cfg):
     _, camera, events, intervals = scene
     window = motion.window_times(
-        spark.createDataFrame([("s", 0, 0, 40_000)], "stream_id string, window_id long, origin_us long, end_us long"),
+        spark.createDataFrame([("s", 0, 0, 35_000)], "stream_id string, window_id long, origin_us long, end_us long"),
         cfg,
     )
     rotations = motion.window_rotations(window, intervals, cfg)
-    return motion.compensate(window_rows(events, 0, 40_000), rotations, camera, with_original=True)
+    return motion.compensate(window_rows(events, 0, 35_000), rotations, camera, with_original=True)
 
 
-def test_rotation_is_removed_and_own_motion_stays(spark, rotating):
+def test_rotation_about_any_axis_is_removed(spark, rotating):
+    """Every event goes where its direction is seen at the end of the window."""
     rows, camera, _, _ = rotating
-    cfg = MotionConfig(window_us=40_000)
+    cfg = MotionConfig(window_us=35_000, cell_px=4, min_component_cells=4)
     placed = compensated(spark, rotating, cfg)
-    on = foreground.focus(placed, KEYS, 320, 240).first()["focus"]
-    off = foreground.focus(placed, KEYS, 320, 240, "ox", "oy").first()["focus"]
-    assert on > 1.5 * off
+    got = placed.orderBy("seq").toPandas()
+    assert got.covered.all()
+    back = turn_matrix(np.multiply(RATE, 0.035)).T
+    for time, own in got.groupby("timestamp_us"):
+        turn = back @ turn_matrix(np.multiply(RATE, time * 1e-6))
+        x, y = projected(camera, own[["x", "y"]].to_numpy(float).T, turn)
+        inside = own.px.notna().to_numpy()
+        assert inside.any()
+        assert np.abs(own.px.to_numpy() - x)[inside].max() < 0.01 and np.abs(own.py.to_numpy() - y)[inside].max() < 0.01
+    sharp, blurred = (foreground.focus(placed, KEYS, camera.width, camera.height, *c).first()["focus"] for c in (("px", "py"), ("ox", "oy")))
+    assert sharp > blurred
     marked = foreground.segment(placed, KEYS, camera, cfg).orderBy("seq").toPandas()
-    moving = [r[3] for r in rows]
-    kept = marked.foreground.to_numpy()
-    assert marked.covered.all()
-    assert sum(k and not m for k, m in zip(kept, moving)) < 100
-    assert sum(k and m for k, m in zip(kept, moving)) > 60
+    flat = [(r.start_us, r.end_us, r.timestamp_us, *((None, None) if r.px != r.px else (r.px, r.py))) for r in marked.itertuples()]
+    assert marked.foreground.tolist() == plain_foreground(flat, camera, cfg)
 
 
 def test_missing_coverage_gives_no_rotation(spark, rotating):
-    placed = compensated(spark, rotating, MotionConfig(window_us=40_000, offset_s=-1.0))
+    placed = compensated(spark, rotating, MotionConfig(window_us=35_000, offset_s=-1.0))
     assert placed.where("covered").count() == 0
 
 
@@ -76,7 +124,7 @@ def test_gyro_lookup_ends_with_the_samples(spark, rotating):
     )
     found = imu.gyro_at(points, intervals).toPandas()
     assert sorted(found.time_s) == [0.0, 0.105, 0.2]
-    assert (found.gy == 1.0).all()
+    assert (found.gy == RATE[1]).all()
 
 
 def test_lookup_and_rotation_refuse_gaps(spark):

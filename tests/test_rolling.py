@@ -1,4 +1,5 @@
 import math
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from fixtures import event_table
 from lumenflow.config import ClusterConfig, InvalidConfig
 from lumenflow.functions.circle import fit_circle
 from lumenflow.functions.label import connected
-from lumenflow.operators import components, rolling
+from lumenflow.operators import clusters, components, rolling
 
 
 def brute_windows(rows, window, step):
@@ -37,16 +38,47 @@ def test_members_match_a_replay(spark, seed):
     assert {k: sorted(v) for k, v in got.items()} == brute_windows(rows, 60, 20)
 
 
-def test_one_detection_of_a_small_cluster(spark):
-    events = event_table(spark, [(0, 1, 1), (100, 50, 50), (200, 51, 50), (300, 50, 51), (1000, 52, 51)])
-    cfg = ClusterConfig(10_000, 1000, 2, min_events=3, min_cells=2, circle_fit=False)
-    rows = rolling.rolling_detections(events, cfg, (640, 480)).orderBy("tick").collect()
-    # The tick at 1000 us, and the closing window at the last event.
-    assert [r.timestamp_us for r in rows] == [1000, 1000]
-    first = rows[0]
-    assert (first.event_count, first.min_x, first.min_y, first.max_x, first.max_y) == (4, 50, 50, 52, 51)
-    assert first.centroid_x == 50.75
-    assert first.confidence == pytest.approx(math.sqrt(4 / 6))
+def plain_best(rows, members, cfg):
+    """The largest eligible cluster of some events: count, bounds, centroid and confidence."""
+    cells = {s: (rows[s][1] // cfg.cell_size, rows[s][2] // cfg.cell_size) for s in members}
+    labels = brute_components(set(cells.values()))
+    groups = defaultdict(list)
+    for s, cell in cells.items():
+        groups[labels[cell]].append(s)
+    best = None
+    for label, own in groups.items():
+        x, y = [rows[s][1] for s in own], [rows[s][2] for s in own]
+        if len(own) >= cfg.min_events and len({cells[s] for s in own}) >= cfg.min_cells:
+            area = (max(x) - min(x) + 1) * (max(y) - min(y) + 1)
+            sure = min(len(own) / cfg.min_events, 1) * math.sqrt(min(len(own) / area, 1))
+            found = (-len(own), label), (len(own), min(x), min(y), max(x), max(y), sum(x) / len(x), sum(y) / len(y), sure)
+            best = found if best is None or found < best else best
+    return best and best[1]
+
+
+@pytest.mark.parametrize("seed", [51, 52, 53])
+def test_lone_windows_report_their_largest_cluster(spark, seed):
+    """The first detection and, without continuity, the best cluster of every window."""
+    rng = np.random.default_rng(seed)
+    rows, cfg = [], ClusterConfig(400, 500, 3, min_events=6, min_cells=3, circle_fit=False)
+    for burst in range(5):
+        spots = rng.integers([5, 5], [150, 110], (3, 2))
+        for spot, n in zip(spots, rng.permutation([4, 13, 30])):
+            rows += [(500 * burst + int(t), *map(int, spot + rng.integers(0, 9, 2))) for t in rng.integers(130, 480, n)]
+    rows = [(0, 170, 120), *sorted(rows), (2500, 170, 120)]
+    events = event_table(spark, rows)
+    found = {r.tick: r for r in rolling.rolling_detections(events, cfg, (176, 128)).collect()}
+    windows = {k: m for k, m in brute_windows(rows, 400, 500).items() if plain_best(rows, m, cfg)}
+    assert set(found) == set(windows)
+    first = found[min(found)]
+    got = (first.event_count, first.min_x, first.min_y, first.max_x, first.max_y, first.centroid_x, first.centroid_y, first.confidence)
+    assert got == pytest.approx(plain_best(rows, windows[min(found)], cfg))
+    grouped = clusters.window_clusters(rolling.rolling_members(events, cfg), rolling.KEYS, cfg, (176, 128))
+    best = clusters.best_cluster(grouped, rolling.KEYS, cfg).collect()
+    assert {r.tick for r in best} == set(windows)
+    for r in best:
+        got = (r.event_count, r.min_x, r.min_y, r.max_x, r.max_y, r.centroid_x, r.centroid_y, r.confidence)
+        assert got == pytest.approx(plain_best(rows, windows[r.tick], cfg))
 
 
 def test_continuity_prefers_the_previous_place(spark):
@@ -64,23 +96,38 @@ def test_continuity_prefers_the_previous_place(spark):
     assert [(r.event_count, r.centroid_x) for r in found][:4] == [(9, 11.0)] * 4
 
 
-def test_circle_fit_finds_the_ring():
-    a = np.arange(0, 360, 15) * math.pi / 180
-    x = np.r_[np.round(100 + 20 * np.cos(a)), 200]
-    y = np.r_[np.round(80 + 20 * np.sin(a)), 200]
-    cx, cy, radius, _, ratio, _ = fit_circle(x, y, 2.5)
-    assert abs(cx - 100) < 1 and abs(cy - 80) < 1 and abs(radius - 20) < 1 and ratio > 0.8
-    assert fit_circle(x[:5], y[:5], 2.5)[0] is None
+def least_squares_circle(x, y):
+    """Centre and radius by the linear form x^2 + y^2 = 2 a x + 2 b y + c."""
+    table = np.column_stack([2 * x, 2 * y, np.ones(len(x))])
+    a, b, c = np.linalg.lstsq(table, x * x + y * y, rcond=None)[0]
+    return a, b, math.sqrt(c + a * a + b * b)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_circle_fit_ignores_what_is_off_the_ring(seed):
+    rng = np.random.default_rng(60 + seed)
+    centre, size = rng.uniform([60, 60], [240, 180]), rng.uniform(12, 45)
+    angle = rng.permutation(60)[:44] * math.tau / 60
+    x = centre[0] + size * np.cos(angle) + rng.normal(0, 0.3, 44)
+    y = centre[1] + size * np.sin(angle) + rng.normal(0, 0.3, 44)
+    want = least_squares_circle(x, y)
+    stray = rng.uniform(-0.4, 0.4, (3, 2)) * size + centre
+    got = fit_circle(np.append(x, stray[:, 0]), np.append(y, stray[:, 1]), 2.0)
+    assert np.abs(np.array(got[:3]) - want).max() < 0.6
+    assert fit_circle(x[:4], y[:4], 2.0)[0] is None
 
 
 def test_ring_detection_has_a_circle(spark):
-    a = np.arange(120) * math.tau / 120
-    ring = [(i * 10, round(100 + 20 * math.cos(v)), round(80 + 20 * math.sin(v))) for i, v in enumerate(a)]
-    cfg = ClusterConfig(2000, 1195, 2, min_events=20, min_cells=3)
-    events = event_table(spark, [*ring, (1200, 500, 400)])
-    row = rolling.rolling_detections(events, cfg, (640, 480)).orderBy("tick").first()
-    assert row.event_count == 120 or row.event_count == 119
-    assert abs(row.circle.center_x - 100) < 1.5 and abs(row.circle.radius_px - 20) < 1.5
+    rng = np.random.default_rng(66)
+    centre, size = rng.uniform([70, 60], [120, 90]), rng.uniform(18, 28)
+    angle = np.sort(rng.random(150)) * math.tau
+    ring = [(int(i * 6), round(centre[0] + size * math.cos(v)), round(centre[1] + size * math.sin(v))) for i, v in enumerate(angle)]
+    cfg = ClusterConfig(1500, 1000, 3, min_events=30, min_cells=5)
+    events = event_table(spark, [*ring, (1000, 300, 200)])
+    row = rolling.rolling_detections(events, cfg, (320, 240)).orderBy("tick").first()
+    want = least_squares_circle(*np.array([r[1:] for r in ring], float).T)
+    got = (row.circle.center_x, row.circle.center_y, row.circle.radius_px)
+    assert row.event_count == 150 and np.abs(np.subtract(got, want)).max() < 1
 
 
 def brute_components(cells):
