@@ -14,7 +14,9 @@ from lumenflow.functions.geometry import bbox_height, bbox_width, pixel_diameter
 from lumenflow.functions.parabola import FIT_TYPE, fit_parabolas
 from lumenflow.plans.frames import last_rows
 from lumenflow.plans.hopping import floor_div
+from lumenflow.plans.lineage import materialise
 from lumenflow.plans.ordered import scan_ordered
+from lumenflow.plans.scan import running
 
 
 def ball_measurements(detections: DataFrame, cfg: BallConfig) -> DataFrame:
@@ -38,14 +40,115 @@ MEASUREMENT_NOISE = 0.02
 MIN_STEP_S = 1e-6
 
 
+AXES = ["x_m", "y_m", "z_m"]
+#: Paths are smoothed in time blocks of this length.
+SMOOTHING_BLOCK_US = 60_000_000
+
+
+def _step_s(before_us: np.ndarray, at_us: np.ndarray) -> np.ndarray:
+    return np.maximum(np.maximum(at_us - before_us, 0) * 1e-6, MIN_STEP_S)
+
+
+def filter_elements(dt: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each update as a map of the state before: (A, b, C, eta, J), with one b and eta per axis.
+
+    A state of mean m and covariance P goes to A (1 + P J)^-1 (m + P eta) + b and A (1 + P J)^-1 P A' + C. Maps
+    of neighbouring stretches of time compose to one of the same form (Sarkka and Garcia-Fernandez, 2021).
+    """
+    n = len(dt)
+    move = np.zeros((n, 2, 2))
+    move[:, 0, 0] = move[:, 1, 1] = 1.0
+    move[:, 0, 1] = dt
+    noise = np.zeros((n, 2, 2))
+    noise[:, 0, 0], noise[:, 1, 1] = PROCESS_NOISE * dt * dt, PROCESS_NOISE
+    spread_ = noise[:, 0, 0] + MEASUREMENT_NOISE
+    gain = noise[:, :, 0] / spread_[:, None]
+    left = np.tile(np.eye(2), (n, 1, 1))
+    left[:, :, 0] -= gain
+    seen = move[:, 0, :]  # the measured row after the move
+    return (
+        left @ move,
+        gain[:, :, None] * z[:, None, :],
+        left @ noise,
+        (seen / spread_[:, None])[:, :, None] * z[:, None, :],
+        seen[:, :, None] * seen[:, None, :] / spread_[:, None, None],
+    )
+
+
+def compose(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The maps ``first`` and, after them, ``then``, element by element."""
+    a1, b1, c1, e1, j1 = first
+    a2, b2, c2, e2, j2 = then
+    inner = np.linalg.inv(np.eye(2) + c1 @ j2)
+    through, back = a2 @ inner, a1.swapaxes(-1, -2) @ inner.swapaxes(-1, -2)
+    return (
+        through @ a1,
+        through @ (b1 + c1 @ e2) + b2,
+        through @ c1 @ a2.swapaxes(-1, -2) + c2,
+        back @ (e2 - j2 @ b1) + e1,
+        back @ j2 @ a1 + j1,
+    )
+
+
+def composed(maps: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """All maps, in order, as one: neighbours are composed in pairs until one is left."""
+    while len(maps[0]) > 1:
+        even = len(maps[0]) // 2 * 2
+        pairs = compose(tuple(x[0:even:2] for x in maps), tuple(x[1:even:2] for x in maps))
+        maps = tuple(np.concatenate([x, y[even:]]) for x, y in zip(pairs, maps))
+    return tuple(x[0] for x in maps)
+
+
+MAP = ("a", "b", "c", "eta", "j")
+
+
+def _block_map(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row: the map of a whole block. The first measurement of a stream forgets what was before."""
+    rows = rows.sort_values(["timestamp_us", *AXES], kind="stable")
+    z = rows[AXES].to_numpy(float)
+    first = rows["before_us"].isna().to_numpy()
+    at = rows["timestamp_us"].to_numpy()
+    maps = filter_elements(_step_s(rows["before_us"].fillna(0).to_numpy("int64"), at), z)
+    for name, x in zip(MAP, maps):
+        x[first] = np.eye(2) if name == "c" else 0.0
+    maps[1][first, 0, :] = z[first]
+    out = {k: [rows[k].iloc[0]] for k in ("stream_id", "__block")}
+    return pd.DataFrame(out | {k: [x.ravel().tolist()] for k, x in zip(MAP, composed(maps))} | {"last_us": [at[-1]]})
+
+
+def _entries():
+    """Over the blocks of a stream: time, mean and covariance with which each begins."""
+    state = None
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        nonlocal state
+        out = []
+        for row in rows.itertuples(index=False):
+            out.append((row.stream_id, row[1], *(state or (None, None, None))))
+            a, b, c, eta, j = (np.reshape(getattr(row, k), (2, -1)) for k in MAP)
+            mean, p = (np.zeros((2, 3)), np.eye(2)) if state is None else (np.reshape(x, (2, -1)) for x in state[1:])
+            through = a @ np.linalg.inv(np.eye(2) + p @ j)
+            state = row.last_us, (through @ (mean + p @ eta) + b).ravel().tolist(), (through @ p @ a.T + c).ravel().tolist()
+        return pd.DataFrame(out, columns=["stream_id", "__block", "entry_us", "entry_mean", "entry_cov"]).astype({"entry_us": "Int64"})
+
+    return step
+
+
 def _smoother():
-    """Three independent axes share one covariance, because their noise settings are equal."""
+    """The filter over one block, from the state with which it begins.
+
+    Three independent axes share one covariance, because their noise settings are equal.
+    """
     state = None
 
     def step(rows: pd.DataFrame) -> pd.DataFrame:
         nonlocal state
         times = rows["timestamp_us"].to_numpy()
-        measured = rows[["x_m", "y_m", "z_m"]].to_numpy()
+        measured = rows[AXES].to_numpy(float)
+        if state is None and rows["entry_mean"].iloc[0] is not None:
+            entry = rows.iloc[0]
+            position, velocity = np.reshape(entry["entry_mean"], (2, 3))
+            state = (int(entry["entry_us"]), position, velocity, np.reshape(entry["entry_cov"], (2, 2)))
         out = np.empty((len(rows), 6))
         for i, (at, z) in enumerate(zip(times, measured)):
             if state is None:
@@ -61,7 +164,7 @@ def _smoother():
                 p = p - np.outer(gain, p[0])
                 state = (at, position + gain[0] * residual, velocity + gain[1] * residual, p)
             out[i, :3], out[i, 3:] = state[1], state[2]
-        result = rows.copy()
+        result = rows.drop(columns=["__block", "entry_us", "entry_mean", "entry_cov"])
         for k, name in enumerate(SMOOTHED):
             result[name] = out[:, k]
         result["speed_mps"] = np.sqrt((out[:, 3:] ** 2).sum(axis=1))
@@ -73,17 +176,32 @@ def _smoother():
 SMOOTHED = ("smooth_x_m", "smooth_y_m", "smooth_z_m", "vx_mps", "vy_mps", "vz_mps")
 
 
-def smooth_path(measurements: DataFrame) -> DataFrame:
-    """Constant-velocity Kalman path per stream over ball measurements.
+def smooth_path(measurements: DataFrame, block_us: int = SMOOTHING_BLOCK_US) -> DataFrame:
+    """Constant-velocity Kalman path per stream over ball measurements, in parallel over time.
 
-    Input is one row per detection, so an ordered pass with a few numbers of state suffices.
+    Each block of time becomes one map from the state before it to the state behind it; only these maps, one
+    row a block, are passed through in order. Every block is then filtered from its own first state, so the
+    path does not depend on ``block_us``. Rows of one time go by their position.
     """
-    rows = measurements.select(
-        "stream_id", "timestamp_us", "x_m", "y_m", "z_m", "pixel_diameter", "confidence"
+    rows = measurements.select("stream_id", "timestamp_us", *AXES, "pixel_diameter", "confidence")
+    placed = rows.withColumns(
+        {"__order": F.struct("timestamp_us", *AXES), "__block": floor_div(F.col("timestamp_us"), block_us)}
     )
+    before = {"before_us": F.col("timestamp_us")}
+    steps = materialise(running(placed, ["stream_id"], "__order", F.col("__block"), last=before).drop("__order"))
+    maps = steps.groupBy("stream_id", "__block").applyInPandas(
+        _block_map, "stream_id string, __block long, " + "".join(f"{k} array<double>, " for k in MAP) + "last_us long"
+    )
+    entries = scan_ordered(
+        maps, ["stream_id"], ["__block"], _entries,
+        "stream_id string, __block long, entry_us long, entry_mean array<double>, entry_cov array<double>",
+    )
     added = [T.StructField(n, T.DoubleType()) for n in (*SMOOTHED, "speed_mps")]
     schema = T.StructType([*rows.schema.fields, *added])
-    return scan_ordered(rows, ["stream_id"], ["timestamp_us"], _smoother, schema)
+    entered = steps.drop("before_us").join(entries, ["stream_id", "__block"]).select(
+        *rows.columns, "__block", "entry_us", "entry_mean", "entry_cov"
+    )
+    return scan_ordered(entered, ["stream_id", "__block"], ["timestamp_us", *AXES], _smoother, schema)
 
 
 def parabola_points(detections: DataFrame, cfg: ParabolaConfig) -> DataFrame:

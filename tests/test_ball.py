@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from lumenflow.config import BallConfig, CameraModel, InvalidConfig, ParabolaConfig, default_camera, rescale_default_camera
@@ -29,6 +30,47 @@ def test_smoothing_starts_at_the_first_measurement_and_follows(spark):
     assert path[-1].smooth_z_m == pytest.approx(5.0)
 
 
+def sequential_path(rows):
+    """The filter of one stream, one measurement after the other, with an explicit three-axis state."""
+    state, out = None, []
+    for t, *z in sorted(rows):
+        if state is None:
+            state = np.array([*z, 0.0, 0.0, 0.0]), np.eye(6)
+        else:
+            dt = max((t - last) * 1e-6, 1e-6)
+            move = np.eye(6) + dt * np.eye(6, k=3)
+            noise = 0.05 * np.diag([dt * dt] * 3 + [1.0] * 3)
+            mean, cov = move @ state[0], move @ state[1] @ move.T + noise
+            seen = np.eye(3, 6)
+            gain = cov @ seen.T @ np.linalg.inv(seen @ cov @ seen.T + 0.02 * np.eye(3))
+            state = mean + gain @ (np.array(z) - seen @ mean), (np.eye(6) - gain @ seen) @ cov
+        last = t
+        out.append((t, *state[0]))
+    return out
+
+
+@pytest.mark.parametrize("block_us", [1, 7_000, 90_000, 10**12])
+def test_smoothing_in_blocks_equals_one_pass(spark, block_us):
+    """Two streams with pauses, equal times and blocks of one row, in any number of blocks."""
+    rng = np.random.default_rng(71)
+    rows = []
+    for stream in "ab":
+        t = np.cumsum(rng.choice([0, 900, 4_000, 60_000, 700_000], 120, p=[0.15, 0.3, 0.3, 0.2, 0.05])) + 5
+        rows += [(stream, int(at), *(float(v) for v in rng.normal(0, 1, 3)), 9.0, 0.5) for at in t]
+    table = spark.createDataFrame(rows, "stream_id string, timestamp_us long, x_m double, y_m double, z_m double, pixel_diameter double, confidence double")
+    got = ball.smooth_path(table.repartition(3), block_us).orderBy("stream_id", "timestamp_us", "x_m").collect()
+    want = [(s, *r) for s in "ab" for r in sequential_path([r[1:5] for r in rows if r[0] == s])]
+    assert [r.stream_id for r in got] == [w[0] for w in want]
+    found = np.array([(r.timestamp_us, *(r[n] for n in ball.SMOOTHED)) for r in got])
+    assert np.allclose(found, np.array([w[1:] for w in want], float), rtol=1e-9, atol=1e-9)
+    assert np.allclose([r.speed_mps for r in got], np.linalg.norm(found[:, 4:], axis=1))
+
+
+def test_smoothing_of_nothing(spark):
+    none = spark.createDataFrame([], "stream_id string, timestamp_us long, x_m double, y_m double, z_m double, pixel_diameter double, confidence double")
+    assert ball.smooth_path(none).count() == 0
+
+
 def points(spark, rows):
     return spark.createDataFrame(rows, "stream_id string, timestamp_us long, x_m double, y_m double, z_m double")
 
