@@ -81,11 +81,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """Smaller values with the same remainders modulo 2^31 - 1."""
+    out = x >> _BITS
+    out += x & _P
+    return out
+
+
 def reduced(x: np.ndarray) -> np.ndarray:
-    """Remainders modulo 2^31 - 1 of values below 2^63."""
-    x = (x >> _BITS) + (x & _P)
-    x = (x >> _BITS) + (x & _P)
-    return np.where(x >= _P, x - _P, x)
+    """Remainders modulo 2^31 - 1."""
+    x = folded(folded(x))
+    return np.minimum(x, x - _P)  # the difference wraps to a large value where x is the smaller one
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
@@ -128,8 +134,15 @@ class Prefix:
         self.lift = _P if n > SEGMENT else np.uint64(0)  # reduced sums may fall
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        one, two = (reduced(reduced(sums[end] + self.lift - sums[start]) * down[start]) for sums, down in self.lanes)
-        return mix(one << np.uint64(32) | two)
+        lanes = []
+        for sums, down in self.lanes:
+            part = sums[end]
+            part += self.lift
+            part -= sums[start]
+            part = folded(part)  # below 1.5 * 2^32, so the product stays below 2^64
+            part *= down[start]
+            lanes.append(reduced(part))
+        return mix(lanes[0] << np.uint64(32) | lanes[1])
 
 
 def words(block: Block, lower: bool = False) -> Words:
