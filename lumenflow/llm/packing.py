@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lumenflow.llm.words import Block, Prefix, Words, blocks, mix, spans, words
+from lumenflow.llm.words import Block, Prefix, Words, blocks, spans, words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -46,10 +46,13 @@ LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 MARK = np.zeros(256, bool)
 MARK[list(b".,;:!?*&%$#")] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+ONE, THREE = np.uint64(1), np.uint64(3)
 
 
 def pretokens(block: Block) -> Words:
-    """Words, with the marks that end a word cut off behind an ASCII letter, hashed without case.
+    """Words, with the marks that end a word cut off behind an ASCII letter, keyed without case.
 
     The vocabulary lower-cases and never merges across white space or from letters to marks, so ids
     of these parts laid end to end are the ids of the text. Words with ``|`` keep their case: special
@@ -66,12 +69,35 @@ def pretokens(block: Block) -> Words:
     end[cut] = middle
     order = np.argsort(start)
     start, end = start[order], end[order]
-    key = Prefix(data, lower=True).of(start, end)
-    bars = np.concatenate(([0], np.cumsum(data == 0x7C)))
-    exact = np.flatnonzero(bars[end] > bars[start])
-    if len(exact):
-        key[exact] = mix(Prefix(data).of(start[exact], end[exact]) + np.uint64(1))
-    return Words(start, end, np.searchsorted(block.offsets, start, "right") - 1, key)
+    folded = LOWER[data]
+    bar = data == 0x7C
+    if bar.any():
+        bars = np.concatenate(([0], np.cumsum(bar)))
+        exact = within(len(data), start, end, bars[end] > bars[start])
+        folded[exact] = data[exact]
+    return Words(start, end, np.searchsorted(block.offsets, start, "right") - 1, keys(folded, start, end))
+
+
+def within(n: int, start: np.ndarray, end: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Which of ``n`` bytes lie in the chosen words."""
+    step = np.zeros(n + 1, np.int8)
+    step[start[which]] = 1
+    step[end[which]] -= 1
+    return np.cumsum(step[:n], dtype=np.int8).view(bool)
+
+
+def keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of words: up to 7 bytes the bytes and their number, longer ones a hash with top bit set."""
+    size = end - start
+    eight = np.ndarray(len(data), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    long = size > 7
+    short = np.where(long, 0, size).astype(np.uint64)
+    key = (eight[start] & ((ONE << (short << THREE)) - ONE)) | short << np.uint64(56)
+    if long.any():
+        bound = np.concatenate(([0], np.cumsum(size[long])))
+        hashed = Prefix(data[within(len(data), start, end, long)]).of(bound[:-1], bound[1:])
+        key[long] = hashed >> ONE | ONE << np.uint64(63)
+    return key
 
 
 class WordTokens:
