@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lumenflow.config import (
     BackgroundConfig,
@@ -36,6 +36,7 @@ from lumenflow.operators import (
 )
 from lumenflow.plans.hopping import explode_hops
 from lumenflow.plans.lineage import materialise
+from lumenflow.plans.scan import running
 from lumenflow.sources.codec import decode_blocks, encode_blocks
 from lumenflow.sources.evt import time_range as stream_time_range
 from lumenflow.sources.imu import rebase
@@ -488,63 +489,146 @@ def alignment_scores(spark, folder):
     return alignment.score(trials, rays, baseline, intervals, TRACK_CAMERA)
 
 
-def _derived_track(spark, folder):
-    """A ball that crosses the view once per 80 log rows, one update per row.
+#: Sensors that the log's users are dealt over, and the windows of their updates: half a day, every hour.
+SENSORS = 3
+UPDATE = replace(WINDOW, window_us=12 * HOUR_US, step_us=HOUR_US, min_events=8)
+#: Seconds between two updates, and updates without a detection before a track is lost.
+UPDATE_S = 0.05
+HOLD = 2
 
-    Every row gives one candidate at a slightly disturbed position; every ninth row gives none.
+
+def _sensor_clusters(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Every sensor's events in windows, and the eligible clusters found in each."""
+    log = load(spark, folder, with_value=True, sensors=SENSORS)
+    events = explode_hops(log, F.col("timestamp_us"), UPDATE.window_us, UPDATE.step_us)
+    found = clusters.window_clusters(events, WINDOW_KEYS, UPDATE, SENSOR)
+    return events, materialise(clusters.eligible(found, UPDATE))
+
+
+def _grid(detections: DataFrame) -> DataFrame:
+    """All windows of a stream from its first detection to its last."""
+    span = detections.groupBy("stream_id").agg(F.min("window_id").alias("a"), F.max("window_id").alias("b"))
+    return span.select("stream_id", F.explode(F.sequence("a", "b")).alias("window_id"))
+
+
+def _turns(events: DataFrame) -> DataFrame:
+    """How far a sensor is turned in a window, by the mean value of its events."""
+    return events.groupBy(*WINDOW_KEYS).agg((F.avg("value") / 100).alias("turn"))
+
+
+def _logged_track(spark, folder):
+    """The best cluster of every window as a ball, held through short gaps.
+
+    A window without one is predicted up to ``HOLD`` windows after the last, then lost; the next
+    detection after a loss opens a track. Flight is the straight line between two detections of a track.
     """
-    events = load(spark, folder, with_value=True)
-    k = F.pmod("seq", F.lit(80))
-    wobble = (F.pmod(F.col("value"), F.lit(1.0)) - 0.5) * 2
-    size = F.lit(20.0) + F.floor(k / 20)
-    windows = events.select(
-        "stream_id", F.col("seq").alias("window_id"), F.lit(0).cast("long").alias("origin_us"),
-        (F.col("seq") * TRACK_MOTION.step_us).alias("end_us"),
-    )
-    candidates = events.where((F.col("seq") % 9 != 0) & (k < 60)).select(
-        "stream_id",
-        F.col("seq").alias("window_id"),
-        F.lit(1).alias("rank"),
-        (F.lit(60.0) + k * 8 + wobble).alias("x"),
-        (F.lit(120.0) + k * 2 - wobble).alias("y"),
-        size.alias("width"),
-        size.alias("height"),
-        (F.lit(100) + k).cast("long").alias("events"),
-        F.when(F.col("seq") % 4 != 0, F.struct(F.lit(1.0).alias("radius"))).alias("outline"),
+    events, found = _sensor_clusters(spark, folder)
+    best = clusters.best_cluster(found, WINDOW_KEYS, UPDATE)
+    seen = ball.ball_measurements(best, replace(BALL, camera=PINHOLE))
+    rows = _grid(seen).join(seen, WINDOW_KEYS, "left").join(_turns(events), WINDOW_KEYS, "left")
+    rows = rows.withColumn("hit", F.col("event_count").isNotNull())
+    block = F.shiftright("window_id", 16)
+    here = F.struct("window_id", "x_m", "y_m", "z_m")
+    held = running(
+        materialise(rows), ["stream_id"], "window_id", block, last={"before": F.when(F.col("hit"), here)}
+    ).withColumn("age", F.col("window_id") - F.col("before.window_id"))
+    opens = F.col("hit") & F.coalesce(F.col("age") > HOLD + 1, F.lit(True))
+    numbered = running(
+        materialise(held.withColumn("opens", opens)), ["stream_id"], "window_id", block,
+        total={"track_id": F.col("opens").cast("long")}, include_current=True,
     )
-    unit = {n: F.lit(1.0 if n.endswith("qw") else 0.0) for n in ("qw", "qx", "qy", "qz", "s_qw", "s_qx", "s_qy", "s_qz")}
-    poses = windows.select(
-        "stream_id", "window_id", F.lit(0).alias("gap_count"), F.lit(0).alias("gap_floor"),
-        *[v.alias(n) for n, v in unit.items()], F.lit(1).cast("long").alias("stabilized_frame"),
-        F.lit(0.0).alias("gravity_x"), F.lit(1.0).alias("gravity_y"), F.lit(0.0).alias("gravity_z"),
+    flies = F.col("hit") & ~F.col("opens")
+    tracks = numbered.select(
+        *WINDOW_KEYS,
+        "track_id",
+        (F.col("window_id") * UPDATE_S).alias("time_s"),
+        F.when(F.col("hit"), "measured").when(F.col("age") <= HOLD, "predicted").otherwise("lost").alias("state"),
+        F.coalesce(F.col("event_count") >= 12, F.lit(False)).alias("outline_supported"),
+        flies.alias("has_flight"),
+        "z_m",
+        F.col("centroid_x").alias("match_x_px"),
+        F.col("centroid_y").alias("match_y_px"),
+        *[F.when(flies, F.col(f"{a}_m")).alias(f"stabilized_{a}_m") for a in "xyz"],
+        *[
+            F.when(flies, (F.col(f"{a}_m") - F.col(f"before.{a}_m")) / (F.col("age") * UPDATE_S)).alias(f"stabilized_v{a}_mps")
+            for a in "xyz"
+        ],
+        F.sin("turn").alias("down_x"),
+        F.cos("turn").alias("down_y"),
+        F.lit(0.0).alias("down_z"),
     )
-    tracks = tracker.track(windows, poses, candidates, TRACK_CAMERA, TRACK_MOTION, TRACKER)
-    return materialise(tracks), poses
+    return tracks, events
+
+
+def _turned_poses(events: DataFrame) -> DataFrame:
+    """A camera turned about its vertical axis, seen from axes that are turned about the optical one."""
+    zero = F.lit(0.0)
+    half, quarter = F.col("turn") / 2, F.col("turn") / 4
+    axes = {
+        "qw": F.cos(quarter), "qx": zero, "qy": F.sin(quarter), "qz": zero,
+        "s_qw": F.cos(half), "s_qx": zero, "s_qy": zero, "s_qz": F.sin(half),
+    }
+    return _turns(events).select(*WINDOW_KEYS, *[v.alias(n) for n, v in axes.items()])
 
 
 def associated_tracks(spark, folder):
-    return _derived_track(spark, folder)[0]
+    """The tracker's association and flight over all clusters of every window, in a 640 x 480 view.
+
+    A row of the log counts as ten sensor events, so that clusters are as dense as a ball's edge.
+    """
+    events, found = _sensor_clusters(spark, folder)
+    order = Window.partitionBy(*WINDOW_KEYS).orderBy(F.desc("event_count"), "label")
+    width = (F.col("max_x") - F.col("min_x") + 1) * 5.0
+    height = (F.col("max_y") - F.col("min_y") + 1) * 5.0
+    candidates = found.select(
+        *WINDOW_KEYS,
+        F.row_number().over(order).alias("rank"),
+        (F.col("centroid_x") * 25 + 20).alias("x"),
+        (F.col("centroid_y") * 26 + 10).alias("y"),
+        width.alias("width"),
+        height.alias("height"),
+        (F.col("event_count") * 10).alias("events"),
+        F.when(F.col("event_count") >= 12, F.struct(((width + height) / 4).alias("radius"))).alias("outline"),
+    )
+    first = F.min("window_id").over(Window.partitionBy("stream_id"))
+    windows = _grid(found).withColumn("at", F.col("window_id") - first).select(
+        *WINDOW_KEYS, F.lit(0).cast("long").alias("origin_us"), (F.col("at") * TRACK_MOTION.step_us).alias("end_us")
+    )
+    turn = F.col("turn")
+    poses = _turned_poses(events).join(_turns(events), WINDOW_KEYS).select(
+        *WINDOW_KEYS, F.lit(0).alias("gap_count"), F.lit(0).alias("gap_floor"),
+        "qw", "qx", "qy", "qz", "s_qw", "s_qx", "s_qy", "s_qz", F.lit(1).cast("long").alias("stabilized_frame"),
+        F.sin(turn).alias("gravity_x"), F.cos(turn).alias("gravity_y"), F.lit(0.0).alias("gravity_z"),
+    )
+    return tracker.track(windows, poses, candidates, TRACK_CAMERA, TRACK_MOTION, TRACKER)
+
+
+def _rounded(df: DataFrame, *exact: str) -> DataFrame:
+    return df.select(*exact, *[F.round(c, 6).alias(c) for c in df.columns if c not in exact])
 
 
 def track_summary(spark, folder):
-    return metrics.track_summary(_derived_track(spark, folder)[0])
+    exact = ("stream_id", "track_id", "measured", "outlines")
+    return _rounded(metrics.track_summary(_logged_track(spark, folder)[0]), *exact)
 
 
 def track_states(spark, folder):
-    return metrics.state_counts(_derived_track(spark, folder)[0], ["stream_id"])
+    return metrics.state_counts(_logged_track(spark, folder)[0], ["stream_id"])
 
 
 def prediction_errors(spark, folder):
-    tracks, poses = _derived_track(spark, folder)
-    return metrics.prediction_errors(tracks, poses, TRACK_CAMERA, TRACK_MOTION.step_us)
+    tracks, events = _logged_track(spark, folder)
+    errors = metrics.prediction_errors(tracks, _turned_poses(events), PINHOLE, round(UPDATE_S * 1e6))
+    return _rounded(errors, "stream_id", "track_id", "window_id")
 
 
 def measured_segments(spark, folder):
-    return metrics.measured_segments(_derived_track(spark, folder)[0])
+    segments = metrics.measured_segments(_logged_track(spark, folder)[0])
+    return _rounded(segments, "stream_id", "track_id", "updates")
 
 
 def flight_paths(spark, folder):
-    return metrics.flight_paths(_derived_track(spark, folder)[0])
+    return _rounded(metrics.flight_paths(_logged_track(spark, folder)[0]), "stream_id", "track_id", "i")
 
 
 # ---- packed words -----------------------------------------------------------------------------

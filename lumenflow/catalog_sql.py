@@ -495,3 +495,100 @@ ORACLE |= {
 }
 
 ORACLE["static_removed"] = f"SELECT * EXCLUDE (is_static) FROM ({ORACLE['static_filter']}) WHERE NOT is_static"
+
+# Three sensors, their clusters in twelve-hour windows that end every hour, and the tracks of the best ones.
+LOGGED = f"""
+sx AS (
+  SELECT 'sensor' || CAST(user_id // 24 % 3 AS VARCHAR) AS stream_id, unnest(generate_series((epoch_us(ts) + {HOUR} - 1) // {HOUR}, (epoch_us(ts) + {12 * HOUR}) // {HOUR}))::BIGINT AS window_id,
+         CAST(user_id % 24 AS INTEGER) AS x, CAST((event_id * 7 + user_id) % 18 AS INTEGER) AS y, value
+  FROM events),
+turns AS (SELECT stream_id, window_id, avg(value) / 100 AS turn FROM sx GROUP BY ALL),
+cells AS (SELECT stream_id, window_id, x, y, count(*) AS n FROM sx GROUP BY ALL),
+reach AS (
+  SELECT stream_id, window_id, x, y, CAST(x AS BIGINT) * 65536 + y AS label FROM cells
+  UNION
+  SELECT c.stream_id, c.window_id, c.x, c.y, r.label FROM reach r JOIN cells c
+    ON c.stream_id = r.stream_id AND c.window_id = r.window_id AND abs(c.x - r.x) <= 1 AND abs(c.y - r.y) <= 1),
+lab AS (SELECT stream_id, window_id, x, y, min(label) AS label FROM reach GROUP BY ALL),
+clu AS (
+  SELECT stream_id, window_id, label, CAST(sum(n) AS BIGINT) AS event_count,
+         sum(n * x) / sum(n) AS centroid_x, sum(n * y) / sum(n) AS centroid_y,
+         max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h
+  FROM cells JOIN lab USING (stream_id, window_id, x, y) GROUP BY ALL
+  HAVING sum(n) >= 8 AND count(*) >= 3),
+best AS (
+  SELECT *, 20.0::DOUBLE * 0.07::DOUBLE / ((w + h) / 2.0) AS z_m,
+         (centroid_x - 12.0) * z_m / 20.0 AS x_m, (centroid_y - 9.0) * z_m / 21.0 AS y_m
+  FROM clu QUALIFY row_number() OVER (PARTITION BY stream_id, window_id ORDER BY event_count DESC, label) = 1),
+span AS (
+  SELECT stream_id, unnest(generate_series(min(window_id), max(window_id))) AS window_id FROM best GROUP BY stream_id),
+held AS (
+  SELECT *, event_count IS NOT NULL AS hit,
+         window_id - last_value(CASE WHEN event_count > 0 THEN window_id END IGNORE NULLS) OVER b AS age,
+         last_value(x_m IGNORE NULLS) OVER b AS old_x, last_value(y_m IGNORE NULLS) OVER b AS old_y,
+         last_value(z_m IGNORE NULLS) OVER b AS old_z
+  FROM span LEFT JOIN best USING (stream_id, window_id) LEFT JOIN turns USING (stream_id, window_id)
+  WINDOW b AS (PARTITION BY stream_id ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+track AS (
+  SELECT *, window_id * 0.05::DOUBLE AS time_s, hit AND coalesce(age > 3, TRUE) AS opens, hit AND NOT opens AS flies,
+         CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY window_id) AS BIGINT) AS track_id,
+         (x_m - old_x) / (age * 0.05) AS vx, (y_m - old_y) / (age * 0.05) AS vy, (z_m - old_z) / (age * 0.05) AS vz
+  FROM held)
+"""
+
+ORACLE |= {
+    "track_summary": _with(
+        LOGGED,
+        """SELECT stream_id, track_id, round(min(time_s), 6) AS start_s, round(max(time_s), 6) AS end_s, count(*) AS measured,
+             count(*) FILTER (event_count >= 12) AS outlines, round(min(z_m), 6) AS min_depth_m, round(max(z_m), 6) AS max_depth_m
+           FROM track WHERE hit GROUP BY ALL""",
+        recursive=True,
+    ),
+    "track_states": _with(
+        LOGGED,
+        """SELECT stream_id, count(*) FILTER (hit) AS measured, count(*) FILTER (NOT hit AND age <= 2) AS predicted,
+             count(*) FILTER (NOT hit AND age > 2) AS lost FROM track GROUP BY ALL""",
+        recursive=True,
+    ),
+    "measured_segments": _with(
+        LOGGED,
+        """cut AS (
+          SELECT *, sum(CASE WHEN age = 1 AND NOT opens THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY window_id) AS run
+          FROM track WHERE hit)""",
+        """SELECT stream_id, track_id, round(min(time_s), 6) AS start_s, round(max(time_s), 6) AS end_s, count(*) AS updates
+           FROM cut GROUP BY stream_id, track_id, run""",
+        recursive=True,
+    ),
+    "flight_paths": _with(
+        LOGGED,
+        """f AS (
+          SELECT *, min(time_s) OVER t AS start_s, time_s - start_s + 0.3 AS span,
+                 CAST(greatest(ceil(span / 0.02::DOUBLE), 1) AS INTEGER) AS steps
+          FROM track WHERE flies WINDOW t AS (PARTITION BY stream_id, track_id)
+          QUALIFY row_number() OVER (PARTITION BY stream_id, track_id ORDER BY window_id DESC) = 1)""",
+        """s AS (
+          SELECT *, CAST(unnest(generate_series(0, steps)) AS INTEGER) AS i, start_s - time_s + span * i / steps AS dt FROM f)""",
+        """SELECT stream_id, track_id, i, round(time_s + dt, 6) AS path_s,
+             round(x_m + vx * dt + 0.5 * 9.81 * sin(turn) * dt * dt, 6) AS x_m,
+             round(y_m + vy * dt + 0.5 * 9.81 * cos(turn) * dt * dt, 6) AS y_m, round(z_m + vz * dt, 6) AS z_m FROM s""",
+        recursive=True,
+    ),
+    "prediction_errors": _with(
+        LOGGED,
+        """made AS (
+          SELECT stream_id, track_id, window_id + 2 AS window_id, x_m + vx * 0.1 + 0.5 * 9.81 * sin(turn) * 0.01 AS x,
+                 y_m + vy * 0.1 + 0.5 * 9.81 * cos(turn) * 0.01 AS y, z_m + vz * 0.1 AS z
+          FROM track WHERE flies)""",
+        # Stabilised axes turn about the optical axis by the angle, the camera about its vertical one by half of it.
+        """ahead AS (
+          SELECT m.stream_id, m.track_id, m.window_id, t.centroid_x, t.centroid_y,
+                 x * cos(t.turn) - y * sin(t.turn) AS cx, x * sin(t.turn) + y * cos(t.turn) AS cy,
+                 cx * cos(t.turn / 2) - z * sin(t.turn / 2) AS rx, cx * sin(t.turn / 2) + z * cos(t.turn / 2) AS rz
+          FROM made m JOIN track t ON t.stream_id = m.stream_id AND t.track_id = m.track_id AND t.window_id = m.window_id
+          WHERE t.event_count >= 12)""",
+        """SELECT stream_id, track_id, window_id,
+             round(sqrt((20.0 * rx / rz + 12.0 - centroid_x) ** 2 + (21.0 * cy / rz + 9.0 - centroid_y) ** 2), 6) AS error_px
+           FROM ahead WHERE rz > 0""",
+        recursive=True,
+    ),
+}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenflow.config import IDENTITY, CameraModel
 from lumenflow.functions import geometry as g
+from lumenflow.plans.fence import fence
 from lumenflow.plans.frames import last_rows
 from lumenflow.plans.hopping import floor_div
 from lumenflow.plans.scan import running
@@ -129,8 +130,9 @@ def prediction_errors(tracks: DataFrame, poses: DataFrame, camera: CameraModel,
     # Stabilised axes -> common orientation -> current camera axes.
     m = g.lit_matrix(mount or IDENTITY)
     common = g.rotate(orientation("s_"), g.rotate(g.transpose(m), tuple(F.col(f"p{a}") for a in "xyz")))
-    ray = g.rotate(m, g.rotate(g.transpose(orientation("")), common))
-    placed = both.withColumns({f"r{a}": v for a, v in zip("xyz", ray)})
+    shared = both.withColumns({f"c{a}": fence(v) for a, v in zip("xyz", common)})
+    ray = g.rotate(m, g.rotate(g.transpose(orientation("")), tuple(F.col(f"c{a}") for a in "xyz")))
+    placed = shared.withColumns({f"r{a}": fence(v) for a, v in zip("xyz", ray)})
     px, py = g.project(camera, tuple(F.col(f"r{a}") for a in "xyz"))
     return placed.select(
         "stream_id", "track_id", "window_id", F.hypot(px - F.col("match_x_px"), py - F.col("match_y_px")).alias("error_px")
