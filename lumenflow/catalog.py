@@ -37,6 +37,7 @@ from lumenflow.operators import (
 from lumenflow.plans.hopping import explode_hops
 from lumenflow.plans.lineage import materialise
 from lumenflow.plans.scan import running
+from lumenflow.sinks import tables
 from lumenflow.sources.codec import decode_blocks, encode_blocks
 from lumenflow.sources.evt import time_range as stream_time_range
 from lumenflow.sources.imu import rebase
@@ -253,6 +254,21 @@ def deadline_misses(spark, folder):
     return metrics.deadline_summary(tumbling(events, DAY_US), WINDOW_KEYS, "value", 10.0)
 
 
+def run_summary(spark, folder):
+    """Rates of every sensor in six-hour windows, and its log values read as update times."""
+    log = load(spark, folder, with_value=True, sensors=SENSORS)
+    rows = tumbling(log, WINDOW.window_us).withColumn("foreground", F.col("polarity"))
+    rates = metrics.window_rates(rows, WINDOW_KEYS, WINDOW.window_us)
+    found = metrics.run_summary(materialise(rates), log, "value", 10.0)
+    return found.withColumns({c: F.round(c, 9) for c in found.columns if c.startswith("events_per_s")})
+
+
+def recent_events(spark, folder):
+    """What a view of each window would still show: the last 10 ms."""
+    rows = _still_rows(spark, folder).withColumn("foreground", F.col("polarity"))
+    return tables.recent_events(rows)
+
+
 # ---- positions --------------------------------------------------------------------------------
 
 BALL = BallConfig(0.07, LENS, "bbox_average")
@@ -627,6 +643,13 @@ def measured_segments(spark, folder):
     return _rounded(segments, "stream_id", "track_id", "updates")
 
 
+def segment_lines(spark, folder):
+    """One JSON line per track with its measured segments, times in milliseconds."""
+    segments = metrics.measured_segments(_logged_track(spark, folder)[0])
+    whole = {c: F.round(F.col(c) * 1000).cast("long") for c in ("start_s", "end_s")}
+    return tables.segments_json(segments.withColumns(whole))
+
+
 def flight_paths(spark, folder):
     return _rounded(metrics.flight_paths(_logged_track(spark, folder)[0]), "stream_id", "track_id", "i")
 
@@ -683,6 +706,8 @@ QUERIES = {
         index_percentile,
         recent_median,
         deadline_misses,
+        run_summary,
+        recent_events,
         ball_depth,
         bbox_depth,
         smoothed_path,
@@ -706,6 +731,7 @@ QUERIES = {
         prediction_errors,
         flight_paths,
         measured_segments,
+        segment_lines,
         evt2_decode,
         evt21_decode,
         evt3_decode,

@@ -591,4 +591,41 @@ ORACLE |= {
            FROM ahead WHERE rz > 0""",
         recursive=True,
     ),
+    "segment_lines": _with(
+        LOGGED,
+        """cut AS (
+          SELECT *, sum(CASE WHEN age = 1 AND NOT opens THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY window_id) AS run
+          FROM track WHERE hit)""",
+        """seg AS (
+          SELECT stream_id, track_id, {'start_s': CAST(round(min(time_s) * 1000) AS BIGINT),
+                 'end_s': CAST(round(max(time_s) * 1000) AS BIGINT), 'updates': count(*)} AS s
+          FROM cut GROUP BY stream_id, track_id, run)""",
+        """SELECT CAST(to_json({'stream_id': stream_id, 'track_id': track_id, 'segments': list(s ORDER BY s)}) AS VARCHAR) AS line
+           FROM seg GROUP BY stream_id, track_id""",
+        recursive=True,
+    ),
+    "run_summary": _with(
+        f"""lg AS (SELECT 'sensor' || CAST(user_id // 24 % 3 AS VARCHAR) AS stream_id, epoch_us(ts) // {SIX} AS w,
+                   event_type IN ('click', 'purchase') AS front, value FROM events)""",
+        f"""wr AS (SELECT stream_id, w, count(*) AS n, count(*) FILTER (front) AS f, count(*) * (1e6::DOUBLE / {SIX}) AS r
+                  FROM lg GROUP BY ALL)""",
+        """rs AS (SELECT stream_id, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events, CAST(sum(f) AS BIGINT) AS foreground,
+                   avg(r) AS mean, list_sort(list(r)) AS v, max(r) AS top FROM wr GROUP BY ALL)""",
+        """ms AS (SELECT stream_id, count(*) AS updates, count(*) FILTER (value > 10.0) AS misses, max(value) AS max_ms,
+                   list_sort(list(value) FILTER (value IS NOT NULL)) AS v FROM lg GROUP BY ALL)""",
+        """SELECT stream_id, windows, events, foreground, round(mean, 9) AS events_per_s,
+             round(rs.v[least(len(rs.v) * 50 // 100, len(rs.v) - 1) + 1], 9) AS events_per_s_p50,
+             round(rs.v[least(len(rs.v) * 95 // 100, len(rs.v) - 1) + 1], 9) AS events_per_s_p95,
+             round(top, 9) AS events_per_s_max, updates, misses, max_ms,
+             ms.v[least(len(ms.v) * 50 // 100, len(ms.v) - 1) + 1] AS ms_p50,
+             ms.v[least(len(ms.v) * 90 // 100, len(ms.v) - 1) + 1] AS ms_p90,
+             ms.v[least(len(ms.v) * 95 // 100, len(ms.v) - 1) + 1] AS ms_p95
+           FROM rs LEFT JOIN ms USING (stream_id)""",
+    ),
+    "recent_events": _with(
+        SHRUNK, STILL,
+        """SELECT stream_id, CAST(window_id AS BIGINT) AS window_id, CAST(x AS DOUBLE) AS px, CAST(y AS DOUBLE) AS py,
+             (window_id * 100000 - timestamp_us) / 1000.0::DOUBLE AS age_ms, polarity AS foreground
+           FROM still WHERE window_id * 100000 - timestamp_us <= 10000""",
+    ),
 }

@@ -22,7 +22,7 @@ from lumenflow.deploy import ship
 from lumenflow.operators import alignment, ball, filters, foreground, metrics, motion, panels, rolling, tracker
 from lumenflow.operators.imu import prepared_imu
 from lumenflow.plans.lineage import materialise
-from lumenflow.sinks import text
+from lumenflow.sinks import tables, text
 from lumenflow.sources import evt
 from lumenflow.sources.calibration import parse_pixel_mask, read_calibration
 from lumenflow.sources.imu import imu_of_recordings, read_imu_csv, still_imu
@@ -85,6 +85,7 @@ def parser() -> argparse.ArgumentParser:
     three = sub.add_parser("ball-3d", parents=[common, moving])
     three.add_argument("--ball-diameter-m", type=float, required=True)
     three.add_argument("--tracks-csv")
+    three.add_argument("--segments-json", help="folder for one JSON line per track")
     return p
 
 
@@ -249,12 +250,24 @@ def main(argv: list[str] | None = None) -> int:
                 F.sum("foreground_on").alias("foreground_on"),
                 F.median(F.col("focus_on") / F.nullif("focus_off", F.lit(0))).alias("median_focus_gain"),
             )
+            window_us = round(args.motion_window_ms * 1000)
+            rates = found.select(
+                "stream_id",
+                "events",
+                F.col("foreground_on").alias("foreground"),
+                (F.col("events") * F.lit(1e6 / window_us)).alias("events_per_s"),
+            )
+            extra = metrics.rate_summary(rates).drop("windows", "events", "foreground")
+            summary = summary.join(extra, "stream_id")
             for row in summary.orderBy("stream_id").toLocalIterator():
                 print(row.asDict())
         else:
             tracks = ball_3d(spark, args)
             if args.tracks_csv:
                 text.write_tracks(tracks, args.tracks_csv)
+            if args.segments_json:
+                lines = tables.segments_json(metrics.measured_segments(tracks))
+                lines.write.mode("errorifexists").text(args.segments_json)
             if args.output:
                 tracks.write.mode("errorifexists").parquet(args.output)
             for row in metrics.state_counts(tracks, ["stream_id"]).orderBy("stream_id").toLocalIterator():

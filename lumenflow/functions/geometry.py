@@ -67,10 +67,6 @@ def quaternion_matrix(q: Vec) -> Mat:
     )
 
 
-def rotation_of(angle: Vec) -> Mat:
-    return quaternion_matrix(quaternion_of(angle))
-
-
 def quaternion_blend(p: Vec, q: Vec, w: Column) -> Vec:
     """Normalised interpolation on the shorter arc."""
     dot = sum((a * b for a, b in zip(p[1:], q[1:])), p[0] * q[0])

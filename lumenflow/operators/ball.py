@@ -20,11 +20,14 @@ from lumenflow.plans.scan import running
 
 
 def ball_measurements(detections: DataFrame, cfg: BallConfig) -> DataFrame:
-    """Camera position ``x_m, y_m, z_m`` from the pixel diameter and the known ball diameter."""
+    """Camera position ``x_m, y_m, z_m`` from the pixel diameter and the known ball diameter.
+
+    With ``enabled=False`` nothing is measured: the same columns, no rows.
+    """
     camera = cfg.camera
     sized = detections.withColumn(
         "pixel_diameter", pixel_diameter(cfg.diameter_source, "circle" in detections.columns)
-    ).where("pixel_diameter > 0")
+    ).where((F.col("pixel_diameter") > 0) & F.lit(cfg.enabled))
     deep = sized.withColumn("z_m", F.lit(camera.fx * cfg.diameter_m) / F.col("pixel_diameter"))
     return deep.withColumns(
         {

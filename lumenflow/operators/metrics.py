@@ -94,6 +94,33 @@ def window_rates(rows: DataFrame, keys: list[str], window_us: int) -> DataFrame:
     return out.withColumn("events_per_s", F.col("events") * F.lit(1e6 / window_us))
 
 
+RATE_SHARES = {"events_per_s_p50": 0.5, "events_per_s_p95": 0.95}
+TIME_SHARES = {"ms_p50": 0.5, "ms_p90": 0.9, "ms_p95": 0.95}
+
+
+def rate_summary(rates: DataFrame) -> DataFrame:
+    """One row per recording from ``window_rates``: windows, events, foreground and event rates."""
+    totals = rates.groupBy("stream_id").agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.sum("events").alias("events"),
+        F.sum("foreground").alias("foreground"),
+        F.avg("events_per_s").alias("events_per_s"),
+    )
+    spread = index_percentiles(rates, ["stream_id"], "events_per_s", RATE_SHARES).drop("n")
+    return totals.join(spread.withColumnRenamed("max", "events_per_s_max"), "stream_id", "left")
+
+
+def run_summary(rates: DataFrame, updates: DataFrame, milliseconds: str, budget_ms: float) -> DataFrame:
+    """``rate_summary`` with the updates' times: percentiles, maximum and missed deadlines.
+
+    ``updates`` has one row per update; a recording without updates keeps its rates with null times.
+    """
+    keys = ["stream_id"]
+    late = deadline_summary(updates, keys, milliseconds, budget_ms)
+    spread = index_percentiles(updates, keys, milliseconds, TIME_SHARES).drop("n", "max")
+    return rate_summary(rates).join(late, keys, "left").join(spread, keys, "left")
+
+
 def flight_after(seconds: Column | float) -> g.Vec:
     """Filtered flight ``seconds`` later, in the stabilised orientation."""
     t = F.lit(seconds) if isinstance(seconds, (int, float)) else seconds

@@ -99,9 +99,12 @@ def test_ball_3d_command(spark, ring_files, capsys):
     command = [
         "ball-3d", files["ring.raw"], "--imu", files["imu.csv"], "--calibration", files["calibration.json"],
         "--alignment", files["a.alignment"], "--ball-diameter-m", "0.09", "--tracks-csv", out,
+        "--segments-json", out + "-segments",
     ]
     assert cli.main(command) == 0
     assert "track 1:" in capsys.readouterr().out
+    lines = [json.loads(r.value) for r in spark.read.text(out + "-segments").collect()]
+    assert [d["track_id"] for d in lines] == [1] and sum(s["updates"] for s in lines[0]["segments"]) > 5
     rows = spark.read.csv(out, header=True)
     assert rows.where("state = 'measured'").count() > 5
     assert read_alignment(files["a.alignment"])[0] == 0.0
@@ -115,7 +118,8 @@ def test_motion_compare_command(spark, ring_files, capsys):
         "--alignment", files["a.alignment"], "--output", frames,
     ]
     assert cli.main(command) == 0
-    assert "median_focus_gain" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "median_focus_gain" in shown and "events_per_s_p95" in shown
     assert spark.read.parquet(frames).select("panel").distinct().count() == 4
 
 

@@ -116,3 +116,9 @@ def test_settings_are_validated():
             ParabolaConfig(**change)
     with pytest.raises(InvalidConfig):
         CameraModel(1.0, 1.0, 0.0, 0.0, width=10, height=10).for_sensor(11, 10)
+
+
+def test_a_disabled_ball_measures_nothing(spark):
+    box = spark.createDataFrame([(1, 2, 5, 8, 3.0, 5.0)], "min_x int, min_y int, max_x int, max_y int, centroid_x double, centroid_y double")
+    on, off = (ball.ball_measurements(box, BallConfig(0.07, diameter_source="bbox_max", enabled=e)) for e in (True, False))
+    assert on.count() == 1 and off.count() == 0 and on.columns == off.columns
