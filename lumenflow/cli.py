@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -145,8 +147,11 @@ def track_ball(spark: SparkSession, args) -> DataFrame:
     return text.detection_lines(found, with_fit=args.parabola_fit)
 
 
-def motion_inputs(spark: SparkSession, args):
-    """Events, camera, inertial intervals and settings; later alignment sources win."""
+def motion_inputs(spark: SparkSession, args) -> list[tuple]:
+    """Events, camera, inertial intervals and settings; later alignment sources win.
+
+    One part for all recordings, or one for each where every recording's alignment is searched.
+    """
     events, sensor = load_events(spark, args)
     camera = read_calibration(args.calibration).for_sensor(*sensor)
     if not filters.time_decreases(events).isEmpty():
@@ -168,25 +173,43 @@ def motion_inputs(spark: SparkSession, args):
     if args.imu_to_camera:
         mount = text.check_mount([float(v) for v in args.imu_to_camera.split(",")])
     manual = args.alignment or args.motion_offset is not None or args.imu_to_camera
-    if args.imu and (args.auto_align or not manual):
-        if len(names) > 1:
-            raise InvalidConfig("alignment", "is searched for one recording at a time; give --alignment for several")
-        found = alignment.auto_align(events, intervals, camera, offset, args.alignment_range)
-        offset, mount = found.offset_s, found.mount
-        if args.save_alignment:
-            text.write_alignment(found, args.save_alignment)
     cfg = MotionConfig(
         offset, mount, args.motion_cell_px, args.motion_threshold,
         min_component_cells=args.motion_min_cells, min_new_fraction=args.motion_min_new_fraction,
         window_us=round(args.motion_window_ms * 1000),
         step_us=10_000 if args.command == "ball-3d" else round(args.motion_window_ms * 1000),
     )
-    return events, camera, intervals, cfg
+    if not (args.imu and (args.auto_align or not manual)):
+        return [(events, camera, intervals, cfg)]
+    parts = []
+    for name in names:
+        own = [table if len(names) == 1 else table.where(F.col("stream_id") == name) for table in (events, intervals)]
+        try:
+            found = alignment.auto_align(*own, camera, offset, args.alignment_range)
+        except InvalidConfig as error:
+            if len(names) == 1:
+                raise
+            raise InvalidConfig("alignment", f"of {name}: {error}") from error
+        if args.save_alignment:
+            text.write_alignment(found, args.save_alignment if len(names) == 1 else f"{args.save_alignment}.{name}")
+        parts.append((own[0], camera, own[1], replace(cfg, offset_s=found.offset_s, mount=found.mount)))
+    return parts
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def motion_compare(spark: SparkSession, args) -> DataFrame:
     """Per contiguous window: events, foreground and focus without and with compensation."""
-    events, camera, intervals, cfg = motion_inputs(spark, args)
+    parts = [(*_compared(args, *part), part[1]) for part in motion_inputs(spark, args)]
+    if args.output:
+        frames = [panels.comparison_panels(m, motion.KEYS, c.width, c.height) for _, m, c in parts]
+        together(frames).write.mode("errorifexists").parquet(args.output)
+    return together([counts for counts, _, _ in parts])
+
+
+def _compared(args, events: DataFrame, camera, intervals: DataFrame, cfg: MotionConfig) -> tuple[DataFrame, DataFrame]:
     keys = motion.KEYS
     windows = materialise(
         motion.window_grid(rolling.stream_bounds(events), intervals, cfg, args.start_s, args.end_s)
@@ -198,9 +221,6 @@ def motion_compare(spark: SparkSession, args) -> DataFrame:
     marked = foreground.segment(rows, keys, camera, cfg, "ox", "oy", "foreground_off")
     marked = foreground.segment(marked, keys, camera, cfg, "px", "py", "foreground_on")
     marked = materialise(marked.withColumn("foreground_on", F.col("foreground_on") & F.col("covered")))
-    if args.output:
-        frames = panels.comparison_panels(marked, keys, camera.width, camera.height)
-        frames.write.mode("errorifexists").parquet(args.output)
     counts = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"),
         F.count_if("foreground_off").alias("foreground_off"),
@@ -209,12 +229,15 @@ def motion_compare(spark: SparkSession, args) -> DataFrame:
     for name, x, y in (("focus_off", "ox", "oy"), ("focus_on", "px", "py")):
         energy = foreground.focus(rows, keys, camera.width, camera.height, x, y)
         counts = counts.join(energy.withColumnRenamed("focus", name), keys, "left")
-    return counts
+    return counts, marked
 
 
 def ball_3d(spark: SparkSession, args) -> DataFrame:
     setup = TrackerConfig(args.ball_diameter_m)
-    events, camera, intervals, cfg = motion_inputs(spark, args)
+    return together([_tracked(args, setup, *part) for part in motion_inputs(spark, args)])
+
+
+def _tracked(args, setup: TrackerConfig, events: DataFrame, camera, intervals: DataFrame, cfg: MotionConfig) -> DataFrame:
     windows = materialise(
         motion.window_grid(rolling.stream_bounds(events), intervals, cfg, args.start_s, args.end_s)
     )

@@ -6,7 +6,7 @@ import pytest
 
 from fixtures import event_table, imu_table, crossing_ball, simple_camera
 from lumenflow import cli
-from lumenflow.config import InvalidConfig
+from lumenflow.config import InvalidConfig, MotionConfig
 from lumenflow.operators import alignment, imu
 from lumenflow.sinks.text import read_alignment
 
@@ -160,7 +160,23 @@ def test_several_recordings_need_samples_each(ring_files, two_recordings, tmp_pa
     assert "two.raw" in capsys.readouterr().err
     search = [*several("ball-3d", two_recordings, ring_files, *more[:2], "--imu", str(two_recordings / "imu")), "--auto-align"]
     assert cli.main(search) == 1
-    assert "one recording at a time" in capsys.readouterr().err
+    assert "of one.raw" in capsys.readouterr().err  # its camera is at rest
+
+
+def test_each_recording_of_a_run_is_aligned(spark, ring_files, two_recordings, tmp_path, monkeypatch):
+    offsets = {"one.raw": 0.0, "two.raw": 5.0}  # the samples of the second end before its events begin
+
+    def search(events, intervals, *_):
+        (name,) = {r.stream_id for t in (events, intervals) for r in t.select("stream_id").distinct().collect()}
+        return alignment.Alignment(offsets[name], MotionConfig().mount, 2.0, 6)
+
+    monkeypatch.setattr(alignment, "auto_align", search)
+    out, saved = str(tmp_path / "tracks"), str(tmp_path / "found")
+    command = several("ball-3d", two_recordings, ring_files, "--ball-diameter-m", "0.09", "--output", out)
+    assert cli.main([*command, "--imu", str(two_recordings / "imu"), "--auto-align", "--save-alignment", saved]) == 0
+    assert {n: read_alignment(f"{saved}.{n}")[0] for n in offsets} == offsets
+    measured = spark.read.parquet(out).where("state = 'measured'").groupBy("stream_id").count().collect()
+    assert {r.stream_id for r in measured} == {"one.raw"}
 
 
 def test_track_ball_of_several_recordings(spark, two_recordings, tmp_path):
