@@ -34,7 +34,7 @@ from lumenflow.operators import (
     rolling,
     tracker,
 )
-from lumenflow.plans.hopping import explode_hops
+from lumenflow.plans.hopping import explode_hops, hop_aggregate
 from lumenflow.plans.lineage import materialise
 from lumenflow.plans.scan import running
 from lumenflow.sinks import tables
@@ -211,10 +211,8 @@ def comparison_panels(spark, folder):
 
 def hop_counts(spark, folder):
     events = load(spark, folder)
-    hops = explode_hops(events, F.col("timestamp_us"), WINDOW.window_us, 2 * HOUR_US)
-    return hops.groupBy("stream_id", "window_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("polarity").alias("positive")
-    )
+    counts = {"n": (F.count(F.lit(1)), "sum"), "positive": (F.count_if("polarity"), "sum")}
+    return hop_aggregate(events, ["stream_id"], F.col("timestamp_us"), WINDOW.window_us, 2 * HOUR_US, counts)
 
 
 def density_panel(spark, folder):
@@ -514,11 +512,10 @@ HOLD = 2
 
 
 def _sensor_clusters(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Every sensor's events in windows, and the eligible clusters found in each."""
+    """Every sensor's events, and the eligible clusters found in each of their windows."""
     log = load(spark, folder, with_value=True, sensors=SENSORS)
-    events = explode_hops(log, F.col("timestamp_us"), UPDATE.window_us, UPDATE.step_us)
-    found = clusters.window_clusters(events, WINDOW_KEYS, UPDATE, SENSOR)
-    return events, materialise(clusters.eligible(found, UPDATE))
+    found = clusters.hopping_clusters(log, F.col("timestamp_us"), UPDATE, SENSOR)
+    return log, materialise(clusters.eligible(found, UPDATE))
 
 
 def _grid(detections: DataFrame) -> DataFrame:
@@ -529,7 +526,9 @@ def _grid(detections: DataFrame) -> DataFrame:
 
 def _turns(events: DataFrame) -> DataFrame:
     """How far a sensor is turned in a window, by the mean value of its events."""
-    return events.groupBy(*WINDOW_KEYS).agg((F.avg("value") / 100).alias("turn"))
+    parts = {"value": (F.sum("value"), "sum"), "n": (F.count("value"), "sum")}
+    sums = hop_aggregate(events, ["stream_id"], F.col("timestamp_us"), UPDATE.window_us, UPDATE.step_us, parts)
+    return sums.select(*WINDOW_KEYS, (F.col("value") / F.col("n") / 100).alias("turn"))
 
 
 def _logged_track(spark, folder):
@@ -632,6 +631,21 @@ def track_states(spark, folder):
     return metrics.state_counts(_logged_track(spark, folder)[0], ["stream_id"])
 
 
+def track_trail(spark, folder):
+    """How many places the trail of each update holds, its ends in time (-1 without any) and its middle."""
+    places = metrics.trail(_logged_track(spark, folder)[0], "match_x_px", "match_y_px")
+    shown = places.select(
+        *WINDOW_KEYS,
+        F.size("points").cast("long").alias("places"),
+        *[F.coalesce(f("points.at_us"), F.lit(-1)).alias(n) for n, f in (("oldest_us", F.array_min), ("newest_us", F.array_max))],
+        *[
+            (F.aggregate(f"points.{a}", F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size("points"), F.lit(0))).alias(f"mean_{a}")
+            for a in "xy"
+        ],
+    )
+    return _rounded(shown, *WINDOW_KEYS, "places", "oldest_us", "newest_us")
+
+
 def prediction_errors(spark, folder):
     tracks, events = _logged_track(spark, folder)
     errors = metrics.prediction_errors(tracks, _turned_poses(events), PINHOLE, round(UPDATE_S * 1e6))
@@ -728,6 +742,7 @@ QUERIES = {
         associated_tracks,
         track_summary,
         track_states,
+        track_trail,
         prediction_errors,
         flight_paths,
         measured_segments,

@@ -550,6 +550,15 @@ ORACLE |= {
              count(*) FILTER (NOT hit AND age > 2) AS lost FROM track GROUP BY ALL""",
         recursive=True,
     ),
+    "track_trail": _with(
+        LOGGED,
+        "placed AS (SELECT *, CAST(round(time_s * 1000000) AS BIGINT) AS at_us FROM track)",
+        """SELECT stream_id, window_id, count(*) FILTER (hit) OVER r AS places,
+             coalesce(min(at_us) FILTER (hit) OVER r, -1) AS oldest_us, coalesce(max(at_us) FILTER (hit) OVER r, -1) AS newest_us,
+             round(avg(centroid_x) FILTER (hit) OVER r, 6) AS mean_x, round(avg(centroid_y) FILTER (hit) OVER r, 6) AS mean_y
+           FROM placed WINDOW r AS (PARTITION BY stream_id ORDER BY at_us RANGE BETWEEN 350000 PRECEDING AND CURRENT ROW)""",
+        recursive=True,
+    ),
     "measured_segments": _with(
         LOGGED,
         """cut AS (

@@ -86,6 +86,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("motion-compare", parents=[common, moving])
     three = sub.add_parser("ball-3d", parents=[common, moving])
     three.add_argument("--ball-diameter-m", type=float, required=True)
+    three.add_argument("--seek-s", type=float, help="only the updates shortly before this time and up to it")
     three.add_argument("--tracks-csv")
     three.add_argument("--segments-json", help="folder for one JSON line per track")
     return p
@@ -238,9 +239,8 @@ def ball_3d(spark: SparkSession, args) -> DataFrame:
 
 
 def _tracked(args, setup: TrackerConfig, events: DataFrame, camera, intervals: DataFrame, cfg: MotionConfig) -> DataFrame:
-    windows = materialise(
-        motion.window_grid(rolling.stream_bounds(events), intervals, cfg, args.start_s, args.end_s)
-    )
+    span = (args.start_s, args.end_s) if args.seek_s is None else tracker.seek_span(args.seek_s, cfg.step_us)
+    windows = materialise(motion.window_grid(rolling.stream_bounds(events), intervals, cfg, *span))
     candidates = tracker.window_candidates(events, windows, intervals, camera, cfg)
     poses = tracker.window_poses(windows, intervals, cfg)
     return materialise(tracker.track(windows, poses, candidates, camera, cfg, setup))

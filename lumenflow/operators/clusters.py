@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenflow.config import ClusterConfig
 from lumenflow.operators.components import connected_cells
+from lumenflow.plans.hopping import hop_aggregate
 
 
 def cell_of(x: str | Column, size: int) -> Column:
@@ -14,25 +15,35 @@ def cell_of(x: str | Column, size: int) -> Column:
     return F.floor(column / F.lit(size)).cast("int")
 
 
+def _cell_measures() -> dict[str, tuple[Column, str]]:
+    """What is known of a cell, and how parts of it merge."""
+    bounds = {f"{f.__name__}_{a}": (f(a), f.__name__) for f in (F.min, F.max) for a in "xy"}
+    return {"n": (F.count(F.lit(1)), "sum"), "sum_x": (F.sum("x"), "sum"), "sum_y": (F.sum("y"), "sum"), **bounds}
+
+
+def _in_cells(events: DataFrame, cell_size: int) -> DataFrame:
+    return events.withColumn("cx", cell_of("x", cell_size)).withColumn("cy", cell_of("y", cell_size))
+
+
 def count_cells(events: DataFrame, keys: list[str], cell_size: int) -> DataFrame:
     """Per window and cell: event count, coordinate sums and bounds.
 
     The aggregate combines map-side, so a hot pixel or window shrinks before the shuffle.
     """
-    return (
-        events.withColumn("cx", cell_of("x", cell_size))
-        .withColumn("cy", cell_of("y", cell_size))
-        .groupBy(*keys, "cx", "cy")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("x").alias("sum_x"),
-            F.sum("y").alias("sum_y"),
-            F.min("x").alias("min_x"),
-            F.min("y").alias("min_y"),
-            F.max("x").alias("max_x"),
-            F.max("y").alias("max_y"),
-        )
-    )
+    measures = [made.alias(name) for name, (made, _) in _cell_measures().items()]
+    return _in_cells(events, cell_size).groupBy(*keys, "cx", "cy").agg(*measures)
+
+
+def hopping_cells(
+    events: DataFrame, since_origin: Column, window_us: int, step_us: int, cell_size: int, **ids
+) -> DataFrame:
+    """``count_cells`` of every stream's hopping windows, without a row per event and window.
+
+    ``ids`` are ``first``, ``last`` and ``name`` of the windows, as in ``hop_aggregate``.
+    """
+    cells = _in_cells(events, cell_size)
+    keys = ["stream_id", "cx", "cy"]
+    return hop_aggregate(cells, keys, since_origin, window_us, step_us, _cell_measures(), **ids)
 
 
 def merge_cells(labelled: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,13 +82,27 @@ def eligible(clusters: DataFrame, cfg: ClusterConfig) -> DataFrame:
     )
 
 
+def clusters_of(
+    cells: DataFrame, keys: list[str], cfg: ClusterConfig, sensor: tuple[int, int] | None = None
+) -> DataFrame:
+    """All clusters of the windows whose cells are given."""
+    grid = tuple(-(-side // cfg.cell_size) for side in sensor) if sensor else None
+    return merge_cells(connected_cells(cells, keys, grid), keys)
+
+
 def window_clusters(
     events: DataFrame, keys: list[str], cfg: ClusterConfig, sensor: tuple[int, int] | None = None
 ) -> DataFrame:
     """All clusters of every window in ``keys``."""
-    cells = count_cells(events, keys, cfg.cell_size)
-    grid = tuple(-(-side // cfg.cell_size) for side in sensor) if sensor else None
-    return merge_cells(connected_cells(cells, keys, grid), keys)
+    return clusters_of(count_cells(events, keys, cfg.cell_size), keys, cfg, sensor)
+
+
+def hopping_clusters(
+    events: DataFrame, since_origin: Column, cfg: ClusterConfig, sensor: tuple[int, int] | None = None
+) -> DataFrame:
+    """All clusters of every hopping window of ``cfg``, as ``stream_id`` and ``window_id``."""
+    cells = hopping_cells(events, since_origin, cfg.window_us, cfg.step_us, cfg.cell_size)
+    return clusters_of(cells, ["stream_id", "window_id"], cfg, sensor)
 
 
 def confidence(cfg: ClusterConfig) -> Column:

@@ -18,23 +18,15 @@ MAX_GAP_S = 0.05
 #: Orientation is integrated in parallel over time blocks of this length.
 BLOCK_S = 600.0
 QUATERNION = ("qw", "qx", "qy", "qz")
+#: What the lookups need of the two samples around a point.
+GYRO_ENDS = [f"{e}_{n}" for e in "ab" for n in GYRO]
+POSE_ENDS = [*[f"{e}_{n}" for e in "ab" for n in (*QUATERNION, *GRAVITY)], "gap_count", "starts_after_gap"]
 
 
 def _columns(prefix: str, names=QUATERNION) -> g.Vec:
     return tuple(F.col(prefix + n) for n in names)
 
 
-def _product(a, b):
-    aw, ax, ay, az = a
-    bw, bx, by, bz = b
-    return (
-        aw * bw - ax * bx - ay * by - az * bz,
-        aw * bx + ax * bw + ay * bz - az * by,
-        aw * by - ax * bz + ay * bw + az * bx,
-        aw * bz + ax * by - ay * bx + az * bw,
-    )
-
-
 def _accumulate(inclusive: bool):
     """Running quaternion product in order; the state is one quaternion."""
 
@@ -47,7 +39,7 @@ def _accumulate(inclusive: bool):
             out = np.empty((len(turns), 4))
             for i, turn in enumerate(turns):
                 before = held
-                held = _product(held, turn)
+                held = g.quaternion_product(held, turn)
                 out[i] = held if inclusive else before
             result = rows.copy()
             for k, name in enumerate(QUATERNION):
@@ -180,10 +172,13 @@ def lookup(points: DataFrame, intervals: DataFrame, at: str, keep: list[str]) ->
 
 def gyro_at(points: DataFrame, intervals: DataFrame, at: str = "time_s") -> DataFrame:
     """Linear gyro at each point; points without coverage are dropped."""
-    ends = [f"{e}_{n}" for e in "ab" for n in GYRO]
-    found = lookup(points, intervals, at, ends)
+    return mixed_gyro(lookup(points, intervals, at, GYRO_ENDS), points.columns)
+
+
+def mixed_gyro(found: DataFrame, columns: list[str]) -> DataFrame:
+    """Gyro between the two samples that ``lookup`` found."""
     mixed = g.lerp(_columns("a_", GYRO), _columns("b_", GYRO), F.col("w"))
-    return found.select(*points.columns, *[v.alias(n) for v, n in zip(mixed, GYRO)])
+    return found.select(*columns, *[v.alias(n) for v, n in zip(mixed, GYRO)])
 
 
 def gravity_vector(w: Column) -> Column:
@@ -200,12 +195,15 @@ def orientation_at(points: DataFrame, intervals: DataFrame, at: str = "time_s")
     Two covered times are free of gaps in between when the earlier one's ``gap_floor`` equals the
     later one's ``gap_count``; a time exactly on the first sample after a gap touches that gap.
     """
-    ends = [f"{e}_{n}" for e in "ab" for n in (*QUATERNION, *GRAVITY)]
-    found = lookup(points, intervals, at, [*ends, "gap_count", "starts_after_gap"])
+    return mixed_orientation(lookup(points, intervals, at, POSE_ENDS), at, points.columns)
+
+
+def mixed_orientation(found: DataFrame, at: str, columns: list[str]) -> DataFrame:
+    """Orientation and gravity between the two samples that ``lookup`` found."""
     blend = g.quaternion_blend(_columns("a_"), _columns("b_"), F.col("w"))
     touches = F.when(F.col(at) == F.col("t0"), F.col("starts_after_gap")).otherwise(F.lit(0))
     return found.select(
-        *points.columns,
+        *columns,
         *[q.alias(n) for q, n in zip(blend, QUATERNION)],
         "gap_count",
         (F.col("gap_count") - touches).alias("gap_floor"),

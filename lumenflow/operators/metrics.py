@@ -7,40 +7,80 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lumenflow.config import IDENTITY, CameraModel
 from lumenflow.functions import geometry as g
 from lumenflow.plans.fence import fence
-from lumenflow.plans.frames import last_rows
+from lumenflow.plans.frames import last_rows, recent_rows
 from lumenflow.plans.hopping import floor_div
+from lumenflow.plans.lineage import materialise
 from lumenflow.plans.scan import running
+from lumenflow.plans.sized import broadcast_if_small
 
 CHECK_US = 100_000
 PATH_STEP_S = 0.02
+#: How long a measured place stays in the trail.
+TRAIL_US = 350_000
 
 
-#: Values of a key are ordered in this many ranges.
+#: Values between two splitters are ordered in this many ranges.
 VALUE_RANGES = 1 << 12
+#: Accuracy of the sketch that splitters come from, and how many of its errors a bracket reaches to each side.
+SKETCH_ACCURACY = 10_000
+SKETCH_MARGIN = 3
 
 
 def index_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentile by index: element ``min(floor(n p), n - 1)`` of the sorted values.
 
-    Equal values are counted first, then ranked by a scan that is split into value ranges, so a key
-    that holds most rows is ordered by many tasks.
+    A sketch gives two splitters around every share. Values below a bracket are only counted; those
+    inside, a small share of a key whatever its outliers, are ranked by a scan split into value
+    ranges. A bracket that misses its element by its counts is opened to all values, so results are
+    exact. Null values are left out; a key that holds null is no key.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__m"))
-    sizes = counted.groupBy(*keys).agg(
-        F.sum("__m").alias("__n"), F.min(value).alias("__low"), F.max(value).alias("__high")
+    known = df.where(F.col(value).isNotNull())
+    reach = SKETCH_MARGIN / SKETCH_ACCURACY
+    sides = [min(max(p + side, 0.0), 1.0) for p in shares.values() for side in (-reach, reach)]
+    sizes = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.max(value).alias("__high"),
+        F.percentile_approx(value, sides, SKETCH_ACCURACY).alias("__sides"),
     )
-    width = F.greatest((F.col("__high") - F.col("__low")) / VALUE_RANGES, F.lit(1e-300))
-    sized = counted.join(sizes, keys)
-    part = F.floor((F.col(value) - F.col("__low")) / width)
-    ranked = running(sized, keys, value, part, total={"__to": F.col("__m")}, include_current=True)
-
-    def pick(share: float) -> Column:
-        at = F.least(F.floor(F.col("__n") * F.lit(share)), F.col("__n") - 1)
-        hit = (F.col("__to") > at) & (F.col("__to") - F.col("__m") <= at)
-        return F.max(F.when(hit, F.col(value)))
-
-    picks = [pick(p).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(*keys).agg(*picks, F.max(value).alias("max"), F.max("__n").alias("n"))
+    brackets = materialise(
+        sizes.withColumn(
+            "__b",
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(name).alias("share"),
+                            F.least(F.floor(F.col("__n") * F.lit(p)), F.col("__n") - 1).alias("at"),
+                            F.col("__sides")[2 * i].alias("low"),
+                            F.col("__sides")[2 * i + 1].alias("high"),
+                        )
+                        for i, (name, p) in enumerate(shares.items())
+                    ]
+                )
+            ),
+        ).select(*keys, "__n", "__high", "__b.*")
+    )
+    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__m"))
+    sided = counted.join(broadcast_if_small(brackets), keys)
+    # Below and inside every bracket: one small row per key and share.
+    here = (F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high"))
+    checked = sided.groupBy(*keys, "share").agg(
+        *[F.first(c).alias(c) for c in ("__n", "__high", "at", "low", "high")],
+        F.sum(F.when(F.col(value) < F.col("low"), F.col("__m")).otherwise(0)).alias("before"),
+        F.sum(F.when(here, F.col("__m")).otherwise(0)).alias("inside"),
+    )
+    holds = (F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("inside"))
+    ranges = materialise(checked.withColumn("holds", holds))
+    near = counted.join(broadcast_if_small(ranges), keys).where(~F.col("holds") | here)
+    # Values outside the splitters, met in an opened bracket only, are ranges of their own.
+    width = (F.col("high") - F.col("low")) / VALUE_RANGES
+    inner = F.coalesce(F.floor((F.col(value) - F.col("low")) / F.when(width > 0, width)), F.lit(0))
+    part = F.when(F.col(value) < F.col("low"), -1).when(F.col(value) >= F.col("high"), VALUE_RANGES).otherwise(inner)
+    ranked = running(near, [*keys, "share"], value, part, total={"__to": F.col("__m")}, include_current=True)
+    rank = F.col("at") - F.when(F.col("holds"), F.col("before")).otherwise(0)
+    hit = (F.col("__to") > rank) & (F.col("__to") - F.col("__m") <= rank)
+    picks = [F.max(F.when(hit & (F.col("share") == name), F.col(value))).alias(name) for name in shares]
+    return ranked.groupBy(*keys).agg(*picks, F.max("__high").alias("max"), F.max("__n").alias("n"))
 
 
 def state_counts(tracks: DataFrame, keys: list[str]) -> DataFrame:
@@ -186,6 +226,19 @@ def flight_paths(tracks: DataFrame, ahead_s: float = 0.3) -> DataFrame:
     )
 
 
+def trail(tracks: DataFrame, x: str = "x_px", y: str = "y_px", span_us: int = TRAIL_US) -> DataFrame:
+    """At every update the places measured in the last ``span_us``, in order of time, both ends included.
+
+    ``points`` is an array of ``(at_us, x, y)``, empty when nothing was measured. Tracks do not matter:
+    the trail runs on from one to the next.
+    """
+    at = F.round(F.col("time_s") * 1e6).cast("long")
+    point = F.struct("at_us", F.col(x).alias("x"), F.col(y).alias("y"))
+    places = {"points": F.when(F.col("state") == "measured", point)}
+    held = recent_rows(tracks.withColumn("at_us", at), ["stream_id"], "at_us", span_us, places)
+    return held.select("stream_id", "window_id", "at_us", F.sort_array("points").alias("points"))
+
+
 def recent_median(df: DataFrame, keys: list[str], order: str, value: str, block: int, count: int = 5) -> DataFrame:
     """Upper median of the last ``count`` values at every row; ``block`` cuts the integer ``order``."""
     held = last_rows(df, keys, order, floor_div(F.col(order), block), count, {"recent": F.col(value)})

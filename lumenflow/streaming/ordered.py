@@ -28,7 +28,8 @@ def scan_stream(
 ) -> DataFrame:
     """Run a picklable ``machine()`` per key over rows in ``order``, one lateness behind the newest.
 
-    Rows later than ``lateness_us`` are dropped by the watermark.
+    Rows later than ``lateness_us`` are dropped by the watermark. A machine with a method ``newest``
+    is told the newest time its key has received, waiting rows included, before each step.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,6 +38,8 @@ def scan_stream(
             held = [*held, *(b.drop(columns="__time") for b in batches)]
         mark = state.getCurrentWatermarkMs() * 1000
         rows = pd.concat(held, ignore_index=True) if held else None
+        if rows is not None and len(rows) and hasattr(step, "newest"):
+            step.newest(int(rows[time_us].max()))
         if rows is not None and len(rows):
             ready = (rows[time_us] < mark).to_numpy()
             due, rows = rows[ready], rows[~ready]

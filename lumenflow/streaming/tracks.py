@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lumenflow.config import CameraModel, MotionConfig, TrackerConfig
+from lumenflow.config import CameraModel, InvalidConfig, MotionConfig, TrackerConfig
 from lumenflow.functions import evt
 from lumenflow.operators.tracker import TRACK_TYPE, TrackMachine
 from lumenflow.schema import EVENT_COLUMNS
@@ -20,23 +20,40 @@ LIVE_LAG_US = 150_000
 
 
 class LiveTracker:
-    """Tracker of one live sensor; optionally skips ahead when its input has piled up."""
+    """Tracker of one live sensor; optionally skips ahead when its input has piled up.
+
+    An update that is further than ``skip_lag_us`` behind the newest input received, waiting rows
+    included, is left out together with all before the newest update; tracking then starts over.
+    """
 
     def __init__(self, camera, cfg: MotionConfig, diameter_m: float, skip_lag_us: int | None):
         self.args = (camera, cfg, diameter_m)
         self.machine = TrackMachine(*self.args)
         self.skip_lag_us = skip_lag_us
-        self.step_us = cfg.step_us
+        self.newest_us = self.resume_us = None
+        self.skipped = 0
+
+    def newest(self, time_us: int) -> None:
+        self.newest_us = max(time_us, self.newest_us or time_us)
+
+    def _skip(self, ends: np.ndarray) -> None:
+        behind = self.resume_us is None or ends[0] >= self.resume_us
+        if behind and self.newest_us - ends[0] > self.skip_lag_us:
+            self.resume_us = self.newest_us
+            born = self.machine.tracks
+            self.machine = TrackMachine(*self.args)
+            self.machine.memory = self.machine.memory._replace(born=born)
 
     def __call__(self, rows: pd.DataFrame) -> pd.DataFrame:
         if self.skip_lag_us is not None:
-            newest = rows["window_id"].max()
-            if (newest - rows["window_id"].min()) * self.step_us > self.skip_lag_us:
-                rows = rows[rows["window_id"] == newest]
-                tracks = self.machine.tracks
-                self.machine = TrackMachine(*self.args)
-                self.machine.memory = self.machine.memory._replace(born=tracks)
-        return self.machine(rows.assign(episode=0))
+            self._skip(rows["end_us"].to_numpy())
+            if self.resume_us is not None:
+                left_out = rows["end_us"] < self.resume_us
+                self.skipped += rows.loc[left_out, "window_id"].nunique()
+                rows = rows[~left_out]
+        if rows.empty:
+            return rows
+        return self.machine(rows.assign(episode=0)).assign(skipped=self.skipped)
 
 
 def track_stream(
@@ -50,15 +67,18 @@ def track_stream(
     """Tracks from a stream of updates: one row per candidate, or one row of nulls without any.
 
     Columns are those of the batch tracker's input (window, pose, gravity, candidate) plus
-    ``end_us``. Nothing is skipped unless ``skip_lag_us`` asks for it.
+    ``end_us``. Nothing is skipped unless ``skip_lag_us`` asks for it; ``skipped`` counts the updates
+    that the stream has left out so far. Rows always wait ``lateness_us``, so the lag must be longer.
     """
+    if skip_lag_us is not None and skip_lag_us <= lateness_us:
+        raise InvalidConfig("skip_lag_us", "must be longer than the lateness")
     return scan_stream(
         updates,
         ["stream_id"],
         ["window_id", "rank"],
         "end_us",
         lambda: LiveTracker(camera, cfg, tracker.ball_diameter_m, skip_lag_us),
-        TRACK_TYPE,
+        f"{TRACK_TYPE}, skipped long",
         lateness_us,
     ).drop("episode")
 

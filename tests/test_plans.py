@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from fixtures import event_table
 from lumenflow.operators import clusters, components, proposals
-from lumenflow.plans.frames import last_rows
+from lumenflow.plans.frames import last_rows, recent_rows
+from lumenflow.plans.hopping import explode_hops
 from lumenflow.plans.ordered import scan_ordered
 from lumenflow.plans.scan import running
 from lumenflow.plans.sized import broadcast_if_small
@@ -128,3 +129,28 @@ def test_written_events_are_pruned_by_time(spark, tmp_path):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(timestamp_us,100)" in plan and "stream_id" in plan.split("PartitionFilters")[1]
     assert back.count() == 11
+
+
+@pytest.mark.parametrize("window,step", [(4000, 2000), (900, 1000), (5000, 700), (0, 300)])
+def test_panes_equal_a_row_per_event_and_window(spark, window, step):
+    rng = np.random.default_rng(window)
+    rows = [(int(t), int(x), int(y)) for t, x, y in zip(np.sort(rng.integers(0, 400_000, 1500)), rng.integers(0, 9, 1500), rng.integers(0, 9, 1500))]
+    rows += [(k * step, 3, 3) for k in range(40)]
+    events = event_table(spark, rows)
+    at = F.col("timestamp_us")
+    got = clusters.hopping_cells(events, at, window, step, 2, first=1, last=F.lit(250))
+    hops = explode_hops(events, at, window, step, first=1, last=F.lit(250))
+    want = clusters.count_cells(hops, ["stream_id", "window_id"], 2)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    # Panes are shuffled twice; nothing is shuffled once they have become windows.
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+
+
+def test_frames_of_time_are_complete_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr("lumenflow.plans.frames.CHUNK_SPANS", 2)
+    rng = np.random.default_rng(12)
+    rows = [(int(k), int(t), int(v) if v % 3 else None) for k, t, v in zip(rng.integers(0, 3, 500), rng.integers(-900, 900, 500), rng.integers(0, 99, 500))]
+    df = spark.createDataFrame([*rows, (1, None, 5)], "k int, at long, v int")
+    got = recent_rows(df, ["k"], "at", 40, {"held": F.col("v")}).collect()
+    want = sorted((k, t, sorted(v for j, s, v in rows if j == k and t - 40 <= s <= t and v is not None)) for k, t, _ in rows)
+    assert sorted((r.k, r.at, sorted(r.held)) for r in got) == want

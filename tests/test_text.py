@@ -1,3 +1,4 @@
+import numpy as np
 import math
 
 import pytest
@@ -86,3 +87,27 @@ def test_percentile_by_index(spark):
     rows = spark.createDataFrame([("a", float(v)) for v in [5, 1, 4, 4, 2]] + [("b", 9.0)], "k string, v double")
     found = {r.k: (r.p50, r.p95, r.n) for r in metrics.index_percentiles(rows, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
     assert found == {"a": (4.0, 5.0, 5), "b": (9.0, 9.0, 1)}
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 1])
+def test_percentiles_with_outliers_ties_and_missed_brackets(spark, monkeypatch, accuracy):
+    """A sketch that is far off opens its brackets; results are those of sorting either way."""
+    monkeypatch.setattr(metrics, "SKETCH_MARGIN", 0 if accuracy == 1 else 3)
+    monkeypatch.setattr(metrics, "SKETCH_ACCURACY", accuracy)
+    rng = np.random.default_rng(21)
+    values = {
+        "outlier": [*rng.normal(0, 1, 3000), 1e300, -1e300],
+        "ties": [*rng.integers(0, 4, 2000).astype(float)],
+        "infinite": [*rng.normal(5, 1, 500), float("inf"), float("inf"), float("-inf")],
+        "equal": [7.0] * 300,
+        "one": [3.0],
+    }
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("ties", None), ("empty", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    shares = {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p999": 0.999, "p100": 1.0}
+    found = {r.k: r for r in metrics.index_percentiles(frame, ["k"], "v", shares).collect()}
+    assert set(found) == set(values)
+    for k, vs in values.items():
+        ordered, n = sorted(map(float, vs)), len(vs)
+        assert (found[k].n, found[k].max) == (n, ordered[-1])
+        assert {s: found[k][s] for s in shares} == {s: ordered[min(int(n * p), n - 1)] for s, p in shares.items()}
