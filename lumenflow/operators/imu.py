@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from lumenflow.functions import geometry as g
+from lumenflow.plans.hopping import floor_div
 from lumenflow.plans.lineage import materialise
 from lumenflow.plans.ordered import scan_ordered
 from lumenflow.plans.scan import running
@@ -15,8 +16,11 @@ from lumenflow.sources.imu import GRAVITY, GYRO
 
 #: Samples further apart than this are a gap; nothing is interpolated across it.
 MAX_GAP_S = 0.05
-#: Orientation is integrated in parallel over time blocks of this length.
+#: Orientation is integrated in parallel over time blocks of at most this length,
 BLOCK_S = 600.0
+#: which end earlier where samples are dense: at the first slot behind this many rows.
+BLOCK_ROWS = 1 << 14
+SLOT_S = 0.02
 QUATERNION = ("qw", "qx", "qy", "qz")
 #: What the lookups need of the two samples around a point.
 GYRO_ENDS = [f"{e}_{n}" for e in "ab" for n in GYRO]
@@ -58,13 +62,36 @@ def _prefix_product(df: DataFrame, keys: list[str], order: str, inclusive: bool)
     return scan_ordered(df, keys, [order], _accumulate(inclusive), schema)
 
 
+def time_blocks(samples: DataFrame) -> DataFrame:
+    """Add ``block``, which does not decrease with time and holds few rows at any sample rate.
+
+    Rows are counted per short slot and added up over the slots of ``BLOCK_S``, a bounded number.
+    """
+    placed = samples.withColumns(
+        {
+            "__long": F.floor(F.col("time_s") / BLOCK_S).cast("long"),
+            "__slot": F.floor(F.col("time_s") / SLOT_S).cast("long"),
+        }
+    )
+    place = ["stream_id", "__long", "__slot"]
+    earlier = Window.partitionBy("stream_id", "__long").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    # Written, so that its size is known when the join is planned.
+    slots = materialise(
+        placed.groupBy(*place)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(*place, (F.col("__long") * (1 << 24) + floor_div(before, BLOCK_ROWS)).alias("block"))
+    )
+    return placed.join(slots, place).select(*samples.columns, "block")
+
+
 def imu_intervals(samples: DataFrame) -> DataFrame:
     """One row per pair of neighbouring samples with both ends' gyro, gravity and orientation.
 
     Orientation is the ordered product of per-interval turns. The product is associative, so time
     blocks are integrated in parallel and joined by one small product over the blocks.
     """
-    samples = samples.withColumn("block", F.floor(F.col("time_s") / BLOCK_S).cast("long"))
+    samples = time_blocks(samples)
     state = F.struct("time_s", *GYRO, *GRAVITY)
     paired = running(samples, ["stream_id"], "time_s", F.col("block"), last={"p": state})
     dt = F.col("time_s") - F.col("p.time_s")
@@ -84,13 +111,16 @@ def imu_intervals(samples: DataFrame) -> DataFrame:
         *[F.max_by(f"o_{n}", "time_s").alias(f"d_{n}") for n in QUATERNION],
         F.max("time_s").alias("end_s"),
     )
-    lead_in = _prefix_product(ends, ["stream_id"], "block", inclusive=False).select(
-        "stream_id", "block", *[F.col(f"o_{n}").alias(f"c_{n}") for n in QUATERNION]
+    # The stream's end comes with its few blocks; a join of every sample on the stream alone would be one task.
+    final = ends.groupBy("stream_id").agg(F.max("end_s").alias("duration_s"))
+    lead_in = _prefix_product(ends, ["stream_id"], "block", inclusive=False).join(final, "stream_id").select(
+        "stream_id", "block", "duration_s", *[F.col(f"o_{n}").alias(f"c_{n}") for n in QUATERNION]
     )
     full = local.join(lead_in, ["stream_id", "block"])
     oriented = full.select(
         "stream_id",
         "block",
+        "duration_s",
         "time_s",
         *GYRO,
         *GRAVITY,
@@ -111,8 +141,7 @@ def imu_intervals(samples: DataFrame) -> DataFrame:
         last={"p": every},
         total={"gaps_before": F.col("gap")},
     ).where("p is not null")
-    final = ends.groupBy("stream_id").agg(F.max("end_s").alias("duration_s"))
-    return linked.join(final, "stream_id").select(
+    return linked.select(
         "stream_id",
         F.col("p.time_s").alias("t0"),
         F.col("time_s").alias("t1"),

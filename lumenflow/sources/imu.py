@@ -8,6 +8,8 @@ from lumenflow.config import InvalidConfig
 
 GYRO = ("gx", "gy", "gz")
 GRAVITY = ("gravity_x", "gravity_y", "gravity_z")
+#: Shares that a stream's samples are dealt into where they meet the stream's start.
+SHARES = 64
 
 
 def read_imu_csv(spark: SparkSession, path: str, stream_id: str | None = None) -> DataFrame:
@@ -54,7 +56,9 @@ def rebase(samples: DataFrame, has_gravity: bool) -> DataFrame:
         F.raise_error(F.lit("at least two IMU samples with different times are required")).cast("double")
     )
     gravity = [F.col(f"s.{c}") if has_gravity else F.lit(None).cast("double") for c in GRAVITY]
-    return single.join(spans, "stream_id").select(
+    dealt = single.withColumn("__share", F.pmod(F.hash("time_s"), F.lit(SHARES)))
+    each = spans.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return dealt.join(each, ["stream_id", "__share"]).select(
         "stream_id",
         (F.col("time_s") - start).alias("time_s"),
         *[F.col(f"s.{c}") for c in GYRO],

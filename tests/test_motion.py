@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import event_table, imu_table, projected, simple_camera, turn_matrix, turning_scene, window_rows
 from lumenflow.config import InvalidConfig, MotionConfig
@@ -150,6 +151,39 @@ def test_orientation_does_not_depend_on_blocks(spark, monkeypatch):
         assert split[name].to_numpy() == pytest.approx(whole[name].to_numpy(), abs=1e-12)
 
 
+def test_dense_samples_are_cut_into_blocks_by_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    dense = np.unique(np.round(np.concatenate([rng.uniform(3, 5, 900), rng.uniform(0, 1300, 60)]), 6))
+    samples = imu_table(spark, dense.tolist(), gyro=(0.3, -0.7, 0.5))
+    whole = imu.imu_intervals(samples).orderBy("t1").toPandas()
+    monkeypatch.setattr(imu, "BLOCK_ROWS", 50)
+    blocks = imu.time_blocks(samples).orderBy("time_s").toPandas()
+    assert len(blocks) == len(dense) and blocks.block.is_monotonic_increasing
+    slots = np.unique(np.floor(dense / imu.SLOT_S), return_counts=True)[1]
+    assert blocks.groupby("block").size().max() <= 50 + slots.max()
+    assert blocks.block.nunique() < 30
+    split = imu.imu_intervals(samples).orderBy("t1").toPandas()
+    assert list(split.t0) == list(whole.t0) and list(split.gap_count) == list(whole.gap_count)
+    for name in ("b_qw", "b_qx", "b_qy", "b_qz", "a_qw"):
+        assert split[name].to_numpy() == pytest.approx(whole[name].to_numpy(), abs=1e-12)
+
+
+def test_one_stream_is_many_tasks(spark):
+    """With a few of many partitions in use, adaptive execution does not broadcast the stream's start."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        samples = imu_table(spark, (np.arange(4000) * 0.001).tolist(), gyro=(0.3, -0.7, 0.5))
+        sizes = [r["count"] for r in samples.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 4000 and max(sizes) < 1000
+
+
 def test_imu_csv(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("﻿ gz,timestamp , gx,gy,note\n3,10.5,1,2,a\n6,10.0,4,5,b\n9,10.5,7,8,c\n")
