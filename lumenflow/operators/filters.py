@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from lumenflow.config import BackgroundConfig, PolarityConfig, StaticConfig
 from lumenflow.plans.hopping import floor_div
 from lumenflow.plans.lineage import materialise
-from lumenflow.plans.ordered import scan_ordered
+from lumenflow.plans.ordered import scan_ordered, spread
 from lumenflow.plans.scan import running
 from lumenflow.plans.sized import broadcast_if_small
 
@@ -33,8 +36,9 @@ def background_flags(events: DataFrame, cfg: BackgroundConfig = BackgroundConfig
     """Add ``supported``: another pixel within the radius fired in the preceding window.
 
     Time must not decrease with ``seq`` inside a stream. One shuffle on (tile, time slice) with a
-    thin halo; the neighbour fan-out happens after it, inside the partition. A flickering pixel is
-    cut by the time slices, a busy instant by the tiles.
+    thin halo, then one pass in order that keeps the newest time per pixel of a tile, so each event
+    is sorted once and not once per neighbour. A flickering pixel is cut by the time slices, a busy
+    instant by the tiles.
     """
     r, side = cfg.radius_px, cfg.tile_px
     disc = [
@@ -58,46 +62,73 @@ def background_flags(events: DataFrame, cfg: BackgroundConfig = BackgroundConfig
             "__slice",
             F.explode(F.sequence(floor_div(t, length), floor_div(t + cfg.window_us, length))),
         )
-        .repartition("stream_id", "__tx", "__ty", "__slice")
     )
+    keys = ["__slice", "__tx", "__ty", "stream_id"]
     home = (
         (F.col("__tx") == floor_div(x, side))
         & (F.col("__ty") == floor_div(y, side))
         & (F.col("__slice") == floor_div(t, length))
     )
-
-    # Slice and pixel in one number, compared first: most rows differ there, so the sort below
-    # rarely looks at the other keys. Pixel coordinates are below 2^19.
-    here = F.pmod("__slice", F.lit(1 << 22)) * (1 << 40) + (y + r) * (1 << 20) + x + r
-    stamps = F.array(*[F.lit(dy * (1 << 20) + dx).cast("long") for dx, dy in disc])
-    question = F.array(F.lit(0).cast("long"))
-    # Stamps carry only their time; the row itself travels with its question.
-    spread = (
-        placed.withColumn("__here", here)
-        .withColumn("__by", F.explode(F.when(home, F.concat(stamps, question)).otherwise(stamps)))
-        .select(
-            "stream_id",
-            "seq",
-            "__tx",
-            "__ty",
-            "__slice",
-            (F.col("__here") + F.col("__by")).alias("__pixel"),
-            F.when(F.col("__by") != 0, t).alias("__stamp"),
-            F.when(F.col("__by") == 0, F.struct(*payload)).alias("__row"),
-        )
-    )
-    seen = (
-        Window.partitionBy("__pixel", "__slice", "__tx", "__ty", "stream_id")
-        .orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    recent = F.col("__last") >= F.col("timestamp_us") - cfg.window_us
-    return (
-        spread.withColumn("__last", F.max("__stamp").over(seen))
-        .where("__row is not null")
-        .select("__row.*", "__last")
-        .select(*payload, F.coalesce(recent, F.lit(False)).alias("supported"))
+    reach = side + 2 * r
+    placed = placed.select(
+        *payload,
+        *[k for k in keys if k not in payload],
+        ((y - F.col("__ty") * side + r) * reach + x - F.col("__tx") * side + r).alias("__pixel"),
+        home.alias("__home"),
     )
+    steps = [dy * reach + dx for dx, dy in disc]
+    ordered = spread(placed, keys).sortWithinPartitions(*keys, "seq")
+    schema = T.StructType([*events.schema.fields, T.StructField("supported", T.BooleanType())])
+    return ordered.mapInArrow(_newest_around(keys, payload, reach * reach, steps, cfg.window_us), schema)
+
+
+def _newest_around(keys: list[str], payload: list[str], pixels: int, steps: list[int], window_us: int):
+    """Flags home rows of tiles that arrive in order; between batches only one tile's times are held."""
+    never = np.iinfo(np.int64).min // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = np.full(pixels, never), None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            changed = np.zeros(n, dtype=bool)
+            for key in keys:
+                here, before = batch.column(key).slice(1), batch.column(key).slice(0, n - 1)
+                differ = pc.fill_null(pc.not_equal(here, before), False)
+                differ = pc.or_(differ, pc.xor(here.is_null(), before.is_null()))
+                changed[1:] |= differ.to_numpy(zero_copy_only=False)
+            first, final = ([batch.column(key)[at].as_py() for key in keys] for at in (0, n - 1))
+            if held != first:
+                last[:] = never
+            tile = np.cumsum(changed)
+            times = batch.column("timestamp_us").to_numpy()
+            pixel = tile * pixels + batch.column("__pixel").to_numpy()
+            # Pixel and place in the batch as one number: the row before (pixel, i) is that pixel's latest.
+            stamps = np.sort(pixel * n + np.arange(n))
+            # The newest time of each pixel so far, by ranks that start over with every pixel.
+            values, rank = np.unique(times, return_inverse=True)
+            place = stamps % n
+            run_of = np.cumsum(np.r_[False, np.diff(stamps // n) != 0])
+            newest = values[np.maximum.accumulate(run_of * n + rank[place]) % n]
+            home = batch.column("__home").to_numpy(zero_copy_only=False)
+            asked = np.flatnonzero(home)
+            since, supported = times[asked] - window_us, np.zeros(len(asked), dtype=bool)
+            for step in steps:
+                near = pixel[asked] + step
+                at = np.searchsorted(stamps, near * n + asked) - 1
+                here = (at >= 0) & (stamps[at] // n == near)
+                before = np.where(tile[asked] == 0, last[near % pixels], never)
+                supported |= np.maximum(np.where(here, newest[at], never), before) >= since
+            if tile[-1]:
+                last[:] = never
+            held = final
+            end = tile == tile[-1]
+            np.maximum.at(last, pixel[end] % pixels, times[end])
+            kept = batch.select(payload).filter(pa.array(home))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(supported)], [*payload, "supported"])
+
+    return run
 
 
 def background_filter(events: DataFrame, cfg: BackgroundConfig = BackgroundConfig()) -> DataFrame:

@@ -118,3 +118,21 @@ def test_settings_are_validated():
 def test_background_shuffles_once(spark):
     plan = filters.background_flags(event_table(spark, [(0, 1, 1)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_background_sorts_each_event_once(spark):
+    """Rows are not multiplied by their neighbours, and batches may end anywhere in a tile."""
+    rows = random_rows(5)
+    cfg = BackgroundConfig(radius_px=2, window_us=300, tile_px=16, slice_windows=8)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        flags = filters.background_flags(event_table(spark, rows), cfg)
+        got = [r.supported for r in flags.orderBy("seq").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert got == brute_background(rows, 2, 300)
+    plan = flags._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Sort ") : plan.index("Exchange hashpartitioning")]
+    assert "Generate" not in below and plan.count("Generate explode") <= 3
