@@ -163,14 +163,15 @@ def window_rotations(windows: DataFrame, intervals: DataFrame, cfg: MotionConfig
 
 
 def compensate(
-    rows: DataFrame, rotations: DataFrame, camera: CameraModel, with_original: bool = False
+    rows: DataFrame, rotations: DataFrame, camera: CameraModel, with_original: bool = False, covered_only: bool = False
 ) -> DataFrame:
     """Add ``px, py`` in the window's end orientation and ``covered``.
 
     ``rows`` come from ``window_events`` and ``rotations`` from a written ``window_rotations``
     table, which is counted to choose the join. Without coverage the position is only undistorted. A
     null position means outside the sensor or behind the camera. ``with_original`` also keeps
-    the uncompensated position ``ox, oy``.
+    the uncompensated position ``ox, oy``. ``covered_only`` leaves the other rows out at the join,
+    which keeps the generated method below the 8000 bytes that the JVM compiles.
     """
     inside = g.in_image(camera, F.col("x"), F.col("y"))
     rows = g.undistort(rows, camera, F.col("x").cast("double"), F.col("y").cast("double"))
@@ -181,11 +182,15 @@ def compensate(
         "bin", F.least(F.floor("__at"), bins - 1).cast("long")
     )
     w = F.col("__at") - F.col("bin")
-    joined = rows.join(broadcast_if_small(rotations.drop("bins")), [*KEYS, "bin"], "left")
+    rotations = rotations.drop("bins")
+    if covered_only:
+        # Columns known to hold no null need no checks in the generated method.
+        rotations = rotations.where(" and ".join(f"{side}_{r} is not null" for side in "pq" for r in ROTATION))
+    joined = rows.join(broadcast_if_small(rotations), [*KEYS, "bin"], "inner" if covered_only else "left")
     blended = {
         r: F.col(f"p_{r}") * (1 - w) + F.col(f"q_{r}") * w for r in ROTATION
     }
-    covered = F.col("p_r00").isNotNull()
+    covered = F.lit(True) if covered_only else F.col("p_r00").isNotNull()
     joined = joined.withColumn("covered", covered).withColumns(blended)
     ray = (F.col("ray_x"), F.col("ray_y"), F.lit(1.0))
     matrix = tuple(tuple(F.col(f"r{i}{j}") for j in range(3)) for i in range(3))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fixtures import event_table, imu_table, projected, simple_camera, turn_matrix, turning_scene, window_rows
 from lumenflow.config import InvalidConfig, MotionConfig
 from lumenflow.operators import foreground, imu, motion
+from lumenflow.operators.rolling import stream_bounds
 from lumenflow.sources.imu import read_imu_csv
 
 KEYS = ["stream_id", "window_id"]
@@ -184,6 +185,21 @@ def test_one_stream_is_many_tasks(spark):
     assert sum(sizes) == 4000 and max(sizes) < 1000
 
 
+def test_covered_rows_alone_are_the_same(spark):
+    camera, cfg = simple_camera(50, 64, 48), MotionConfig(window_us=20_000, step_us=10_000)
+    events = event_table(spark, [(i * 500, i % 64, i % 48) for i in range(300)])
+    times = [i * 0.01 for i in range(16) if i not in (6, 7, 8, 9, 10)]
+    intervals = imu.prepared_imu(imu_table(spark, times, gyro=(0.3, -0.7, 0.5), gravity=(0.0, 1.0, 0.0)))
+    windows = motion.window_grid(stream_bounds(events), intervals, cfg)
+    rotations = motion.window_rotations(windows, intervals, cfg)
+    rows = motion.window_events(events, windows, cfg)
+    every = motion.compensate(rows, rotations, camera)
+    alone = motion.compensate(rows, rotations, camera, covered_only=True)
+    want = every.where("covered").collect()
+    assert 0 < len(want) < every.count()
+    assert sorted(want) == sorted(alone.collect())
+
+
 def test_imu_csv(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("﻿ gz,timestamp , gx,gy,note\n3,10.5,1,2,a\n6,10.0,4,5,b\n9,10.5,7,8,c\n")
