@@ -8,6 +8,7 @@ from fixtures import event_table, imu_table, projected, simple_camera, turn_matr
 from lumenflow.config import InvalidConfig, MotionConfig
 from lumenflow.operators import foreground, imu, motion
 from lumenflow.operators.rolling import stream_bounds
+from lumenflow.plans.lineage import materialise
 from lumenflow.sources.imu import read_imu_csv
 
 KEYS = ["stream_id", "window_id"]
@@ -200,6 +201,27 @@ def test_covered_rows_alone_are_the_same(spark):
     assert sorted(want) == sorted(alone.collect())
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_tracker_rotation_fits_the_compiled_method_size(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(motion, "broadcast_if_small", lambda df: df.hint("merge"))
+    camera, cfg = simple_camera(50, 64, 48), MotionConfig()
+    events = event_table(spark, [(i * 500, i % 64, i % 48) for i in range(600)])
+    intervals = imu.prepared_imu(imu_table(spark, [i * 0.01 for i in range(40)], gravity=(0.0, 1.0, 0.0)))
+    windows = materialise(motion.window_grid(stream_bounds(events), intervals, cfg))
+    rotations = materialise(motion.window_rotations(windows, intervals, cfg))
+    turned = motion.compensate(motion.window_events(events, windows, cfg), rotations, camera, covered_only=True)
+    cells = foreground.motion_cells(turned, KEYS, camera, cfg)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = debug.codegenStringSeq(cells._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert 0 < max(sizes) <= 8000
+
+
 def test_imu_csv(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("﻿ gz,timestamp , gx,gy,note\n3,10.5,1,2,a\n6,10.0,4,5,b\n9,10.5,7,8,c\n")
