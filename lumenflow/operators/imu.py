@@ -31,6 +31,27 @@ def _columns(prefix: str, names=QUATERNION) -> g.Vec:
     return tuple(F.col(prefix + n) for n in names)
 
 
+def running_products(turns: np.ndarray, held: tuple) -> np.ndarray:
+    """Quaternion products of ``held`` and the first 1, 2, ... rows of ``turns``.
+
+    The product is associative: rows are cut into stretches, which are multiplied up side by side
+    and then turned by the product of all stretches before.
+    """
+    length = int(np.ceil(np.sqrt(len(turns))))
+    padded = np.tile((1.0, 0.0, 0.0, 0.0), (-(-len(turns) // length) * length, 1))
+    padded[: len(turns)] = turns
+    stretches = padded.reshape(-1, length, 4)
+    for k in range(1, length):
+        product = g.quaternion_product(stretches[:, k - 1].T, stretches[:, k].T)
+        stretches[:, k] = np.stack(product, axis=-1)
+    starts = np.empty((len(stretches), 1, 4))
+    for start, end in zip(starts, stretches[:, -1].tolist()):
+        start[0] = held
+        held = g.quaternion_product(held, end)
+    whole = g.quaternion_product(np.moveaxis(starts, -1, 0), np.moveaxis(stretches, -1, 0))
+    return np.stack(whole, axis=-1).reshape(-1, 4)[: len(turns)]
+
+
 def _accumulate(inclusive: bool):
     """Running quaternion product in order; the state is one quaternion."""
 
@@ -39,12 +60,10 @@ def _accumulate(inclusive: bool):
 
         def step(rows: pd.DataFrame) -> pd.DataFrame:
             nonlocal held
-            turns = rows[[f"d_{n}" for n in QUATERNION]].to_numpy().tolist()
-            out = np.empty((len(turns), 4))
-            for i, turn in enumerate(turns):
-                before = held
-                held = g.quaternion_product(held, turn)
-                out[i] = held if inclusive else before
+            out = running_products(rows[[f"d_{n}" for n in QUATERNION]].to_numpy(), held)
+            before, held = held, tuple(out[-1].tolist())
+            if not inclusive:
+                out = np.concatenate([[before], out[:-1]])
             result = rows.copy()
             for k, name in enumerate(QUATERNION):
                 result[f"o_{name}"] = out[:, k]
@@ -97,8 +116,9 @@ def imu_intervals(samples: DataFrame) -> DataFrame:
     dt = F.col("time_s") - F.col("p.time_s")
     angle = tuple((F.col(f"p.{a}") + F.col(a)) * dt * 0.5 for a in GYRO)
     still = (1.0, 0.0, 0.0, 0.0)
+    # Without the struct, which pandas would get as one object a row.
     turned = paired.select(
-        "*",
+        *samples.columns,
         F.coalesce((dt > MAX_GAP_S).cast("long"), F.lit(0).cast("long")).alias("gap"),
         *[
             F.coalesce(turn, F.lit(unit)).alias(f"d_{name}")

@@ -9,6 +9,21 @@ aggregate, so a key that holds a third of all rows costs no more than any other.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
+
+
+def newest(rows: DataFrame, name: str, at: Column) -> Column:
+    """Aggregate: the non-null value of a column with the largest ``at``.
+
+    The fields of a struct are taken one by one: their buffers have a fixed size, so rows are
+    aggregated in a hash table, while a buffer that holds a struct makes Spark sort all rows first.
+    """
+    kind = rows.schema[name].dataType
+    here = F.when(F.col(name).isNotNull(), at)
+    if not isinstance(kind, T.StructType):
+        return F.max_by(name, here)
+    fields = [F.max_by(F.col(name)[f], here).alias(f) for f in kind.names]
+    return F.when(F.max(here).isNotNull(), F.struct(*fields))
 
 
 def running(
@@ -34,7 +49,7 @@ def running(
     # The first sort key decides most comparisons; the leading key is often one value for all rows.
     group = [*reversed(keys[1:]), "__block", *keys[:1]]
 
-    ends = [F.max_by(f"__in_{n}", F.when(F.col(f"__in_{n}").isNotNull(), at)).alias(n) for n in last]
+    ends = [newest(rows, f"__in_{n}", at).alias(n) for n in last]
     sums = [F.sum(f"__in_{n}").alias(n) for n in total]
     tops = [F.max(f"__in_{n}").alias(n) for n in peak]
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,9 +3,11 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fixtures import event_table, imu_table, projected, simple_camera, turn_matrix, turning_scene, window_rows
 from lumenflow.config import InvalidConfig, MotionConfig
+from lumenflow.functions import geometry as g
 from lumenflow.operators import foreground, imu, motion
 from lumenflow.operators.rolling import stream_bounds
 from lumenflow.plans.lineage import materialise
@@ -222,6 +224,31 @@ def test_tracker_rotation_fits_the_compiled_method_size(spark, monkeypatch, smal
     assert 0 < max(sizes) <= 8000
 
 
+def test_running_products_equal_one_by_one():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 100, 1001):
+        turns = rng.normal(size=(n, 4))
+        turns /= np.linalg.norm(turns, axis=1)[:, None]
+        before = held = tuple(rng.normal(size=4))
+        want = []
+        for turn in turns.tolist():
+            held = g.quaternion_product(held, turn)
+            want.append(held)
+        assert imu.running_products(turns, before) == pytest.approx(np.array(want), abs=1e-12)
+
+
+def test_orientation_sends_no_struct_to_python_and_sorts_no_block_ends(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(imu, "materialise", lambda df: plans.append(df) or materialise(df))
+    samples = materialise(imu_table(spark, [i * 0.01 for i in range(40)], gyro=(0.3, -0.7, 0.5)))
+    linked = imu.imu_intervals(samples)
+    local = plans[1]
+    assert {"d_qw", "o_qw", "block"} < set(local.columns)
+    assert not [f.name for f in local.schema if isinstance(f.dataType, T.StructType)]
+    for df in (local, linked):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_imu_csv(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("﻿ gz,timestamp , gx,gy,note\n3,10.5,1,2,a\n6,10.0,4,5,b\n9,10.5,7,8,c\n")

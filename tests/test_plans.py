@@ -54,6 +54,21 @@ def test_running_does_not_depend_on_blocks(table, inclusive):
     assert np.allclose(got.top.to_numpy(dtype=float), by.v.cummax().groupby(frame.k).shift(shift), equal_nan=True)
 
 
+def test_running_keeps_structs_with_null_fields(table):
+    frame, df = table
+    odd = F.when(F.col("v") % 2 == 0, F.col("v"))
+    got = running(
+        df, ["k"], "seq", F.floor(F.col("seq") / 100),
+        last={"s": F.when(F.col("flag"), F.struct("seq", odd.alias("even"), F.lit("x").alias("name")))},
+    )
+    assert got.schema["s"].dataType.names == ["seq", "even", "name"]
+    held = {}
+    for r, now in zip(got.orderBy("seq").collect(), frame.itertuples(), strict=True):
+        assert (r.s and tuple(r.s)) == held.get(now.k)
+        if now.flag:
+            held[now.k] = (now.seq, now.v if now.v % 2 == 0 else None, "x")
+
+
 def test_frames_are_complete_across_chunks(table, monkeypatch):
     frame, df = table
     monkeypatch.setattr("lumenflow.plans.frames.CHUNK_ROWS", 16)
