@@ -367,16 +367,17 @@ def compensated_points(spark, folder):
 
 def motion_foreground(spark, folder):
     """Foreground per window without and with compensation, and both focus values."""
-    return _foreground_table(materialise(_motion_rows(spark, folder, axis=None)))
+    return _foreground_table(_motion_rows(spark, folder, axis=None))
 
 
 def turned_foreground(spark, folder):
     """The same for a camera that turns about one axis."""
     rounded = {name: F.round(name, 6) for name in ("focus_off", "focus_on")}
-    return _foreground_table(materialise(_motion_rows(spark, folder))).withColumns(rounded)
+    return _foreground_table(_motion_rows(spark, folder)).withColumns(rounded)
 
 
 def _foreground_table(rows: DataFrame) -> DataFrame:
+    rows = materialise(rows.select(*MOTION_KEYS, "timestamp_us", "start_us", "end_us", "ox", "oy", "px", "py"))
     marked = foreground.segment(rows, MOTION_KEYS, PINHOLE, MOTION, "ox", "oy", "foreground_off")
     marked = foreground.segment(marked, MOTION_KEYS, PINHOLE, MOTION, "px", "py", "foreground_on")
     counts = marked.groupBy(*MOTION_KEYS).agg(

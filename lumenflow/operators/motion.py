@@ -173,7 +173,9 @@ def compensate(
     the uncompensated position ``ox, oy``. ``covered_only`` leaves the other rows out at the join,
     which keeps the generated method below the 8000 bytes that the JVM compiles.
     """
-    inside = g.in_image(camera, F.col("x"), F.col("y"))
+    # Once and before the join: all that is computed behind it is one generated method. A null is outside.
+    inside = F.col("__inside")
+    rows = rows.withColumn("__inside", F.coalesce(g.in_image(camera, F.col("x"), F.col("y")), F.lit(False)))
     rows = g.undistort(rows, camera, F.col("x").cast("double"), F.col("y").cast("double"))
     length = F.greatest(F.col("end_us") - F.col("start_us"), F.lit(1))
     bins = F.greatest(F.ceil((F.col("end_us") - F.col("start_us")) / BIN_US), F.lit(1))
@@ -181,6 +183,9 @@ def compensate(
     rows = rows.withColumn("__at", place).withColumn(
         "bin", F.least(F.floor("__at"), bins - 1).cast("long")
     )
+    if with_original:
+        ox, oy = g.project(camera, (F.col("ray_x"), F.col("ray_y"), F.lit(1.0)))
+        rows = rows.withColumns({"ox": fence(F.when(inside, ox)), "oy": fence(F.when(inside, oy))})
     w = F.col("__at") - F.col("bin")
     rotations = rotations.drop("bins")
     if covered_only:
@@ -201,9 +206,6 @@ def compensate(
     px, py = g.project(camera, tuple(F.col(f"__v{k}") for k in range(3)))
     seen = inside & px.isNotNull() & py.isNotNull()
     out = joined.withColumns({"px": fence(F.when(seen, px)), "py": fence(F.when(seen, py))})
-    if with_original:
-        ox, oy = g.project(camera, ray)
-        out = out.withColumns({"ox": fence(F.when(inside, ox)), "oy": fence(F.when(inside, oy))})
     extra = ["ox", "oy"] if with_original else []
-    base = [c for c in rows.columns if c not in ("ray_x", "ray_y", "__at", "bin")]
+    base = [c for c in rows.columns if c not in ("ray_x", "ray_y", "__at", "__inside", "bin", *extra)]
     return out.select(*base, "covered", "px", "py", *extra)

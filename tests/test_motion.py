@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixtures import event_table, imu_table, projected, simple_camera, turn_matrix, turning_scene, window_rows
+from lumenflow import catalog
 from lumenflow.config import InvalidConfig, MotionConfig
 from lumenflow.functions import geometry as g
 from lumenflow.operators import foreground, imu, motion
@@ -224,6 +225,44 @@ def test_tracker_rotation_fits_the_compiled_method_size(spark, monkeypatch, smal
     assert 0 < max(sizes) <= 8000
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_foreground_rotation_fits_the_compiled_method_size(spark, monkeypatch, small):
+    """``motion_foreground`` needs the unturned position too, and rows without coverage."""
+    if not small:
+        monkeypatch.setattr(motion, "broadcast_if_small", lambda df: df.hint("merge"))
+    written = []
+    monkeypatch.setattr(catalog, "materialise", lambda df: written.append(df) or materialise(df))
+    catalog.motion_foreground(spark, "/root/testdata/sf0.001")
+    rows = written[-1]
+    assert {"ox", "oy", "px", "py"} < set(rows.columns)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = debug.codegenStringSeq(rows.select("*")._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert 0 < max(sizes) <= 8000
+
+
+def test_position_outside_the_sensor_is_null(spark):
+    camera, cfg = simple_camera(50, 64, 48), MotionConfig(window_us=20_000, step_us=10_000)
+    places = [(-1, 5), (3, -1), (64, 5), (3, 48), (0, 0), (63, 47), (30, 20)]
+    events = event_table(spark, [(i * 500, *places[i % len(places)]) for i in range(300)])
+    still = imu_table(spark, [i * 0.01 for i in range(16) if i not in (6, 7, 8, 9, 10)])
+    intervals = imu.prepared_imu(still)
+    windows = motion.window_grid(stream_bounds(events), intervals, cfg)
+    rotations = motion.window_rotations(windows, intervals, cfg)
+    turned = motion.compensate(motion.window_events(events, windows, cfg), rotations, camera, with_original=True)
+    rows = turned.collect()
+    assert {r.covered for r in rows} == {True, False}
+    assert set(turned.columns) >= {"ox", "oy", "px", "py"} and not [c for c in turned.columns if c.startswith("__")]
+    for r in rows:
+        inside = 0 <= r.x < 64 and 0 <= r.y < 48
+        want = (pytest.approx(r.x), pytest.approx(r.y)) * 2 if inside else (None,) * 4
+        assert (r.ox, r.oy, r.px, r.py) == want
+
+
 def test_running_products_equal_one_by_one():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 7, 100, 1001):
