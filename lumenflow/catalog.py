@@ -352,7 +352,7 @@ def imu_bracket(spark, folder):
 def _motion_rows(spark, folder, axis: str | None = "gy"):
     events = materialise(shrunk(spark, folder, with_value=True))
     intervals = imu.prepared_imu(samples_of(events, axis))
-    windows = materialise(motion.window_grid(rolling.stream_bounds(events), intervals, MOTION))
+    windows = materialise(motion.window_grid(motion.time_bounds(events), intervals, MOTION))
     rotations = materialise(motion.window_rotations(windows, intervals, MOTION))
     rows = motion.window_events(events.drop("value"), windows, MOTION)
     return motion.compensate(rows, rotations, PINHOLE, with_original=True)

@@ -9,6 +9,7 @@ from lumenflow.functions import geometry as g
 from lumenflow.operators.imu import QUATERNION, orientation_at
 from lumenflow.plans.fence import fence
 from lumenflow.plans.hopping import explode_hops
+from lumenflow.plans.lineage import materialise
 from lumenflow.plans.sized import broadcast_if_small
 
 KEYS = ["stream_id", "window_id"]
@@ -19,6 +20,16 @@ ROTATION = [f"r{i}{j}" for i in range(3) for j in range(3)]
 GRID_CHUNK = 1 << 16
 
 
+def time_bounds(events: DataFrame) -> DataFrame:
+    """Per stream: the earliest and the latest time, in whatever order the rows are numbered.
+
+    Windows look events and samples up by time alone, so no event is outside these bounds.
+    """
+    return materialise(
+        events.groupBy("stream_id").agg(F.min("timestamp_us").alias("origin_us"), F.max("timestamp_us").alias("last_us"))
+    )
+
+
 def grid_range(cfg: MotionConfig, start_s: float | None, end_s: float | None) -> tuple:
     """First and last grid step per stream, as columns over origin, last event and IMU duration.
 

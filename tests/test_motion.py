@@ -1,18 +1,20 @@
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixtures import event_table, imu_table, projected, simple_camera, turn_matrix, turning_scene, window_rows
-from lumenflow import catalog
+from lumenflow import catalog, catalog_sql
 from lumenflow.config import InvalidConfig, MotionConfig
 from lumenflow.functions import geometry as g
 from lumenflow.operators import foreground, imu, motion
 from lumenflow.operators.rolling import stream_bounds
 from lumenflow.plans.lineage import materialise
 from lumenflow.sources.imu import read_imu_csv
+from oracle import difference
 
 KEYS = ["stream_id", "window_id"]
 
@@ -263,6 +265,25 @@ def test_position_outside_the_sensor_is_null(spark):
         assert (r.ox, r.oy, r.px, r.py) == want
 
 
+@pytest.mark.parametrize("name", ["compensated_points", "turned_foreground"])
+def test_windows_reach_the_latest_time_of_a_log_numbered_out_of_order(spark, tmp_path, name):
+    """The log twice: the copy's keys follow, its times are turned round by a quarter of the span."""
+    (tmp_path / "log").mkdir()
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(
+        f"""COPY (
+          WITH e AS (FROM '/root/testdata/sf0.01/events.parquet'),
+               b AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) - low + 1 AS span, max(event_id) + 1 AS n FROM e)
+          SELECT e.* REPLACE (event_id + k * n AS event_id,
+                 make_timestamp(low + (epoch_us(ts) - low + k * (span // 4)) % span)::TIMESTAMP AS ts)
+          FROM e, b, range(2) r(k)) TO '{tmp_path}/log/events.parquet' (FORMAT parquet)"""
+    )
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/log/events.parquet'")
+    got = catalog.QUERIES[name](spark, f"{tmp_path}/log").toPandas()
+    assert difference(got, con.execute(catalog_sql.ORACLE[name]).df()) is None
+
+
 def test_running_products_equal_one_by_one():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 7, 100, 1001):
