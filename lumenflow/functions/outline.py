@@ -19,6 +19,10 @@ MIN_COVERAGE = 9
 MIN_SUPPORT = 12
 MIN_SEED_SUPPORT = 4
 SEED = 123
+#: Distances held at once; larger arrays are allocated and cleared by the system for every search.
+BLOCK_PAIRS = 1 << 13
+#: Circles that are scored before the others are compared with the best of them.
+FIRST_CIRCLES = 16
 # Fixed constants of the SplitMix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
 MIX_A = 0xBF58476D1CE4E5B9
@@ -45,6 +49,30 @@ def _below(draw: np.ndarray, limit: int) -> np.ndarray:
     return ((draw * np.uint64(limit)) >> np.uint64(32)).astype(np.int64)
 
 
+def _on_circles(sample: np.ndarray, cx: np.ndarray, cy: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Per circle and point: whether the point lies on the circle, within the tolerance."""
+    tolerance = np.maximum(1.5, 0.05 * radius)
+    low, high = (radius - tolerance) ** 2, (radius + tolerance) ** 2
+    x, y = sample[:, 0].copy(), sample[:, 1].copy()
+    on = np.empty((len(cx), len(sample)), dtype=bool)
+    step = max(1, BLOCK_PAIRS // len(sample))
+    for k in range(0, len(cx), step):
+        few = slice(k, k + step)
+        dx, dy = x - cx[few, None], y - cy[few, None]
+        squared = dx * dx + dy * dy
+        on[few] = (squared >= low[few, None]) & (squared <= high[few, None])
+    return on
+
+
+def _coverage(sample: np.ndarray, on: np.ndarray, cx: np.ndarray, cy: np.ndarray, support: np.ndarray) -> np.ndarray:
+    """Sectors of each circle that hold a point; every circle has some."""
+    circle, point = np.nonzero(on)
+    dx, dy = sample[point, 0] - cx[circle], sample[point, 1] - cy[circle]
+    turn = (np.arctan2(dy, dx) + math.pi) * SECTORS / math.tau
+    bit = np.left_shift(1, turn.astype(np.int64) % SECTORS)
+    return np.bitwise_count(np.bitwise_or.reduceat(bit, np.cumsum(support) - support))
+
+
 def search_outline(seeds: np.ndarray, others: np.ndarray, centre, extent: float):
     """Best circle through one seed and two points of either kind, or None.
 
@@ -64,23 +92,24 @@ def search_outline(seeds: np.ndarray, others: np.ndarray, centre, extent: float)
     if not ok.any():
         return None
     cx, cy, radius = cx[ok], cy[ok], radius[ok]
-    dx, dy = sample[:, 0] - cx[:, None], sample[:, 1] - cy[:, None]
-    squared = dx * dx + dy * dy
-    tolerance = np.maximum(1.5, 0.05 * radius)
-    on = (squared >= ((radius - tolerance) ** 2)[:, None]) & (
-        squared <= ((radius + tolerance) ** 2)[:, None]
-    )
-    turn = (np.arctan2(dy, dx) + math.pi) * SECTORS / math.tau
-    bit = np.left_shift(1, turn.astype(np.int64) % SECTORS)
-    sectors = np.bitwise_or.reduce(np.where(on, bit, 0), axis=1)
-    coverage = np.bitwise_count(sectors)
+    on = _on_circles(sample, cx, cy, radius)
     support = on.sum(axis=1)
     seed_support = on[:, : len(seeds)].sum(axis=1)
-    score = (support + 2 * seed_support) * (coverage / SECTORS) ** 4 * np.sqrt(radius)
-    valid = (coverage >= MIN_COVERAGE) & (support >= MIN_SUPPORT) & (seed_support >= MIN_SEED_SUPPORT)
-    if not valid.any():
+    enough = np.flatnonzero((support >= MIN_SUPPORT) & (seed_support >= MIN_SEED_SUPPORT))
+    weight, root = support + 2 * seed_support, np.sqrt(radius)
+    # A full circumference is the most a circle can score: those that cannot win are not looked at.
+    most = weight * root
+    enough = enough[np.argsort(-most[enough], kind="stable")]
+    coverage, score = np.zeros(len(cx), dtype=np.int64), np.full(len(cx), -1.0)
+    for few in (enough[:FIRST_CIRCLES], enough[FIRST_CIRCLES:]):
+        few = few[most[few] >= score.max()]
+        if len(few):
+            coverage[few] = _coverage(sample, on[few], cx[few], cy[few], support[few])
+            few = few[coverage[few] >= MIN_COVERAGE]
+            score[few] = weight[few] * (coverage[few] / SECTORS) ** 4 * root[few]
+    best = int(np.argmax(score))
+    if score[best] < 0:
         return None
-    best = int(np.argmax(np.where(valid, score, -1.0)))
     return (cx[best], cy[best], radius[best], int(coverage[best]), int(support[best]))
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenflow.config import CameraModel, MotionConfig
 from lumenflow.functions import geometry as g
 from lumenflow.operators.imu import QUATERNION, orientation_at
 from lumenflow.plans.fence import fence
-from lumenflow.plans.hopping import explode_hops
+from lumenflow.plans.hopping import explode_hops, floor_div, hop_range
 from lumenflow.plans.lineage import materialise
-from lumenflow.plans.sized import broadcast_if_small
+from lumenflow.plans.ordered import spread
+from lumenflow.plans.sized import BROADCAST_ROWS, broadcast_if_small
 
 KEYS = ["stream_id", "window_id"]
 #: Rotations are computed every half millisecond and interpolated between.
@@ -18,6 +19,8 @@ BIN_US = 500
 ROTATION = [f"r{i}{j}" for i in range(3) for j in range(3)]
 #: Window ids generated per task from one stream's range.
 GRID_CHUNK = 1 << 16
+#: Windows of one slice: its events and rotations lie in the same task.
+SLICE_WINDOWS = 32
 
 
 def time_bounds(events: DataFrame) -> DataFrame:
@@ -91,10 +94,11 @@ def window_times(windows: DataFrame, cfg: MotionConfig) -> DataFrame:
     )
 
 
-def window_events(events: DataFrame, windows: DataFrame, cfg: MotionConfig) -> DataFrame:
+def window_events(events: DataFrame, windows: DataFrame, cfg: MotionConfig, sliced: bool = False) -> DataFrame:
     """One row per event and window that contains it, both ends included.
 
-    Ids are computed per event; the windows' ranges come from one small row per stream.
+    Ids are computed per event; the windows' ranges come from one small row per stream. ``sliced``
+    deals events over tasks by ``slice``, a run of windows, before they are copied to their windows.
     """
     ranges = windows.groupBy("stream_id").agg(
         F.first("origin_us").alias("origin_us"),
@@ -104,21 +108,27 @@ def window_events(events: DataFrame, windows: DataFrame, cfg: MotionConfig) -> D
     placed = events.join(broadcast_if_small(ranges), "stream_id").where(
         F.col("timestamp_us") >= F.col("origin_us")
     )
+    since = F.col("timestamp_us") - F.col("origin_us")
+    first, last = F.col("first_id"), F.col("last_id")
+    if sliced:
+        low, high = hop_range(since, cfg.window_us, cfg.step_us, first, last)
+        placed = placed.withColumns({"__low": low, "__high": high}).where("__low <= __high")
+        runs = F.sequence(slice_of(F.col("__low")), slice_of(F.col("__high")))
+        placed = spread(placed.withColumn("slice", F.explode(runs)).drop("__low", "__high"), ["stream_id", "slice"])
+        first = F.greatest(first, F.col("slice") * SLICE_WINDOWS)
+        last = F.least(last, F.col("slice") * SLICE_WINDOWS + (SLICE_WINDOWS - 1))
     return (
-        explode_hops(
-            placed,
-            F.col("timestamp_us") - F.col("origin_us"),
-            cfg.window_us,
-            cfg.step_us,
-            first=F.col("first_id"),
-            last=F.col("last_id"),
-        )
+        explode_hops(placed, since, cfg.window_us, cfg.step_us, first=first, last=last)
         .withColumn("end_us", F.col("origin_us") + F.col("window_id") * cfg.step_us)
         .withColumn("start_us", F.greatest(F.col("end_us") - cfg.window_us, F.col("origin_us")))
         .drop("origin_us", "first_id", "last_id")
     )
 
 
+def slice_of(window: Column) -> Column:
+    return floor_div(window, SLICE_WINDOWS)
+
+
 def window_rotations(windows: DataFrame, intervals: DataFrame, cfg: MotionConfig) -> DataFrame:
     """Per covered window and time bin: rotation into the window's end orientation at both bin edges.
 
@@ -173,6 +183,17 @@ def window_rotations(windows: DataFrame, intervals: DataFrame, cfg: MotionConfig
     )
 
 
+def dealt_rotations(rotations: DataFrame) -> DataFrame:
+    """Rotations with their ``slice``: broadcast if few, else dealt over tasks as ``window_events`` deals events.
+
+    A table of almost equal rotations is small as a file, so Spark would broadcast any number of rows.
+    """
+    sliced = rotations.withColumn("slice", slice_of(F.col("window_id")))
+    if rotations.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return F.broadcast(sliced)
+    return spread(sliced, ["stream_id", "slice"]).hint("shuffle_hash")
+
+
 def compensate(
     rows: DataFrame, rotations: DataFrame, camera: CameraModel, with_original: bool = False, covered_only: bool = False
 ) -> DataFrame:
@@ -182,7 +203,8 @@ def compensate(
     table, which is counted to choose the join. Without coverage the position is only undistorted. A
     null position means outside the sensor or behind the camera. ``with_original`` also keeps
     the uncompensated position ``ox, oy``. ``covered_only`` leaves the other rows out at the join,
-    which keeps the generated method below the 8000 bytes that the JVM compiles.
+    which keeps the generated method below the 8000 bytes that the JVM compiles. Sliced rows meet
+    their rotations without another shuffle where ``joined_in_place`` holds.
     """
     # Once and before the join: all that is computed behind it is one generated method. A null is outside.
     inside = F.col("__inside")
@@ -202,7 +224,13 @@ def compensate(
     if covered_only:
         # Columns known to hold no null need no checks in the generated method.
         rotations = rotations.where(" and ".join(f"{side}_{r} is not null" for side in "pq" for r in ROTATION))
-    joined = rows.join(broadcast_if_small(rotations), [*KEYS, "bin"], "inner" if covered_only else "left")
+    keys = [*KEYS, "bin"]
+    if "slice" in rows.columns:
+        keys.append("slice")
+        side = dealt_rotations(rotations)
+    else:
+        side = broadcast_if_small(rotations)
+    joined = rows.join(side, keys, "inner" if covered_only else "left")
     blended = {
         r: F.col(f"p_{r}") * (1 - w) + F.col(f"q_{r}") * w for r in ROTATION
     }

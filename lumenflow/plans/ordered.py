@@ -8,10 +8,11 @@ between batches. The input should already be reduced to a few rows per update.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -24,6 +25,21 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+@contextmanager
+def joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside joins two sides that ``spread`` dealt by some of the join's keys as they lie.
+
+    Spark's default deals both sides anew by all keys of the join.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scan_ordered(
     df: DataFrame,
     keys: list[str],

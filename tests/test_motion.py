@@ -13,6 +13,7 @@ from lumenflow.functions import geometry as g
 from lumenflow.operators import foreground, imu, motion
 from lumenflow.operators.rolling import stream_bounds
 from lumenflow.plans.lineage import materialise
+from lumenflow.plans.ordered import joined_in_place
 from lumenflow.sources.imu import read_imu_csv
 from oracle import difference
 
@@ -206,6 +207,37 @@ def test_covered_rows_alone_are_the_same(spark):
     assert sorted(want) == sorted(alone.collect())
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_slices_are_counted_where_they_lie(spark, monkeypatch, most):
+    """The same cells as without slices; events are dealt once, and many rotations are not broadcast."""
+    monkeypatch.setattr(motion, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(motion, "SLICE_WINDOWS", 4)
+    camera, cfg = simple_camera(50, 64, 48), MotionConfig()
+    events = materialise(event_table(spark, [(i * 500, i % 64, i % 48) for i in range(600)]))
+    samples = imu_table(spark, [i * 0.01 for i in range(40)], gyro=(0.3, -0.7, 0.5), gravity=(0.0, 1.0, 0.0))
+    intervals = imu.prepared_imu(samples)
+    windows = materialise(motion.window_grid(stream_bounds(events), intervals, cfg))
+    rotations = materialise(motion.window_rotations(windows, intervals, cfg))
+    plain = motion.compensate(motion.window_events(events, windows, cfg), rotations, camera, covered_only=True)
+    rows = motion.window_events(events, windows, cfg, sliced=True)
+    turned = motion.compensate(rows, rotations, camera, covered_only=True)
+    assert turned.select("slice").distinct().count() > 4
+    assert sorted(plain.collect()) == sorted(turned.drop("slice").select(*plain.columns).collect())
+    cells = foreground.late_cells(foreground.motion_cells(turned, [*KEYS, "slice"], camera, cfg), [*KEYS, "slice"], cfg)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    try:
+        with joined_in_place(spark):
+            planned = cells._jdf.queryExecution().executedPlan()
+            stages = debug.codegenStringSeq(planned)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    plan = planned.toString()
+    assert plan.count("Exchange hashpartitioning(stream_id") == plan.count("REPARTITION_BY_NUM") + 1  # the streams' ranges
+    assert plan.count("ShuffledHashJoin") == (0 if most else 1)
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) <= 8000
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_tracker_rotation_fits_the_compiled_method_size(spark, monkeypatch, small):
     if not small:
