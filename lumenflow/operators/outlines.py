@@ -98,9 +98,10 @@ def evenly_spaced(points: DataFrame, keys: list[str], order: list[str], limit: i
 
 def outlines(proposals: DataFrame, points: DataFrame, camera: CameraModel) -> DataFrame:
     """Outline per proposal ``(stream_id, window_id, rank)``; proposals without one are absent."""
-    # One partitioning serves the counts, the sampling, the lists and the search.
+    # A window's points are dealt to one task before they are matched, so no file split counts them for all its windows.
+    # After that one partitioning serves the counts, the sampling, the lists and the search.
     group = [*KEYS, "rank"]
-    around = spread(outline_points(proposals, points, camera), group)
+    around = spread(outline_points(proposals, spread(points, KEYS), camera), group)
     total = F.sum("n").over(Window.partitionBy(*group))
     dense = around.withColumn("points", total).where(F.col("points") >= MIN_POINTS)
     sampled = evenly_spaced(dense, [*group, "is_seed"], ["gx", "gy"], POINT_LIMIT)
